@@ -19,6 +19,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import verdicts
+
+    judged = verdicts(documents(spark, sf_dir), "source")
+    return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_digest
 
@@ -38,4 +45,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import quality
+
+    return {"op7_quality_rules": quality.SQL}
