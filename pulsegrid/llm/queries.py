@@ -38,6 +38,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import groups
+
+    found = groups(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
