@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import documents
+from ._common import crc_mod, documents
 
 
 def _vocabulary(name: str) -> str:
@@ -19,6 +19,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(documents(spark, sf_dir), crc_mod(5) == 0)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
