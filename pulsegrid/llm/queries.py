@@ -43,6 +43,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(documents(spark, sf_dir))
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree_lm import score
+
+    return score(documents(spark, sf_dir), crc_mod(7) == 2)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import verdicts
 
