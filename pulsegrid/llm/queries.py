@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import crc_mod, documents
+from ._common import crc_mod, documents, table
 
 
 def _vocabulary(name: str) -> str:
@@ -43,6 +43,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove(documents(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import hits
+
+    return hits(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_tree_lm import score
 
