@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ._common import crc_mod, documents, table
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Place of a public vocabulary file on each machine; the operators take any path."""
     import public_tokenizers
 
@@ -65,7 +65,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_digest
 
-    return encode_digest(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+    return encode_digest(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
-    counted = count_tokens(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+    counted = count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
