@@ -22,13 +22,28 @@ def query(sql: str | None = None):
     return add
 
 
-def queries():
+def _load() -> None:
+    """Import the modules that register queries."""
+    from importlib import import_module
+    from pkgutil import iter_modules
+
+    from . import plans
+
+    for m in iter_modules(plans.__path__):
+        if m.name.endswith("_queries"):
+            import_module(f"{plans.__name__}.{m.name}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    """Rates of all units around reference events: a range join, a histogram, and its empty bins."""
+    return queries()["psth"](spark, sf_dir)
