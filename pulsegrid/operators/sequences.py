@@ -87,7 +87,7 @@ def gradient(value: str, t: str, keys: K, order: str | None = None) -> Column:
     w = _w(keys, order or t)
     x, a, b = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
     h, k = F.col(t) - F.lag(t).over(w), F.lead(t).over(w) - F.col(t)
-    mid = (h * h * b + (k * k - h * h) * x - k * k * a) / (h * k * (h + k))
+    mid = F.try_divide(h * h * b + (k * k - h * h) * x - k * k * a, h * k * (h + k))
     return F.when(a.isNull(), F.try_divide(b - x, k)).when(b.isNull(), F.try_divide(x - a, h)).otherwise(mid)
 
 

@@ -45,9 +45,10 @@ SQL_DAYS = "days AS (SELECT i::INTEGER AS epoch_id, i * 86400.0::DOUBLE AS start
 
 
 def position(spark: SparkSession, sf: str) -> DataFrame:
-    """x, y, z of the line items, with a session (order key modulo 64) and an order within it."""
+    """x, y, z by session (order key modulo 64) and order within it; line items of one key and number count once, by their least values."""
     li = table(spark, sf, "lineitem")
-    return li.select((F.col("l_orderkey") % 64).alias("session"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("i"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), F.col("l_extendedprice").alias("z"))
+    i = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    return li.groupBy((F.col("l_orderkey") % 64).alias("session"), i.alias("i")).agg(F.min("l_quantity").alias("x"), (F.min("l_discount") * 100).alias("y"), F.min("l_extendedprice").alias("z"))
 
 
-POS = "pos AS (SELECT l_orderkey % 64 AS session, l_orderkey * 8 + l_linenumber AS i, l_quantity AS x, l_discount * 100 AS y, l_extendedprice AS z FROM lineitem)"
+POS = "pos AS (SELECT l_orderkey % 64 AS session, l_orderkey * 8 + l_linenumber AS i, min(l_quantity) AS x, min(l_discount) * 100 AS y, min(l_extendedprice) AS z FROM lineitem GROUP BY 1, 2)"
