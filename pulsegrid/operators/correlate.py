@@ -70,3 +70,87 @@ def forward_differences(points: DataFrame, edges: Sequence[float], keys: Sequenc
     k = F.size(F.filter(F.array(*map(F.lit, map(float, edges))), lambda e: e <= d)) - 1
     width = F.element_at(F.array(*[F.lit(float(b - a)) for a, b in zip(edges, edges[1:])]), F.col("bin") + 1)
     return got.withColumn("bin", k).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("density", F.col("n") / width)
+
+
+def deconvolved(counts: DataFrame, auto: DataFrame, unit: str = "unit") -> DataFrame:
+    """(unit, bin, rate): peri-event histograms (unit, bin, n) freed from the units' own rhythm (unit, bin, n of the autocorrelogram), by a Toeplitz system a unit."""
+    import numpy as np
+    import pandas as pd
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values("bin")
+        n = int(max(a["bin"].max(), b["bin"].max() if len(b) else 0)) + 1
+        x, r = np.zeros(n), np.zeros(n)
+        x[a["bin"]] = a["n"]
+        if len(b):
+            r[b["bin"]] = b["n"]
+        mid = n // 2
+        at = np.abs(np.arange(n)[:, None] - np.arange(n)[None, :])
+        own = np.where(at <= mid, r[np.minimum(mid + at, n - 1)], 0.0)
+        np.fill_diagonal(own, max(r[mid], a["n"].sum(), 1.0))
+        y = np.linalg.solve(own, x) if x.any() else x
+        return pd.DataFrame({unit: a[unit].iloc[0], "bin": np.arange(n, dtype="int32"), "rate": y})
+
+    kind = dict(counts.dtypes)[unit]
+    return counts.select(unit, "bin", "n").groupBy(unit).cogroup(auto.select(unit, "bin", "n").groupBy(unit)).applyInPandas(run, f"{unit} {kind}, bin int, rate double")
+
+
+def significant_modulation(cch: DataFrame, keys: Sequence[str] = ("unit", "unit2"), width: float = 0.005, window: float = 0.2, alpha: float = 0.001, kernel: int = 30) -> DataFrame:
+    """(keys, modulated, lowest, highest): more than two central bins beyond the Poisson bounds around the hollow-smoothed prediction."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.dsp import hollow_prediction
+    from ..functions.special import poisson_cdf
+
+    kinds = dict(cch.dtypes)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x = g.sort_values("bin")["n"].to_numpy(float)
+        p = np.maximum(hollow_prediction(x, kernel), 1e-9)
+        half = int(window / width)
+        mid = len(x) // 2
+        some = slice(max(mid - half, 0), mid + half + 1)
+        level = alpha / max(1, some.stop - some.start)
+
+        def bound(m: float, upper: bool) -> int:
+            k = 0
+            while (poisson_cdf(k, m) < 1 - level) if upper else (poisson_cdf(k, m) < level):
+                k += 1
+            return k
+
+        hi, lo = bound(float(p[some].max()), True), bound(float(p[some].min()), False)
+        beyond = int((x[some] > hi).sum()), int((x[some] < lo).sum())
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "modulated": [max(beyond) > 2], "lowest": [lo], "highest": [hi]})
+
+    return cch.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["modulated boolean, lowest int, highest int"]))
+
+
+def event_cross_correlation(signal: DataFrame, refs: DataFrame, rate: float, before: float, after: float, key: str = "channel", width: float = 3600.0) -> DataFrame:
+    """(key, key2, lag_idx, r): mean over references of the normalised cross-correlation of two channels interpolated around them."""
+    import numpy as np
+    import pandas as pd
+
+    from .grid import spine
+    from .joins import interpolate_at
+
+    n = int(round((after - before) * rate))
+    channels = signal.select(key).distinct()
+    grid = refs.select("ref_id", "r", spine(n, "lag_idx")).withColumn("t", F.col("r") + before + F.col("lag_idx") / rate).join(channels)  # each reference in each channel
+    got = interpolate_at(grid, signal, "t", "value", [key], width)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        m = g.pivot(index=key, columns="lag_idx", values="value").sort_index().dropna()
+        out = []
+        for i, a in enumerate(m.index):
+            for b in m.index[i + 1 :]:
+                x, y = m.loc[a].to_numpy(), m.loc[b].to_numpy()
+                x, y = x - x.mean(), y - y.mean()
+                s = np.sqrt((x * x).sum() * (y * y).sum())
+                c = np.correlate(x, y, "full") / s if s > 1e-10 else np.zeros(2 * len(x) - 1)
+                out.append(pd.DataFrame({key: a, "key2": b, "lag_idx": np.arange(len(c), dtype="int32") - (len(x) - 1), "r": c}))
+        return pd.concat(out) if out else pd.DataFrame({key: [], "key2": [], "lag_idx": [], "r": []})
+
+    kind = dict(signal.dtypes)[key]
+    each = got.select("ref_id", key, "lag_idx", "value").groupBy("ref_id").applyInPandas(run, f"{key} {kind}, key2 {kind}, lag_idx int, r double")
+    return each.groupBy(key, "key2", "lag_idx").agg(F.avg("r").alias("r"))
