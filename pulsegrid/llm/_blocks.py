@@ -23,14 +23,23 @@ MOST = 1 << 16
 
 
 def parts(spark: SparkSession) -> int:
-    """Number of parts: twice the shuffle partitions, so that each gets a few."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Number of parts: the session's shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _dense(c: np.ndarray) -> bytes:
+    """Columns other than hashes go byte plane by byte plane, so that high bytes compress to nothing."""
+    c = np.ascontiguousarray(c)
+    if c.dtype == np.uint64 or c.dtype.itemsize == 1:
+        return c.tobytes()
+    return np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T).tobytes()
 
 
 def pack(part: np.ndarray, columns: Sequence[np.ndarray], kind: int = 0) -> Iterator[pa.RecordBatch]:
-    """Blocks of the records, by part."""
+    """Blocks of the records, by part; inside a block the given order stays."""
     if not len(part):
         return
+    codec = pa.Codec("zstd", compression_level=1)
     order = np.argsort(part, kind="stable")
     part = part[order]
     columns = [c[order] for c in columns]
@@ -41,14 +50,20 @@ def pack(part: np.ndarray, columns: Sequence[np.ndarray], kind: int = 0) -> Iter
             to = min(b, at + MOST)
             ids.append(int(part[a]))
             ns.append(to - at)
-            blocks.append(b"".join(np.ascontiguousarray(c[at:to]).tobytes() for c in columns))
+            blocks.append(codec.compress(b"".join(_dense(c[at:to]) for c in columns), asbytes=True))
     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([kind] * len(ids), pa.int32()), pa.array(ns, pa.int32()), pa.array(blocks, pa.binary())], schema=BLOCK)
 
 
 def unpack(n: int, block: bytes, dtypes: Sequence[np.dtype]) -> list[np.ndarray]:
+    dtypes = list(map(np.dtype, dtypes))
+    raw = pa.Codec("zstd").decompress(block, n * sum(t.itemsize for t in dtypes), asbytes=True)
     out, at = [], 0
-    for t in map(np.dtype, dtypes):
-        out.append(np.frombuffer(block, t, n, at))
+    for t in dtypes:
+        if t == np.uint64 or t.itemsize == 1:
+            out.append(np.frombuffer(raw, t, n, at))
+        else:
+            planes = np.frombuffer(raw, np.uint8, n * t.itemsize, at).reshape(t.itemsize, n)
+            out.append(np.ascontiguousarray(planes.T).view(t).ravel())
         at += n * t.itemsize
     return out
 

@@ -17,7 +17,7 @@ corpus, so windows travel in groups:
 So what is unique sends a record for each group, long repeats send one mark
 for each group, and only the edges of repeats are looked at window by window.
 Hashes of bucket and identity, and the two hashes of an opened window, are
-independent 64-bit values: each decision rests on 128 bits.
+independent: a group rests on 128 bits, a window on 96.
 
 A map task sends a bucket and identity once, and opens its own groups where it
 sees that a bucket has several identities, so a passage that a third of all
@@ -39,11 +39,13 @@ from ._common import keyed_text, mix64, staged
 
 #: Kinds of blocks.
 GROUP, OLD_GROUP, WINDOW, OLD_WINDOW, MARK, OPEN, TEXT, RUN, WINDOW_RUN = range(9)
-GROUP_T = (np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint32)  # bucket, identity, doc, tag, start, windows
-WINDOW_T = (np.uint64, np.uint64, np.int64, np.uint32, np.uint32)  # two hashes, doc, tag, start
-MARK_T = (np.int64, np.uint32, np.uint32, np.uint32)  # doc, tag, start, windows
+GROUP_T = (np.uint64, np.uint64, np.int64, np.uint16, np.uint32, np.uint32)  # bucket, identity, doc, tag, start, windows
+WINDOW_T = (np.uint64, np.uint32, np.int64, np.uint16, np.uint32)  # two hashes, doc, tag, start
+MARK_T = (np.int64, np.uint16, np.uint32, np.uint32)  # doc, tag, start, windows
 #: Symbols that are hashed at once; longer documents go in overlapping pieces.
 PIECE = 1 << 19
+#: Opened windows that a task holds before it sends them.
+MOST_WINDOWS = 2_000_000
 _POS = np.uint64((1 << 21) - 1)
 #: Stands for a null doc_id, which sorts last.
 NO_ID = np.iinfo(np.int64).max
@@ -219,7 +221,8 @@ def _part(x: np.ndarray, n_parts: int) -> np.ndarray:
 
 
 def _marks(doc, tag, start, n, n_parts: int, kind: int = MARK) -> Iterator[pa.RecordBatch]:
-    cols = [c.astype(t) for c, t in zip((doc, tag, start, n), MARK_T, strict=True)]
+    up = np.lexsort((start, tag, doc))
+    cols = [c[up].astype(t) for c, t in zip((doc, tag, start, n), MARK_T, strict=True)]
     yield from _blocks.pack(_part(cols[0], n_parts), cols, kind)
 
 
@@ -230,7 +233,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 def _read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Ids, tags (a digest that tells rows of one id apart) and texts of a batch."""
     texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-    return _ids(b.column(0)), np.array([xxhash.xxh32_intdigest(t) for t in texts], np.uint32), texts
+    return _ids(b.column(0)), np.array([xxhash.xxh32_intdigest(t) & 0xFFFF for t in texts], np.uint16), texts
 
 
 def _first(order_by: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,18 +247,26 @@ def _first(order_by: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tu
     return order, new
 
 
-def _windows(kind, n_parts: int, symbols: list, ids, tags, doc, start, count) -> Iterator[pa.RecordBatch]:
-    """Opened windows, each pair of hashes once, and marks of those that repeat here."""
+def _windows(kind, symbols: list, ids, tags, doc, start, count) -> tuple[np.ndarray, ...]:
+    """Windows of some groups as columns: doc, tag, start, two hashes."""
     d, s, a, b = opened(kind, symbols, doc, start, count)
-    if not len(d):
+    return ids[d], tags[d], s, a, (b >> np.uint64(32)).astype(np.uint32)
+
+
+def _emit_windows(made: list[tuple[np.ndarray, ...]], n_parts: int) -> Iterator[pa.RecordBatch]:
+    """Each pair of hashes once, in document order, and marks of the windows that repeat here."""
+    if not made:
         return
-    di, dt = ids[d], tags[d]
+    di, dt, s, a, b = (np.concatenate(c) for c in zip(*made, strict=True))
+    made.clear()
     order, new = _first((di, dt, s), (a, b))
-    d, s, a, b, di, dt = (x[order] for x in (d, s, a, b, di, dt))
+    di, dt, s, a, b = (x[order] for x in (di, dt, s, a, b))
     lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     again = (di != di[lead]) | (dt != dt[lead]) | (s != s[lead])
     yield from _marks(di[again], dt[again], s[again], np.ones(int(again.sum())), n_parts)
-    yield from _blocks.pack(_part(a[new], n_parts), [a[new], b[new], di[new], dt[new].astype(np.uint32), s[new].astype(np.uint32)], WINDOW)
+    up = np.flatnonzero(new)
+    up = up[np.lexsort((s[up], dt[up], di[up]))]
+    yield from _blocks.pack(_part(a[up], n_parts), [a[up], b[up], di[up], dt[up], s[up].astype(np.uint32)], WINDOW)
 
 
 def _send_groups(make: Callable, n_parts: int) -> Callable:
@@ -277,12 +288,13 @@ def _send_groups(make: Callable, n_parts: int) -> Callable:
             edge = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
             size = np.diff(np.r_[edge, len(bucket)])
             several = np.repeat(size > 1, size)
-            yield from _windows(kind, n_parts, symbols, ids, tags, doc[several], s[several], n[several])
+            yield from _emit_windows([_windows(kind, symbols, ids, tags, doc[several], s[several], n[several])], n_parts)
             mark = np.unique(bucket[several])
             zero = np.zeros(len(mark), np.int64)
             one = ~several
-            cols = [np.r_[bucket[one], mark], np.r_[identity[one], zero.astype(np.uint64)], np.r_[di[one], zero], np.r_[dt[one], zero].astype(np.uint32), np.r_[s[one], zero].astype(np.uint32), np.r_[n[one], zero].astype(np.uint32)]
-            yield from _blocks.pack(_part(cols[0], n_parts), cols, GROUP)
+            cols = [np.r_[bucket[one], mark], np.r_[identity[one], zero.astype(np.uint64)], np.r_[di[one], zero], np.r_[dt[one], zero].astype(np.uint16), np.r_[s[one], zero].astype(np.uint32), np.r_[n[one], zero].astype(np.uint32)]
+            up = np.lexsort((cols[4], cols[3], cols[2]))
+            yield from _blocks.pack(_part(cols[0][up], n_parts), [c[up] for c in cols], GROUP)
 
     return run
 
@@ -319,7 +331,7 @@ def _meet_groups(n_parts: int, keep_run: bool) -> Callable:
             alone = first & ~marker & (fresh == 1) & ~per(several)
             mark = bucket[edge[several & ~old_mark]]
             zero = np.zeros(len(mark), np.int64)
-            cols = [np.r_[bucket[alone], mark], np.r_[identity[alone], zero.astype(np.uint64)], np.r_[doc[alone], zero], np.r_[tag[alone], zero].astype(np.uint32), np.r_[s[alone], zero].astype(np.uint32), np.r_[n[alone], zero].astype(np.uint32)]
+            cols = [np.r_[bucket[alone], mark], np.r_[identity[alone], zero.astype(np.uint64)], np.r_[doc[alone], zero], np.r_[tag[alone], zero].astype(np.uint16), np.r_[s[alone], zero].astype(np.uint32), np.r_[n[alone], zero].astype(np.uint32)]
             up = np.lexsort((cols[1], cols[0]))
             yield from _blocks.pack(np.full(len(up), part, np.int32), [c[up] for c in cols], RUN)
 
@@ -349,9 +361,9 @@ def _packed_texts(docs: DataFrame, n_parts: int) -> DataFrame:
 
 def _unpacked(n: int, block: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     size = int(np.frombuffer(block, np.int64, 1)[0])
-    ids, tags = np.frombuffer(block, np.int64, n, 8), np.frombuffer(block, np.uint32, n, 8 + 8 * n)
-    ends = np.cumsum(np.frombuffer(block, np.int64, n, 8 + 12 * n))
-    whole = pa.Codec("zstd").decompress(block[8 + 20 * n :], size, asbytes=True) if size else b""
+    ids, tags = np.frombuffer(block, np.int64, n, 8), np.frombuffer(block, np.uint16, n, 8 + 8 * n)
+    ends = np.cumsum(np.frombuffer(block, np.int64, n, 8 + 10 * n))
+    whole = pa.Codec("zstd").decompress(block[8 + 18 * n :], size, asbytes=True) if size else b""
     return ids, tags, [whole[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
 
 
@@ -377,6 +389,7 @@ def _open_groups(make: Callable, n_parts: int) -> Callable:
         kind, wanted = make(), _ByDocument(held.pop(OPEN, []))
         if not wanted.at:
             return
+        made, size = [], 0
         for n, block in held.pop(TEXT, ()):
             ids, tags, texts = _unpacked(n, block)
             symbols, doc, start, count = {}, [], [], []
@@ -385,7 +398,12 @@ def _open_groups(make: Callable, n_parts: int) -> Callable:
                     symbols[i] = kind.symbols(texts[i])
                     doc.append(np.full(len(found[0]), i)), start.append(found[0]), count.append(found[1])
             if doc:
-                yield from _windows(kind, n_parts, symbols, ids, tags, np.concatenate(doc), np.concatenate(start), np.concatenate(count))
+                made.append(_windows(kind, symbols, ids, tags, np.concatenate(doc), np.concatenate(start), np.concatenate(count)))
+                size += len(made[-1][0])
+            if size > MOST_WINDOWS:
+                yield from _emit_windows(made, n_parts)
+                size = 0
+        yield from _emit_windows(made, n_parts)
 
     return reduce
 
