@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -43,9 +44,11 @@ GROUP_T = (np.uint64, np.uint64, np.int64, np.uint16, np.uint32, np.uint32)  # b
 WINDOW_T = (np.uint64, np.uint32, np.int64, np.uint16, np.uint32)  # two hashes, doc, tag, start
 MARK_T = (np.int64, np.uint16, np.uint32, np.uint32)  # doc, tag, start, windows
 #: Symbols that are hashed at once; longer documents go in overlapping pieces.
-PIECE = 1 << 19
+PIECE = 1 << 18
+#: Bytes of text whose words or bytes a task holds at once; a longer text stands alone.
+SLICE = 8 << 20
 #: Opened windows that a task holds before it sends them.
-MOST_WINDOWS = 2_000_000
+MOST_WINDOWS = 500_000
 _POS = np.uint64((1 << 21) - 1)
 #: Stands for a null doc_id, which sorts last.
 NO_ID = np.iinfo(np.int64).max
@@ -118,7 +121,7 @@ class Words:
 
     def codes(self, symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         f = xxhash.xxh3_128_digest
         for w in set(symbols).difference(known):
@@ -236,6 +239,17 @@ def _read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return _ids(b.column(0)), np.array([xxhash.xxh32_intdigest(t) & 0xFFFF for t in texts], np.uint16), texts
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of at most SLICE bytes of text."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(1).cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _first(order_by: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Sort by ``same``, then ``order_by``; for each row of that order, is it the first of its kind?"""
     order = np.lexsort((*order_by[::-1], *same[::-1]))
@@ -272,7 +286,7 @@ def _emit_windows(made: list[tuple[np.ndarray, ...]], n_parts: int) -> Iterator[
 def _send_groups(make: Callable, n_parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = make()
-        for batch in batches:
+        for batch in _slices(batches):
             ids, tags, texts = _read(batch)
             symbols = [kind.symbols(t) for t in texts]
             doc, s, n, bucket, identity = groups(kind, symbols)
@@ -343,7 +357,7 @@ def _packed_texts(docs: DataFrame, n_parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=3)
-        for b in batches:
+        for b in _slices(batches):
             ids, tags, texts = _read(b)
             part = _part(ids, n_parts)
             order = np.argsort(part, kind="stable")
