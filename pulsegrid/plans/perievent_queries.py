@@ -183,18 +183,18 @@ def binned_counts(spark, sf):
 
 @query(
     f"""WITH {EV}, {_COUNTS}, p AS (SELECT a.unit, b.unit AS unit2, count(*) AS n, covar_pop(a.n, b.n) AS c, stddev_pop(a.n) AS x, stddev_pop(b.n) AS y FROM cnt a JOIN cnt b ON a.bin = b.bin AND a.unit < b.unit GROUP BY ALL)
-SELECT unit, unit2, round(CASE WHEN x * y > 0 THEN c / (x * y) END, 9) AS r, n FROM p"""
+SELECT unit, unit2, round(CASE WHEN x * y > 0 THEN c / (x * y) END, 9) + 0.0::DOUBLE AS r, n FROM p"""
 )
 def pairwise_pearson(spark, sf):
-    return co.pairwise(_counts(spark, sf), "bin", "n").withColumn("r", F.round("r", 9))
+    return co.pairwise(_counts(spark, sf), "bin", "n").withColumn("r", F.round("r", 9) + F.lit(0.0))
 
 
 @query(
     f"""WITH {EV}, {_COUNTS}, k AS (SELECT unit, bin, rank() OVER (PARTITION BY unit ORDER BY n) + (count(*) OVER (PARTITION BY unit, n) - 1) / 2.0::DOUBLE AS n FROM cnt), p AS (SELECT a.unit, b.unit AS unit2, count(*) AS n, covar_pop(a.n, b.n) AS c, stddev_pop(a.n) AS x, stddev_pop(b.n) AS y FROM k a JOIN k b ON a.bin = b.bin AND a.unit < b.unit GROUP BY ALL)
-SELECT unit, unit2, round(CASE WHEN x * y > 0 THEN c / (x * y) END, 9) AS r, n FROM p"""
+SELECT unit, unit2, round(CASE WHEN x * y > 0 THEN c / (x * y) END, 9) + 0.0::DOUBLE AS r, n FROM p"""
 )
 def pairwise_spearman(spark, sf):
-    return co.pairwise(_counts(spark, sf), "bin", "n", method="spearman").withColumn("r", F.round("r", 9))
+    return co.pairwise(_counts(spark, sf), "bin", "n", method="spearman").withColumn("r", F.round("r", 9) + F.lit(0.0))
 
 
 @query(

@@ -91,9 +91,9 @@ def peak_order(spark, sf):
     return tu.peak_order(_map(spark, sf))
 
 
-@query(f"WITH {_MAP}, p AS (SELECT a.unit, b.unit AS unit2, covar_pop(a.rate, b.rate) AS c, stddev_pop(a.rate) AS x, stddev_pop(b.rate) AS y FROM map a JOIN map b ON a.bx = b.bx AND a.unit < b.unit GROUP BY ALL) SELECT unit, unit2, round(CASE WHEN x * y > 0 THEN c / (x * y) END, 9) AS r FROM p")
+@query(f"WITH {_MAP}, p AS (SELECT a.unit, b.unit AS unit2, covar_pop(a.rate, b.rate) AS c, stddev_pop(a.rate) AS x, stddev_pop(b.rate) AS y FROM map a JOIN map b ON a.bx = b.bx AND a.unit < b.unit GROUP BY ALL) SELECT unit, unit2, round(CASE WHEN x * y > 0 THEN c / (x * y) END, 9) + 0.0::DOUBLE AS r FROM p")
 def pairwise_spatial_corr(spark, sf):
-    return tu.spatial_correlation(_map(spark, sf), ["bx"]).withColumn("r", F.round("r", 9))
+    return tu.spatial_correlation(_map(spark, sf), ["bx"]).withColumn("r", F.round("r", 9) + F.lit(0.0))
 
 
 @query(
@@ -210,10 +210,10 @@ def rayleigh(spark, sf):
     return st.rayleigh(_angles(spark, sf), "a", ["unit"]).select("unit", "n", *[F.round(c, 8).alias(c) for c in ("r", "z", "p")])
 
 
-@query(f"WITH {_ANG}, g AS (SELECT unit, atan2(sum(sin(a)), sum(cos(a))) AS m FROM ang GROUP BY unit) SELECT unit, round(sum(sin(a - m)), 6) AS s, round(sum(cos(a - m)), 6) AS c FROM ang JOIN g USING (unit) GROUP BY unit")
+@query(f"WITH {_ANG}, g AS (SELECT unit, atan2(sum(sin(a)), sum(cos(a))) AS m FROM ang GROUP BY unit) SELECT unit, round(sum(sin(a - m)), 6) + 0.0::DOUBLE AS s, round(sum(cos(a - m)), 6) + 0.0::DOUBLE AS c FROM ang JOIN g USING (unit) GROUP BY unit")
 def circ_center(spark, sf):
     x = st.centred(_angles(spark, sf), "a", ["unit"])
-    zero = lambda c: F.round(c, 6) + 0.0
+    zero = lambda c: F.round(c, 6) + F.lit(0.0)
     return x.groupBy("unit").agg(zero(F.sum(F.sin("centred"))).alias("s"), zero(F.sum(F.cos("centred"))).alias("c"))
 
 
