@@ -50,6 +50,24 @@ def pairwise(series: DataFrame, index: str, value: str, unit: str = "unit", meth
     return got.select(*keys, unit, "unit2", F.try_divide("_c", F.col("_x") * F.col("_y")).alias("r"), "n")
 
 
+def pairwise_dense(series: DataFrame, index: str, value: str, unit: str = "unit", keys: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+    """Like :func:`pairwise` for series with a value at every index (binned counts with their zeros).
+
+    Each unit becomes one array of standard scores, and pairs meet by blocks of
+    units: one side lies in one block, the other goes to all, so the join moves
+    units x blocks arrays and makes each pair once, in place of pairs x bins
+    rows.
+    """
+    blocks = blocks or int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = series.groupBy(*keys, unit).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("x")))).alias("_v"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    z = F.when(F.col("_s") > 0, F.transform("_v", lambda e: (e["x"] - F.col("_m")) / F.col("_s")))
+    v = g.select(*keys, unit, z.alias("_z"), F.size("_v").alias("n"))
+    a = v.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    b = v.select(*keys, F.col(unit).alias("unit2"), F.col("_z").alias("_z2"), F.pmod(F.xxhash64(unit), F.lit(blocks)).cast("int").alias("_b"))
+    dot = F.aggregate(F.zip_with("_z", "_z2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return a.join(b, [*keys, "_b"]).where(F.col(unit) < F.col("unit2")).select(*keys, unit, "unit2", (dot / F.col("n")).alias("r"), F.col("n").cast("long").alias("n"))
+
+
 def cross_correlation(series: DataFrame, index: str, value: str, max_lag: int, unit: str = "unit") -> DataFrame:
     """(unit, unit2, lag, r): normalised discrete cross-correlation for |lag| <= max_lag, unit < unit2."""
     a = series.select(unit, F.col(index).alias("_i"), F.col(value).alias("x"))

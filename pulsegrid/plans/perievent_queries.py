@@ -186,7 +186,7 @@ def binned_counts(spark, sf):
 SELECT unit, unit2, round(CASE WHEN x * y > 0 THEN c / (x * y) END, 9) + 0.0::DOUBLE AS r, n FROM p"""
 )
 def pairwise_pearson(spark, sf):
-    return co.pairwise(_counts(spark, sf), "bin", "n").withColumn("r", F.round("r", 9) + F.lit(0.0))
+    return co.pairwise_dense(_counts(spark, sf), "bin", "n").withColumn("r", F.round("r", 9) + F.lit(0.0))
 
 
 @query(

@@ -328,7 +328,7 @@ SELECT round(pow((tp - tr * pr) / (sqrt((1 - tr * tr) * (1 - pr * pr)) + 1e-10),
 )
 def explained_variance(spark, sf):
     c = _counts(spark, sf).withColumn("period", F.floor(F.col("bin") / 10))
-    r = co.pairwise(c, "bin", "n", keys=["period"])
+    r = co.pairwise_dense(c, "bin", "n", keys=["period"])
     when = lambda k: F.max(F.when(F.col("period") == k, F.col("r")))
     pairs = r.groupBy("unit", "unit2").agg(when(0).alias("pre"), when(1).alias("task"), when(2).alias("post"))
     return en.explained_variance(pairs).select(F.round("ev", 8).alias("ev"), F.round("rev", 8).alias("rev"))
