@@ -143,7 +143,7 @@ def identify(docs: DataFrame, held_out: Column, sample: int = SAMPLE) -> DataFra
     """
     held = F.coalesce(held_out, F.lit(True))
     text = F.col("text").cast("string")
-    train = docs.where(~held).select(text.alias("text"), F.col("lang").cast("string").alias("lang"), (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(1 << 30)) / (1 << 30)).alias("at"))
+    train = docs.where(~held).select(text.alias("text"), F.col("lang").cast("string").alias("lang"), (F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)).alias("at"))
     model = fit(train, sample)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
