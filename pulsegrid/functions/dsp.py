@@ -357,3 +357,38 @@ def hollow_prediction(cch: np.ndarray, width: int = 30, hollow: float = 0.6) ->
     k /= k.sum()
     pad = np.pad(cch, n // 2, mode="reflect") if n // 2 < len(cch) else np.pad(cch, n // 2, mode="wrap")
     return np.convolve(pad, k, "valid")
+
+
+def symmetric_acf(forward: np.ndarray, cut_peak: bool = True) -> np.ndarray:
+    """Both sides of an autocorrelation from its counts at positive lags; the value at zero is that of the first lag, or 0."""
+    forward = np.asarray(forward, float)
+    mid = 0.0 if cut_peak else (forward[0] if len(forward) else 0.0)
+    return np.r_[forward[::-1], mid, forward]
+
+
+def acf_power(acf: np.ndarray, norm: bool = True) -> np.ndarray:
+    """Half of the power spectrum of an autocorrelation, of unit area on request."""
+    p = np.abs(np.fft.fft(acf)) ** 2
+    p = p[: len(p) // 2]
+    area = np.trapezoid(p) if norm and len(p) else 1.0
+    return p / area if area else p
+
+
+def nonspatial_precession(phases: np.ndarray, width: float = 8 * np.pi, step: float = np.pi / 3, limits: tuple[float, float] = (0.65, 1.55), upsample: int = 4, sigma: float = 1.0) -> tuple[float, float]:
+    """Frequency of spiking relative to the rhythm, and its modulation, from unwrapped spike phases."""
+    phases = np.sort(np.asarray(phases, float))
+    n = int(round(width / step))
+    counts = np.zeros(n)
+    hi = np.searchsorted(phases, phases + n * step)
+    for i, j in enumerate(hi):
+        counts += np.bincount(np.minimum(((phases[i + 1 : j] - phases[i]) / step).astype(int), n - 1), minlength=n)[:n]
+    acf = symmetric_acf(counts)
+    acf = acf - acf.mean()
+    padded = np.r_[acf, np.zeros(len(acf) * (upsample - 1))]
+    power = smooth(acf_power(padded), sigma)
+    f = np.arange(len(power)) / len(padded) * (2 * np.pi / step)
+    keep = (f >= limits[0]) & (f <= limits[1])
+    if not keep.any() or not power[keep].any():
+        return float("nan"), float("nan")
+    top = int(np.argmax(power[keep]))
+    return float(f[keep][top]), float(power[keep][top] / power.mean() if power.mean() else np.nan)

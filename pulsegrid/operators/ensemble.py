@@ -246,3 +246,60 @@ def regression_scores(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(r2, rmse) in one pass."""
     e = F.col(truth) - F.col(predicted)
     return rows.agg((1 - F.try_divide(F.avg(e * e), F.var_pop(truth))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"))
+
+
+def cross_svd(z: DataFrame, groups: DataFrame, n_components: int | None = None, unit: str = "unit", index: str = "bin", value: str = "z") -> DataFrame:
+    """(component, unit, grp, weight, singular): singular vectors of the covariance between two groups of units (unit, grp)."""
+    units, m, _ = correlation_matrix(z, unit, index, value)
+    of = {r[unit]: r["grp"] for r in groups.select(unit, "grp").distinct().collect()}  # a row a unit, as the matrix has
+    names = sorted({of[u] for u in units})
+    if len(names) != 2:
+        raise ValueError("there must be exactly two groups")
+    a, b = ([i for i, u in enumerate(units) if of[u] == g] for g in names)
+    u, s, v = np.linalg.svd(m[np.ix_(a, b)], full_matrices=False)
+    k = len(s) if n_components is None else min(n_components, len(s))
+    rows = [(c, units[i], str(names[0]), float(u[j, c]), float(s[c])) for c in range(k) for j, i in enumerate(a)]
+    rows += [(c, units[i], str(names[1]), float(v[c, j]), float(s[c])) for c in range(k) for j, i in enumerate(b)]
+    return z.sparkSession.createDataFrame(rows, f"component int, {unit} {dict(z.dtypes)[unit]}, grp string, weight double, singular double")
+
+
+def best_pairs(similarity: np.ndarray) -> list[tuple[int, int]]:
+    """One-to-one pairs of rows and columns of a small matrix with the largest total (shortest augmenting paths)."""
+    flip = similarity.shape[0] > similarity.shape[1]
+    cost = -(similarity.T if flip else similarity)
+    n, m = cost.shape
+    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        low, used, way = np.full(m + 1, np.inf), np.zeros(m + 1, bool), np.zeros(m + 1, int)
+        while True:
+            used[j0] = True
+            free = np.flatnonzero(~used[1:]) + 1
+            cur = cost[match[j0] - 1, free - 1] - u[match[j0]] - v[free]
+            better = cur < low[free]
+            low[free[better]], way[free[better]] = cur[better], j0
+            j1 = free[np.argmin(low[free])]
+            d = low[j1]
+            u[match[used]] += d
+            v[used] -= d
+            low[~used] -= d
+            j0 = j1
+            if match[j0] == 0:
+                break
+        while j0:
+            match[j0] = match[way[j0]]
+            j0 = way[j0]
+    pairs = [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j]]
+    return sorted((b, a) if flip else (a, b) for a, b in pairs)
+
+
+def planted_assemblies(spark, members: Sequence[Sequence[int]], n_units: int = 10, n_bins: int = 1000, rate: float = 1.0, strength: float = 5.0, share: float = 0.05, seed: int = 42) -> DataFrame:
+    """(unit, bin, n): Poisson counts with groups of units that fire together in a share of the bins; made by the executors."""
+    u = spark.range(n_units).select(F.col("id").cast("int").alias("unit"))
+    x = spark.range(n_bins).select(F.col("id").cast("int").alias("bin")).withColumn("_k", F.lit(0)).join(F.broadcast(u.withColumn("_k", F.lit(0))), "_k").drop("_k")  # n_units rows
+    mean = F.lit(rate)
+    for k, group in enumerate(members):
+        on = F.pmod(F.xxhash64("bin", F.lit(k), F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+        mean = mean + F.when(F.col("unit").isin(list(group)) & on, strength * rate).otherwise(0.0)
+    spread = F.sqrt(mean) * F.randn(seed)
+    return x.select("unit", "bin", F.greatest(F.round(mean + spread), F.lit(0.0)).alias("n"))

@@ -207,3 +207,27 @@ def local_peaks(cells: DataFrame, unit: str = "unit", radius: int = 1) -> DataFr
     near = cells.select(unit, F.col("bx"), F.col("by"), F.col("rate").alias("_r")).withColumn("_dx", F.explode(d)).withColumn("_dy", F.explode(d))
     near = near.groupBy(unit, (F.col("bx") + F.col("_dx")).alias("bx"), (F.col("by") + F.col("_dy")).alias("by")).agg(F.max("_r").alias("_top"))
     return cells.join(near, [unit, "bx", "by"]).where((F.col("rate") >= F.col("_top")) & (F.col("rate") > 0)).drop("_top")
+
+
+def pass_on_unit_circle(rows: DataFrame, centre: tuple[float, float], edge: Column, keys: Sequence[str] = ("pass_id",), t: str = "t") -> DataFrame:
+    """Adds r, theta, and along, the position on the pass's mean direction: a field mapped on the unit circle.
+
+    ``edge`` is the distance from the centre to the field's edge in the
+    direction ``angle``, a column that is there when it is evaluated.
+    """
+    dx, dy = F.col("x") - centre[0], F.col("y") - centre[1]
+    x = rows.withColumn("angle", F.atan2(dy, dx)).withColumn("_d", F.hypot(dx, dy)).withColumn("r", F.least(F.try_divide("_d", edge), F.lit(1.0)))
+    w = Window.partitionBy(*keys).orderBy(t)
+    step_x, step_y = F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)
+    x = x.withColumn("_sx", step_x).withColumn("_sy", step_y)
+    m = x.groupBy(*keys).agg(F.atan2(F.sum("_sy"), F.sum("_sx")).alias("_dir"))
+    x = x.join(m, list(keys))
+    theta = F.col("angle") - F.col("_dir")
+    return x.withColumn("theta", F.atan2(F.sin(theta), F.cos(theta))).withColumn("along", F.col("r") * F.cos(theta)).drop("_d", "_sx", "_sy", "_dir")
+
+
+def edge_distances(cells: DataFrame, x0: float, y0: float, unit: str = "unit", sectors: int = 36) -> DataFrame:
+    """(unit, field, sector, distance): how far a field reaches from a centre, by direction."""
+    angle = F.pmod(F.atan2(F.col("by") - y0, F.col("bx") - x0), F.lit(6.283185307179586))
+    s = F.floor(angle / (6.283185307179586 / sectors)).cast("int")
+    return cells.where("field > 0").groupBy(unit, "field", s.alias("sector")).agg(F.max(F.hypot(F.col("bx") - x0, F.col("by") - y0)).alias("distance"))
