@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,7 +35,7 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
 _LETTERS, _NUMBERS = "".join(chr(c) for c in range(0x24F + 1) if chr(c).isalpha()), "".join(chr(c) for c in range(0x24F + 1) if chr(c).isnumeric())
 _PLAIN_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}ⱥⱦ]+|[{_NUMBERS}]|[^\s{_LETTERS}ⱥⱦ{_NUMBERS}]+")
 #: Distinct words that a worker remembers at once.
-REMEMBER = 500_000
+REMEMBER = 250_000
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -134,7 +135,7 @@ class TrieEncoder:
                 key = (left, token)
                 found = beside.get(key)
                 if found is None:
-                    if len(beside) > 1_000_000:
+                    if len(beside) > 300_000:
                         beside.clear()
                     found = beside[key] = self.fits(left, token)
                 if found:
@@ -219,19 +220,36 @@ def encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
+#: Characters of decoded text in a batch of results, about.
+RESULT = 4_000_000
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids and decoded text of every document.
 
     A null or empty text has no tokens and decodes to the empty text; repeated
-    rows each give a row; other columns are ignored.
+    rows each give a row; other columns are ignored. Results leave in batches
+    of bounded size, with the ids as one flat array.
     """
 
+    def pack(rows: list[tuple[int | None, int, str, str]]) -> pa.RecordBatch:
+        flat = np.fromstring(" ".join(r[2] for r in rows if r[2]), np.int32, sep=" ")
+        ends = np.cumsum([0, *(r[1] for r in rows)]).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), ids, pa.array([r[3] for r in rows], pa.string())], names=SCHEMA.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            got = list(enc.encoded(b.column(1).to_pylist()))
-            ids = [[int(i) for i in g[1].split()] for g in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())], schema=SCHEMA)
+            rows, size = [], 0
+            for d, got in zip(b.column(0).to_pylist(), enc.encoded(b.column(1).to_pylist()), strict=True):
+                rows.append((d, *got))
+                size += len(got[2])
+                if size > RESULT:
+                    yield pack(rows)
+                    rows, size = [], 0
+            if rows:
+                yield pack(rows)
 
     return keyed_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
