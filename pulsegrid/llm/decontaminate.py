@@ -4,14 +4,18 @@ Benchmark items are cut into passages of a few dozen words and weighted by
 TF-IDF, with document frequencies of the whole corpus. A randomised SVD of
 these passages, computed in distributed passes, gives the latent space. Each
 passage of each document is projected into it and compared with the benchmark
-passages by cosine. Candidates are then checked word by word: by the longest
-common subsequence of the item and the part of the text around the candidate,
-and by the item's answer, its last sentence.
-
-The cosine is the share of the whole passage vector, so words that no
+passages by cosine. A block has more passages than the space has directions, so
+the space holds each of them only in part and even a verbatim copy may be far
+from it there; the exact TF-IDF cosine, by posting lists of the benchmark's
+words, is taken too, and either one makes a candidate. Candidates are then
+checked word by word: by the longest common subsequence of the item and the
+part of the text around the candidate, and by the item's answer, its last
+sentence.
+
+The cosines are shares of the whole passage vector, so words that no
 benchmark item has count against a passage. The most that each word can add to
-any cosine is known beforehand; the sums of those bounds along a text pass over
-nearly all passages before any is projected, and lose none.
+any cosine of either kind is known beforehand; the sums of those bounds along a
+text pass over nearly all passages before any is compared, and lose none.
 
 The benchmark is broadcast in blocks of bounded size, one pass over the corpus
 for each block. The documents are never shuffled.
@@ -38,13 +42,15 @@ FEATURES = 1 << 17
 PASSAGE, ITEM_STEP, STEP = 24, 12, 6
 #: Rank of the latent space, at most, and the extra columns of the random projection.
 RANK, EXTRA, POWER = 192, 16, 2
-#: Least cosine of a candidate.
+#: Least cosine of a candidate, latent or exact.
 COSINE = 0.55
 #: An item is found if so much of it is there in order, or so much and its answer.
 LCS, LCS_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.9
 #: Items in a block: their passages and vectors stay below 100 MB.
 BLOCK_ITEMS = 5_000
 _CHUNK = 1 << 12
+#: Cells of a table of exact cosines, passages of a text x passages of the block.
+_CELLS = 1 << 20
 
 
 def terms(text: str | None) -> list[str]:
@@ -77,7 +83,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         df, n, codes = np.zeros(FEATURES, np.int64), 0, Codes()
         for b in batches:
             for t in b.column(0).to_pylist():
-                df[np.unique(codes.of(list(set(terms(t)))))] += 1
+                df[np.unique(codes.of(list(set(t.lower().split())) if t else []))] += 1
                 n += 1
         at = np.flatnonzero(df)
         yield from _blocks.pack((at // _CHUNK).astype(np.int32), [at.astype(np.int32), df[at]])
@@ -188,6 +194,10 @@ class Index:
     vectors: np.ndarray
     item: np.ndarray
     offset: np.ndarray
+    #: postings of each vocabulary word: from ``ptr``, the block's passages and the word's normalised weights there
+    ptr: np.ndarray
+    passage: np.ndarray
+    weight: np.ndarray
 
     def __post_init__(self):
         # the most that one occurrence of a word can add to x . v over all passages v
@@ -197,34 +207,57 @@ class Index:
             some = vocabulary[at : at + 4096]
             self.most[some] = np.abs(self.space[self.place[some]] @ self.vectors.T).max(axis=1, initial=0.0)
         self.most *= self.idf
+        # the same for the exact cosine
+        self.most_exact = np.zeros(len(self.place))
+        self.most_exact[vocabulary] = np.maximum.reduceat(self.weight, self.ptr[self.place[vocabulary]])
+        self.most_exact *= self.idf
+
+    def exact(self, row: np.ndarray, at: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """Products of n sparse vectors, as (row, vocabulary place, weight), with the block's passages."""
+        size = self.ptr[at + 1] - self.ptr[at]
+        ends = np.cumsum(size)
+        post = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.ptr[at] - (ends - size), size)
+        cell = np.repeat(row * len(self.item), size) + self.passage[post]
+        return np.bincount(cell, np.repeat(w, size) * self.weight[post], n * len(self.item)).reshape(n, -1)
 
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, float]]:
         """(item, start of the item in the text, cosine) of the passages of one text."""
         n = len(codes)
         if not n or not len(self.item):
             return []
-        gain, w2 = self.most[codes], self.idf[codes] ** 2
-        if not gain.any():
+        latent, exact, w2 = self.most[codes], self.most_exact[codes], self.idf[codes] ** 2
+        if not exact.any():  # no word of the text is in the vocabulary
             return []
         starts = np.arange(0, max(1, n - PASSAGE + 1), STEP)
         if n > PASSAGE and starts[-1] != n - PASSAGE:
             starts = np.r_[starts, n - PASSAGE]
         ends = np.minimum(starts + PASSAGE, n)
-        known, whole = np.r_[0, np.cumsum(gain)], np.r_[0, np.cumsum(w2)]
-        # an upper bound of the cosine with any passage: occurrences that count alone only shorten the vector
-        may = np.flatnonzero(known[ends] - known[starts] >= COSINE * (1 - 1e-6) * np.sqrt(whole[ends] - whole[starts]))
+        known, sparse, whole = (np.r_[0, np.cumsum(v)] for v in (latent, exact, w2))
+        # upper bounds of the cosines with any passage: occurrences that count alone only shorten the vector
+        least = COSINE * (1 - 1e-6) * np.sqrt(whole[ends] - whole[starts])
+        by_latent, by_exact = known[ends] - known[starts] >= least, sparse[ends] - sparse[starts] >= least
+        may = np.flatnonzero(by_latent | by_exact)
         out = []
-        for lo in range(0, len(may), 512):
-            some = may[lo : lo + 512]
+        step = max(1, min(512, _CELLS // len(self.item)))
+        for lo in range(0, len(may), step):
+            some = may[lo : lo + step]
             x = np.zeros((len(some), self.space.shape[1]), np.float32)
             norm = np.zeros(len(some))
+            row, place, weight = [], [], []
             for k, i in enumerate(some.tolist()):
                 f, c = np.unique(codes[starts[i] : ends[i]], return_counts=True)
                 w = c * self.idf[f]
                 norm[k] = np.sqrt((w * w).sum())
                 at = self.place[f]
-                x[k] = w[at >= 0] @ self.space[at[at >= 0]]
-            cos = (x @ self.vectors.T) / np.maximum(norm, 1e-12)[:, None]
+                w, at = w[at >= 0], at[at >= 0]
+                if by_latent[i]:
+                    x[k] = w @ self.space[at]
+                if by_exact[i]:
+                    row.append(np.full(len(at), k)), place.append(at), weight.append(w)
+            cos = (x @ self.vectors.T).astype(float)
+            if row:
+                cos = np.maximum(cos, self.exact(np.concatenate(row), np.concatenate(place), np.concatenate(weight), len(some)))
+            cos /= np.maximum(norm, 1e-12)[:, None]
             for k, j in zip(*np.nonzero(cos >= COSINE), strict=True):
                 out.append((int(self.item[j]), int(starts[some[k]]) - int(self.offset[j]), float(cos[k, j])))
         return out
@@ -271,7 +304,12 @@ def build(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Index | None:
     place[vocabulary] = np.arange(len(vocabulary))
     vectors = np.stack([w @ space[place[f]] for f, w in passages]).astype(np.float32)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    return Index([r[0] for r in rows], [terms(r[1]) for r in rows], [answer_of(r[1]) for r in rows], idf.astype(np.float32), place, space, vectors, np.array(item), np.array(offset))
+    at = np.concatenate([place[f] for f, _ in passages])
+    order = np.argsort(at, kind="stable")
+    passage = np.repeat(np.arange(len(passages)), [len(f) for f, _ in passages])[order]
+    weight = np.concatenate([w for _, w in passages])[order]
+    ptr = np.searchsorted(at[order], np.arange(len(vocabulary) + 1))
+    return Index([r[0] for r in rows], [terms(r[1]) for r in rows], [answer_of(r[1]) for r in rows], idf.astype(np.float32), place, space, vectors, np.array(item), np.array(offset), ptr, passage, weight)
 
 
 def _blocks_of(items: DataFrame, limit: int) -> list[DataFrame]:

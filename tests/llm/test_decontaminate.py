@@ -79,3 +79,30 @@ def test_paraphrases_and_recall_of_the_candidate_search(spark):
                     true += 1
                     found += index.item[j] in got
     assert true > 50 and found >= 0.9 * true
+
+
+def test_no_verbatim_copy_is_lost_where_passages_outnumber_the_rank(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    bench = [(r.item_id, r.text) for r in items.collect()]
+    assert sum(len(dc.cut(len(dc.terms(t)), dc.ITEM_STEP)) for _, t in bench) > dc.RANK
+    want = {(r.doc_id, i) for r in docs.collect() for i, t in bench if t in (r.text or "")}
+    got = {(r.doc_id, r.item_id) for r in dc.hits(docs, items).collect()}
+    assert len(want) > 200 and want <= got
+
+
+def test_thousands_of_items_in_one_production_block(spark):
+    rnd = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(4000)]
+    draw = lambda a, b: [rnd.choice(vocabulary) for _ in range(rnd.randint(a, b))]
+    bench = [(i, " ".join(draw(16, 60)) + ".") for i in range(3000)]
+    rows, want = [], set()
+    for d in range(200):
+        ws, i = draw(30, 200), rnd.randrange(3000)
+        at = rnd.randint(0, len(ws))
+        ws[at:at] = [w if d % 2 or rnd.random() > 0.12 else "changed" for w in bench[i][1].split()]
+        rows.append((d, " ".join(ws)))
+        want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in dc.hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert {(d, i) for d, i in want if d % 2} <= got and len(want & got) >= 0.95 * len(want)
+    assert got <= want
