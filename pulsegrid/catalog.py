@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,11 +11,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function (spark, sf_dir) as a query, with its equivalent in DuckDB's SQL."""
+def query(sql: str | None = None, whole: bool = False):
+    """Register a function (spark, sf_dir) as a query, with its equivalent in DuckDB's SQL.
+
+    ``whole``: the function's third argument ``part`` is a condition that keeps
+    the SQL's input small; the query over all rows is registered as ``whole_`` and
+    the name, without SQL.
+    """
 
     def add(f):
         _QUERIES[f.__name__] = f
+        if whole:
+            _QUERIES[f"whole_{f.__name__}"] = partial(f, part="true")
         if sql:
             _SQL[f.__name__] = sql
         return f

@@ -163,10 +163,11 @@ def autocorrelogram(spark, sf):
 @query(
     f"""WITH {EV}, v AS (SELECT * FROM ev WHERE unit < 20), c AS (SELECT a.unit, b.unit AS unit2, {_ACG}::INTEGER AS bin, count(*) AS n FROM v a JOIN v b ON a.unit < b.unit AND b.t BETWEEN a.t - 37800.0 AND a.t + 37800.0 WHERE {_ACG} BETWEEN 0 AND 20 GROUP BY ALL),
 s AS (SELECT unit, count(*) AS k FROM ev GROUP BY unit)
-SELECT unit, unit2, bin, (bin - 10) * 3600.0::DOUBLE AS lag, n, round(n / (k * 3600.0), 12) AS rate FROM c JOIN s USING (unit)"""
+SELECT unit, unit2, bin, (bin - 10) * 3600.0::DOUBLE AS lag, n, round(n / (k * 3600.0), 12) AS rate FROM c JOIN s USING (unit)""",
+    whole=True,
 )
-def cross_correlogram_pairs(spark, sf):
-    return co.correlogram(spikes(spark, sf).where("unit < 20"), 3600.0, 20, same=False).withColumn("rate", F.round("rate", 12))
+def cross_correlogram_pairs(spark, sf, part="unit < 20"):
+    return co.correlogram(spikes(spark, sf).where(part), 3600.0, 20, same=False).withColumn("rate", F.round("rate", 12))
 
 
 _COUNTS = f"""cnt AS (SELECT u.unit, i::INTEGER AS bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT unit FROM ev) u CROSS JOIN range(30) g(i) LEFT JOIN (SELECT unit, least(floor(t / {DAY}), 29)::INTEGER AS bin, count(*) AS n FROM ev WHERE t >= 0 AND t <= 30 * {DAY} GROUP BY ALL) c ON c.unit = u.unit AND c.bin = i)"""
@@ -199,10 +200,11 @@ def pairwise_spearman(spark, sf):
 
 @query(
     f"""WITH {EV}, {_COUNTS}, v AS (SELECT * FROM cnt WHERE unit < 30), p AS (SELECT unit, sum(n * n) AS p FROM v GROUP BY unit)
-SELECT a.unit, b.unit AS unit2, (b.bin - a.bin) AS lag, round(sum(a.n * b.n) / sqrt(any_value(pa.p) * any_value(pb.p)::DOUBLE), 9) AS r FROM v a JOIN v b ON a.unit < b.unit AND abs(b.bin - a.bin) <= 5 JOIN p pa ON pa.unit = a.unit JOIN p pb ON pb.unit = b.unit GROUP BY ALL"""
+SELECT a.unit, b.unit AS unit2, (b.bin - a.bin) AS lag, round(sum(a.n * b.n) / sqrt(any_value(pa.p) * any_value(pb.p)::DOUBLE), 9) AS r FROM v a JOIN v b ON a.unit < b.unit AND abs(b.bin - a.bin) <= 5 JOIN p pa ON pa.unit = a.unit JOIN p pb ON pb.unit = b.unit GROUP BY ALL""",
+    whole=True,
 )
-def cross_correlation_lags(spark, sf):
-    return co.cross_correlation(_counts(spark, sf).where("unit < 30"), "bin", "n", 5).withColumn("r", F.round("r", 9))
+def cross_correlation_lags(spark, sf, part="unit < 30"):
+    return co.cross_correlation(_counts(spark, sf).where(part), "bin", "n", 5).withColumn("r", F.round("r", 9))
 
 
 @query(
