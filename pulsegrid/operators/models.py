@@ -57,22 +57,20 @@ def reduced_rank(rows: DataFrame, xs: Sequence[str], ys: Sequence[str], rank: in
 
 @dataclass
 class KernelReducedRank:
-    """Kernel ridge of a reduced rank on at most ``most`` training rows, a documented bound: the kernel has their square."""
+    """Kernel ridge of a reduced rank; the kernel is linear, so the Gram matrices of all rows give its solution."""
 
     xs: list[str]
     ys: list[str]
     rank: int
     reg: float = 1.0
-    most: int = 4000
 
     def fit(self, rows: DataFrame) -> "KernelReducedRank":
-        some = rows.dropna(subset=[*self.xs, *self.ys]).orderBy(F.xxhash64(*self.xs)).limit(self.most).select(*self.xs, *self.ys).toPandas()
-        x, y = some[self.xs].to_numpy(float), some[self.ys].to_numpy(float)
-        k = x @ x.T
-        alpha = np.linalg.solve(k + self.reg * np.eye(len(k)), y)
-        _, _, v = np.linalg.svd(k @ alpha, full_matrices=False)
-        # a linear kernel: the weights over rows give weights over columns
-        self.model = Linear(self.xs, self.ys, x.T @ alpha @ v[: self.rank].T @ v[: self.rank])
+        xx, xy, _, _ = gram(rows, self.xs, self.ys)
+        full = np.linalg.solve(xx + self.reg * np.eye(len(xx)), xy)
+        # right singular vectors of the fitted values, from their own Gram matrix
+        _, v = np.linalg.eigh(full.T @ xx @ full)
+        v = v[:, ::-1][:, : self.rank]
+        self.model = Linear(self.xs, self.ys, full @ v @ v.T)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:

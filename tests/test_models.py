@@ -63,3 +63,14 @@ def test_correlogram_tests(spark):
     auto = spark.createDataFrame([(0, 5, 10)], "unit int, bin int, n long")
     r = {x.bin: x.rate for x in co.deconvolved(counts, auto).collect()}
     assert abs(r[5] - 0.3) < 1e-9 and r[0] == 0
+
+
+def test_kernel_reduced_rank_learns_from_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 3))
+    y = x @ rng.standard_normal((3, 2)) + rng.standard_normal((6000, 2))
+    rows = spark.createDataFrame(np.c_[x, y].tolist() + [[None, 0.0, 0.0, 1.0, 1.0]], "a double, b double, c double, y double, z double")
+    got = models.KernelReducedRank(["a", "b", "c"], ["y", "z"], 1, 2.0).fit(rows).model.weights
+    full = np.linalg.solve(x.T @ x + 2.0 * np.eye(3), x.T @ y)
+    v = np.linalg.svd(x @ full, full_matrices=False)[2][:1]
+    assert np.abs(got - full @ v.T @ v).max() < 1e-9
