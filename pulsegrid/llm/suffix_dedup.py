@@ -1,14 +1,11 @@
-"""Removal of byte strings that occur earlier, by bucket-pointer refinement.
-
-All text positions fall into buckets by an initial gram of the string that
-starts or lies there (:mod:`._repeats` elects one gram for each run of
-neighbouring positions). A bucket is refined by the identifiers of the
-positions that follow: the identity of a run is the identifier of all offsets
-up to the end of its last string, so runs with one identity share the bucket at
-every later offset and are done at once. Buckets that hold one identity need no
-refinement. The others are opened, and their positions are sorted by the
-identifier of the full string, which settles every position of a 100-byte
-string, overlaps included.
+"""Removal of byte strings that occur earlier, by hashed minimiser groups.
+
+This takes the place of bucket-pointer refinement: no position has a bucket
+identifier and no bucket is refined in rounds. Neighbouring 100-byte strings
+that elect one gram form a group (:mod:`._repeats`); groups meet by a hash of
+the gram and are compared by a hash of all bytes they span. Where a bucket has
+several such hashes, the first group of each is opened and its strings are
+compared by hashes of the full string, overlaps included.
 """
 
 from __future__ import annotations
