@@ -29,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import _blocks
-from ._common import keyed_text, staged
+from ._common import keyed_text, mix64, staged
 
 #: What is taken off both ends of a word.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚–—…¿¡·|"
@@ -49,6 +50,8 @@ LCS, LCS_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.9
 #: Items in a block: their passages and vectors stay below 100 MB.
 BLOCK_ITEMS = 5_000
 _CHUNK = 1 << 12
+#: Bytes of text that are cut into words at once.
+_SLICE = 1 << 21
 #: Cells of a table of exact cosines, passages of a text x passages of the block.
 _CELLS = 1 << 20
 
@@ -58,21 +61,68 @@ def terms(text: str | None) -> list[str]:
     return [s for w in text.lower().split() if (s := w.strip(_MARKS))] if text else []
 
 
-class Codes:
-    """Feature numbers of white-space pieces, as of their words; distinct pieces are hashed once."""
+def _powers(base: int) -> np.ndarray:
+    out = np.full(2 * _SLICE, base & (1 << 64) - 1, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_UP, _DOWN = [], []
+
+
+def _hash_words(words: pa.Array) -> np.ndarray:
+    """Feature numbers of words by a polynomial hash over their bytes, modulo 2^64; -1 for empty words."""
+    if not _UP:
+        _UP.append(_powers(_BASE)), _DOWN.append(_powers(pow(_BASE, -1, 1 << 64)))
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+    out = np.empty(len(words), np.int64)
+    lo = 0
+    while lo < len(words):  # pieces that the table of powers covers; a longer word is hashed by itself
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + 2 * _SLICE, "right")) - 1)
+        at = ends[lo : hi + 1] - ends[lo]
+        piece = data[ends[lo] : ends[hi]]
+        if len(piece) > 2 * _SLICE:
+            out[lo] = xxhash.xxh64_intdigest(piece.tobytes()) % FEATURES
+        else:
+            prefix = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * _UP[0][: len(piece)], out=prefix[1:])
+            h = (prefix[at[1:]] - prefix[at[:-1]]) * _DOWN[0][np.minimum(at[:-1], 2 * _SLICE - 1)]
+            out[lo:hi] = (mix64(h) >> np.uint64(40)).astype(np.int64) % FEATURES
+        lo = hi
+    out[ends[1:] == ends[:-1]] = -1
+    return out
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all words of some texts, and where each text's words begin and end (len + 1 numbers).
+
+    The words are those of ``terms``, one by one; lower case is Arrow's, which
+    differs from Python's only in the feature that a word falls on.
+    """
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.string())))
+    words = pc.utf8_trim(lists.flatten(), _MARKS)
+    codes = _hash_words(words)
+    bounds = np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64)
+    real = codes >= 0
+    return codes[real], np.r_[0, np.cumsum(real)][bounds]
+
+
+def codes_of(text: str | None) -> np.ndarray:
+    """Feature numbers of the words of one text."""
+    return coded(pa.array([text], pa.string()))[0]
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
 
-    def of(self, ws: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        for w in set(ws).difference(known):
-            s = w.strip(_MARKS)
-            known[w] = xxhash.xxh64_intdigest(s.encode("utf-8", "replace")) % FEATURES if s else -1
-        codes = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-        return codes[codes >= 0] if len(codes) and codes.min() < 0 else codes
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of at most _SLICE bytes of text."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _SLICE, "right")))
+            yield b.slice(at, to - at)
+            at = to
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -80,11 +130,13 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     n_parts = FEATURES // _CHUNK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, codes = np.zeros(FEATURES, np.int64), 0, Codes()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                df[np.unique(codes.of(list(set(t.lower().split())) if t else []))] += 1
-                n += 1
+        df, n = np.zeros(FEATURES, np.int64), 0
+        for b in _slices(batches, 0):
+            codes, bounds = coded(b.column(0))
+            held = np.repeat(np.arange(b.num_rows) * FEATURES, np.diff(bounds)) + codes
+            held = np.sort(held.astype(np.int32) if b.num_rows * FEATURES < 1 << 31 else held)
+            df += np.bincount(held[np.r_[len(held) > 0, held[1:] != held[:-1]][: len(held)]] % FEATURES, minlength=FEATURES)
+            n += b.num_rows
         at = np.flatnonzero(df)
         yield from _blocks.pack((at // _CHUNK).astype(np.int32), [at.astype(np.int32), df[at]])
         yield from _blocks.pack(np.zeros(1, np.int32), [np.array([-1], np.int32), np.array([n])])
@@ -111,9 +163,9 @@ def cut(n: int, step: int) -> list[int]:
 
 def _rows(texts: list[str | None], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Normalised sparse passage vectors of some items."""
-    codes, out = Codes(), []
+    out = []
     for t in texts:
-        c = codes.of(terms(t))
+        c = codes_of(t)
         for s in cut(len(c), ITEM_STEP) if len(c) else ():
             f, n = np.unique(c[s : s + PASSAGE], return_counts=True)
             w = n * idf[f]
@@ -186,6 +238,8 @@ class Index:
     """A block of benchmark items with their passages in the latent space."""
 
     ids: list[int]
+    #: rows of the benchmark that are equal to each item
+    times: list[int]
     words: list[list[str]]
     answers: list[list[str]]
     idf: np.ndarray
@@ -211,6 +265,7 @@ class Index:
         self.most_exact = np.zeros(len(self.place))
         self.most_exact[vocabulary] = np.maximum.reduceat(self.weight, self.ptr[self.place[vocabulary]])
         self.most_exact *= self.idf
+        self.idf2 = self.idf.astype(np.float64) ** 2
 
     def exact(self, row: np.ndarray, at: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
         """Products of n sparse vectors, as (row, vocabulary place, weight), with the block's passages."""
@@ -222,83 +277,98 @@ class Index:
 
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, float]]:
         """(item, start of the item in the text, cosine) of the passages of one text."""
-        n = len(codes)
-        if not n or not len(self.item):
-            return []
-        latent, exact, w2 = self.most[codes], self.most_exact[codes], self.idf[codes] ** 2
-        if not exact.any():  # no word of the text is in the vocabulary
+        return [c[1:] for c in self.candidates_of(codes, np.array([0, len(codes)]))]
+
+    def candidates_of(self, codes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(text, item, start of the item in the text, cosine) of the passages of some texts, as ``coded`` gives them."""
+        if not len(codes) or not len(self.item):
             return []
-        starts = np.arange(0, max(1, n - PASSAGE + 1), STEP)
-        if n > PASSAGE and starts[-1] != n - PASSAGE:
-            starts = np.r_[starts, n - PASSAGE]
-        ends = np.minimum(starts + PASSAGE, n)
-        known, sparse, whole = (np.r_[0, np.cumsum(v)] for v in (latent, exact, w2))
+        # passages of all texts, as places in codes; the last one of a text ends with it
+        n = np.diff(bounds)
+        count = np.where(n > PASSAGE, -(-(n - PASSAGE) // STEP) + 1, (n > 0).astype(np.int64))
+        row = np.repeat(np.arange(len(n)), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        starts = bounds[row] + np.minimum(step * STEP, np.maximum(n[row] - PASSAGE, 0))
+        ends = np.minimum(starts + PASSAGE, bounds[row + 1])
         # upper bounds of the cosines with any passage: occurrences that count alone only shorten the vector
-        least = COSINE * (1 - 1e-6) * np.sqrt(whole[ends] - whole[starts])
+        sums = lambda v: np.r_[0, np.cumsum(v, dtype=np.float64)]
+        known, sparse, whole = sums(self.most[codes]), sums(self.most_exact[codes]), sums(self.idf2[codes])
+        least = COSINE * (1 - 1e-6) * np.sqrt(np.maximum(whole[ends] - whole[starts], 0)) - 1e-6
         by_latent, by_exact = known[ends] - known[starts] >= least, sparse[ends] - sparse[starts] >= least
         may = np.flatnonzero(by_latent | by_exact)
         out = []
-        step = max(1, min(512, _CELLS // len(self.item)))
-        for lo in range(0, len(may), step):
-            some = may[lo : lo + step]
-            x = np.zeros((len(some), self.space.shape[1]), np.float32)
-            norm = np.zeros(len(some))
-            row, place, weight = [], [], []
-            for k, i in enumerate(some.tolist()):
-                f, c = np.unique(codes[starts[i] : ends[i]], return_counts=True)
-                w = c * self.idf[f]
-                norm[k] = np.sqrt((w * w).sum())
-                at = self.place[f]
-                w, at = w[at >= 0], at[at >= 0]
-                if by_latent[i]:
-                    x[k] = w @ self.space[at]
-                if by_exact[i]:
-                    row.append(np.full(len(at), k)), place.append(at), weight.append(w)
-            cos = (x @ self.vectors.T).astype(float)
-            if row:
-                cos = np.maximum(cos, self.exact(np.concatenate(row), np.concatenate(place), np.concatenate(weight), len(some)))
-            cos /= np.maximum(norm, 1e-12)[:, None]
-            for k, j in zip(*np.nonzero(cos >= COSINE), strict=True):
-                out.append((int(self.item[j]), int(starts[some[k]]) - int(self.offset[j]), float(cos[k, j])))
+        size = max(1, min(4096, _CELLS // len(self.item)))
+        for lo in range(0, len(may), size):
+            some = may[lo : lo + size]
+            out += self._compared(codes, row[some], starts[some], ends[some], bounds)
         return out
 
-    def hits(self, text: str | None, codes: np.ndarray) -> list[tuple[int, float, float, float]]:
-        """(item id, best cosine, LCS share, answer share) of the items that the text with these codes holds."""
-        by_item: dict[int, list[tuple[int, float]]] = {}
-        for i, s, c in self.candidates(codes):
-            by_item.setdefault(i, []).append((s, c))
-        ws = terms(text) if by_item else []
+    def _compared(self, codes, row, starts, ends, bounds) -> list[tuple[int, int, int, float]]:
+        """The candidates among some passages."""
+        m = len(starts)
+        # sparse TF-IDF vectors: (passage, feature) with their counts
+        lens = ends - starts
+        who = np.repeat(np.arange(m), lens)
+        at = np.arange(len(who)) - np.repeat(np.cumsum(lens) - lens, lens) + starts[who]
+        key, times = np.unique(who * FEATURES + codes[at], return_counts=True)
+        who, f = key // FEATURES, key % FEATURES
+        w = times * self.idf[f]
+        norm = np.sqrt(np.bincount(who, w * w, m))
+        in_block = self.place[f] >= 0
+        who, at, w = who[in_block], self.place[f[in_block]], w[in_block]
+        # no cosine of either kind is above the share that the block's words have of the vector
+        share = np.sqrt(np.bincount(who, w * w, m)) >= COSINE * (1 - 1e-6) * norm
+        if not share.any():
+            return []
+        keep = share[who]
+        number = np.cumsum(share) - 1
+        who, at, w = number[who[keep]], at[keep], w[keep].astype(np.float32)
+        row, starts, norm, m = row[share], starts[share], norm[share], int(share.sum())
+        first = np.flatnonzero(np.r_[True, np.diff(who) != 0])  # each has a word: its share is above zero
+        x = np.add.reduceat(self.space[at] * w[:, None], first, axis=0)
+        cos = np.maximum((x @ self.vectors.T).astype(float), self.exact(who, at, w, m))
+        cos /= np.maximum(norm, 1e-12)[:, None]
+        k, j = np.nonzero(cos >= COSINE)
+        begin = starts[k] - bounds[row[k]] - self.offset[j]
+        return list(zip(row[k].tolist(), self.item[j].tolist(), begin.tolist(), cos[k, j].tolist(), strict=True))
+
+    def hits(self, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
+        """(text, item id, best cosine, LCS share, answer share) of the items that some texts hold."""
+        held: dict[int, dict[int, list[tuple[float, int]]]] = {}
+        for d, i, s, c in self.candidates_of(*coded(texts)):
+            held.setdefault(d, {}).setdefault(i, []).append((c, s))
         out = []
-        for i, found in sorted(by_item.items()):
-            item, best, size = self.words[i], (0.0, 0.0), len(self.words[i])
-            seen: set[int] = set()
-            for s, _ in found:
-                if s // (2 * STEP) in seen:
-                    continue
-                seen.add(s // (2 * STEP))
-                around = ws[max(0, s - PASSAGE) : max(0, s) + size + PASSAGE]
-                share = lcs(item, around) / size
-                if share > best[0] or not best[0]:
-                    best = max(best, (share, lcs(self.answers[i], around) / max(1, len(self.answers[i]))))
-            if best[0] >= LCS or (best[0] >= LCS_WITH_ANSWER and best[1] >= ANSWER):
-                out.append((self.ids[i], max(c for _, c in found), *best))
+        for d, by_item in sorted(held.items()):
+            ws = terms(texts[d].as_py())
+            for i, found in sorted(by_item.items()):
+                item, best, size = self.words[i], (0.0, 0.0), len(self.words[i])
+                seen: set[int] = set()
+                for _, s in sorted(found, key=lambda v: (-v[0], v[1])):  # the best cosine speaks for its place
+                    if s // (2 * STEP) in seen:
+                        continue
+                    seen.add(s // (2 * STEP))
+                    around = ws[max(0, s - PASSAGE) : max(0, s) + size + PASSAGE]
+                    share = lcs(item, around) / size
+                    if share > best[0] or not best[0]:
+                        best = max(best, (share, lcs(self.answers[i], around) / max(1, len(self.answers[i]))))
+                if best[0] >= LCS or (best[0] >= LCS_WITH_ANSWER and best[1] >= ANSWER):
+                    out += [(d, self.ids[i], max(c for c, _ in found), *best)] * self.times[i]
         return out
 
 
 def build(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Index | None:
     """Index of a block of items (item_id, text); None if no item has a word."""
-    rows = [(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()]  # BLOCK_ITEMS, about
+    rows = [(r["item_id"], r["text"], r["times"]) for r in _distinct(items).collect()]  # BLOCK_ITEMS, about
     rows = sorted((r for r in rows if terms(r[1])), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     if not rows:
         return None
-    codes = Codes()
     item, offset, passages = [], [], []
-    for k, (_, t) in enumerate(rows):
+    for k, (_, t, _) in enumerate(rows):
         n = len(terms(t))
         for s in cut(n, ITEM_STEP):
             item.append(k), offset.append(s)
         passages += _rows([t], idf)
-    vocabulary = np.unique(np.concatenate([codes.of(terms(t)) for _, t in rows]))
+    vocabulary = np.unique(np.concatenate([codes_of(r[1]) for r in rows]))
     space = latent_space(items.where("text is not null"), idf, vocabulary, rank)
     place = np.full(FEATURES, -1, np.int64)
     place[vocabulary] = np.arange(len(vocabulary))
@@ -309,11 +379,19 @@ def build(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Index | None:
     passage = np.repeat(np.arange(len(passages)), [len(f) for f, _ in passages])[order]
     weight = np.concatenate([w for _, w in passages])[order]
     ptr = np.searchsorted(at[order], np.arange(len(vocabulary) + 1))
-    return Index([r[0] for r in rows], [terms(r[1]) for r in rows], [answer_of(r[1]) for r in rows], idf.astype(np.float32), place, space, vectors, np.array(item), np.array(offset), ptr, passage, weight)
+    return Index([r[0] for r in rows], [r[2] for r in rows], [terms(r[1]) for r in rows], [answer_of(r[1]) for r in rows], idf.astype(np.float32), place, space, vectors, np.array(item), np.array(offset), ptr, passage, weight)
+
+
+def _distinct(items: DataFrame) -> DataFrame:
+    """Each item once, with the number of its rows."""
+    if "times" in items.columns:
+        return items
+    return items.select("item_id", "text").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
 
 
 def _blocks_of(items: DataFrame, limit: int) -> list[DataFrame]:
-    """The items in blocks of about ``limit``, split by a hash."""
+    """The distinct items in blocks of about ``limit``, split by a hash."""
+    items = _distinct(items)
     n = -(-items.count() // limit)
     at = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, n)))
     return [items.where(at == k) for k in range(n)] if n > 1 else [items] * n
@@ -341,13 +419,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS)
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, codes = shared.value, Codes()
-            for b in batches:
-                found = []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    found += [(d, *h) for h in index.hits(t, codes.of((t or "").lower().split()))]
+            index = shared.value
+            for b in _slices(batches, 1):
+                found = index.hits(b.column(1))
                 cols = list(zip(*found, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                ids = b.column(0).take(pa.array(cols[0], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(cols[1:], list(schema)[1:], strict=True))], schema=schema)
 
         got = keyed_text(docs).mapInArrow(run, ddl)
         out = got if out is None else out.unionByName(got)

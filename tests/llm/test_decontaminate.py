@@ -63,10 +63,10 @@ def test_paraphrases_and_recall_of_the_candidate_search(spark):
     idf = np.log((1 + n) / (1 + df)) + 0.1
     index = dc.build(items, idf)
     exact = dc._rows([t for _, t in bench], idf)
-    codes = dc.Codes()
     true = found = 0
     for d, t, _ in rows[:150]:
-        c = codes.of(dc.terms(t))
+        c = dc.codes_of(t)
+        assert len(c) == len(dc.terms(t))
         got = {(i) for i, _, _ in index.candidates(c)}
         for s in range(0, max(1, len(c) - dc.PASSAGE + 1), dc.STEP):
             f, k = np.unique(c[s : s + dc.PASSAGE], return_counts=True)
