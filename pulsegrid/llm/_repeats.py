@@ -12,12 +12,14 @@ corpus, so windows travel in groups:
    as a whole. In a bucket of one identity there is nothing else to find. In
    a bucket of several identities the first group of each is opened:
    its windows are hashed one by one.
-3. Opened windows meet by hash, and all but the first repeat.
+3. A task puts equal windows of what it opened together (words by hash, bytes by
+   refining buckets of bytes, :mod:`._buckets`) and sends each window once.
+   Windows of all tasks meet by hash, and all but the first repeat.
 
 So what is unique sends a record for each group, long repeats send one mark
 for each group, and only the edges of repeats are looked at window by window.
 Hashes of bucket and identity, and the two hashes of an opened window, are
-independent: a group rests on 128 bits, a window on 96.
+independent: a group rests on 128 bits, a window on 96 or 128.
 
 A map task sends a bucket and identity once, and opens its own groups where it
 sees that a bucket has several identities, so a passage that a third of all
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +39,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import _blocks
+from ._buckets import refined
 from ._common import keyed_text, mix64, staged
 
 #: Kinds of blocks.
-GROUP, OLD_GROUP, WINDOW, OLD_WINDOW, MARK, OPEN, TEXT, RUN, WINDOW_RUN = range(9)
-GROUP_T = (np.uint64, np.uint64, np.int64, np.uint16, np.uint32, np.uint32)  # bucket, identity, doc, tag, start, windows
-WINDOW_T = (np.uint64, np.uint32, np.int64, np.uint16, np.uint32)  # two hashes, doc, tag, start
-MARK_T = (np.int64, np.uint16, np.uint32, np.uint32)  # doc, tag, start, windows
+GROUP, OLD_GROUP, WINDOW, OLD_WINDOW, MARK, OPEN, TEXT, RUN, WINDOW_RUN, OLD_OPEN, OLD_TEXT, OPENED = range(12)
+GROUP_T = (np.uint64, np.uint64, np.int64, np.uint32, np.uint32, np.uint32)  # bucket, identity, doc, tag, start, windows
+PLACE_T = (np.int64, np.uint32, np.uint32)  # doc, tag, start: of a window, after its two hashes
+MARK_T = (np.int64, np.uint32, np.uint32, np.uint32)  # doc, tag, start, windows
 #: Symbols that are hashed at once; longer documents go in overlapping pieces.
 PIECE = 1 << 18
 #: Bytes of text whose words or bytes a task holds at once; a longer text stands alone.
@@ -50,8 +54,8 @@ SLICE = 8 << 20
 #: Opened windows that a task holds before it sends them.
 MOST_WINDOWS = 500_000
 _POS = np.uint64((1 << 21) - 1)
-#: Stands for a null doc_id, which sorts last.
-NO_ID = np.iinfo(np.int64).max
+#: Rows without a doc_id sort last, by 55 bits of their text's hash; the top bit of their tag tells them.
+NO_ID, NO_ID_BITS, NO_ID_TAG = np.iinfo(np.int64).max, (1 << 55) - 1, 1 << 31
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -87,6 +91,9 @@ def hashers() -> list[Hasher]:
 class Bytes:
     """UTF-8 bytes as symbols."""
 
+    #: Hashes of a window: of its first and of its last bytes, which together are all of it.
+    NAMES = (np.uint64, np.uint64)
+
     def __init__(self, window: int = 100, gram: int = 36):
         self.window, self.gram = window, gram
         self.table = [mix64(np.arange(1, 257, dtype=np.uint64) + np.uint64(s << 32)) for s in (7, 11)]
@@ -106,11 +113,46 @@ class Bytes:
     def kept(self, symbols: np.ndarray, gone: np.ndarray) -> bytes:
         return symbols[~gone].tobytes()
 
+    def alike(self, spans: list[np.ndarray], lens: np.ndarray) -> tuple[tuple[np.ndarray, ...], Callable]:
+        """Keys that are equal for equal windows of the spans, and the hashes of some windows.
+
+        The keys are pointers of refined buckets. What meets from several tasks
+        are buckets of the greatest power of two below the window, named by a
+        hash, and of those the part that has the same bucket where the window's
+        last such string begins.
+        """
+        data = self.concat(spans)
+        at, pointer = refined(data, lens, self.window)
+        depth = 1 << max((self.window - 1).bit_length() - 1, 0)
+
+        def names(some: np.ndarray) -> tuple[np.ndarray, ...]:
+            h1 = hashers()[0]
+            head, last = np.zeros(len(some), np.uint64), np.zeros(len(some), np.uint64)
+            # by pieces that the table of powers covers
+            up = np.argsort(at[some])
+            p = at[some][up]
+            cut = np.flatnonzero(np.diff(p // (2 * PIECE))) + 1
+            for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(p)], strict=True):
+                if lo == hi:
+                    continue
+                begin = int(p[lo])
+                q = p[lo:hi] - begin
+                codes = self.table[0][data[begin : begin + int(q[-1]) + self.window]]
+                prefix = h1.prefix(codes)
+                head[up[lo:hi]] = mix64(h1.spans(prefix, q, q + depth))
+                q = q + self.window - depth
+                last[up[lo:hi]] = mix64(h1.spans(prefix, q, q + depth))
+            return head, last
+
+        return (pointer,), names
+
 
 class Words:
     """Words as symbols."""
 
     RULE = re.compile(rb"[^\x20\x09-\x0D]+")
+    #: Two hashes of a window.
+    NAMES = (np.uint64, np.uint32)
 
     def __init__(self, window: int = 20, gram: int = 6):
         self.window, self.gram = window, gram
@@ -138,6 +180,23 @@ class Words:
     def kept(self, symbols: list[bytes], gone: np.ndarray) -> bytes:
         return b" ".join([w for w, g in zip(symbols, gone.tolist(), strict=True) if not g]) if gone.any() else b" ".join(symbols)
 
+    def alike(self, spans: list[list[bytes]], lens: np.ndarray) -> tuple[tuple[np.ndarray, ...], Callable]:
+        """Keys that are equal for equal windows of the spans, and the hashes of some windows: the same."""
+        W = self.window
+        h1, h2 = hashers()
+        out = []
+        cut = np.flatnonzero(np.diff(np.cumsum(lens) // PIECE)) + 1
+        for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(lens)], strict=True):
+            if lo == hi:
+                continue
+            c1, c2 = self.codes(self.concat(spans[lo:hi]))
+            p1, p2 = h1.prefix(c1), h2.prefix(c2)
+            n = lens[lo:hi] - W + 1
+            p = np.repeat(np.cumsum(lens[lo:hi]) - lens[lo:hi], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out.append((mix64(h1.spans(p1, p, p + W)), (mix64(h2.spans(p2, p, p + W)) >> np.uint64(32)).astype(np.uint32)))
+        a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+        return (a, b), lambda some: (a[some], b[some])
+
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     span = 1
@@ -198,25 +257,32 @@ def groups(kind, symbols: list) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else _groups(kind, [], np.zeros(0))
 
 
-def opened(kind, symbols: list, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows of some groups: index of the document, start, two hashes."""
-    out = []
-    W = kind.window
-    h1, h2 = hashers()
-    lens = count.astype(np.int64) + W - 1
-    cut = np.flatnonzero(np.diff(np.cumsum(lens) // PIECE)) + 1
-    for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(doc)], strict=True):
+@dataclass
+class Opened:
+    """Runs of neighbouring windows that have been opened: where they are, and the symbols that they span."""
+
+    doc: np.ndarray
+    tag: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    spans: list
+
+
+def opened(kind, symbols, ids, tags, doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> Iterator[Opened]:
+    """The windows of some groups of documents; groups that touch go together, up to MOST_WINDOWS a time."""
+    order = np.lexsort((start, doc))
+    doc, start, count = doc[order], start[order].astype(np.int64), count[order].astype(np.int64)
+    before = np.cumsum(count) - count
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1]) | (np.diff(before // max(1, PIECE // 2)) != 0)]
+    first = np.flatnonzero(new)
+    doc, start, count = doc[first], start[first], np.add.reduceat(count, first)
+    cut = np.flatnonzero(np.diff(np.cumsum(count) // MOST_WINDOWS)) + 1
+    for lo, hi in zip(np.r_[0, cut].tolist(), np.r_[cut, len(doc)].tolist(), strict=True):
         if lo == hi:
             continue
-        spans = [kind.take(symbols[d], s, s + n) for d, s, n in zip(doc[lo:hi].tolist(), start[lo:hi].tolist(), lens[lo:hi].tolist(), strict=True)]
-        c1, c2 = kind.codes(kind.concat(spans))
-        p1, p2 = h1.prefix(c1), h2.prefix(c2)
-        n = count[lo:hi].astype(np.int64)
-        base = np.cumsum(lens[lo:hi]) - lens[lo:hi]
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        p = np.repeat(base, n) + step
-        out.append((np.repeat(doc[lo:hi], n), np.repeat(start[lo:hi], n) + step, mix64(h1.spans(p1, p, p + W)), mix64(h2.spans(p2, p, p + W))))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        d, s, n = doc[lo:hi], start[lo:hi], count[lo:hi]
+        spans = [kind.take(symbols[i], a, b) for i, a, b in zip(d.tolist(), s.tolist(), (s + n + kind.window - 1).tolist(), strict=True)]
+        yield Opened(ids[d], tags[d], s, n, spans)
 
 
 def _part(x: np.ndarray, n_parts: int) -> np.ndarray:
@@ -229,14 +295,15 @@ def _marks(doc, tag, start, n, n_parts: int, kind: int = MARK) -> Iterator[pa.Re
     yield from _blocks.pack(_part(cols[0], n_parts), cols, kind)
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def _read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Ids, tags (a digest that tells rows of one id apart) and texts of a batch."""
     texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-    return _ids(b.column(0)), np.array([xxhash.xxh32_intdigest(t) & 0xFFFF for t in texts], np.uint16), texts
+    digest = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
+    none = b.column(0).is_null().to_numpy(zero_copy_only=False).astype(bool)
+    ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    far = NO_ID - ((digest >> np.uint64(9)) & np.uint64(NO_ID_BITS)).astype(np.int64)
+    tags = (digest & np.uint64(NO_ID_TAG - 1)).astype(np.uint32) | np.where(none, np.uint32(NO_ID_TAG), np.uint32(0))
+    return np.where(none, far, ids), tags, texts
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,26 +328,31 @@ def _first(order_by: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tu
     return order, new
 
 
-def _windows(kind, symbols: list, ids, tags, doc, start, count) -> tuple[np.ndarray, ...]:
-    """Windows of some groups as columns: doc, tag, start, two hashes."""
-    d, s, a, b = opened(kind, symbols, doc, start, count)
-    return ids[d], tags[d], s, a, (b >> np.uint64(32)).astype(np.uint32)
-
+def _emit_windows(kind, made: list[Opened], n_parts: int, as_kind: int = WINDOW) -> Iterator[pa.RecordBatch]:
+    """Each window once, in document order, and marks of the windows that repeat here.
 
-def _emit_windows(made: list[tuple[np.ndarray, ...]], n_parts: int) -> Iterator[pa.RecordBatch]:
-    """Each pair of hashes once, in document order, and marks of the windows that repeat here."""
+    As OLD windows (``as_kind``) they have no place, and nothing is marked.
+    """
     if not made:
         return
-    di, dt, s, a, b = (np.concatenate(c) for c in zip(*made, strict=True))
+    count = np.concatenate([m.count for m in made])
+    spans = [x for m in made for x in m.spans]
+    keys, names = kind.alike(spans, count + kind.window - 1)
+    of = lambda name: np.repeat(np.concatenate([getattr(m, name) for m in made]), count)
+    di, dt = of("doc"), of("tag")
+    s = of("start") + np.arange(len(di)) - np.repeat(np.cumsum(count) - count, count)
     made.clear()
-    order, new = _first((di, dt, s), (a, b))
-    di, dt, s, a, b = (x[order] for x in (di, dt, s, a, b))
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    again = (di != di[lead]) | (dt != dt[lead]) | (s != s[lead])
-    yield from _marks(di[again], dt[again], s[again], np.ones(int(again.sum())), n_parts)
-    up = np.flatnonzero(new)
+    order, new = _first((di, dt, s), keys)
+    lead = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+    up = order[new]
     up = up[np.lexsort((s[up], dt[up], di[up]))]
-    yield from _blocks.pack(_part(a[up], n_parts), [a[up], b[up], di[up], dt[up], s[up].astype(np.uint32)], WINDOW)
+    a, b = names(up)
+    if as_kind != WINDOW:
+        yield from _blocks.pack(_part(a ^ b, n_parts), [a, b], as_kind)
+        return
+    again = order[(di[order] != di[lead]) | (dt[order] != dt[lead]) | (s[order] != s[lead])]
+    yield from _marks(di[again], dt[again], s[again], np.ones(len(again)), n_parts)
+    yield from _blocks.pack(_part(a ^ b, n_parts), [a, b, di[up], dt[up], s[up].astype(np.uint32)], WINDOW)
 
 
 def _send_groups(make: Callable, n_parts: int) -> Callable:
@@ -302,11 +374,13 @@ def _send_groups(make: Callable, n_parts: int) -> Callable:
             edge = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
             size = np.diff(np.r_[edge, len(bucket)])
             several = np.repeat(size > 1, size)
-            yield from _emit_windows([_windows(kind, symbols, ids, tags, doc[several], s[several], n[several])], n_parts)
+            if several.any():
+                for some in opened(kind, symbols, ids, tags, doc[several], s[several], n[several]):
+                    yield from _emit_windows(kind, [some], n_parts)
             mark = np.unique(bucket[several])
             zero = np.zeros(len(mark), np.int64)
             one = ~several
-            cols = [np.r_[bucket[one], mark], np.r_[identity[one], zero.astype(np.uint64)], np.r_[di[one], zero], np.r_[dt[one], zero].astype(np.uint16), np.r_[s[one], zero].astype(np.uint32), np.r_[n[one], zero].astype(np.uint32)]
+            cols = [np.r_[bucket[one], mark], np.r_[identity[one], zero.astype(np.uint64)], np.r_[di[one], zero], np.r_[dt[one], zero].astype(np.uint32), np.r_[s[one], zero].astype(np.uint32), np.r_[n[one], zero].astype(np.uint32)]
             up = np.lexsort((cols[4], cols[3], cols[2]))
             yield from _blocks.pack(_part(cols[0][up], n_parts), [c[up] for c in cols], GROUP)
 
@@ -340,19 +414,20 @@ def _meet_groups(n_parts: int, keep_run: bool) -> Callable:
         several = (kinds > 1) | any_mark
         per = lambda x: np.repeat(x, size)
         open_ = first & ~marker & per(several) & ((fresh == 1) | ~per(old_mark))
-        yield from _marks(doc[open_], tag[open_], s[open_], n[open_], n_parts, OPEN)
+        for k, some in ((OPEN, open_ & (fresh == 1)), (OLD_OPEN, open_ & (fresh == 0))):
+            yield from _marks(doc[some], tag[some], s[some], n[some], n_parts, k)
         if keep_run:
             alone = first & ~marker & (fresh == 1) & ~per(several)
             mark = bucket[edge[several & ~old_mark]]
             zero = np.zeros(len(mark), np.int64)
-            cols = [np.r_[bucket[alone], mark], np.r_[identity[alone], zero.astype(np.uint64)], np.r_[doc[alone], zero], np.r_[tag[alone], zero].astype(np.uint16), np.r_[s[alone], zero].astype(np.uint32), np.r_[n[alone], zero].astype(np.uint32)]
+            cols = [np.r_[bucket[alone], mark], np.r_[identity[alone], zero.astype(np.uint64)], np.r_[doc[alone], zero], np.r_[tag[alone], zero].astype(np.uint32), np.r_[s[alone], zero].astype(np.uint32), np.r_[n[alone], zero].astype(np.uint32)]
             up = np.lexsort((cols[1], cols[0]))
             yield from _blocks.pack(np.full(len(up), part, np.int32), [c[up] for c in cols], RUN)
 
     return reduce
 
 
-def _packed_texts(docs: DataFrame, n_parts: int) -> DataFrame:
+def _packed_texts(docs: DataFrame, n_parts: int, as_kind: int = TEXT) -> DataFrame:
     """Texts as compressed blocks by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,16 +443,16 @@ def _packed_texts(docs: DataFrame, n_parts: int) -> DataFrame:
                 whole = b"".join([texts[i] for i in some])
                 head = ids[some].tobytes() + tags[some].tobytes() + np.array([len(texts[i]) for i in some], np.int64).tobytes()
                 block = np.array([len(whole)], np.int64).tobytes() + head + codec.compress(whole, asbytes=True)
-                yield pa.RecordBatch.from_arrays([pa.array([part[some[0]]], pa.int32()), pa.array([TEXT], pa.int32()), pa.array([len(some)], pa.int32()), pa.array([block], pa.binary())], schema=_blocks.BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([part[some[0]]], pa.int32()), pa.array([as_kind], pa.int32()), pa.array([len(some)], pa.int32()), pa.array([block], pa.binary())], schema=_blocks.BLOCK)
 
     return keyed_text(docs).mapInArrow(run, _blocks.BLOCK_DDL)
 
 
 def _unpacked(n: int, block: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     size = int(np.frombuffer(block, np.int64, 1)[0])
-    ids, tags = np.frombuffer(block, np.int64, n, 8), np.frombuffer(block, np.uint16, n, 8 + 8 * n)
-    ends = np.cumsum(np.frombuffer(block, np.int64, n, 8 + 10 * n))
-    whole = pa.Codec("zstd").decompress(block[8 + 18 * n :], size, asbytes=True) if size else b""
+    ids, tags = np.frombuffer(block, np.int64, n, 8), np.frombuffer(block, np.uint32, n, 8 + 8 * n)
+    ends = np.cumsum(np.frombuffer(block, np.int64, n, 8 + 12 * n))
+    whole = pa.Codec("zstd").decompress(block[8 + 20 * n :], size, asbytes=True) if size else b""
     return ids, tags, [whole[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)]
 
 
@@ -399,49 +474,85 @@ class _ByDocument:
 
 
 def _open_groups(make: Callable, n_parts: int) -> Callable:
+    """The windows of the groups that are asked for, those of earlier batches apart."""
+
     def reduce(part: int, held: dict) -> Iterator[pa.RecordBatch]:
-        kind, wanted = make(), _ByDocument(held.pop(OPEN, []))
-        if not wanted.at:
-            return
-        made, size = [], 0
-        for n, block in held.pop(TEXT, ()):
-            ids, tags, texts = _unpacked(n, block)
-            symbols, doc, start, count = {}, [], [], []
-            for i, (d, t) in enumerate(zip(ids.tolist(), tags.tolist(), strict=True)):
-                if (found := wanted.of(d, t)) is not None:
-                    symbols[i] = kind.symbols(texts[i])
-                    doc.append(np.full(len(found[0]), i)), start.append(found[0]), count.append(found[1])
-            if doc:
-                made.append(_windows(kind, symbols, ids, tags, np.concatenate(doc), np.concatenate(start), np.concatenate(count)))
-                size += len(made[-1][0])
-            if size > MOST_WINDOWS:
-                yield from _emit_windows(made, n_parts)
-                size = 0
-        yield from _emit_windows(made, n_parts)
+        kind = make()
+        for ask, text, as_kind in ((OPEN, TEXT, WINDOW), (OLD_OPEN, OLD_TEXT, OPENED)):
+            wanted, made, size = _ByDocument(held.pop(ask, [])), [], 0
+            blocks = held.pop(text, []) if wanted.at else []
+            for n, block in blocks:
+                ids, tags, texts = _unpacked(n, block)
+                symbols, doc, start, count = {}, [], [], []
+                for i, (d, t) in enumerate(zip(ids.tolist(), tags.tolist(), strict=True)):
+                    if (found := wanted.of(d, t)) is not None:
+                        symbols[i] = kind.symbols(texts[i])
+                        doc.append(np.full(len(found[0]), i)), start.append(found[0]), count.append(found[1])
+                if not doc:
+                    continue
+                for some in opened(kind, symbols, ids, tags, np.concatenate(doc), np.concatenate(start), np.concatenate(count)):
+                    made.append(some)
+                    size += int(some.count.sum())
+                    if size > MOST_WINDOWS:
+                        yield from _emit_windows(kind, made, n_parts, as_kind)
+                        size = 0
+            yield from _emit_windows(kind, made, n_parts, as_kind)
 
     return reduce
 
 
-def _meet_windows(n_parts: int, keep_run: bool) -> Callable:
+def _among(run: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the hashes (a, b), sorted, stand in a sorted piece of a run: a merge join, verified by the second hash."""
+    at = np.searchsorted(a, run[0])
+    out = np.zeros(len(a), bool)
+    left = np.flatnonzero(at < len(a))
+    while len(left):  # once, but where first hashes collide
+        left = left[a[at[left]] == run[0][left]]
+        out[at[left[b[at[left]] == run[1][left]]]] = True
+        at[left] += 1
+        left = left[at[left] < len(a)]
+    return out
+
+
+def _refine(a: np.ndarray, b: np.ndarray, order_by: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Order by a, then b, then ``order_by``, and which are the first of their (a, b); buckets of one a alone are done."""
+    order = np.argsort(a)
+    s = a[order]
+    same = np.r_[s[1:] == s[:-1], False][: len(s)]
+    many = same | np.r_[False, same[:-1]][: len(s)]
+    some = order[many]
+    some = some[np.lexsort((*(x[some] for x in order_by[::-1]), b[some], a[some]))]
+    order[many] = some
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+    return order, new
+
+
+def _meet_windows(names: tuple, n_parts: int, keep_run: bool) -> Callable:
+    """Marks of windows that repeat: new ones by sorting, those of the index by merging with its sorted runs."""
+
     def reduce(part: int, held: dict) -> Iterator[pa.RecordBatch]:
         for n, block in held.pop(MARK, ()):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([MARK], pa.int32()), pa.array([n], pa.int32()), pa.array([block], pa.binary())], schema=_blocks.BLOCK)
-        old = _blocks.joined(held.pop(OLD_WINDOW, []), WINDOW_T[:2])
-        a, b, doc, tag, s = _blocks.joined(held.pop(WINDOW, []), WINDOW_T)
-        k = len(old[0])
-        fresh = np.r_[np.zeros(k, np.int8), np.ones(len(a), np.int8)]
-        pad = lambda x: np.r_[np.zeros(k, x.dtype), x]
-        a, b, doc, tag, s = np.r_[old[0], a], np.r_[old[1], b], pad(doc), pad(tag), pad(s)
-        if not len(a):
-            return
-        order, first = _first((fresh, doc, tag, s), (a, b))
-        a, b, doc, tag, s, fresh = (x[order] for x in (a, b, doc, tag, s, fresh))
-        lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        again = ~first & (fresh == 1) & ((fresh[lead] == 0) | (doc != doc[lead]) | (tag != tag[lead]) | (s != s[lead]))
+        brought = _blocks.joined(held.pop(OPENED, []), names)  # of earlier documents, not yet in a run
+        a, b, doc, tag, s = _blocks.joined(held.pop(WINDOW, []), (*names, *PLACE_T))
+        order, first = _refine(a, b, (doc, tag, s))
+        a, b, doc, tag, s = (x[order] for x in (a, b, doc, tag, s))
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0)) if len(first) else np.zeros(0, np.int64)
+        up, down = np.flatnonzero(first), np.cumsum(first) - 1
+        old = np.zeros(len(up), bool)
+        up_b, _ = _refine(*brought, ())
+        brought = [x[up_b] for x in brought]
+        for run in ([brought] if len(brought[0]) else []) + [_blocks.unpack(n, block, names) for n, block in held.pop(OLD_WINDOW, ())]:
+            old |= _among(run, a[up], b[up])
+        again = old[down] | ~first & ((doc != doc[lead]) | (tag != tag[lead]) | (s != s[lead])) if len(a) else np.zeros(0, bool)
         yield from _marks(doc[again], tag[again], s[again], np.ones(int(again.sum())), n_parts)
         if keep_run:
-            mine = first & (fresh == 1)
-            yield from _blocks.pack(np.full(int(mine.sum()), part, np.int32), [a[mine], b[mine]], WINDOW_RUN)
+            mine = up[~old]
+            x, y = np.r_[a[mine], brought[0]], np.r_[b[mine], brought[1]]
+            order, new = _refine(x, y, ())
+            x, y = x[order][new], y[order][new]
+            yield from _blocks.pack(np.full(len(x), part, np.int32), [x, y], WINDOW_RUN)
 
     return reduce
 
@@ -460,12 +571,13 @@ def marks(docs: DataFrame, make: Callable, n_parts: int, past: tuple[DataFrame,
     if past is not None:
         sent = sent.unionByName(_as(past[0], OLD_GROUP))
     met = staged(_blocks.by_part(sent, n_parts, _meet_groups(n_parts, keep_run), _blocks.BLOCK_DDL), "groups")
-    texts = docs if past_docs is None else keyed_text(docs).unionByName(keyed_text(past_docs))
-    ask = met.where(F.col("kind") == OPEN).unionByName(_packed_texts(texts, n_parts))
+    ask = met.where(F.col("kind").isin(OPEN, OLD_OPEN)).unionByName(_packed_texts(docs, n_parts))
+    if past_docs is not None:
+        ask = ask.unionByName(_packed_texts(past_docs, n_parts, OLD_TEXT))
     windows = _blocks.by_part(ask, n_parts, _open_groups(make, n_parts), _blocks.BLOCK_DDL).unionByName(met.where(F.col("kind") == WINDOW))
     if past is not None:
         windows = windows.unionByName(_as(past[1], OLD_WINDOW))
-    met2 = staged(_blocks.by_part(windows, n_parts, _meet_windows(n_parts, keep_run), _blocks.BLOCK_DDL), "windows")
+    met2 = staged(_blocks.by_part(windows, n_parts, _meet_windows(make().NAMES, n_parts, keep_run), _blocks.BLOCK_DDL), "windows")
     found = [met.where(F.col("kind") == MARK), met2.where(F.col("kind") == MARK)]
     if not keep_run:
         return found, None, None
@@ -492,7 +604,7 @@ def removed(docs: DataFrame, found: list[DataFrame], make: Callable, n_parts: in
             for d, t, text in zip(ids.tolist(), tags.tolist(), texts, strict=True):
                 symbols = kind.symbols(text)
                 gone = covered(kind.window, len(symbols), by_doc.of(d, t))
-                out.append((None if d == NO_ID else d, *finish(kind, symbols, gone)))
+                out.append((None if t & NO_ID_TAG else d, *finish(kind, symbols, gone)))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 

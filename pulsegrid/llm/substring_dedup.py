@@ -2,10 +2,11 @@
 
 The index is a list of immutable runs, each sorted by hash within its parts:
 runs of group fingerprints and runs of window hashes (:mod:`._repeats` tells
-how windows form groups). A batch of new documents is hashed, merge-joined with
-all runs part by part, verified by a second independent hash of the whole
-window, and leaves a run of what it brought. When there are more than FANOUT
-runs they are compacted into one.
+how windows form groups). A batch of new documents is hashed and meets all runs
+part by part; its sorted window hashes are merge-joined with those of each run
+and verified by a second independent hash of the whole window. A batch leaves a
+run of what it brought. When there are more than FANOUT runs they are compacted
+into one. With a folder of its own the index can be opened again.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _blocks, _repeats
-from ._common import staged
+from ._common import keyed_text, staged
 
 #: Runs that may stand side by side.
-FANOUT = 4
+FANOUT = 3
+#: Where the table is cut into batches, as shares of the range of ids: each doubles what the index holds.
+SPLITS = (0.0625, 0.125, 0.25, 0.5)
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 KEPT = pa.schema([("doc_id", pa.int64()), ("kept", pa.string())])
@@ -36,14 +39,53 @@ def _kept(kind, symbols, gone):
 
 
 class FingerprintIndex:
-    """Fingerprints of the documents added so far, and those documents."""
+    """Fingerprints of the documents added so far, and those documents.
 
-    def __init__(self, spark, window: int = 20, gram: int | None = None, n_parts: int | None = None):
-        gram = gram or max(1, min(6, window // 2))
-        self.make = lambda: _repeats.Words(window, gram)
-        self.n_parts = n_parts or _blocks.parts(spark)
+    With ``path``, a folder in a store that driver and executors share, runs
+    and documents are kept there, and an index that is already there goes on.
+    """
+
+    def __init__(self, spark, window: int = 20, gram: int | None = None, n_parts: int | None = None, path: str | None = None):
+        self.spark, self.path = spark, path
         self.runs: list[tuple[DataFrame, DataFrame]] = []
         self.docs: DataFrame | None = None
+        self._names: list[str] = []
+        self._added = 0
+        gram = gram or max(1, min(6, window // 2))
+        self.n_parts = n_parts or _blocks.parts(spark)
+        if path and (last := self._manifest()):
+            window, gram, self.n_parts, self._added = last["window"], last["gram"], last["n_parts"], last["version"]
+            self._names = last["runs"].split(",")
+            self.runs = [(self._read(f"{n}/groups"), self._read(f"{n}/windows")) for n in self._names]
+            self.docs = spark.read.parquet(f"{path}/docs")
+        self.window, self.gram = window, gram
+        self.make = lambda: _repeats.Words(window, gram)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_blocks.BLOCK_DDL).parquet(f"{self.path}/{name}")
+
+    def _manifest(self):
+        """The last state written, or None if the folder holds none."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return None
+        return self.spark.read.parquet(f"{self.path}/manifest").orderBy(F.desc("version")).first()
+
+    def _store(self, groups: DataFrame, windows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """A run, in a folder of its own if the index has one."""
+        if not self.path:
+            return groups, windows
+        groups.write.mode("overwrite").parquet(f"{self.path}/{name}/groups")
+        windows.write.mode("overwrite").parquet(f"{self.path}/{name}/windows")
+        self._names.append(name)
+        return self._read(f"{name}/groups"), self._read(f"{name}/windows")
+
+    def _commit(self) -> None:
+        """Write the list of live runs as the newest version; what an unfinished batch wrote is never listed."""
+        if self.path:
+            row = (self._added, ",".join(self._names), self.window, self.gram, self.n_parts)
+            state = self.spark.createDataFrame([row], "version long, runs string, window int, gram int, n_parts int")
+            state.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def _past(self) -> tuple[DataFrame, DataFrame] | None:
         if not self.runs:
@@ -57,14 +99,22 @@ class FingerprintIndex:
         """The batch's documents without the words that the index, or an earlier place of the batch, has.
 
         A later batch counts as later whatever its doc_ids. The result does
-        not change when more batches follow.
+        not change when more batches follow. Of the documents of earlier
+        batches only those are hashed again that hold a group that has to be
+        opened.
         """
         found, groups, windows = _repeats.marks(batch, self.make, self.n_parts, self._past(), self.docs, keep_run=True)
-        self.runs.append((groups, windows))
-        own = batch.select("doc_id", "text")
-        self.docs = own if self.docs is None else self.docs.unionByName(own)
+        self._added += 1
+        self.runs.append(self._store(groups, windows, f"run-{self._added}"))
+        own = keyed_text(batch)
+        if self.path:
+            own.write.mode("overwrite").parquet(f"{self.path}/docs/batch={self._added}")
+            self.docs = self.spark.read.parquet(f"{self.path}/docs")
+        else:
+            self.docs = own if self.docs is None else self.docs.unionByName(own)
         if len(self.runs) > FANOUT:
             self.compact()
+        self._commit()
         if digest:
             return _repeats.removed(batch, found, self.make, self.n_parts, _digest, SCHEMA, DDL)
         return _repeats.removed(batch, found, self.make, self.n_parts, _kept, KEPT, "doc_id long, kept string")
@@ -82,20 +132,17 @@ class FingerprintIndex:
             yield from _blocks.pack(np.full(int(keep.sum()), part, np.int32), [c[keep] for c in cols])
 
         def merged_windows(part: int, held: dict) -> Iterator[pa.RecordBatch]:
-            cols = _blocks.joined(held[0], _repeats.WINDOW_T[:2])
+            cols = _blocks.joined(held[0], _repeats.Words.NAMES)
             order, new = _repeats._first((), tuple(cols))
             yield from _blocks.pack(np.full(int(new.sum()), part, np.int32), [c[order][new] for c in cols])
 
+        merge = lambda d, f, name: staged(_blocks.by_part(zero(d), self.n_parts, f, _blocks.BLOCK_DDL), name)
         zero = lambda d: d.select("part", F.lit(0).alias("kind"), "n", "block")
-        self.runs = [
-            (
-                staged(_blocks.by_part(zero(groups), self.n_parts, merged_groups, _blocks.BLOCK_DDL), "group-run"),
-                staged(_blocks.by_part(zero(windows), self.n_parts, merged_windows, _blocks.BLOCK_DDL), "window-run"),
-            )
-        ]
+        self._names = []
+        self.runs = [self._store(merge(groups, merged_groups, "group-run"), merge(windows, merged_windows, "window-run"), f"compacted-{self._added}")]
 
 
-def remove(docs: DataFrame, window: int = 20, gram: int | None = None, splits: tuple[float, ...] = (0.125,), digest: bool = True) -> DataFrame:
+def remove(docs: DataFrame, window: int = 20, gram: int | None = None, splits: tuple[float, ...] = SPLITS, digest: bool = True) -> DataFrame:
     """Each document without the words covered by a ``window``-word sequence that also starts earlier.
 
     The table goes through the index in batches of rising doc_id, cut at the

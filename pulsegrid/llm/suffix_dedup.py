@@ -1,11 +1,19 @@
-"""Removal of byte strings that occur earlier, by hashed minimiser groups.
-
-This takes the place of bucket-pointer refinement: no position has a bucket
-identifier and no bucket is refined in rounds. Neighbouring 100-byte strings
-that elect one gram form a group (:mod:`._repeats`); groups meet by a hash of
-the gram and are compared by a hash of all bytes they span. Where a bucket has
-several such hashes, the first group of each is opened and its strings are
-compared by hashes of the full string, overlaps included.
+"""Removal of byte strings that occur earlier, by bucket-pointer refinement.
+
+Neighbouring 100-byte strings that elect one 36-byte gram form a group; the
+first buckets are those grams (:mod:`._repeats`). A bucket in which all groups
+span the same bytes (compared by a hash) is done: nothing in it can differ
+later. In every other bucket the positions of the first group of each kind are
+opened, and refined in rounds: the buckets of their first 8 bytes are sorted by
+the bucket pointers 8, 16, 32 and last 36 bytes further on, each round reading
+the pointers that the one before has written, and taking only positions that
+are not alone (:mod:`._buckets`).
+
+Refinement is exact and stays within what a task has opened, so that a gram
+that a third of all rows hold is refined in many tasks. What is left of each
+bucket, once for a task, meets the other tasks' by name: a hash of its first 64
+bytes, and for the last round that of the 64 bytes that begin 36 bytes further
+on.
 """
 
 from __future__ import annotations
@@ -45,8 +53,9 @@ def remove(docs: DataFrame, length: int = 100, gram: int | None = None, digest:
     n_bytes, n_removed, n_spans, kept_sha256; without: doc_id and the ``kept``
     bytes. Null and empty texts have no bytes. A row that repeats a doc_id and
     its text counts as the same document and gets the same result; rows that
-    share only the doc_id are ordered by a digest of their text. A null doc_id
-    sorts last. Other columns are ignored.
+    share only the doc_id are ordered by a digest of their text. Rows without a
+    doc_id come last, by a digest of their text. A text's length is not
+    limited; an empty table gives an empty result. Other columns are ignored.
     """
     n_parts, make = _blocks.parts(docs.sparkSession), _maker(length, gram)
     found, _, _ = _repeats.marks(docs, make, n_parts)

@@ -2,9 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pulsegrid.llm import _repeats, substring_dedup, suffix_dedup
+from pulsegrid.llm._buckets import refined
 
 
 def brute(rows, symbols_of, W):
@@ -88,6 +90,67 @@ def test_index_compaction_keeps_the_answers(spark, monkeypatch):
     assert len(index.runs) <= 2
 
 
+def test_an_index_is_opened_again_and_later_batches_are_later(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "FANOUT", 2)
+    rows = corpus(8)
+    rows = [(len(rows) - i, t) for i, (_, t) in enumerate(rows)]  # ids fall from batch to batch
+    batches = [sorted(rows[lo : lo + 17]) for lo in range(0, len(rows), 17)]
+    place = {d: k for k, (d, _) in enumerate(r for b in batches for r in b)}
+    want = brute([(place[d], t) for d, t in rows], word_list, 20)
+    for k, b in enumerate(batches):
+        index = substring_dedup.FingerprintIndex(spark, path=str(tmp_path / "index"))
+        assert len(index.runs) <= 2 and bool(index.runs) == bool(k)
+        for r in index.add(spark.createDataFrame(b, "doc_id long, text string"), digest=False).collect():
+            x, gone = want[place[r.doc_id]]
+            assert r.kept == " ".join(w for w, g in zip(x, gone) if not g), r.doc_id
+
+
+@pytest.mark.parametrize("module,symbols_of,window", [(substring_dedup, word_list, 20), (suffix_dedup, lambda t: t.encode(), 100)])
+def test_rows_without_a_doc_id_and_rows_that_share_one(spark, module, symbols_of, window):
+    rnd = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = sorted({" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(1, 40))) for _ in range(2000)})
+    same = [passage, passage + " more", "other " + passage]
+    shared = [" ".join(f"s{rnd.randrange(10**6)}" for _ in range(rnd.randint(1, 40))) for _ in range(20)]
+    docs = spark.createDataFrame([(None, t) for t in texts + same] + [(5, t) for t in shared] + [(5, shared[0])], "doc_id long, text string")
+    out = module.remove(docs, digest=False).collect()
+    whole = lambda kept: kept if isinstance(kept, str) else bytes(kept).decode()
+    got = sorted(whole(r.kept) for r in out if r.doc_id is None)
+    assert len(got) == 2003 and sum(passage in k for k in got) == 1 and set(texts) - set(got) == set()
+    gone = sum(len(symbols_of(t)) for t in texts + same) - sum(len(symbols_of(k)) for k in got)
+    assert gone >= 2 * len(symbols_of(passage))
+    mine = sorted(whole(r.kept) for r in out if r.doc_id == 5)
+    assert len(mine) == 21 and all(len(symbols_of(k)) <= len(symbols_of(t)) for k, t in zip(mine, sorted([*shared, shared[0]])))
+
+
+def test_very_long_texts_and_buckets(spark):
+    rnd = random.Random(12)
+    long = " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(3000)) for _ in range(200_000))
+    rows = [(1, long), (2, long[500_000:600_000]), (3, "x" * 700_000), (4, long + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.remove(docs).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 100_000 and got[3].n_removed == 699_999 and got[3].n_spans == 1
+    assert got[4].n_bytes - got[4].n_removed <= 4
+    got = {r.doc_id: r for r in substring_dedup.remove(docs).collect()}
+    assert got[1].n_removed == 0 and got[2].n_words - got[2].n_removed <= 2 and got[4].n_words - got[4].n_removed == 1
+
+
+@pytest.mark.parametrize("window", [1, 3, 8, 20, 64, 100])
+def test_refined_buckets_hold_equal_windows(window):
+    for seed in range(40):
+        rnd = random.Random(seed)
+        stem = bytes(rnd.choice(b"ab") for _ in range(300))
+        texts = [stem[rnd.randrange(50) :][: rnd.randrange(250)] + bytes([rnd.randrange(256)]) for _ in range(rnd.randint(0, 12))]
+        at, pointer = refined(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64), window)
+        windows, base = [], 0
+        for t in texts:
+            windows += [(base + i, t[i : i + window]) for i in range(len(t) - window + 1)]
+            base += len(t)
+        assert at.tolist() == [p for p, _ in windows]
+        of = dict(zip([w for _, w in windows], pointer.tolist()))
+        assert [of[w] for _, w in windows] == pointer.tolist() and len(set(of.values())) == len(of)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.remove(docs).count() == 0 and suffix_dedup.remove(docs).count() == 0
