@@ -3,8 +3,11 @@
 Each document earns failure points by a few rules about its words, symbols and
 lines. Failures are counted by host, the hosts' rates are shrunk towards all
 hosts' by a beta prior fitted by moments, and the verdict on the host goes back
-to its documents: on a host whose shrunk rate is high one point is enough to be
-rejected, elsewhere it takes two. A document without a point is never rejected.
+to its documents: on a bad host one point is enough to be rejected, elsewhere
+it takes two. A document without a point is never rejected for its host. A host
+is bad if its posterior rate, less SURE standard deviations, is above the rate
+that has ODDS times the odds of all hosts'. Where the hosts' rates differ by no
+more than chance would have it, the prior is a single rate and no host is bad.
 
 One host may hold a third of all rows: failures are summed before they are
 shuffled, and the join with the hosts' table is left to Spark, which broadcasts
@@ -23,10 +26,10 @@ from ._common import mix64, staged, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: A host is bad if its shrunk failure rate is above this.
-BAD_HOST = 0.5
-#: Bounds of the prior's weight, in documents.
-PRIOR_WEIGHT = (1.0, 1e6)
+#: A host is bad if its odds of failing are surely this many times those of all hosts.
+ODDS, SURE = 2.0, 2.0
+#: Least weight of the prior, in documents.
+PRIOR_WEIGHT = 1.0
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _FACTORS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
@@ -70,11 +73,12 @@ def features_of(text: str | None) -> tuple[int, ...]:
     return len(ws), sum(map(len, ws)), sum(map(text.count, SYMBOLS)), lines, again, repeated_words(ws)
 
 
-def with_features(docs: DataFrame, host: str | None = "source") -> DataFrame:
-    """``row`` (all columns of the table), ``host``, and a column for each feature."""
+def with_features(docs: DataFrame, host: str | None = "source", carry: list[str] | None = None) -> DataFrame:
+    """``row`` (all columns of the table, or those named), ``host``, and a column for each feature."""
     text = F.col("text").cast("string")
     name = F.col(host).cast("string") if host and host in docs.columns else F.lit(None).cast("string")
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), name.alias("host"), text.alias("text"))
+    row = [F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)] or [F.lit(True).alias("none")]
+    given = docs.select(F.struct(*row).alias("row"), name.alias("host"), text.alias("text"))
     out = T.StructType([f for f in given.schema if f.name != "text"] + [T.StructField(f, T.LongType()) for f in FEATURES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +106,7 @@ def points() -> Column:
 
 
 def host_rates(features: DataFrame) -> DataFrame:
-    """host, n_docs, n_failed, rate (shrunk) and bad, one row for each host; null is a host of its own."""
+    """host, n_docs, n_failed, rate (shrunk), sure (its lower bound) and bad, one row for each host; null is a host of its own."""
     hosts = features.groupBy("host").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum((base_failed() | (points() > 0)).cast("long")).alias("n_failed")
     )
@@ -111,26 +115,37 @@ def host_rates(features: DataFrame) -> DataFrame:
     prior = hosts.agg(
         (F.sum("n_failed") / F.sum("n_docs")).alias("m"), F.var_pop(raw).alias("v"), F.avg(1.0 / F.col("n_docs")).alias("noise")
     )
-    m, noise = F.col("m"), F.col("m") * (1 - F.col("m")) * F.col("noise")
-    between = F.greatest(F.col("v") - noise, F.lit(1e-9))
-    weight = F.least(F.greatest(m * (1 - m) / between - 1, F.lit(PRIOR_WEIGHT[0])), F.lit(PRIOR_WEIGHT[1]))
+    m = F.col("m")
+    between = F.col("v") - m * (1 - m) * F.col("noise")
+    # without a difference between hosts the weight is null: their rates are one
+    weight = F.when(between > 0, F.greatest(m * (1 - m) / between - 1, F.lit(PRIOR_WEIGHT)))
     prior = prior.select(m.alias("m"), weight.alias("w"))
     w, mean = prior.select("w").scalar(), prior.select("m").scalar()
-    rate = (F.col("n_failed") + mean * w) / (F.col("n_docs") + w)
-    rated = hosts.withColumn("rate", rate)
-    return staged(rated.withColumn("bad", F.col("rate") > BAD_HOST), "host-rates")
+    a, n = F.col("n_failed") + mean * w, F.col("n_docs") + w
+    rated = hosts.withColumn("rate", F.coalesce(a / n, mean)).withColumn("sure", F.coalesce(a / n - SURE * F.sqrt(a / n * (1 - a / n) / (n + 1)), F.lit(0.0)))
+    return staged(rated.withColumn("bad", F.col("sure") > ODDS * mean / (1 + (ODDS - 1) * mean)), "host-rates")
 
 
-def verdicts(docs: DataFrame, host: str | None = "source") -> DataFrame:
+def verdicts(docs: DataFrame, host: str | None = "source", carry: list[str] | None = None) -> DataFrame:
     """``row``, the features, ``base_failed``, ``points``, the host's ``rate`` and ``bad``, and ``kept``.
 
-    Null and empty texts have no words and fail; a null host is a group of its
-    own; repeated rows are judged alike and all stay; a table without the host
-    column is one host; an empty table gives an empty result. Columns of any
-    other name travel in ``row`` untouched.
+    ``row`` holds all columns of the table, or those that ``carry`` names. The
+    features of narrow rows, without the text, are written once and read again;
+    of whole rows they are worked out again, since a second copy of all texts
+    would cost more. Null and empty texts have no words and fail; a null host is
+    a group of its own; repeated rows are judged alike and all stay; a table
+    without the host column is one host; an empty table gives an empty result;
+    a text's length is not limited. Columns of any other name travel in ``row``
+    untouched.
     """
-    hosts = host_rates(with_features(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c in ("text", host)]), host))
-    judged = with_features(docs, host).join(hosts.select(F.col("host").alias("h"), "rate", "bad"), F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
+    narrow = carry is not None and "text" not in carry
+    if narrow:
+        featured = staged(with_features(docs, host, carry), "features")
+        hosts = host_rates(featured)
+    else:
+        hosts = host_rates(with_features(docs, host, []))
+        featured = with_features(docs, host, carry)
+    judged = featured.join(hosts.select(F.col("host").alias("h"), "rate", "bad"), F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
     judged = judged.withColumn("base_failed", base_failed()).withColumn("points", points())
     limit = F.when(F.coalesce(F.col("bad"), F.lit(False)), 1).otherwise(2)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("points") < limit))
@@ -153,8 +168,9 @@ p AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_fa
   + CASE WHEN word_chars > 20 * n_words THEN 2 WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN 1 ELSE 0 END AS points FROM f),
 hosts AS (SELECT host, count(*) AS n, sum(CASE WHEN base_failed OR points > 0 THEN 1 ELSE 0 END) AS k FROM p GROUP BY host),
 mom AS (SELECT sum(k) / sum(n)::DOUBLE AS m, var_pop(k / n::DOUBLE) AS v, avg(1.0::DOUBLE / n) AS noise FROM hosts),
-prior AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * noise, 1e-9) - 1, 1.0), 1e6) AS w FROM mom),
-rated AS (SELECT host, (k + m * w) / (n + w) > 0.5 AS bad FROM hosts, prior)
+prior AS (SELECT m, CASE WHEN v - m * (1 - m) * noise > 0 THEN greatest(m * (1 - m) / (v - m * (1 - m) * noise) - 1, 1.0) END AS w FROM mom),
+post AS (SELECT host, m, n + w AS s, (k + m * w) / (n + w) AS r FROM hosts, prior),
+rated AS (SELECT host, coalesce(r - 2.0 * sqrt(r * (1 - r) / (s + 1)), 0.0) > 2.0 * m / (1 + (2.0 - 1) * m) AS bad FROM post)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (NOT base_failed AND points < CASE WHEN bad THEN 1 ELSE 2 END) AS kept
 FROM p LEFT JOIN rated ON p.host IS NOT DISTINCT FROM rated.host

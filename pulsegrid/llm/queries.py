@@ -58,7 +58,7 @@ def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import verdicts
 
-    judged = verdicts(documents(spark, sf_dir), "source")
+    judged = verdicts(documents(spark, sf_dir), "source", ["doc_id"])
     return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
