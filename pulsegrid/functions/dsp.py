@@ -301,7 +301,7 @@ def spectrum_points(times: np.ndarray, fs: float, band, nw: float = 2.5, count:
     lo, hi = support if support is not None else (times.min(), times.max())
     n = max(int(np.floor(fs * (hi - lo))) + 1, 8)
     t = lo + np.arange(n) / fs
-    tap = dpss(n, nw, count)[0].T * np.sqrt(fs) if n <= 2048 else _long_tapers(n, nw, count) * np.sqrt(fs)
+    tap = slepian(n, nw, count) * np.sqrt(fs)
     nfft = max(2 ** int(np.ceil(np.log2(n))), n)
     f, keep = frequency_grid(fs, nfft, band)
     h = np.fft.fft(tap, nfft, axis=0)[keep]
@@ -309,11 +309,50 @@ def spectrum_points(times: np.ndarray, fs: float, band, nw: float = 2.5, count:
     return f, (np.abs(j) ** 2).mean(axis=1), j
 
 
-def _long_tapers(n: int, nw: float, count: int) -> np.ndarray:
-    """Tapers of long windows from those of 2048 samples: the sequences are smooth in time."""
-    v = dpss(2048, nw, count)[0]
-    x = np.stack([np.interp(np.linspace(0, 2047, n), np.arange(2048), r) for r in v], axis=1)
-    return x / np.linalg.norm(x, axis=0)
+def slepian(n: int, nw: float, count: int, dense: int = 2048) -> np.ndarray:
+    """The first Slepian sequences as columns of unit norm, for any length.
+
+    Above ``dense`` samples those of that many, stretched, are the start of
+    Rayleigh quotient iterations with the tridiagonal matrix of the full length.
+    """
+    if n <= dense:
+        return dpss(n, nw, count)[0].T
+    start = dpss(dense, nw, count)[0]
+    i = np.arange(n)
+    diagonal = ((n - 1 - 2 * i) / 2) ** 2 * np.cos(2 * np.pi * nw / n)
+    off = i[1:] * (n - i[1:]) / 2.0
+    out = []
+    for row in start:
+        v = np.interp(np.linspace(0, dense - 1, n), np.arange(dense), row)
+        v /= np.linalg.norm(v)
+        for _ in range(4):
+            tv = diagonal * v
+            tv[:-1] += off * v[1:]
+            tv[1:] += off * v[:-1]
+            mu = float(v @ tv)
+            if np.linalg.norm(tv - mu * v) < 1e-14 * abs(diagonal).max():
+                break
+            w = _tridiagonal(off, diagonal - mu, v)
+            w /= np.linalg.norm(w)
+            v = w if w @ v >= 0 else -w
+        out.append(v)
+    return np.stack(out, axis=1)
+
+
+def _tridiagonal(off: np.ndarray, diagonal: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solution of a symmetric tridiagonal system, by elimination."""
+    d, y, e = diagonal.tolist(), b.tolist(), off.tolist()
+    tiny = 1e-14 * float(np.abs(diagonal).max())
+    for i in range(1, len(d)):
+        p = d[i - 1] if abs(d[i - 1]) > tiny else tiny
+        m = e[i - 1] / p
+        d[i] -= m * e[i - 1]
+        y[i] -= m * y[i - 1]
+    x = [0.0] * len(d)
+    x[-1] = y[-1] / (d[-1] if abs(d[-1]) > tiny else tiny)
+    for i in range(len(d) - 2, -1, -1):
+        x[i] = (y[i] - e[i] * x[i + 1]) / (d[i] if abs(d[i]) > tiny else tiny)
+    return np.array(x)
 
 
 def coherence_points(a: np.ndarray, b: np.ndarray, fs: float, band, nw: float = 2.5, count: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

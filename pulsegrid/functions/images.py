@@ -58,7 +58,7 @@ def reconstruct(seed: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def place_fields(rate: np.ndarray, min_rate: float = 1.0, thresh: float = 0.2, min_size: int = 100, max_size: int = 200, sigma: float | None = None) -> np.ndarray:
-    """Fields around descending peaks: the region above ``thresh`` of the peak that holds it, if its size is right.
+    """Fields around descending peaks: the region above ``thresh`` of the peak, and ``min_rate``, that holds it, if its size is right.
 
     Works in the box of the region only, so each peak costs what its field
     covers. Numbers are by descending peak.
@@ -74,7 +74,7 @@ def place_fields(rate: np.ndarray, min_rate: float = 1.0, thresh: float = 0.2, m
         top = left[at]
         if top < min_rate or top <= 0:
             return out
-        mask = (left > thresh * top) & (out == 0)
+        mask = (left > max(thresh * top, min_rate)) & (out == 0)
         region = _flood(mask, at)
         size = int(region.sum())
         if min_size <= size <= max_size:

@@ -6,15 +6,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .grid import spine
 from .perievent import odd
 from .joins import range_join
 
 
-def correlogram(points: DataFrame, width: float, n_bins: int, unit: str = "unit", same: bool = True, pairs: bool = False) -> DataFrame:
+def correlogram(points: DataFrame, width: float, n_bins: int, unit: str = "unit", same: bool = True, pairs: bool = False, empty: bool = True) -> DataFrame:
     """(unit, unit2, bin, lag, n, rate): lags of unit2's points around unit's; ``same``: auto, ``pairs``: cross with unit < unit2.
 
-    Bins without points are left out; zero lag of a unit with itself counts as
-    zero.
+    Bins without points are zero, or left out on request; zero lag of a unit
+    with itself counts as zero.
     """
     n = odd(n_bins)
     half = n / 2 * width
@@ -27,12 +28,25 @@ def correlogram(points: DataFrame, width: float, n_bins: int, unit: str = "unit"
     k = F.floor((F.col("t") - (F.col("r") - half)) / width).cast("int")
     got = got.withColumn("bin", k).where((F.col("bin") >= 0) & (F.col("bin") < n)).groupBy(unit, "unit2", "bin").agg(F.count(F.lit(1)).alias("n"))
     size = points.groupBy(unit).agg(F.count(F.lit(1)).alias("_size"))
+    if empty:
+        units = points.select(unit).distinct()
+        if same and not pairs:
+            both = units.withColumn("unit2", F.col(unit))
+        else:
+            both = units.join(units.select(F.col(unit).alias("unit2")), F.col(unit) <= F.col("unit2") if same else F.col(unit) < F.col("unit2"))  # the pairs are the output
+        got = both.select(unit, "unit2", spine(n)).join(got, [unit, "unit2", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
     got = got.join(size, unit).withColumn("lag", (F.col("bin") - n // 2) * width)
     zero = (F.col(unit) == F.col("unit2")) & (F.col("bin") == n // 2)
     count = F.when(zero, F.lit(0)).otherwise(F.col("n"))
     return got.select(unit, "unit2", "bin", "lag", count.alias("n"), (count / (F.col("_size") * width)).alias("rate"))
 
 
+def _ranked(rows: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_rank`` within each key, ties at their mean."""
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+    return rows.withColumn("_rank", F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (ties - 1) / 2.0)
+
+
 def pairwise(series: DataFrame, index: str, value: str, unit: str = "unit", method: str = "pearson", keys: Sequence[str] = ()) -> DataFrame:
     """(keys, unit, unit2, r, n) over all pairs unit < unit2 of a long table; null for a constant series.
 
@@ -41,31 +55,69 @@ def pairwise(series: DataFrame, index: str, value: str, unit: str = "unit", meth
     """
     rows = series.where(F.col(value).isNotNull()).select(*keys, unit, index, F.col(value).cast("double").alias("x"))
     if method == "spearman":
-        w = Window.partitionBy(*keys, unit)
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, unit, "x"))
-        rows = rows.withColumn("x", F.rank().over(w.orderBy("x")) + (ties - 1) / 2.0)
+        rows = _ranked(rows, "x", [*keys, unit]).withColumn("x", F.col("_rank"))
     b = rows.select(*keys, F.col(unit).alias("unit2"), index, F.col("x").alias("y"))
     got = rows.join(b, [*keys, index]).where(F.col(unit) < F.col("unit2")).groupBy(*keys, unit, "unit2")
     got = got.agg(F.count(F.lit(1)).alias("n"), F.covar_pop("x", "y").alias("_c"), F.stddev_pop("x").alias("_x"), F.stddev_pop("y").alias("_y"))
     return got.select(*keys, unit, "unit2", F.try_divide("_c", F.col("_x") * F.col("_y")).alias("r"), "n")
 
 
-def pairwise_dense(series: DataFrame, index: str, value: str, unit: str = "unit", keys: Sequence[str] = (), blocks: int | None = None) -> DataFrame:
+def pairwise_dense(series: DataFrame, index: str, value: str, unit: str = "unit", keys: Sequence[str] = (), blocks: int | None = None, method: str = "pearson") -> DataFrame:
     """Like :func:`pairwise` for series with a value at every index (binned counts with their zeros).
 
-    Each unit becomes one array of standard scores, and pairs meet by blocks of
-    units: one side lies in one block, the other goes to all, so the join moves
-    units x blocks arrays and makes each pair once, in place of pairs x bins
-    rows.
+    Each unit becomes one array of standard scores, and pairs meet by pairs of
+    blocks of units, a matrix product each: units x blocks arrays move, in place
+    of pairs x bins rows.
     """
-    blocks = blocks or int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    g = series.groupBy(*keys, unit).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("x")))).alias("_v"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    z = F.when(F.col("_s") > 0, F.transform("_v", lambda e: (e["x"] - F.col("_m")) / F.col("_s")))
-    v = g.select(*keys, unit, z.alias("_z"), F.size("_v").alias("n"))
-    a = v.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = v.select(*keys, F.col(unit).alias("unit2"), F.col("_z").alias("_z2"), F.pmod(F.xxhash64(unit), F.lit(blocks)).cast("int").alias("_b"))
-    dot = F.aggregate(F.zip_with("_z", "_z2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b, [*keys, "_b"]).where(F.col(unit) < F.col("unit2")).select(*keys, unit, "unit2", (dot / F.col("n")).alias("r"), F.col("n").cast("long").alias("n"))
+    import numpy as np
+    import pyarrow as pa
+
+    if method == "spearman":
+        series, value = _ranked(series, value, [*keys, unit]), "_rank"
+    v = _scores(series, index, value, [*keys, unit])
+    kinds = dict(series.dtypes)
+    ddl = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{unit} {kinds[unit]}, unit2 {kinds[unit]}, r double, n long"])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = _rows_of(a["_z"]), _rows_of(b["_z"])
+        u, w = a[unit].to_numpy(), b[unit].to_numpy()
+        r = x @ y.T / max(x.shape[1], 1)
+        i, j = np.nonzero(u[:, None] < w[None, :]) if a["_i"][0] == b["_j"][0] else (v.ravel() for v in np.indices(r.shape))
+        first, second, r = u[i], w[j], r[i, j]
+        flip = first > second
+        cols = {k: pa.array([a[k][0].as_py()] * len(i), a.schema.field(k).type) for k in keys}
+        cols |= {unit: pa.array(np.where(flip, second, first), a.schema.field(unit).type), "unit2": pa.array(np.where(flip, first, second), a.schema.field(unit).type)}
+        return pa.table(cols | {"r": pa.array(r, mask=~np.isfinite(r)), "n": pa.array(np.full(len(i), x.shape[1]), pa.int64())})
+
+    return _block_pairs(v, keys, unit, blocks, run, ddl)
+
+
+def _scores(series: DataFrame, index: str, value: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, _z): the standard scores of each key in order of the index; not a number for a constant series."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("x"))))
+    g = series.groupBy(*keys).agg(pairs.alias("_v"), F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    return g.select(*keys, F.transform("_v", lambda e: F.when(F.col("_s") > 0, (e["x"] - F.col("_m")) / F.col("_s")).otherwise(F.lit(float("nan")))).alias("_z"))
+
+
+def _rows_of(column):
+    """A column of equally long arrays as a matrix."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _block_pairs(rows: DataFrame, keys: Sequence[str], unit: str, blocks: int | None, run, ddl: str) -> DataFrame:
+    """``run(rows of a block, rows of another or the same)`` for each pair of blocks of units, inside the keys."""
+    blocks = blocks or max(1, int((2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5))
+    at = F.pmod(F.xxhash64(unit), F.lit(blocks)).cast("int")
+    a = rows.withColumn("_i", at).withColumn("_j", F.explode(F.sequence("_i", F.lit(blocks - 1))))
+    b = rows.select(*[F.col(c).alias(c) for c in rows.columns]).withColumn("_j", at).withColumn("_i", F.explode(F.sequence(F.lit(0), "_j")))
+    by = [*keys, "_i", "_j"]
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    none = pa.Table.from_batches([], schema=to_arrow_schema(StructType.fromDDL(ddl)))
+    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInArrow(lambda x, y: run(x, y) if len(x) and len(y) else none, ddl)
 
 
 def cross_correlation(series: DataFrame, index: str, value: str, max_lag: int, unit: str = "unit") -> DataFrame:

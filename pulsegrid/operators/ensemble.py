@@ -72,16 +72,39 @@ def marchenko_pastur(n_units: int, n_bins: int, tracy_widom: bool = False) -> fl
 
 
 def correlation_matrix(z: DataFrame, unit: str = "unit", index: str = "bin", value: str = "z") -> tuple[list, np.ndarray, int]:
-    """Units, their correlation matrix and the number of bins; one aggregate, units x units numbers on the driver."""
-    a = z.select(unit, index, F.col(value).alias("x"))
-    b = a.select(F.col(unit).alias("unit2"), index, F.col("x").alias("y"))
-    got = a.join(b, index).where(F.col(unit) <= F.col("unit2")).groupBy(unit, "unit2").agg(F.avg(F.col("x") * F.col("y")).alias("c")).collect()
-    units = sorted({r[unit] for r in got})
-    at = {u: i for i, u in enumerate(units)}
-    m = np.zeros((len(units), len(units)))
-    for r in got:
-        m[at[r[unit]], at[r["unit2"]]] = m[at[r["unit2"]], at[r[unit]]] = r["c"]
-    return units, m, z.select(index).distinct().count()
+    """Units, the mean products of each two over the bins that both have, and the number of bins.
+
+    Bins are packed to rows, and each of a few tasks adds up one matrix of
+    units x units; those reach the driver, which solves a matrix of that size.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    units = sorted(r[0] for r in z.select(unit).distinct().collect())  # the side of the matrix
+    k, names = len(units), pa.array(units)
+    bins = z.groupBy(index).agg(F.collect_list(F.col(unit)).alias("u"), F.collect_list(F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))).alias("x"))
+
+    def run(batches):
+        total, both, n = np.zeros((k, k)), np.zeros((k, k)), 0
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                u, x = b.column(0).slice(lo, 256), b.column(1).slice(lo, 256)
+                m = np.full((len(u), k), np.nan)
+                row = np.repeat(np.arange(len(u)), pc.list_value_length(u).to_numpy())
+                m[row, pc.index_in(u.flatten(), names.cast(u.type.value_type)).to_numpy()] = x.flatten().to_numpy()
+                there = (~np.isnan(m)).astype(float)
+                m = np.nan_to_num(m)
+                total += m.T @ m
+                both += there.T @ there
+                n += len(u)
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (total, both)] + [pa.array([n], pa.int64())], names=["m", "n", "bins"])
+
+    total, both, n = np.zeros((k, k)), np.zeros((k, k)), 0
+    for r in bins.select("u", "x").coalesce(8).mapInArrow(run, "m binary, n binary, bins long").toLocalIterator():
+        total += np.frombuffer(r["m"]).reshape(k, k)
+        both += np.frombuffer(r["n"]).reshape(k, k)
+        n += r["bins"]
+    return units, total / np.maximum(both, 1), n
 
 
 def assemblies(z: DataFrame, unit: str = "unit", index: str = "bin", value: str = "z", method: str = "pca", bound: float | None = None, seed: int = 0, cross: dict | None = None) -> DataFrame:
@@ -101,7 +124,7 @@ def assemblies(z: DataFrame, unit: str = "unit", index: str = "bin", value: str
     keep = np.argsort(-values)[: int((values > limit).sum())]
     w = vectors[:, keep]
     if method == "ica" and len(keep):
-        w = w @ _rotation(_projected(z, units, w / np.sqrt(values[keep]), unit, index, value), seed)
+        w = w @ _rotation(Projected(z, units, w / np.sqrt(values[keep]), n_bins, unit, index, value), seed)
         w /= np.linalg.norm(w, axis=0)
     rows = []
     for k in range(w.shape[1]):
@@ -111,26 +134,52 @@ def assemblies(z: DataFrame, unit: str = "unit", index: str = "bin", value: str
     return spark.createDataFrame(rows, f"assembly int, {unit} {kind}, weight double")
 
 
-def _projected(z: DataFrame, units: list, w: np.ndarray, unit: str, index: str, value: str, most: int = 100_000) -> np.ndarray:
-    """Activity along the patterns, at most ``most`` bins of it: a bounded sample that only turns the patterns."""
-    kind = dict(z.dtypes)[unit]
-    p = z.sparkSession.createDataFrame([(u, [float(x) for x in w[i]]) for i, u in enumerate(units)], f"{unit} {kind}, w array<double>")
-    n = z.select(index).distinct().count()
-    some = z if n <= most else z.where(F.pmod(F.xxhash64(index), F.lit(n)) < most)
-    got = some.join(F.broadcast(p), unit).groupBy(index).agg(*[F.sum(F.col(value) * F.col("w")[k]).alias(f"p{k}") for k in range(w.shape[1])])
-    return got.select(*[f"p{k}" for k in range(w.shape[1])]).toPandas().to_numpy().T
+class Projected:
+    """Activity of all bins along some patterns, and its means; what one machine holds (MOST numbers) is held there, more stays distributed."""
+
+    MOST = 10_000_000
+
+    def __init__(self, z: DataFrame, units: list, w: np.ndarray, n_bins: int, unit: str, index: str, value: str):
+        kind = dict(z.dtypes)[unit]
+        self.k, self.n = w.shape[1], n_bins
+        p = z.sparkSession.createDataFrame([(u, [float(x) for x in w[i]]) for i, u in enumerate(units)], f"{unit} {kind}, w array<double>")
+        got = z.join(p, unit).groupBy(index).agg(*[F.sum(F.col(value) * F.col("w")[k]).alias(f"p{k}") for k in range(self.k)]).drop(index)
+        self.here = n_bins * self.k <= self.MOST
+        self.x = np.ascontiguousarray(got.toPandas().to_numpy().T) if self.here else got.checkpoint()
+
+    def mean(self, f) -> np.ndarray:
+        """Mean over bins of ``f(x) / bins``, an array made of the projections of some bins (patterns x bins)."""
+        if self.here:
+            return f(self.x) / self.n
+        import pyarrow as pa
 
+        def run(batches):
+            total = None
+            for b in batches:
+                v = f(np.stack([c.to_numpy() for c in b.columns]))
+                total = v if total is None else total + v
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-def _rotation(x: np.ndarray, seed: int, rounds: int = 500, tol: float = 1e-6) -> np.ndarray:
-    """Symmetric FastICA of whitened rows with tanh."""
-    k = x.shape[0]
-    u, s, _ = np.linalg.svd(x @ x.T / x.shape[1])
+        parts = [np.frombuffer(r["m"]) for r in self.x.mapInArrow(run, "m binary").toLocalIterator()]  # patterns x patterns numbers a task
+        return sum(parts).reshape(-1, self.k) / self.n
+
+
+def _rotation(data: Projected, seed: int, rounds: int = 500, tol: float = 1e-6) -> np.ndarray:
+    """Symmetric FastICA of whitened rows with tanh, over all bins; each round is one pass of means."""
+    k = data.k
+    u, s, _ = np.linalg.svd(data.mean(lambda x: x @ x.T))
     white = u @ np.diag(1 / np.sqrt(np.maximum(s, 1e-12))) @ u.T
-    y = white @ x
     w = np.linalg.qr(np.random.default_rng(seed).standard_normal((k, k)))[0]
     for _ in range(rounds):
-        g = np.tanh(w @ y)
-        new = g @ y.T / y.shape[1] - np.diag((1 - g * g).mean(axis=1)) @ w
+
+        def moments(x: np.ndarray, w=w) -> np.ndarray:
+            y = white @ x
+            g = np.tanh(w @ y)
+            return np.vstack([g @ y.T, np.diag((1 - g * g).sum(axis=1))])
+
+        m = data.mean(moments)
+        new = m[:k] - m[k:] @ w
         a, _, b = np.linalg.svd(new)
         new = a @ b
         done = np.max(np.abs(np.abs(np.diag(new @ w.T)) - 1)) < tol
@@ -201,6 +250,36 @@ def explained_variance(pairs: DataFrame, pre: str = "pre", task: str = "task", p
     return g.select(*keys, F.pow(part(tp, tr, pr), F.lit(2)).alias("ev"), F.pow(part(tr, tp, pr), F.lit(2)).alias("rev"))
 
 
+def explained_variance_of(series: DataFrame, index: str, value: str, period: str, pre, task, post, unit: str = "unit", blocks: int | None = None) -> DataFrame:
+    """(ev, rev) of dense series (period, unit, index): pairs of units meet by blocks and leave sums only, so no row a pair is made."""
+    import pyarrow as pa
+
+    from .correlate import _block_pairs, _rows_of, _scores
+
+    z = _scores(series, index, value, [period, unit])
+    of = lambda p: F.first(F.when(F.col(period) == p, F.col("_z")), ignorenulls=True)
+    rows = z.groupBy(unit).agg(*[of(p).alias(n) for n, p in (("a", pre), ("b", task), ("c", post))]).dropna()
+    names = ["n", "a", "b", "c", "aa", "bb", "cc", "ab", "bc", "ac"]
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        u, w = x[unit].to_numpy(), y[unit].to_numpy()
+        keep = u[:, None] < w[None, :] if x["_i"][0] == y["_j"][0] else np.ones((len(u), len(w)), bool)
+        r = []
+        for c in "abc":
+            p, q = _rows_of(x[c]), _rows_of(y[c])
+            r.append(p @ q.T / max(p.shape[1], 1))
+        a, b, c = (m[keep & np.isfinite(r[0]) & np.isfinite(r[1]) & np.isfinite(r[2])] for m in r)
+        sums = [len(a), a.sum(), b.sum(), c.sum(), a @ a, b @ b, c @ c, a @ b, b @ c, a @ c]
+        return pa.table({k: [float(v)] for k, v in zip(names, sums, strict=True)})
+
+    total = _block_pairs(rows, [], unit, blocks, run, ", ".join(f"{k} double" for k in names)).agg(*[F.sum(k).alias(k) for k in names])
+    m = lambda k: F.try_divide(F.col(k), F.col("n"))
+    r = lambda x, y, xy: F.try_divide(m(xy) - m(x) * m(y), F.sqrt((m(x + x) - m(x) * m(x)) * (m(y + y) - m(y) * m(y))))
+    tp, tr, pr = r("b", "c", "bc"), r("a", "b", "ab"), r("a", "c", "ac")
+    part = lambda x, y, z: (x - y * z) / (F.sqrt((1 - y * y) * (1 - z * z)) + 1e-10)
+    return total.select(F.pow(part(tp, tr, pr), F.lit(2)).alias("ev"), F.pow(part(tr, tp, pr), F.lit(2)).alias("rev"))
+
+
 # landscapes and history
 
 

@@ -115,11 +115,14 @@ def hysteresis(rows: DataFrame, value: str, high: float, low: float, order: str,
 
 
 def membership(points: DataFrame, epochs: DataFrame, t: str, width: float, keys: Sequence[str] = (), by: str = "epoch_id") -> DataFrame:
-    """Every point with ``interval``, the last of the closed epochs that hold it, null if none."""
+    """Every point with ``interval``, the last (by start) of the closed epochs that hold it, null if none; equal points all stay."""
     e = epochs.select(*keys, F.col("start").alias("_lo"), F.col("stop").alias("_hi"), F.col(by).alias("_id"))
-    cols = points.columns
-    got = range_join(points, e, t, "_lo", "_hi", width, keys, how="left")
-    return got.groupBy(*cols).agg(F.max("_id").alias("interval"))
+    got = range_join(points.select(*keys, t).distinct(), e, t, "_lo", "_hi", width, keys)
+    got = got.groupBy(*[F.col(c).alias(f"_m_{c}") for c in (*keys, t)]).agg(F.max_by("_id", F.struct("_lo", "_id")).alias("interval"))
+    same = F.col(t) == F.col(f"_m_{t}")
+    for k in keys:
+        same &= F.col(k) == F.col(f"_m_{k}")
+    return points.join(got, same, "left").select(*points.columns, "interval")
 
 
 def restrict(points: DataFrame, epochs: DataFrame, t: str, width: float, keys: Sequence[str] = (), ends: str = "closed") -> DataFrame:

@@ -63,8 +63,14 @@ def overlap_join(a: DataFrame, b: DataFrame, width: float, keys: Sequence[str] =
     cond = (F.col("_xb") == F.col("_yb")) & (F.col("_xb") == bucket(F.greatest(s, s2), width)) & meet
     for k in keys:
         cond &= F.col(k) == F.col(names[k])
-    out = x.join(y, cond, how).drop("_xb", "_yb", *names.values())
-    return out.dropDuplicates() if how in ("left_semi",) else out
+    if how != "left_semi":
+        return x.join(y, cond, how).drop("_xb", "_yb", *names.values())
+    # the intervals that meet any, each once; equal rows of the table all stay
+    hit = x.join(y, cond, how).select(*[F.col(c).alias(f"_h_{c}") for c in (*keys, "start", "stop")]).distinct()
+    same = F.lit(True)
+    for c in (*keys, "start", "stop"):
+        same &= F.col(c) == F.col(f"_h_{c}")
+    return a.join(hit, same, "left_semi")
 
 
 def asof_join(left: DataFrame, right: DataFrame, t: str, values: Sequence[str], keys: Sequence[str] = (), width: float = 3600.0, direction: str = "backward", strict: bool = False, prefix: str = "") -> DataFrame:
@@ -105,17 +111,44 @@ def asof_join(left: DataFrame, right: DataFrame, t: str, values: Sequence[str],
     )
 
 
+def neighbours(left: DataFrame, right: DataFrame, t: str, values: Sequence[str], keys: Sequence[str] = (), width: float = 3600.0) -> DataFrame:
+    """Left rows with ``_before`` and ``_after``: the right rows next to them on either side, as structs ``_t`` and ``_v``.
+
+    Both sides come from one union in one partitioning; a row of equal time is
+    on either side. Ties among right rows go to the greatest values.
+    """
+    fact = F.struct("_t", "_v")
+    r = right.where(F.col(t).isNotNull()).select(*keys, F.col(t).alias("_t"), F.struct(*[F.col(v) for v in values]).alias("_v"))
+    kind = r.select(fact.alias("e")).schema["e"].dataType
+    none = F.lit(None).cast(kind)
+    # what reaches a bucket from those before and behind it: a row a bucket
+    ends = r.groupBy(*keys, bucket("_t", width).alias("_b")).agg(F.max(fact).alias("_last"), F.max_by(fact, F.struct(-F.col("_t"), "_v")).alias("_first"), F.lit(0).alias("_is"))
+    mine = left.select(*keys, bucket(t, width).alias("_b")).distinct().select(*keys, "_b", none.alias("_last"), none.alias("_first"), F.lit(1).alias("_is"))
+    both = ends.unionByName(mine).groupBy(*keys, "_b").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("_last", "_first")], F.max("_is").alias("_is"))
+    w = Window.partitionBy(*keys).orderBy("_b")
+    both = both.withColumn("_from", F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    both = both.withColumn("_to", F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    carried = both.where("_is = 1").select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_b").alias("_cb"), "_from", "_to")
+    rows = left.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in left.columns])).select(*keys, F.col(t).alias("_at"), "_row", none.alias("_e"), F.lit(1).alias("_o"))
+    facts = r.select(*keys, F.col("_t").alias("_at"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), fact.alias("_e"), F.lit(0).alias("_o"))
+    u = rows.unionByName(facts).withColumn("_b", bucket("_at", width))
+    w = Window.partitionBy(*keys, "_b")
+    near = lambda at: F.last("_e", ignorenulls=True).over(w.orderBy(at, F.col("_o").asc(), F.col("_e").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    u = u.withColumn("_back", near(F.col("_at").asc())).withColumn("_on", near(F.col("_at").desc())).where(F.col("_row").isNotNull())
+    cond = F.col("_b") == F.col("_cb")
+    for k in keys:
+        cond &= F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+    got = u.join(carried, cond, "left")
+    return got.select(*[F.col(f"_row.`{c}`").alias(c) for c in left.columns], F.coalesce("_back", "_from").alias("_before"), F.coalesce("_on", "_to").alias("_after"))
+
+
 def nearest_join(left: DataFrame, right: DataFrame, t: str, values: Sequence[str] = (), keys: Sequence[str] = (), width: float = 3600.0) -> DataFrame:
     """Left rows with the nearest right row as ``nearest`` and its ``values``; of two at one distance the later."""
-    vs = list(values) or [t]
-    a = asof_join(left, right, t, vs, keys, width, "backward", prefix="_p_")
-    b = asof_join(a, right, t, vs, keys, width, "forward", prefix="_n_")
-    before, after = F.col(f"_p_{t}_asof"), F.col(f"_n_{t}_asof")
-    use_after = before.isNull() | (after.isNotNull() & ((after - F.col(t)) <= (F.col(t) - before)))
-    b = b.withColumn("nearest", F.when(use_after, after).otherwise(before))
-    for v in values:
-        b = b.withColumn(f"nearest_{v}", F.when(use_after, F.col(f"_n_{v}")).otherwise(F.col(f"_p_{v}")))
-    return b.drop(*[c for c in b.columns if c.startswith(("_p_", "_n_"))])
+    got = neighbours(left, right, t, list(values) or [t], keys, width)
+    before, after = F.col("_before._t"), F.col("_after._t")
+    later = before.isNull() | (after.isNotNull() & ((after - F.col(t)) <= (F.col(t) - before)))
+    got = got.withColumn("_near", F.when(later, F.col("_after")).otherwise(F.col("_before")))
+    return got.select(*left.columns, F.col("_near._t").alias("nearest"), *[F.col("_near._v").getField(v).alias(f"nearest_{v}") for v in values])
 
 
 def interpolate_at(left: DataFrame, signal: DataFrame, t: str, value: str, keys: Sequence[str] = (), width: float = 3600.0, max_gap: float | None = None, circular: bool = False) -> DataFrame:
@@ -123,16 +156,16 @@ def interpolate_at(left: DataFrame, signal: DataFrame, t: str, value: str, keys:
 
     ``circular``: through sine and cosine, wrapped to [0, 2 pi).
     """
-    a = asof_join(left, signal, t, [value], keys, width, "backward", prefix="_p_")
-    b = asof_join(a, signal, t, [value], keys, width, "forward", prefix="_n_")
-    t0, t1, v0, v1 = (F.col(c) for c in (f"_p_{t}_asof", f"_n_{t}_asof", f"_p_{value}", f"_n_{value}"))
+    got = neighbours(left, signal, t, [value], keys, width)
+    t0, t1 = F.col("_before._t"), F.col("_after._t")
+    v0, v1 = F.col("_before._v").getField(value), F.col("_after._v").getField(value)
     share = F.when(t1 > t0, (F.col(t) - t0) / (t1 - t0)).otherwise(F.lit(0.0))
     if circular:
         mixed = lambda f: f(v0) + share * (f(v1) - f(v0))
-        got = F.pmod(F.atan2(mixed(F.sin), mixed(F.cos)), F.lit(2 * 3.141592653589793))
+        at = F.pmod(F.atan2(mixed(F.sin), mixed(F.cos)), F.lit(2 * 3.141592653589793))
     else:
-        got = v0 + share * (v1 - v0)
+        at = v0 + share * (v1 - v0)
     ok = t0.isNotNull() & t1.isNotNull()
     if max_gap is not None:
         ok &= (t1 - t0 <= max_gap) | (t0 == F.col(t)) | (t1 == F.col(t))
-    return b.withColumn(value, F.when(ok, got)).drop(*[c for c in b.columns if c.startswith(("_p_", "_n_"))])
+    return got.withColumn(value, F.when(ok, at)).drop("_before", "_after")

@@ -64,15 +64,17 @@ def psth(points: DataFrame, refs: DataFrame, width: float, n_bins: int, by: Sequ
 
 
 def peth_matrix(points: DataFrame, refs: DataFrame, width: float, n_bins: int) -> DataFrame:
-    """Rate for each reference and bin that has points: (ref_id, bin, rate)."""
-    return lag_counts(points, refs, width, n_bins, by=("ref_id",)).select("ref_id", "bin", (F.col("n") / width).alias("rate"))
+    """Rate for each reference and bin, empty ones as zero: (ref_id, bin, rate)."""
+    got = lag_counts(points, refs, width, n_bins, by=("ref_id",))
+    every = refs.select("ref_id").distinct().select("ref_id", spine(odd(n_bins)))
+    return every.join(got, ["ref_id", "bin"], "left").select("ref_id", "bin", (F.coalesce("n", F.lit(0)) / width).alias("rate"))
 
 
 def joint_peth(peth_1: DataFrame, peth_2: DataFrame) -> DataFrame:
     """(bin_1, bin_2, joint, expected, difference) of two tables (ref_id, bin, rate), by event; roots of the means."""
     a, b = (p.select("ref_id", F.col("bin").alias(f"bin_{i}"), F.col("rate").alias(f"rate_{i}")) for i, p in ((1, peth_1), (2, peth_2)))
     n = peth_1.select("ref_id").unionByName(peth_2.select("ref_id")).agg(F.countDistinct("ref_id").alias("n"))
-    joint = a.join(b, "ref_id").groupBy("bin_1", "bin_2").agg(F.sum(F.col("rate_1") * F.col("rate_2")).alias("s"))
+    joint = a.where("rate_1 <> 0").join(b.where("rate_2 <> 0"), "ref_id").groupBy("bin_1", "bin_2").agg(F.sum(F.col("rate_1") * F.col("rate_2")).alias("s"))
     m1, m2 = (p.groupBy(f"bin_{i}").agg(F.sum(f"rate_{i}").alias(f"m_{i}")) for i, p in ((1, a), (2, b)))
     got = m1.crossJoin(m2).join(joint, ["bin_1", "bin_2"], "left").join(F.broadcast(n), F.lit(True))  # bins x bins, and one row
     got = got.select("bin_1", "bin_2", F.sqrt(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("joint"), F.sqrt(F.col("m_1") * F.col("m_2")).alias("_e"), "n")

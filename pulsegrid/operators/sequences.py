@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -186,13 +187,20 @@ def good_laps(rows: DataFrame, laps: DataFrame, lo: float, step: float, n: int,
 def project_to_track(rows: DataFrame, segments: DataFrame, key: str = "i") -> DataFrame:
     """Rows with ``segment``, ``lin``, ``px`` and ``py`` of the nearest of the track's segments (segment, x0, y0, x1, y1, before).
 
-    A track is a few dozen segments, checked to be below 10,000.
+    A track is a few dozen segments, checked to be at most 1,000: they are
+    written into the plan, so rows neither meet another table nor move. Rows
+    without coordinates get nulls.
     """
-    if segments.limit(10_001).count() > 10_000:
-        raise ValueError("a track has at most 10,000 segments")
-    x = rows.join(F.broadcast(segments))
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy, dx * dx + dy * dy), F.lit(0.0))))
-    x = x.withColumn("px", F.col("x0") + s * dx).withColumn("py", F.col("y0") + s * dy).withColumn("lin", F.col("before") + s * F.hypot(dx, dy)).withColumn("_d", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")))
-    best = F.min_by(F.struct("segment", "lin", "px", "py"), F.struct("_d", "segment"))
-    return x.groupBy(*rows.columns).agg(best.alias("_b")).select(*rows.columns, "_b.*")
+    if segments.limit(1_001).count() > 1_000:
+        raise ValueError("a track has at most 1,000 segments")
+    of = [tuple(r[c] for c in ("segment", "x0", "y0", "x1", "y1", "before")) for r in segments.collect()]
+    fields = []
+    for seg, x0, y0, x1, y1, before in of:
+        dx, dy, d2 = x1 - x0, y1 - y0, (x1 - x0) ** 2 + (y1 - y0) ** 2
+        s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - x0) * dx + (F.col("y") - y0) * dy) / d2)) if d2 else F.lit(0.0)
+        px, py = F.lit(float(x0)) + s * dx, F.lit(float(y0)) + s * dy
+        fields.append(F.struct(F.hypot(F.col("x") - px, F.col("y") - py).alias("d"), F.lit(seg).cast(segments.schema["segment"].dataType).alias("segment"), (F.lit(float(before)) + s * math.hypot(dx, dy)).alias("lin"), px.alias("px"), py.alias("py")))
+    best = F.array_min(F.array(*fields))
+    on = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return rows.withColumn("_b", F.when(on, best)).select(*rows.columns, "_b.segment", "_b.lin", "_b.px", "_b.py")
+

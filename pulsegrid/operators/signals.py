@@ -121,7 +121,7 @@ def signal_spectrum(signal: DataFrame, fs: float, band: tuple[float, float], nw:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x = g.sort_values("t")["value"].to_numpy(float)
-        tap = (dsp.dpss(len(x), nw, tapers)[0].T if len(x) <= 2048 else dsp._long_tapers(len(x), nw, tapers)) * np.sqrt(fs)
+        tap = dsp.slepian(len(x), nw, tapers) * np.sqrt(fs)
         f, p = dsp.spectrum_continuous(x, fs, band, tap)
         return pd.DataFrame({**{k: g[k].iloc[0] for k in keys}, "freq": f, "power": p})
 
@@ -220,8 +220,12 @@ def up_down_states(points: DataFrame, epochs: DataFrame, step: float = 0.01, sig
     return down.withColumn("state", F.lit("DOWN")).unionByName(up.withColumn("state", F.lit("UP")))
 
 
-def dip(x: np.ndarray, n_boot: int = 100, seed: int = 0) -> tuple[float, float]:
-    """Distance of the distribution from the nearest unimodal one on a grid of modes, and p against normal samples."""
+def dip(x: np.ndarray, n_boot: int = 100, seed: int = 0, null: int = 2000) -> tuple[float, float]:
+    """Distance of the distribution from the nearest unimodal one on a grid of modes, and p against normal samples.
+
+    All values count. The distance of n normal values falls with the root of n,
+    so those of ``null`` values are scaled to n.
+    """
 
     def distance(v: np.ndarray) -> float:
         v = np.sort(v)
@@ -236,12 +240,11 @@ def dip(x: np.ndarray, n_boot: int = 100, seed: int = 0) -> tuple[float, float]:
 
     x = np.asarray(x, float)
     x = x[np.isfinite(x)]
-    if len(x) > 2000:
-        x = np.quantile(x, np.linspace(0, 1, 2000))
     d = distance(x)
     rng = np.random.default_rng(seed)
-    null = [distance(rng.standard_normal(len(x))) for _ in range(n_boot)]
-    return d, float((np.sum(np.array(null) >= d) + 1) / (n_boot + 1))
+    m = min(len(x), null)
+    most = np.array([distance(rng.standard_normal(m)) for _ in range(n_boot)]) * np.sqrt(m / max(len(x), 1))
+    return d, float((np.sum(most >= d) + 1) / (n_boot + 1))
 
 
 def _hull(x: np.ndarray, y: np.ndarray, sign: int) -> np.ndarray:

@@ -29,15 +29,15 @@ def psth_asymmetric(spark, sf):
     return pe.psth(spikes(spark, sf), refs(spark, sf, "error"), 90.0, 0, window=(-360.0, 900.0)).withColumn("rate", F.round("rate", 9))
 
 
-@query(f"WITH {EV}, {_ERR}, {_HITS} SELECT ref_id, bin, count(*) / 90.0::DOUBLE AS rate FROM h GROUP BY ALL")
+@query(f"WITH {EV}, {_ERR}, {_HITS}, c AS (SELECT ref_id, bin, count(*) AS n FROM h GROUP BY ALL) SELECT r.ref_id, i::INTEGER AS bin, coalesce(n, 0) / 90.0::DOUBLE AS rate FROM r CROSS JOIN range(21) g(i) LEFT JOIN c ON c.ref_id = r.ref_id AND c.bin = i")
 def peth_matrix(spark, sf):
     return pe.peth_matrix(spikes(spark, sf), refs(spark, sf, "error"), 90.0, 20)
 
 
 @query(
     f"""WITH {EV}, {_ERR}, {_HITS.replace('e.unit', 'e.kind, e.unit')}, p1 AS (SELECT ref_id, bin, count(*) / 90.0::DOUBLE AS rate FROM h WHERE kind = 'view' GROUP BY ALL), p2 AS (SELECT ref_id, bin, count(*) / 90.0::DOUBLE AS rate FROM h WHERE kind = 'click' GROUP BY ALL),
-n AS (SELECT count(DISTINCT ref_id) AS n FROM (SELECT ref_id FROM p1 UNION ALL SELECT ref_id FROM p2)), j AS (SELECT p1.bin AS b1, p2.bin AS b2, sum(p1.rate * p2.rate) AS s FROM p1 JOIN p2 USING (ref_id) GROUP BY ALL),
-m1 AS (SELECT bin AS b1, sum(rate) AS m1 FROM p1 GROUP BY bin), m2 AS (SELECT bin AS b2, sum(rate) AS m2 FROM p2 GROUP BY bin)
+n AS (SELECT count(*) AS n FROM r), b AS (SELECT i::INTEGER AS b FROM range(21) g(i)), j AS (SELECT p1.bin AS b1, p2.bin AS b2, sum(p1.rate * p2.rate) AS s FROM p1 JOIN p2 USING (ref_id) GROUP BY ALL),
+m1 AS (SELECT b AS b1, coalesce(sum(rate), 0) AS m1 FROM b LEFT JOIN p1 ON p1.bin = b GROUP BY b), m2 AS (SELECT b AS b2, coalesce(sum(rate), 0) AS m2 FROM b LEFT JOIN p2 ON p2.bin = b GROUP BY b)
 SELECT b1 AS bin_1, b2 AS bin_2, round(sqrt(coalesce(s, 0) / n), 9) AS joint, round(sqrt(m1 * m2) / n, 9) AS expected, round(sqrt(coalesce(s, 0) / n) - sqrt(m1 * m2) / n, 9) AS difference FROM m1 CROSS JOIN m2 LEFT JOIN j USING (b1, b2) CROSS JOIN n"""
 )
 def joint_peth(spark, sf):
@@ -154,20 +154,19 @@ _ACG = "floor((b.t - (a.t - 21/2.0::DOUBLE*3600.0::DOUBLE)) / 3600.0)"
 @query(
     f"""WITH {EV}, c AS (SELECT a.unit, b.unit AS unit2, {_ACG}::INTEGER AS bin, count(*) AS n FROM ev a JOIN ev b ON a.unit = b.unit AND b.t BETWEEN a.t - 37800.0 AND a.t + 37800.0 WHERE {_ACG} BETWEEN 0 AND 20 GROUP BY ALL),
 s AS (SELECT unit, count(*) AS k FROM ev GROUP BY unit)
-SELECT unit, unit2, bin, (bin - 10) * 3600.0::DOUBLE AS lag, CASE WHEN bin = 10 THEN 0 ELSE n END AS n, round(CASE WHEN bin = 10 THEN 0 ELSE n END / (k * 3600.0), 12) AS rate FROM c JOIN s USING (unit)"""
+SELECT s.unit, s.unit AS unit2, i::INTEGER AS bin, (i - 10) * 3600.0::DOUBLE AS lag, CASE WHEN i = 10 THEN 0 ELSE coalesce(n, 0) END AS n, round(CASE WHEN i = 10 THEN 0 ELSE coalesce(n, 0) END / (k * 3600.0), 12) AS rate FROM s CROSS JOIN range(21) g(i) LEFT JOIN c ON c.unit = s.unit AND c.bin = i"""
 )
 def autocorrelogram(spark, sf):
     return co.correlogram(spikes(spark, sf), 3600.0, 20).withColumn("rate", F.round("rate", 12))
 
 
 @query(
-    f"""WITH {EV}, v AS (SELECT * FROM ev WHERE unit < 20), c AS (SELECT a.unit, b.unit AS unit2, {_ACG}::INTEGER AS bin, count(*) AS n FROM v a JOIN v b ON a.unit < b.unit AND b.t BETWEEN a.t - 37800.0 AND a.t + 37800.0 WHERE {_ACG} BETWEEN 0 AND 20 GROUP BY ALL),
+    f"""WITH {EV}, c AS (SELECT a.unit, b.unit AS unit2, {_ACG}::INTEGER AS bin, count(*) AS n FROM ev a JOIN ev b ON a.unit < b.unit AND b.t BETWEEN a.t - 37800.0 AND a.t + 37800.0 WHERE {_ACG} BETWEEN 0 AND 20 GROUP BY ALL),
 s AS (SELECT unit, count(*) AS k FROM ev GROUP BY unit)
-SELECT unit, unit2, bin, (bin - 10) * 3600.0::DOUBLE AS lag, n, round(n / (k * 3600.0), 12) AS rate FROM c JOIN s USING (unit)""",
-    whole=True,
+SELECT s.unit, u.unit AS unit2, i::INTEGER AS bin, (i - 10) * 3600.0::DOUBLE AS lag, coalesce(n, 0) AS n, round(coalesce(n, 0) / (s.k * 3600.0), 12) AS rate FROM s JOIN s u ON s.unit < u.unit CROSS JOIN range(21) g(i) LEFT JOIN c ON c.unit = s.unit AND c.unit2 = u.unit AND c.bin = i""",
 )
-def cross_correlogram_pairs(spark, sf, part="unit < 20"):
-    return co.correlogram(spikes(spark, sf).where(part), 3600.0, 20, same=False).withColumn("rate", F.round("rate", 12))
+def cross_correlogram_pairs(spark, sf):
+    return co.correlogram(spikes(spark, sf), 3600.0, 20, same=False).withColumn("rate", F.round("rate", 12))
 
 
 _COUNTS = f"""cnt AS (SELECT u.unit, i::INTEGER AS bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT unit FROM ev) u CROSS JOIN range(30) g(i) LEFT JOIN (SELECT unit, least(floor(t / {DAY}), 29)::INTEGER AS bin, count(*) AS n FROM ev WHERE t >= 0 AND t <= 30 * {DAY} GROUP BY ALL) c ON c.unit = u.unit AND c.bin = i)"""
@@ -195,16 +194,15 @@ def pairwise_pearson(spark, sf):
 SELECT unit, unit2, round(CASE WHEN x * y > 0 THEN c / (x * y) END, 9) + 0.0::DOUBLE AS r, n FROM p"""
 )
 def pairwise_spearman(spark, sf):
-    return co.pairwise(_counts(spark, sf), "bin", "n", method="spearman").withColumn("r", F.round("r", 9) + F.lit(0.0))
+    return co.pairwise_dense(_counts(spark, sf), "bin", "n", method="spearman").withColumn("r", F.round("r", 9) + F.lit(0.0))
 
 
 @query(
-    f"""WITH {EV}, {_COUNTS}, v AS (SELECT * FROM cnt WHERE unit < 30), p AS (SELECT unit, sum(n * n) AS p FROM v GROUP BY unit)
-SELECT a.unit, b.unit AS unit2, (b.bin - a.bin) AS lag, round(sum(a.n * b.n) / sqrt(any_value(pa.p) * any_value(pb.p)::DOUBLE), 9) AS r FROM v a JOIN v b ON a.unit < b.unit AND abs(b.bin - a.bin) <= 5 JOIN p pa ON pa.unit = a.unit JOIN p pb ON pb.unit = b.unit GROUP BY ALL""",
-    whole=True,
+    f"""WITH {EV}, {_COUNTS}, p AS (SELECT unit, sum(n * n) AS p FROM cnt GROUP BY unit)
+SELECT a.unit, b.unit AS unit2, (b.bin - a.bin) AS lag, round(sum(a.n * b.n) / sqrt(any_value(pa.p) * any_value(pb.p)::DOUBLE), 9) AS r FROM cnt a JOIN cnt b ON a.unit < b.unit AND abs(b.bin - a.bin) <= 5 JOIN p pa ON pa.unit = a.unit JOIN p pb ON pb.unit = b.unit GROUP BY ALL""",
 )
-def cross_correlation_lags(spark, sf, part="unit < 30"):
-    return co.cross_correlation(_counts(spark, sf).where(part), "bin", "n", 5).withColumn("r", F.round("r", 9))
+def cross_correlation_lags(spark, sf):
+    return co.cross_correlation(_counts(spark, sf), "bin", "n", 5).withColumn("r", F.round("r", 9))
 
 
 @query(

@@ -113,57 +113,54 @@ def label_fields_2d(spark, sf):
     return tu.field_centres(tu.sort_by_rate(tu.remove_by_area(cells, 2)), "mass")
 
 
-_SQLC = f"cnt AS (SELECT unit, least(floor(t / {DAY}), 29)::INTEGER AS tbin, count(*) AS n FROM ev WHERE unit < 24 GROUP BY ALL)"
-_TUN = "tun AS (SELECT unit, floor((t % 86400) / 3600)::INTEGER AS bx, count(*) / 30.0::DOUBLE AS rate FROM ev WHERE unit < 24 GROUP BY ALL), oc AS (SELECT floor((t % 86400) / 3600)::INTEGER AS bx, count(*)::DOUBLE AS occ FROM ev GROUP BY ALL)"
+_SQLC = f"cnt AS (SELECT unit, least(floor(t / {DAY}), 29)::INTEGER AS tbin, count(*) AS n FROM ev GROUP BY ALL)"
+_TUN = "tun AS (SELECT unit, floor((t % 86400) / 3600)::INTEGER AS bx, count(*) / 30.0::DOUBLE AS rate FROM ev GROUP BY ALL), oc AS (SELECT floor((t % 86400) / 3600)::INTEGER AS bx, count(*)::DOUBLE AS occ FROM ev GROUP BY ALL)"
 _POST = f"""{EV}, {_SQLC}, {_TUN}, full_t AS (SELECT u.unit, o.bx, coalesce(rate, 0) AS rate FROM (SELECT DISTINCT unit FROM tun) u CROSS JOIN oc o LEFT JOIN tun ON tun.unit = u.unit AND tun.bx = o.bx),
 pri AS (SELECT bx, ln(occ / (SELECT sum(occ) FROM oc)) - 0.5 * (SELECT sum(rate) FROM full_t f WHERE f.bx = oc.bx) AS b FROM oc),
 lik AS (SELECT tbin, bx, sum(n * ln(rate + 1e-10)) AS l FROM cnt JOIN full_t USING (unit) GROUP BY ALL), s AS (SELECT tbin, bx, b + l AS s FROM lik JOIN pri USING (bx)),
 e AS (SELECT tbin, bx, exp(s - max(s) OVER (PARTITION BY tbin)) AS e FROM s), post AS (SELECT tbin, bx, e / sum(e) OVER (PARTITION BY tbin) AS p FROM e)"""
 
 
-def _posterior(spark, sf, part="true"):
+def _posterior(spark, sf):
     e = ev(spark, sf)
     hour = F.floor((F.col("t") % 86400) / 3600).cast("int").alias("bx")
-    few = e.where(part)
-    counts = few.groupBy("unit", F.least(F.floor(F.col("t") / DAY), F.lit(29)).cast("int").alias("tbin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = e.groupBy("unit", F.least(F.floor(F.col("t") / DAY), F.lit(29)).cast("int").alias("tbin")).agg(F.count(F.lit(1)).alias("n"))
     occ = e.groupBy(hour).agg(F.count(F.lit(1)).cast("double").alias("occ"))
-    rate = few.groupBy("unit", hour).agg((F.count(F.lit(1)) / 30.0).alias("rate"))
-    full = few.select("unit").distinct().join(occ.select("bx")).join(rate, ["unit", "bx"], "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+    rate = e.groupBy("unit", hour).agg((F.count(F.lit(1)) / 30.0).alias("rate"))
+    full = e.select("unit").distinct().join(occ.select("bx")).join(rate, ["unit", "bx"], "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
     return de.bayes(counts, full, occ, 0.5)
 
 
-@query(f"WITH {_POST} SELECT tbin, bx, round(p, 8) AS p FROM post", whole=True)
-def bayes_decode(spark, sf, part="unit < 24"):
-    return _posterior(spark, sf, part).withColumn("p", F.round("p", 8))
+@query(f"WITH {_POST} SELECT tbin, bx, round(p, 8) AS p FROM post")
+def bayes_decode(spark, sf):
+    return _posterior(spark, sf).withColumn("p", F.round("p", 8))
 
 
-@query(f"WITH {_POST} SELECT tbin, round(sum(bx * p) / sum(p), 6) AS bx FROM post GROUP BY tbin", whole=True)
-def position_com(spark, sf, part="unit < 24"):
-    return de.estimate(_posterior(spark, sf, part), ["tbin"]).withColumn("bx", F.round("bx", 6))
+@query(f"WITH {_POST} SELECT tbin, round(sum(bx * p) / sum(p), 6) AS bx FROM post GROUP BY tbin")
+def position_com(spark, sf):
+    return de.estimate(_posterior(spark, sf), ["tbin"]).withColumn("bx", F.round("bx", 6))
 
 
-@query(f"WITH {_POST} SELECT tbin, arg_max(bx, (round(p, 12), -bx))::DOUBLE AS bx FROM post GROUP BY tbin", whole=True)
-def position_max(spark, sf, part="unit < 24"):
-    return de.estimate(_posterior(spark, sf, part).withColumn("p", F.round("p", 12)), ["tbin"], method="max")
+@query(f"WITH {_POST} SELECT tbin, arg_max(bx, (round(p, 12), -bx))::DOUBLE AS bx FROM post GROUP BY tbin")
+def position_max(spark, sf):
+    return de.estimate(_posterior(spark, sf).withColumn("p", F.round("p", 12)), ["tbin"], method="max")
 
 
 @query(
     f"""WITH {_POST}, g AS (SELECT tbin // 6 AS event, sum(p) AS w, sum(p * tbin) / sum(p) AS t, sum(p * tbin * tbin) / sum(p) AS tt, sum(p * bx) / sum(p) AS x, sum(p * bx * bx) / sum(p) AS xx, sum(p * bx * tbin) / sum(p) AS xt FROM post GROUP BY 1)
 SELECT event::INTEGER AS event, round(CASE WHEN (xx - x * x) * (tt - t * t) > 1e-12 THEN (xt - x * t) / sqrt((xx - x * x) * (tt - t * t)) END, 6) AS corr_bx FROM g""",
-    whole=True,
 )
-def weighted_corr(spark, sf, part="unit < 24"):
-    p = _posterior(spark, sf, part).withColumn("event", F.floor(F.col("tbin") / 6).cast("int"))
+def weighted_corr(spark, sf):
+    p = _posterior(spark, sf).withColumn("event", F.floor(F.col("tbin") / 6).cast("int"))
     return de.weighted_correlation(p).withColumn("corr_bx", F.round("corr_bx", 6))
 
 
 @query(
     f"""WITH {_POST}, c AS (SELECT tbin, sum(bx * p) / sum(p) AS bx FROM post GROUP BY tbin), j AS (SELECT tbin // 6 AS event, abs(bx - lag(bx) OVER (PARTITION BY tbin // 6 ORDER BY tbin)) AS s FROM c)
 SELECT event::INTEGER AS event, round(max(s), 6) AS max_jump, round(avg(s), 6) AS mean_jump FROM j GROUP BY event""",
-    whole=True,
 )
-def jump_distance(spark, sf, part="unit < 24"):
-    c = de.estimate(_posterior(spark, sf, part), ["tbin"]).withColumn("event", F.floor(F.col("tbin") / 6).cast("int"))
+def jump_distance(spark, sf):
+    c = de.estimate(_posterior(spark, sf), ["tbin"]).withColumn("event", F.floor(F.col("tbin") / 6).cast("int"))
     return de.jump_distance(c).select("event", F.round("max_jump", 6).alias("max_jump"), F.round("mean_jump", 6).alias("mean_jump"))
 
 
@@ -174,12 +171,11 @@ def replay_scores(spark, sf):
 
 
 @query(
-    f"""WITH {EV}, v AS (SELECT floor(t / {5 * DAY})::INTEGER AS epoch, unit, t FROM ev WHERE unit < 15), n AS (SELECT epoch, unit, count(*) AS n FROM v GROUP BY ALL)
-SELECT n1.epoch, n1.unit, n2.unit AS unit2, round(2 * (SELECT count(*) FROM v a, v b WHERE a.epoch = n1.epoch AND b.epoch = n1.epoch AND a.unit = n1.unit AND b.unit = n2.unit AND a.t <= b.t) / (n1.n * n2.n)::DOUBLE - 1, 9) AS bias FROM n n1 JOIN n n2 ON n1.epoch = n2.epoch AND n1.unit <> n2.unit""",
-    whole=True,
+    f"""WITH {EV}, v AS (SELECT floor(t / {5 * DAY})::INTEGER AS epoch, unit, t FROM ev)
+SELECT a.epoch, a.unit, b.unit AS unit2, round(2 * sum((a.t <= b.t)::INTEGER) / count(*)::DOUBLE - 1, 9) AS bias FROM v a JOIN v b ON a.epoch = b.epoch AND a.unit <> b.unit GROUP BY ALL""",
 )
-def skew_bias(spark, sf, part="unit < 15"):
-    e = spikes(spark, sf).where(part).withColumn("epoch", F.floor(F.col("t") / (5 * DAY)).cast("int"))
+def skew_bias(spark, sf):
+    e = spikes(spark, sf).withColumn("epoch", F.floor(F.col("t") / (5 * DAY)).cast("int"))
     return de.skew_bias(e).withColumn("bias", F.round("bias", 9))
 
 
@@ -300,12 +296,12 @@ def benjamini_hochberg(spark, sf):
 # populations
 
 _DOT = "list_sum(list_transform(list_zip(a.e, b.e), lambda q: q[1] * q[2]))"
-_EMB = "em AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id < 120)"
+_EMB = "em AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
 
 
-@query(f"WITH {_EMB}, nn AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM em) SELECT a.vec_id, b.vec_id AS key2, round({_DOT} / (a.n * b.n), 6) AS cosine FROM nn a JOIN nn b ON a.vec_id < b.vec_id AND a.label <> b.label", whole=True)
-def cosine_pairs(spark, sf, part="vec_id < 120"):
-    v = table(spark, sf, "embeddings").where(part)
+@query(f"WITH {_EMB}, nn AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM em) SELECT a.vec_id, b.vec_id AS key2, round({_DOT} / (a.n * b.n), 6) AS cosine FROM nn a JOIN nn b ON a.vec_id < b.vec_id AND a.label <> b.label")
+def cosine_pairs(spark, sf):
+    v = table(spark, sf, "embeddings")
     return en.similarity_pairs(v, "embedding", "vec_id", "label").withColumn("cosine", F.round("cosine", 6))
 
 
@@ -315,12 +311,11 @@ def similarity_index(spark, sf):
 
 
 @query(
-    f"""WITH {_EMB}, d AS (SELECT a.vec_id, b.vec_id + 60 AS k2, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda q: pow(q[1] - q[2], 2)))) AS d FROM em a, em b WHERE a.vec_id >= 60 AND b.vec_id < 60)
+    f"""WITH {_EMB}, h AS (SELECT (max(vec_id) + 2) // 2 AS h FROM em), d AS (SELECT a.vec_id, b.vec_id + h AS k2, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda q: pow(q[1] - q[2], 2)))) AS d FROM em a, em b, h WHERE a.vec_id >= h AND b.vec_id < h)
 SELECT vec_id, round(1 - max(CASE WHEN vec_id = k2 THEN d END) / avg(d), 6) AS proximity FROM d GROUP BY vec_id""",
-    whole=True,
 )
-def proximity(spark, sf, part="vec_id < 120"):
-    v = table(spark, sf, "embeddings").where(part)
+def proximity(spark, sf):
+    v = table(spark, sf, "embeddings")
     half = (v.agg(F.max("vec_id")).first()[0] + 2) // 2
     a, b = v.where(F.col("vec_id") >= half), v.where(F.col("vec_id") < half).withColumn("vec_id", F.col("vec_id") + half)
     return en.proximity(a, b, "embedding", "vec_id").withColumn("proximity", F.round("proximity", 6))
@@ -336,10 +331,7 @@ SELECT round(pow((tp - tr * pr) / (sqrt((1 - tr * tr) * (1 - pr * pr)) + 1e-10),
 )
 def explained_variance(spark, sf):
     c = _counts(spark, sf).withColumn("period", F.floor(F.col("bin") / 10))
-    r = co.pairwise_dense(c, "bin", "n", keys=["period"])
-    when = lambda k: F.max(F.when(F.col("period") == k, F.col("r")))
-    pairs = r.groupBy("unit", "unit2").agg(when(0).alias("pre"), when(1).alias("task"), when(2).alias("post"))
-    return en.explained_variance(pairs).select(F.round("ev", 8).alias("ev"), F.round("rev", 8).alias("rev"))
+    return en.explained_variance_of(c, "bin", "n", "period", 0, 1, 2).select(F.round("ev", 8).alias("ev"), F.round("rev", 8).alias("rev"))
 
 
 @query(
@@ -361,11 +353,10 @@ def assembly_patterns(spark, sf):
 
 
 @query(
-    f"""WITH {EV}, {_COUNTS}, z AS (SELECT unit, bin, n::DOUBLE AS z FROM cnt WHERE unit < 40) SELECT a.unit, b.unit AS unit2, round(avg(a.z * b.z), 8) AS cov FROM z a JOIN z b ON a.bin = b.bin AND a.unit < b.unit AND a.unit % 3 <> b.unit % 3 GROUP BY ALL""",
-    whole=True,
+    f"""WITH {EV}, {_COUNTS}, z AS (SELECT unit, bin, n::DOUBLE AS z FROM cnt) SELECT a.unit, b.unit AS unit2, round(avg(a.z * b.z), 8) AS cov FROM z a JOIN z b ON a.bin = b.bin AND a.unit < b.unit AND a.unit % 3 <> b.unit % 3 GROUP BY ALL""",
 )
-def cross_structural_covariance(spark, sf, part="unit < 40"):
-    z = _counts(spark, sf).where(part).withColumn("z", F.col("n").cast("double"))
+def cross_structural_covariance(spark, sf):
+    z = _counts(spark, sf).withColumn("z", F.col("n").cast("double"))
     g = z.select("unit").distinct().withColumn("grp", F.col("unit") % 3)
     return en.cross_structural_covariance(z, g).withColumn("cov", F.round("cov", 8))
 
@@ -393,55 +384,48 @@ def kfold_split(spark, sf):
     return f.groupBy("label").agg(F.sum("k").alias("n"), F.count(F.lit(1)).cast("int").alias("folds"), F.max("k").alias("largest"))
 
 
-_GRID = f"{EV}, {_COUNTS}, gr AS (SELECT unit AS r, bin AS c, n::DOUBLE AS v FROM cnt WHERE unit < 37)"
+_GRID = f"{EV}, {_COUNTS}, gr AS (SELECT unit AS r, bin AS c, n::DOUBLE AS v FROM cnt)"
 
 
-def _grid(spark, sf, part):
-    return _counts(spark, sf).where(part).select(F.col("unit").cast("int").alias("r"), F.col("bin").alias("c"), F.col("n").cast("double").alias("v"))
+def _grid(spark, sf):
+    return _counts(spark, sf).select(F.col("unit").cast("int").alias("r"), F.col("bin").alias("c"), F.col("n").cast("double").alias("v"))
 
 
-@query(f"WITH {_GRID} SELECT floor((r + 1) / 5)::INTEGER AS r, floor((c + 1) / 4)::INTEGER AS c, round(avg(v), 9) AS v FROM gr GROUP BY 1, 2")
+@query(f"WITH {_GRID}, k AS (SELECT (5 - (max(r) + 1) % 5) % 5 // 2 AS k FROM gr) SELECT floor((r + k) / 5)::INTEGER AS r, floor((c + 1) / 4)::INTEGER AS c, round(avg(v), 9) AS v FROM gr, k GROUP BY 1, 2")
 def shrink(spark, sf):
-    return grid.shrink(_grid(spark, sf, "unit < 37"), "r", "c", "v", 5, 4, 37, 30).withColumn("v", F.round("v", 9))
-
-
-@query()
-def whole_shrink(spark, sf):
-    g = _grid(spark, sf, "true")
+    g = _grid(spark, sf)
     return grid.shrink(g, "r", "c", "v", 5, 4, g.agg(F.max("r")).first()[0] + 1, 30).withColumn("v", F.round("v", 9))
 
 
-@query(f"WITH {_GRID} SELECT (c - r)::INTEGER AS diagonal, round(avg(v), 9) AS mean FROM gr GROUP BY 1", whole=True)
-def average_diagonal(spark, sf, part="unit < 37"):
-    return grid.average_diagonal(_grid(spark, sf, part), "r", "c", "v").select("diagonal", F.round("mean", 9).alias("mean"))
+@query(f"WITH {_GRID} SELECT (c - r)::INTEGER AS diagonal, round(avg(v), 9) AS mean FROM gr GROUP BY 1")
+def average_diagonal(spark, sf):
+    return grid.average_diagonal(_grid(spark, sf), "r", "c", "v").select("diagonal", F.round("mean", 9).alias("mean"))
 
 
 @query(
     f"""WITH {_GRID}, k AS (SELECT *, sum(CASE WHEN v <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY c ROWS UNBOUNDED PRECEDING) AS a, sum(CASE WHEN v <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY c DESC ROWS UNBOUNDED PRECEDING) AS b FROM gr)
 SELECT r::INTEGER AS r, c, CASE WHEN a > 0 AND b > 0 THEN v END AS v FROM k""",
-    whole=True,
 )
-def border_zeros(spark, sf, part="unit < 37"):
-    return grid.border_zeros_to_null(_grid(spark, sf, part), "v", "c", ["r"])
+def border_zeros(spark, sf):
+    return grid.border_zeros_to_null(_grid(spark, sf), "v", "c", ["r"])
 
 
-@query(f"WITH {_GRID} SELECT r::INTEGER AS r, coalesce(min(CASE WHEN v > 4 THEN c END), -1) AS first, coalesce(max(CASE WHEN v > 4 THEN c END), -1) AS last FROM gr GROUP BY r", whole=True)
-def terminal_indices(spark, sf, part="unit < 37"):
-    return grid.terminal_true(_grid(spark, sf, part), F.col("v") > 4, "c", ["r"])
+@query(f"WITH {_GRID} SELECT r::INTEGER AS r, coalesce(min(CASE WHEN v > 4 THEN c END), -1) AS first, coalesce(max(CASE WHEN v > 4 THEN c END), -1) AS last FROM gr GROUP BY r")
+def terminal_indices(spark, sf):
+    return grid.terminal_true(_grid(spark, sf), F.col("v") > 4, "c", ["r"])
 
 
-@query(f"WITH {_GRID} SELECT r::INTEGER AS r, ((c + r * 3) % 30)::INTEGER AS c, v FROM gr", whole=True)
-def circular_shift(spark, sf, part="unit < 37"):
-    return grid.circular_shift(_grid(spark, sf, part), "c", 30, F.col("r") * 3)
+@query(f"WITH {_GRID} SELECT r::INTEGER AS r, ((c + r * 3) % 30)::INTEGER AS c, v FROM gr")
+def circular_shift(spark, sf):
+    return grid.circular_shift(_grid(spark, sf), "c", 30, F.col("r") * 3)
 
 
 @query(
     f"""WITH {_GRID}, m AS (SELECT sum(v * r) / sum(v) AS mr, sum(v * c) / sum(v) AS mc, avg(r) AS fr, avg(c) AS fc FROM gr), d AS (SELECT v, pow(r - mr, 2) + pow(c - mc, 2) AS d, pow(r - fr, 2) + pow(c - fc, 2) AS f FROM gr, m)
 SELECT round(sum(v * d) / sum(v) / avg(f), 9) AS moment, round(sqrt(sum(v * d) / sum(v) / avg(f)), 9) AS spread FROM d""",
-    whole=True,
 )
-def image_spread(spark, sf, part="unit < 37"):
-    got = grid.image_spread(_grid(spark, sf, part), "r", "c", "v")
+def image_spread(spark, sf):
+    got = grid.image_spread(_grid(spark, sf), "r", "c", "v")
     return got.select(F.round("moment", 9).alias("moment"), F.round("spread", 9).alias("spread"))
 
 

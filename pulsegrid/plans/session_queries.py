@@ -157,14 +157,13 @@ _TRACK = [(0, 0.0, 0.0, 20.0, 0.0, 0.0), (1, 20.0, 0.0, 50.0, 10.0, 20.0), (2, 2
 
 @query(
     f"""WITH {POS}, s AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE, {e}::DOUBLE, {f}::DOUBLE)' for a, b, c, d, e, f in _TRACK)}) v(segment, x0, y0, x1, y1, before)),
-p AS (SELECT session, i, segment, before, x, y, x0, y0, x1, y1, greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))) AS s FROM pos, s WHERE session < 8),
+p AS (SELECT session, i, segment, before, x, y, x0, y0, x1, y1, greatest(0.0, least(1.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / (pow(x1 - x0, 2) + pow(y1 - y0, 2)))) AS s FROM pos, s),
 d AS (SELECT *, sqrt(pow(x - x0 - s * (x1 - x0), 2) + pow(y - y0 - s * (y1 - y0), 2)) AS d FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY session, i ORDER BY d, segment) AS rn FROM d)
 SELECT session, i, round(before + s * sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)), 6) AS lin FROM r WHERE rn = 1""",
-    whole=True,
 )
-def project_to_track(spark, sf, part="session < 8"):
+def project_to_track(spark, sf):
     seg = spark.createDataFrame(_TRACK, "segment int, x0 double, y0 double, x1 double, y1 double, before double")
-    return sq.project_to_track(position(spark, sf).where(part), seg).select("session", "i", F.round("lin", 6).alias("lin"))
+    return sq.project_to_track(position(spark, sf), seg).select("session", "i", F.round("lin", 6).alias("lin"))
 
 
 @query(
@@ -181,16 +180,15 @@ def load_spikes_filters(spark, sf):
 
 
 @query(
-    f"""WITH {EV}, e AS (SELECT event_id, t AS start, t + value AS stop, t + value / 2 AS peak FROM ev WHERE kind = 'signup'), d AS (SELECT avg(stop - start) AS d FROM e), a AS (SELECT t FROM ev WHERE kind = 'error' AND event_id % 50 = 0)
+    f"""WITH {EV}, e AS (SELECT event_id, t AS start, t + value AS stop, t + value / 2 AS peak FROM ev WHERE kind = 'signup'), d AS (SELECT avg(stop - start) AS d FROM e), a AS (SELECT t FROM ev WHERE kind = 'error')
 SELECT round(start, 3) AS start, round(stop, 3) AS stop, round(peak, 3) AS peak FROM e UNION ALL SELECT round(t - d / 2, 3), round(t + d / 2, 3), round(t, 3) FROM a, d""",
-    whole=True,
 )
-def manual_events(spark, sf, part="event_id % 50 = 0"):
+def manual_events(spark, sf):
     from ..sources.metadata import add_manual_events
 
     e = ev(spark, sf)
     events = e.where("kind = 'signup'").select(F.col("t").alias("start"), (F.col("t") + F.col("value")).alias("stop"), (F.col("t") + F.col("value") / 2).alias("peak"))
-    got = add_manual_events(events, e.where("kind = 'error'").where(part).select(F.col("t").alias("peak")))
+    got = add_manual_events(events, e.where("kind = 'error'").select(F.col("t").alias("peak")))
     return got.select(*[F.round(c, 3).alias(c) for c in ("start", "stop", "peak")])
 
 

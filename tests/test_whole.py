@@ -1,19 +1,13 @@
-"""Queries over whole tables against brute force: their SQL without its filter, on a fixture that goes beyond every filter."""
+"""Queries that SQL cannot express against brute force, on a small fixture."""
 
-import re
-
-import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
 from pulsegrid import catalog
 
-from .test_oracle import plain
-
-SQL, QUERIES = catalog.oracle_sql(), catalog.queries()
+QUERIES = catalog.queries()
 UNITS, VECTORS = 52, 130
-FILTER = re.compile(r"\b(unit|session|vec_id) < \d+|event_id % 50 = 0")
 
 
 @pytest.fixture(scope="module")
@@ -30,30 +24,6 @@ def sf(tmp_path_factory):
     return str(d)
 
 
-@pytest.fixture(scope="module")
-def duck(sf):
-    con = duckdb.connect()
-    con.execute("SET TimeZone = 'UTC'")
-    for t in ("events", "embeddings", "lineitem"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    return con
-
-
-@pytest.mark.parametrize("name", sorted(n for n in SQL if FILTER.search(SQL[n])))
-def test_whole_query_equals_the_sql_without_its_filter(spark, duck, sf, name):
-    sql = SQL[name]
-    if name == "proximity":
-        sql = sql.replace("b.vec_id < 60", f"NOT b.vec_id >= {VECTORS // 2}").replace("60", str(VECTORS // 2))
-    rel = duck.execute(FILTER.sub("true", sql))
-    cols = [d[0] for d in rel.description]
-    rows = lambda it: sorted((tuple(plain(v) for v in r) for r in it), key=str)
-    want = rows(rel.fetchall())
-    got = rows([r[c] for c in cols] for r in QUERIES[f"whole_{name}"](spark, sf).collect())
-    assert len(got) == len(want) > 0
-    for a, b in zip(got, want, strict=True):
-        assert all(x == y or abs(x - y) < 2e-5 for x, y in zip(a, b, strict=True))
-
-
 def test_queries_without_sql_take_all_rows(spark, sf):
     pairs = QUERIES["similarity_index"](spark, sf).select("vec_id", "key2").collect()
     assert len(pairs) == VECTORS * (VECTORS - 1) // 2
