@@ -309,7 +309,7 @@ def spectrum_points(times: np.ndarray, fs: float, band, nw: float = 2.5, count:
     return f, (np.abs(j) ** 2).mean(axis=1), j
 
 
-def slepian(n: int, nw: float, count: int, dense: int = 2048) -> np.ndarray:
+def slepian(n: int, nw: float, count: int, dense: int = 512) -> np.ndarray:
     """The first Slepian sequences as columns of unit norm, for any length.
 
     Above ``dense`` samples those of that many, stretched, are the start of

@@ -279,6 +279,20 @@ def bimodal_threshold(x: np.ndarray, start_bins: int = 10, most_bins: int = 25,
     return float("nan")
 
 
+def bimodal(rows: DataFrame, value: str, keys: Sequence[str], **options) -> DataFrame:
+    """(keys, dip, p, threshold) of the values of each key; the threshold is null for one mode."""
+    kinds = dict(rows.dtypes)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x = g[value].to_numpy(float)
+        d, p = dip(x, options.get("n_boot", 100))
+        cut = bimodal_threshold(x, force=p <= 0.05, **options) if p <= 0.05 else float("nan")
+        return pd.DataFrame({**{k: [g[k].iloc[0]] for k in keys}, "dip": [d], "p": [p], "threshold": [cut]})
+
+    got = rows.select(*keys, value).groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["dip double, p double, threshold double"]))
+    return got.withColumn("threshold", F.nanvl("threshold", F.lit(None).cast("double")))
+
+
 def dentate_spikes(signal: DataFrame, fs: float, hilus: int, molecular: int, z_hilus: float = 4.0, z_molecular: float = 2.0, band: tuple[float, float] = (5.0, 100.0)) -> DataFrame:
     """(session, start, stop, peak, amplitude): runs of a high hilus signal that meet a low molecular one."""
 

@@ -146,6 +146,95 @@ def label_fields(maps: DataFrame, threshold: float, unit: str = "unit") -> DataF
     return maps.select(unit, "bx", "by", "rate").groupBy(unit).applyInPandas(run, ddl)
 
 
+def _images(maps: DataFrame, make, unit: str, column: str = "field", kind: str = "int") -> DataFrame:
+    """Cells with what ``make`` gives for the image of their unit; a unit at a time."""
+    import numpy as np
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g["bx"].to_numpy(), g["by"].to_numpy()
+        image = np.zeros((x.max() + 1, y.max() + 1))
+        image[x, y] = g["rate"].fillna(0)
+        return g.assign(**{column: make(image)[x, y]})
+
+    ddl = f"{unit} {dict(maps.dtypes)[unit]}, bx int, by int, rate double, {column} {kind}"
+    return maps.select(unit, "bx", "by", "rate").groupBy(unit).applyInPandas(run, ddl)
+
+
+def place_fields(maps: DataFrame, min_rate: float = 1.0, threshold: float = 0.2, smallest: int = 100, largest: int = 200, sigma: float | None = None, unit: str = "unit") -> DataFrame:
+    """Cells with ``field``: regions around descending peaks (:func:`~pulsegrid.functions.images.place_fields`), 0 outside."""
+    from ..functions.images import place_fields as found
+
+    return _images(maps, lambda m: found(m, min_rate, threshold, smallest, largest, sigma).astype("int32"), unit)
+
+
+def separate_fields(maps: DataFrame, method: str = "laplace", threshold: float = 0.0, sigma: float = 2.0, seed: float = 2.5, smallest: int | None = None, unit: str = "unit") -> DataFrame:
+    """Cells with ``field``: regions of negative curvature, numbered by descending peak, 0 outside.
+
+    ``laplace`` takes curvature below a share of its least value;
+    ``laplace_of_gaussian`` that of the smoothed map; ``dilation`` that of what
+    a reconstruction of the standardised map from ``seed`` below leaves.
+    """
+    from ..functions import images as im
+
+    def regions(m):
+        if method == "dilation":
+            m = (m - m.mean()) / (m.std() or 1.0)
+            m = m - im.reconstruct(m - seed, m)
+        curve = im.laplace(m if method == "laplace" else im.gaussian_filter(m, sigma))
+        return im.label(curve < (threshold * curve.min() if method == "laplace" else 0.0)).astype("int32")
+
+    if method not in ("laplace", "laplace_of_gaussian", "dilation"):
+        raise ValueError(method)
+    cells = _images(maps, regions, unit)
+    cells = remove_by_area(cells, smallest, unit=unit) if smallest else cells
+    return sort_by_rate(cells, unit)
+
+
+def blobs(maps: DataFrame, sigmas: Sequence[float], threshold: float, unit: str = "unit") -> DataFrame:
+    """Cells where the scale-normalised curvature of the smoothed map is highest around them and over all scales, with ``strength`` and ``radius``."""
+    import numpy as np
+
+    from ..functions import images as im
+
+    def scales(m):
+        return np.stack([-(s**2) * im.laplace(im.gaussian_filter(m, s)) for s in sigmas])
+
+    def tops(m):
+        v = scales(m)
+        pad = np.pad(v, 1, constant_values=-np.inf)
+        near = np.max([pad[i : i + v.shape[0], j : j + v.shape[1], k : k + v.shape[2]] for i in range(3) for j in range(3) for k in range(3)], axis=0)
+        best = np.where((v >= near) & (v > threshold), v, -np.inf)
+        at = best.argmax(axis=0)
+        return np.where(np.isfinite(best.max(axis=0)), np.asarray(sigmas)[at] * np.sqrt(2.0), 0.0)
+
+    strength = _images(maps, lambda m: scales(m).max(axis=0), unit, "strength", "double").select(unit, "bx", "by", "strength")
+    return _images(maps, tops, unit, "radius", "double").where("radius > 0").join(strength, [unit, "bx", "by"])
+
+
+def linear_place_fields(maps: DataFrame, least: int = 5, min_rate: float = 1.0, threshold: float = 0.5, unit: str = "unit", index: str = "bx") -> DataFrame:
+    """Bins with ``field``: in some window, from ``least`` bins up, that peaks above ``min_rate`` and stays above the share ``threshold`` of its peak.
+
+    A window has to grow bin by bin from a start whose first ``least`` bins
+    already hold, so all windows of a start end where the first one fails.
+    """
+    w = Window.partitionBy(unit).orderBy(index)
+    values = F.collect_list("rate").over(w.rowsBetween(0, Window.unboundedFollowing))
+    left = F.size("_v")
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("ok"), F.lit(float("-inf")).alias("top"), F.lit(float("inf")).alias("low"), F.lit(True).alias("on"))
+
+    def grow(acc: Column, v: Column) -> Column:
+        top, low, n = F.greatest(acc["top"], v), F.least(acc["low"], v), acc["n"] + 1
+        holds = acc["on"] & ((n < least) | ((top > min_rate) & (low > threshold * top)))
+        return F.struct(n.alias("n"), F.when(holds & (n >= least), n).otherwise(acc["ok"]).alias("ok"), top.alias("top"), low.alias("low"), holds.alias("on"))
+
+    # the last bin of the map never ends a window
+    x = maps.withColumn("_v", values).withColumn("_k", F.when(left > least, F.aggregate(F.slice("_v", 1, F.greatest(left - 1, F.lit(1))), start, grow, lambda acc: acc["ok"])).otherwise(0))
+    i = F.row_number().over(w)
+    reach = F.max(i + F.col("_k")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return x.withColumn("field", i < reach).drop("_v", "_k")
+
+
 def remove_by_area(cells: DataFrame, smallest: int, largest: int | None = None, unit: str = "unit") -> DataFrame:
     """Fields of too few or too many cells become 0."""
     area = F.count(F.lit(1)).over(Window.partitionBy(unit, "field"))

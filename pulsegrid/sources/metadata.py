@@ -61,5 +61,6 @@ def label_behaviour(position: DataFrame, epochs: DataFrame, width: float, label:
     from ..operators.joins import range_join
 
     e = epochs.select(F.col("start").alias("_lo"), F.col("stop").alias("_hi"), F.col(by).alias("_id"), F.col(label).alias("_l"))
-    got = range_join(position, e, "t", "_lo", "_hi", width, how="left")
-    return got.groupBy(*position.columns).agg(F.max_by("_l", "_id").alias(label))
+    got = range_join(position.select("t").distinct(), e, "t", "_lo", "_hi", width)
+    got = got.groupBy(F.col("t").alias("_t")).agg(F.max_by("_l", "_id").alias(label))
+    return position.join(got, F.col("t") == F.col("_t"), "left").select(*position.columns, label)
