@@ -50,9 +50,9 @@ MARK_T = (np.int64, np.uint32, np.uint32, np.uint32)  # doc, tag, start, windows
 #: Symbols that are hashed at once; longer documents go in overlapping pieces.
 PIECE = 1 << 18
 #: Bytes of text whose words or bytes a task holds at once; a longer text stands alone.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Opened windows that a task holds before it sends them.
-MOST_WINDOWS = 500_000
+MOST_WINDOWS = 250_000
 _POS = np.uint64((1 << 21) - 1)
 #: Rows without a doc_id sort last, by 55 bits of their text's hash; the top bit of their tag tells them.
 NO_ID, NO_ID_BITS, NO_ID_TAG = np.iinfo(np.int64).max, (1 << 55) - 1, 1 << 31
@@ -328,7 +328,7 @@ def _first(order_by: tuple[np.ndarray, ...], same: tuple[np.ndarray, ...]) -> tu
     return order, new
 
 
-def _emit_windows(kind, made: list[Opened], n_parts: int, as_kind: int = WINDOW) -> Iterator[pa.RecordBatch]:
+def _emit_windows(kind, made: list[Opened], n_parts: int, doc_parts: int, as_kind: int = WINDOW) -> Iterator[pa.RecordBatch]:
     """Each window once, in document order, and marks of the windows that repeat here.
 
     As OLD windows (``as_kind``) they have no place, and nothing is marked.
@@ -351,11 +351,11 @@ def _emit_windows(kind, made: list[Opened], n_parts: int, as_kind: int = WINDOW)
         yield from _blocks.pack(_part(a ^ b, n_parts), [a, b], as_kind)
         return
     again = order[(di[order] != di[lead]) | (dt[order] != dt[lead]) | (s[order] != s[lead])]
-    yield from _marks(di[again], dt[again], s[again], np.ones(len(again)), n_parts)
+    yield from _marks(di[again], dt[again], s[again], np.ones(len(again)), doc_parts)
     yield from _blocks.pack(_part(a ^ b, n_parts), [a, b, di[up], dt[up], s[up].astype(np.uint32)], WINDOW)
 
 
-def _send_groups(make: Callable, n_parts: int) -> Callable:
+def _send_groups(make: Callable, n_parts: int, doc_parts: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = make()
         for batch in _slices(batches):
@@ -367,7 +367,7 @@ def _send_groups(make: Callable, n_parts: int) -> Callable:
             doc, s, n, bucket, identity, di, dt = (x[order] for x in (doc, s, n, bucket, identity, di, dt))
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else new
             again = (di != di[lead]) | (dt != dt[lead]) | (s != s[lead])
-            yield from _marks(di[again], dt[again], s[again], n[again], n_parts)
+            yield from _marks(di[again], dt[again], s[again], n[again], doc_parts)
             doc, s, n, bucket, identity, di, dt = (x[new] for x in (doc, s, n, bucket, identity, di, dt))
             if not len(doc):
                 continue
@@ -376,7 +376,7 @@ def _send_groups(make: Callable, n_parts: int) -> Callable:
             several = np.repeat(size > 1, size)
             if several.any():
                 for some in opened(kind, symbols, ids, tags, doc[several], s[several], n[several]):
-                    yield from _emit_windows(kind, [some], n_parts)
+                    yield from _emit_windows(kind, [some], n_parts, doc_parts)
             mark = np.unique(bucket[several])
             zero = np.zeros(len(mark), np.int64)
             one = ~several
@@ -387,13 +387,19 @@ def _send_groups(make: Callable, n_parts: int) -> Callable:
     return run
 
 
-def _meet_groups(n_parts: int, keep_run: bool) -> Callable:
+def _passed_on(part: int, blocks: list[tuple[int, bytes]], dtypes: tuple, at: int, kind: int) -> Iterator[pa.RecordBatch]:
+    """Blocks that only pass through a part, as few large ones in document order; ``at`` is the column of the document."""
+    cols = _blocks.joined(blocks, dtypes)
+    up = np.lexsort((cols[at + 2], cols[at + 1], cols[at]))
+    yield from _blocks.pack(np.full(len(up), part, np.int32), [c[up] for c in cols], kind)
+
+
+def _meet_groups(names: tuple, doc_parts: int, keep_run: bool) -> Callable:
     """Marks of groups that repeat, requests to open groups, and the new run of the index."""
 
     def reduce(part: int, held: dict) -> Iterator[pa.RecordBatch]:
-        for k in (WINDOW, MARK):
-            for n, block in held.pop(k, ()):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([n], pa.int32()), pa.array([block], pa.binary())], schema=_blocks.BLOCK)
+        yield from _passed_on(part, held.pop(WINDOW, []), (*names, *PLACE_T), len(names), WINDOW)
+        yield from _passed_on(part, held.pop(MARK, []), MARK_T, 0, MARK)
         old = _blocks.joined(held.pop(OLD_GROUP, []), GROUP_T)
         new = _blocks.joined(held.pop(GROUP, []), GROUP_T)
         fresh = np.r_[np.zeros(len(old[0]), np.int8), np.ones(len(new[0]), np.int8)]
@@ -405,7 +411,7 @@ def _meet_groups(n_parts: int, keep_run: bool) -> Callable:
         lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         marker = identity == 0
         again = ~first & ~marker & (fresh == 1) & ((doc != doc[lead]) | (tag != tag[lead]) | (s != s[lead]) | (fresh[lead] == 0))
-        yield from _marks(doc[again], tag[again], s[again], n[again], n_parts)
+        yield from _marks(doc[again], tag[again], s[again], n[again], doc_parts)
         edge = np.flatnonzero(np.r_[True, np.diff(bucket) != 0])
         size = np.diff(np.r_[edge, len(bucket)])
         kinds = np.add.reduceat(first.astype(np.int64), edge)
@@ -415,7 +421,7 @@ def _meet_groups(n_parts: int, keep_run: bool) -> Callable:
         per = lambda x: np.repeat(x, size)
         open_ = first & ~marker & per(several) & ((fresh == 1) | ~per(old_mark))
         for k, some in ((OPEN, open_ & (fresh == 1)), (OLD_OPEN, open_ & (fresh == 0))):
-            yield from _marks(doc[some], tag[some], s[some], n[some], n_parts, k)
+            yield from _marks(doc[some], tag[some], s[some], n[some], doc_parts, k)
         if keep_run:
             alone = first & ~marker & (fresh == 1) & ~per(several)
             mark = bucket[edge[several & ~old_mark]]
@@ -473,7 +479,7 @@ class _ByDocument:
         return self.start[r[0] : r[1]], self.count[r[0] : r[1]]
 
 
-def _open_groups(make: Callable, n_parts: int) -> Callable:
+def _open_groups(make: Callable, n_parts: int, doc_parts: int) -> Callable:
     """The windows of the groups that are asked for, those of earlier batches apart."""
 
     def reduce(part: int, held: dict) -> Iterator[pa.RecordBatch]:
@@ -494,9 +500,9 @@ def _open_groups(make: Callable, n_parts: int) -> Callable:
                     made.append(some)
                     size += int(some.count.sum())
                     if size > MOST_WINDOWS:
-                        yield from _emit_windows(kind, made, n_parts, as_kind)
+                        yield from _emit_windows(kind, made, n_parts, doc_parts, as_kind)
                         size = 0
-            yield from _emit_windows(kind, made, n_parts, as_kind)
+            yield from _emit_windows(kind, made, n_parts, doc_parts, as_kind)
 
     return reduce
 
@@ -528,12 +534,11 @@ def _refine(a: np.ndarray, b: np.ndarray, order_by: tuple[np.ndarray, ...]) -> t
     return order, new
 
 
-def _meet_windows(names: tuple, n_parts: int, keep_run: bool) -> Callable:
+def _meet_windows(names: tuple, doc_parts: int, keep_run: bool) -> Callable:
     """Marks of windows that repeat: new ones by sorting, those of the index by merging with its sorted runs."""
 
     def reduce(part: int, held: dict) -> Iterator[pa.RecordBatch]:
-        for n, block in held.pop(MARK, ()):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([MARK], pa.int32()), pa.array([n], pa.int32()), pa.array([block], pa.binary())], schema=_blocks.BLOCK)
+        yield from _passed_on(part, held.pop(MARK, []), MARK_T, 0, MARK)
         brought = _blocks.joined(held.pop(OPENED, []), names)  # of earlier documents, not yet in a run
         a, b, doc, tag, s = _blocks.joined(held.pop(WINDOW, []), (*names, *PLACE_T))
         order, first = _refine(a, b, (doc, tag, s))
@@ -546,7 +551,7 @@ def _meet_windows(names: tuple, n_parts: int, keep_run: bool) -> Callable:
         for run in ([brought] if len(brought[0]) else []) + [_blocks.unpack(n, block, names) for n, block in held.pop(OLD_WINDOW, ())]:
             old |= _among(run, a[up], b[up])
         again = old[down] | ~first & ((doc != doc[lead]) | (tag != tag[lead]) | (s != s[lead])) if len(a) else np.zeros(0, bool)
-        yield from _marks(doc[again], tag[again], s[again], np.ones(int(again.sum())), n_parts)
+        yield from _marks(doc[again], tag[again], s[again], np.ones(int(again.sum())), doc_parts)
         if keep_run:
             mine = up[~old]
             x, y = np.r_[a[mine], brought[0]], np.r_[b[mine], brought[1]]
@@ -561,23 +566,26 @@ def _as(blocks: DataFrame, kind: int) -> DataFrame:
     return blocks.select("part", F.lit(kind).alias("kind"), "n", "block")
 
 
-def marks(docs: DataFrame, make: Callable, n_parts: int, past: tuple[DataFrame, DataFrame] | None = None, past_docs: DataFrame | None = None, keep_run: bool = False) -> tuple[list[DataFrame], DataFrame | None, DataFrame | None]:
+def marks(docs: DataFrame, make: Callable, n_parts: int, past: tuple[DataFrame, DataFrame] | None = None, past_docs: DataFrame | None = None, keep_run: bool = False, doc_parts: int | None = None) -> tuple[list[DataFrame], DataFrame | None, DataFrame | None]:
     """Marks of the windows of ``docs`` that occur earlier, and the new runs of groups and of windows.
 
     ``past`` are runs of groups and windows of earlier documents, ``past_docs``
-    those documents: some of their groups may have to be opened.
+    those documents: some of their groups may have to be opened. Groups and
+    windows lie in ``n_parts`` parts, which all runs share; documents, of which
+    a batch may have few, in ``doc_parts``.
     """
-    sent = keyed_text(docs).mapInArrow(_send_groups(make, n_parts), _blocks.BLOCK_DDL)
+    doc_parts = min(doc_parts or n_parts, n_parts)
+    sent = keyed_text(docs).mapInArrow(_send_groups(make, n_parts, doc_parts), _blocks.BLOCK_DDL)
     if past is not None:
         sent = sent.unionByName(_as(past[0], OLD_GROUP))
-    met = staged(_blocks.by_part(sent, n_parts, _meet_groups(n_parts, keep_run), _blocks.BLOCK_DDL), "groups")
-    ask = met.where(F.col("kind").isin(OPEN, OLD_OPEN)).unionByName(_packed_texts(docs, n_parts))
+    met = staged(_blocks.by_part(sent, n_parts, _meet_groups(make().NAMES, doc_parts, keep_run), _blocks.BLOCK_DDL), "groups")
+    ask = met.where(F.col("kind").isin(OPEN, OLD_OPEN)).unionByName(_packed_texts(docs, doc_parts))
     if past_docs is not None:
-        ask = ask.unionByName(_packed_texts(past_docs, n_parts, OLD_TEXT))
-    windows = _blocks.by_part(ask, n_parts, _open_groups(make, n_parts), _blocks.BLOCK_DDL).unionByName(met.where(F.col("kind") == WINDOW))
+        ask = ask.unionByName(_packed_texts(past_docs, doc_parts, OLD_TEXT))
+    windows = _blocks.by_part(ask, doc_parts, _open_groups(make, n_parts, doc_parts), _blocks.BLOCK_DDL).unionByName(met.where(F.col("kind") == WINDOW))
     if past is not None:
         windows = windows.unionByName(_as(past[1], OLD_WINDOW))
-    met2 = staged(_blocks.by_part(windows, n_parts, _meet_windows(make().NAMES, n_parts, keep_run), _blocks.BLOCK_DDL), "windows")
+    met2 = staged(_blocks.by_part(windows, n_parts, _meet_windows(make().NAMES, doc_parts, keep_run), _blocks.BLOCK_DDL), "windows")
     found = [met.where(F.col("kind") == MARK), met2.where(F.col("kind") == MARK)]
     if not keep_run:
         return found, None, None

@@ -12,6 +12,7 @@ into one. With a folder of its own the index can be opened again.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,15 +96,17 @@ class FingerprintIndex:
             groups, windows = groups.unionByName(g), windows.unionByName(w)
         return groups, windows
 
-    def add(self, batch: DataFrame, digest: bool = True) -> DataFrame:
+    def add(self, batch: DataFrame, digest: bool = True, share: float = 1.0) -> DataFrame:
         """The batch's documents without the words that the index, or an earlier place of the batch, has.
 
         A later batch counts as later whatever its doc_ids. The result does
         not change when more batches follow. Of the documents of earlier
         batches only those are hashed again that hold a group that has to be
-        opened.
+        opened. ``share`` says how much of the usual number of parts the batch's
+        documents call for.
         """
-        found, groups, windows = _repeats.marks(batch, self.make, self.n_parts, self._past(), self.docs, keep_run=True)
+        parts = max(1, math.ceil(self.n_parts * share))
+        found, groups, windows = _repeats.marks(batch, self.make, self.n_parts, self._past(), self.docs, keep_run=True, doc_parts=parts)
         self._added += 1
         self.runs.append(self._store(groups, windows, f"run-{self._added}"))
         own = keyed_text(batch)
@@ -116,8 +119,8 @@ class FingerprintIndex:
             self.compact()
         self._commit()
         if digest:
-            return _repeats.removed(batch, found, self.make, self.n_parts, _digest, SCHEMA, DDL)
-        return _repeats.removed(batch, found, self.make, self.n_parts, _kept, KEPT, "doc_id long, kept string")
+            return _repeats.removed(batch, found, self.make, parts, _digest, SCHEMA, DDL)
+        return _repeats.removed(batch, found, self.make, parts, _kept, KEPT, "doc_id long, kept string")
 
     def compact(self) -> None:
         """Merge all runs into one, sorted again; groups whose bucket has been opened are let go."""
@@ -159,11 +162,19 @@ def remove(docs: DataFrame, window: int = 20, gram: int | None = None, splits: t
     if not cuts:
         return index.add(docs, digest)
     d = F.col("doc_id")
-    batches = [docs.where(d <= cuts[0])]
-    batches += [docs.where((d > a) & (d <= b)) for a, b in zip(cuts, cuts[1:])]
-    batches.append(docs.where((d > cuts[-1]) | d.isNull()))
+    edges = [low - 1, *cuts, high]
+    tasks = docs.rdd.getNumPartitions()
+
+    share = lambda a, b: (b - a) / max(1, high - low + 1)
+
+    def batch(a: int, b: int) -> DataFrame:
+        """Rows with ids above a, up to b, read by the batch's share of the tasks: each task sends a block to each part."""
+        last = d.isNull() if b == high else F.lit(False)
+        return docs.where((d > a) & (d <= b) | last).coalesce(max(1, math.ceil(tasks * share(a, b))))
+
     out = None
-    for b in batches:
-        got = index.add(b, digest)
-        out = got if out is None else out.unionByName(got)
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            got = index.add(batch(a, b), digest, share(a, b))
+            out = got if out is None else out.unionByName(got)
     return out

@@ -20,6 +20,7 @@ Words are known by 64 bits of hash.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -118,11 +119,53 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
             at = to
 
 
+class _Table:
+    """Places of distinct keys by open addressing, looked up many at a time."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot, self.key = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, keys.dtype)
+        left, at = np.arange(len(keys)), self._start(keys)
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]  # of several the last stays
+            lost = self.slot[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.mask
+        held = self.slot >= 0
+        self.key[held] = keys[self.slot[held]]
+
+    def _start(self, x: np.ndarray) -> np.ndarray:
+        return ((x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self._start(np.ascontiguousarray(x))
+        place = self.slot[at]
+        found = (self.key[at] == x) & (place >= 0)
+        left = np.flatnonzero(~found & (place >= 0))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            there = self.slot[at]
+            hit = (self.key[at] == x[left]) & (there >= 0)
+            place[left[hit]], found[left[hit]] = there[hit], True
+            on = ~hit & (there >= 0)
+            left, at = left[on], at[on]
+        return np.where(found, place, 0).astype(np.int64), found
+
+
+#: Tables of the arrays that a worker looks things up in, by the array; a table goes with its array.
+_TABLES: dict[int, tuple[weakref.ref, _Table]] = {}
+
+
 def _find(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x among distinct keys, 0 where there is none, and whether there is one."""
     if not len(keys):
         return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return at, keys[at] == x
+    at = id(keys)
+    if at not in _TABLES or _TABLES[at][0]() is not keys:
+        _TABLES[at] = weakref.ref(keys, lambda _: _TABLES.pop(at, None)), _Table(keys)
+    return _TABLES[at][1].find(x.astype(keys.dtype, copy=False))
 
 
 @dataclass
@@ -424,7 +467,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = DEPTH, floors: Floors
         order = np.argsort(h)
         h, c = h[order], c[order]
         x, d, tag, n = _blocks.joined(held.pop(RARE, []), RARE_T)
-        at, there = _find(h, x)
+        at, there = _Table(h).find(x)  # looked up once: not kept
         c = np.where(there, c[at], 0) if len(c) else np.zeros(len(x), np.int64)
         order = np.lexsort((tag, d))
         d, tag, n, c = d[order], tag[order], n[order].astype(np.int64), c[order]
