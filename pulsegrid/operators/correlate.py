@@ -162,7 +162,7 @@ def deconvolved(counts: DataFrame, auto: DataFrame, unit: str = "unit") -> DataF
         return pd.DataFrame({unit: a[unit].iloc[0], "bin": np.arange(n, dtype="int32"), "rate": y})
 
     kind = dict(counts.dtypes)[unit]
-    return counts.select(unit, "bin", "n").groupBy(unit).cogroup(auto.select(unit, "bin", "n").groupBy(unit)).applyInPandas(run, f"{unit} {kind}, bin int, rate double")
+    return counts.select(unit, "bin", "n").groupBy(unit).cogroup(auto.select(*[F.col(c).alias(c) for c in (unit, "bin", "n")]).groupBy(unit)).applyInPandas(run, f"{unit} {kind}, bin int, rate double")
 
 
 def significant_modulation(cch: DataFrame, keys: Sequence[str] = ("unit", "unit2"), width: float = 0.005, window: float = 0.2, alpha: float = 0.001, kernel: int = 30) -> DataFrame:

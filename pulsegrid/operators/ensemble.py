@@ -35,17 +35,45 @@ def similarity_pairs(vectors: DataFrame, vector: str, key: str, group: str | Non
     return a.join(b, cond).select(key, "key2", F.try_divide(dot(F.col("_v"), F.col("_v2")), F.col("_n") * F.col("_n2")).alias("cosine"))
 
 
-def similarity_index(vectors: DataFrame, vector: str, key: str, n_shuffles: int, seed: int = 0) -> DataFrame:
-    """(key, key2, similarity, p): |cosine| of patterns against the second one's entries in hashed orders."""
-    pairs = similarity_pairs(vectors, vector, key).withColumn("similarity", F.abs("cosine")).drop("cosine")
-    v = vectors.select(F.col(key).alias("_k"), F.col(vector).alias("_v"))
-    x = pairs.join(v, F.col(key) == F.col("_k")).drop("_k").withColumnRenamed("_v", "_a")
-    x = x.join(v, F.col("key2") == F.col("_k")).drop("_k").withColumnRenamed("_v", "_b")
-    s = F.broadcast(vectors.sparkSession.range(n_shuffles).select(F.col("id").alias("_s")))  # n_shuffles rows
-    x = x.join(s, F.lit(True))
-    mixed = F.transform(F.array_sort(F.transform(F.col("_b"), lambda e, i: F.struct(F.xxhash64(i, F.col("_s"), F.col(key), F.col("key2"), F.lit(seed)).alias("h"), e.alias("e")))), lambda t: t["e"])
-    null = F.abs(cosine(F.col("_a"), mixed))
-    return x.groupBy(key, "key2", "similarity").agg(((F.sum((null >= F.col("similarity")).cast("int")) + 1) / (n_shuffles + 1)).alias("p"))
+def similarity_index(vectors: DataFrame, vector: str, key: str, n_shuffles: int, seed: int = 0, blocks: int | None = None) -> DataFrame:
+    """(key, key2, similarity, p): |cosine| of patterns key < key2 against the second one's entries in hashed orders.
+
+    Pairs meet by blocks of patterns, a matrix product for each shuffle; a
+    pattern has one order of its entries in a shuffle, whatever it meets.
+    """
+    import pyarrow as pa
+
+    from .correlate import _block_pairs, _rows_of
+
+    kind = dict(vectors.dtypes)[key]
+    rows = vectors.select(key, F.xxhash64(key, F.lit(seed)).alias("_h"), F.transform(vector, lambda x: x.cast("double")).alias("_z"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        u, w = a[key].to_numpy(), b[key].to_numpy()
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (_rows_of(a["_z"]), _rows_of(b["_z"])))
+        seen = np.abs(x @ y.T)
+        later, earlier = np.zeros(seen.shape, np.int64), np.zeros(seen.shape, np.int64)
+        same = a["_i"][0] == b["_j"][0]
+        for s in range(n_shuffles):
+            later += np.abs(x @ _mixed(y, b["_h"].to_numpy(), s).T) >= seen
+            if not same:
+                earlier += np.abs(_mixed(x, a["_h"].to_numpy(), s) @ y.T) >= seen
+        i, j = np.nonzero(u[:, None] < w[None, :]) if same else (v.ravel() for v in np.indices(seen.shape))
+        up = u[i] < w[j]
+        first, second = np.where(up, u[i], w[j]), np.where(up, w[j], u[i])
+        p = (np.where(up, later[i, j], earlier[i, j]) + 1) / (n_shuffles + 1)
+        of = a.schema.field(key).type
+        return pa.table({key: pa.array(first, of), "key2": pa.array(second, of), "similarity": seen[i, j], "p": p})
+
+    return _block_pairs(rows, [], key, blocks, run, f"{key} {kind}, key2 {kind}, similarity double, p double")
+
+
+def _mixed(rows: np.ndarray, of: np.ndarray, shuffle: int) -> np.ndarray:
+    """Entries of each row in an order that hangs on the row's number and the shuffle's."""
+    h = (of.astype(np.uint64)[:, None] ^ np.uint64(shuffle + 1) * np.uint64(0x9E3779B97F4A7C15)) + np.arange(1, rows.shape[1] + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.take_along_axis(rows, np.argsort(h ^ (h >> np.uint64(31)), axis=1), axis=1)
 
 
 def proximity(a: DataFrame, b: DataFrame, vector: str, key: str) -> DataFrame:
@@ -236,9 +264,74 @@ def null_eigenvalues(z: DataFrame, n_shuffles: int, n_bins: int, kind: str = "ci
     return out
 
 
+def scaled_by_group(z: DataFrame, groups: DataFrame, unit: str = "unit", value: str = "z") -> DataFrame:
+    """Values over the root of the number of units in their group (unit, grp), so that groups weigh alike."""
+    n = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
+    return z.join(groups.join(n, "grp").select(unit, "_n"), unit).withColumn(value, F.col(value) / F.sqrt("_n")).drop("_n")
+
+
+def cross_group_patterns(patterns: DataFrame, groups: DataFrame, threshold: float = 1e-12, mode: str = "absolute", percentile: float = 95.0, unit: str = "unit") -> DataFrame:
+    """Patterns with weights above a threshold in at least two groups of units: an ``absolute`` one, a share of the largest (``relative``), or a ``percentile``."""
+    own = patterns.withColumn("_a", F.abs("weight"))
+    cut = {"absolute": F.lit(threshold), "relative": F.max("_a") * threshold, "percentile": F.percentile("_a", F.lit(percentile / 100))}[mode]
+    cut = own.groupBy("assembly").agg(cut.alias("_cut")) if mode != "absolute" else own.select("assembly").distinct().withColumn("_cut", cut)
+    on = own.join(cut, "assembly").where(F.col("_a") > F.col("_cut")).join(groups, unit)
+    keep = on.groupBy("assembly").agg(F.countDistinct("grp").alias("_g")).where("_g >= 2").select("assembly")
+    return patterns.join(keep, "assembly", "left_semi")
+
+
+def cross_svd_significance(z: DataFrame, groups: DataFrame, n_shuffles: int, percentile: float = 95.0, mode: str = "per_rank", seed: int = 0, unit: str = "unit", index: str = "bin", value: str = "z") -> DataFrame:
+    """(component, singular, threshold, significant) of :func:`cross_svd` against bins in a hashed order, one order for all units of the second group.
+
+    Units of a group stay together, so only what ties the groups is undone.
+    ``max_stat`` compares all components with the largest of each shuffle.
+    """
+    seen = [r["singular"] for r in cross_svd(z, groups, None, unit, index, value).select("component", "singular").distinct().orderBy("component").collect()]  # as many as units at most
+    names = sorted(r[0] for r in groups.select("grp").distinct().collect())
+    bins = z.select(index).distinct()
+    first, second = (z.join(groups.where(F.col("grp") == g).select(unit), unit, "left_semi") for g in names)
+    null = []
+    for s in range(n_shuffles):
+        w = Window.orderBy(F.xxhash64(index, F.lit(s), F.lit(seed)), index)
+        order = bins.withColumn("_k", F.row_number().over(w)).join(bins.withColumn("_k", F.row_number().over(Window.orderBy(index))).withColumnRenamed(index, "_to"), "_k").drop("_k")  # a row a bin
+        moved = second.join(order, index).drop(index).withColumnRenamed("_to", index)
+        null.append([r["singular"] for r in cross_svd(first.unionByName(moved.select(*first.columns)), groups, None, unit, index, value).select("component", "singular").distinct().orderBy("component").collect()])
+    null = np.array(null)
+    cut = np.full(len(seen), np.percentile(null.max(axis=1), percentile)) if mode == "max_stat" else np.percentile(null, percentile, axis=0)
+    rows = [(k, float(s), float(c), bool(s > c)) for k, (s, c) in enumerate(zip(seen, cut, strict=True))]
+    return z.sparkSession.createDataFrame(rows, "component int, singular double, threshold double, significant boolean")
+
+
 # explained variance
 
 
+def explained_variance_windows(template: DataFrame, control: DataFrame, matching: DataFrame, unit: str = "unit") -> DataFrame:
+    """(window, ev, rev, ev_std, rev_std): of each matching window, over all control windows, from pair correlations (window, unit, unit2, r) and a template (unit, unit2, r).
+
+    Squared partial correlations of each control and matching window; their
+    mean and deviation over control windows.
+    """
+    t = template.select(unit, "unit2", F.col("r").alias("task"))
+    c = control.select(F.col("window").alias("_c"), unit, "unit2", F.col("r").alias("pre"))
+    m = matching.select("window", unit, "unit2", F.col("r").alias("post"))
+    each = explained_variance(m.join(c, [unit, "unit2"]).join(t, [unit, "unit2"]), keys=["window", "_c"])
+    return each.groupBy("window").agg(F.avg("ev").alias("ev"), F.avg("rev").alias("rev"), F.stddev_pop("ev").alias("ev_std"), F.stddev_pop("rev").alias("rev_std"))
+
+
+def explained_variance_p(pairs: DataFrame, n_shuffles: int, pre: str = "pre", task: str = "task", post: str = "post", seed: int = 0, unit: str = "unit") -> DataFrame:
+    """(ev, p): explained variance against the template's correlations dealt to the pairs in hashed orders."""
+    x = pairs.select(unit, "unit2", pre, task, post).dropna()
+    seen = explained_variance(x, pre, task, post).select("ev")
+    s = F.broadcast(x.sparkSession.range(n_shuffles).select(F.col("id").alias("_s")))  # n_shuffles rows
+    y = x.join(s, F.lit(True))
+    own = Window.partitionBy("_s")
+    y = y.withColumn("_i", F.row_number().over(own.orderBy(unit, "unit2"))).withColumn("_j", F.row_number().over(own.orderBy(F.xxhash64(unit, "unit2", "_s", F.lit(seed)), unit, "unit2")))
+    dealt = y.select("_s", "_i", pre, post).join(y.select("_s", F.col("_j").alias("_i"), task), ["_s", "_i"])
+    null = explained_variance(dealt, pre, task, post, ["_s"]).select(F.col("ev").alias("_n"))
+    got = null.join(F.broadcast(seen), F.lit(True)).groupBy("ev")  # one row
+    return got.agg(((F.sum((F.col("_n") > F.col("ev")).cast("int")) + 1) / (F.count("_n") + 1)).alias("p"))
+
+
 def explained_variance(pairs: DataFrame, pre: str = "pre", task: str = "task", post: str = "post", keys: K = ()) -> DataFrame:
     """(keys, ev, rev) from pair correlations of three periods: squared partial correlations, and with pre and post exchanged."""
     x = pairs.where(" and ".join(f"{c} is not null" for c in (pre, task, post)))
@@ -294,6 +387,65 @@ def potential_landscape(rows: DataFrame, state: Column, domain: Column, t: str,
     return p.select(F.col("_d").alias("domain"), F.col("_s").alias("state"), (F.col("_p") - F.coalesce(at, F.lit(0.0))).alias("potential"))
 
 
+def potential_landscape_nd(rows: DataFrame, axes: Sequence[str], states: Sequence[Column], domain: Column, t: str, keys: K) -> DataFrame:
+    """(axis, s0, s1, ..., domain, n, gradient, potential) of each axis in the space of all axes.
+
+    ``states`` bin the axes; the gradient is the mean step to the next row, the
+    potential minus its running sum along the axis, over bins that hold rows.
+    """
+    w = Window.partitionBy(*keys).orderBy(t)
+    x = rows.withColumn("_d", domain)
+    for i, (a, s) in enumerate(zip(axes, states, strict=True)):
+        x = x.withColumn(f"s{i}", s).withColumn(f"_x{i}", F.lead(a).over(w) - F.col(a))
+    names = [f"s{i}" for i in range(len(axes))]
+    x = x.where(" and ".join([f"{n} is not null" for n in names] + ["_x0 is not null"]))
+    m = x.groupBy("_d", *names).agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(len(axes))])
+    out = None
+    for i in range(len(axes)):
+        own = Window.partitionBy("_d", *[n for n in names if n != f"s{i}"]).orderBy(f"s{i}").rowsBetween(Window.unboundedPreceding, 0)
+        y = m.select(F.lit(i).alias("axis"), *names, F.col("_d").alias("domain"), "n", F.col(f"_m{i}").alias("gradient"), (-F.sum(f"_m{i}").over(own)).alias("potential"))
+        out = y if out is None else out.unionByName(y)
+    return out
+
+
+def trial_covariates(rows: DataFrame, features: Sequence[str], labels: Sequence[str], trial: str, order: str, before: int, after: int = 0, current: int = 1) -> DataFrame:
+    """(trial, order, labels, history): features of the bins from ``before`` back to ``after`` ahead, flat, never across trials; bins without all of them are left out.
+
+    ``current`` 0 leaves the bin itself out.
+    """
+    w = Window.partitionBy(trial).orderBy(order)
+    steps = [k for k in range(-before, after + 1) if k or current]
+    bins = [F.lead(F.array(*[F.col(f).cast("double") for f in features]), k).over(w) if k > 0 else F.lag(F.array(*[F.col(f).cast("double") for f in features]), -k).over(w) if k else F.array(*[F.col(f).cast("double") for f in features]) for k in steps]
+    x = rows.select(trial, order, *labels, F.array(*bins).alias("_h"))
+    return x.where(F.forall("_h", lambda b: b.isNotNull())).select(trial, order, *labels, F.flatten("_h").alias("history"))
+
+
+def mini_batches(rows: DataFrame, size: int, key: Sequence[str], seed: int | None = None, drop_last: bool = False) -> DataFrame:
+    """Adds ``batch``: rows in a hashed order, or that of the key, in batches of about ``size``.
+
+    Rows are dealt to shards by a hash and numbered inside their shard, so no
+    window spans the table; batches of a hashed order never mix shards.
+    """
+    n = rows.count()
+    shards = 1 if seed is None else max(1, n // max(size * 64, 1))
+    h = F.xxhash64(*key, F.lit(seed or 0))
+    shard = F.pmod(h, F.lit(shards))
+    w = Window.partitionBy("_sh").orderBy(*([h] if seed is not None else []), *key)
+    x = rows.withColumn("_sh", shard).withColumn("_k", F.floor((F.row_number().over(w) - 1) / size))
+    x = x.withColumn("batch", F.struct("_sh", "_k"))
+    if drop_last:
+        x = x.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_sh", "_k"))).where(F.col("_n") == size).drop("_n")
+    return x.withColumn("batch", F.col("_sh") * F.lit(n // size + 1) + F.col("_k")).drop("_sh", "_k")
+
+
+def shuffled_within(rows: DataFrame, values: Sequence[str], trial: str, order: str, seed: int = 0) -> DataFrame:
+    """Rows whose values, together, have moved to another place of the same trial, by a hashed order."""
+    own = Window.partitionBy(trial)
+    x = rows.withColumn("_i", F.row_number().over(own.orderBy(order))).withColumn("_j", F.row_number().over(own.orderBy(F.xxhash64(trial, order, F.lit(seed)), order)))
+    moved = x.select(trial, F.col("_j").alias("_i"), F.struct(*values).alias("_v"))
+    return x.drop(*values, "_j").join(moved, [trial, "_i"]).select(*[F.col(f"_v.{c}").alias(c) if c in values else F.col(c) for c in rows.columns])
+
+
 def history_features(rows: DataFrame, value: str, order: str, before: int, after: int, keys: K = ("unit",)) -> DataFrame:
     """Adds ``history``: the values from ``before`` rows back to ``after`` rows ahead; null where any is missing."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-before, after)

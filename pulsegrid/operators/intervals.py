@@ -107,6 +107,22 @@ def runs(rows: DataFrame, flag: Column, order: str, keys: Sequence[str] = ()) ->
     return on.groupBy(*keys, "_g").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("_g")
 
 
+def run_epochs(samples: DataFrame, speed: str, at_least: float, order: str = "t", keys: Sequence[str] = (), max_gap: float | None = None, longer: float = 0.0) -> DataFrame:
+    """(keys, start, stop): runs of samples at or above a speed; a pause between samples of more than ``max_gap`` ends a run."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    on = F.coalesce(F.col(speed) >= at_least, F.lit(False))
+    x = samples.where(F.col(speed).isNotNull()).withColumn("_on", on)
+    new = F.col("_on") & (~F.coalesce(F.lag("_on").over(w), F.lit(False)) | (F.coalesce(F.col(order) - F.lag(order).over(w) > max_gap, F.lit(False)) if max_gap is not None else F.lit(False)))
+    x = x.withColumn("_new", new.cast("int")).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_on")
+    got = x.groupBy(*keys, "_g").agg(F.min(order).alias("start"), F.max(order).alias("stop")).drop("_g")
+    return got.where(F.col("stop") - F.col("start") >= longer) if longer else got
+
+
+def flattened(points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Points of all units as one train."""
+    return points.select(*keys, "t")
+
+
 def hysteresis(rows: DataFrame, value: str, high: float, low: float, order: str, keys: Sequence[str] = ()) -> DataFrame:
     """Adds ``state``: true from a value above ``high`` until one below ``low``."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -177,10 +193,13 @@ def randomize(epochs: DataFrame, domain: tuple[float, float], seed: int = 0, eac
 def relative_times(points: DataFrame, epochs: DataFrame, t: str, width: float, keys: Sequence[str] = (), by: str = "epoch_id", values: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
     """Every point with ``interval`` and ``rel``, its place in the epoch scaled to ``values``; of two touching epochs the earlier."""
     e = epochs.select(*keys, F.col("start").alias("_lo"), F.col("stop").alias("_hi"), F.col(by).alias("_id"))
-    cols = points.columns
-    got = range_join(points, e, t, "_lo", "_hi", width, keys, how="left")
+    got = range_join(points.select(*keys, t).distinct(), e, t, "_lo", "_hi", width, keys)
     rank = F.struct((F.col("_lo") < F.col(t)).cast("int").alias("a"), F.when(F.col("_lo") < F.col(t), F.col("_lo")).alias("b"))
-    got = got.groupBy(*cols).agg(F.max_by(F.struct("_id", "_lo", "_hi"), F.when(F.col("_id").isNotNull(), rank)).alias("e"))
+    got = got.groupBy(*[F.col(c).alias(f"_m_{c}") for c in (*keys, t)]).agg(F.max_by(F.struct("_id", "_lo", "_hi"), rank).alias("e"))
+    same = F.col(t) == F.col(f"_m_{t}")
+    for k in keys:
+        same &= F.col(k) == F.col(f"_m_{k}")
+    cols, got = points.columns, points.join(got, same, "left")
     a, b = values
     rel = a + (b - a) * F.try_divide(F.col(t) - F.col("e._lo"), F.col("e._hi") - F.col("e._lo"))
     return got.select(*cols, F.col("e._id").alias("interval"), rel.alias("rel"))

@@ -6,6 +6,7 @@ merging and gates on what they find are window functions and range joins.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -309,6 +310,27 @@ def dentate_spikes(signal: DataFrame, fs: float, hilus: int, molecular: int, z_h
     return got.groupBy("session", "_lo", "_hi").agg(F.max_by("t", "filtered").alias("peak"), F.max("filtered").alias("amplitude")).withColumnsRenamed({"_lo": "start", "_hi": "stop"})
 
 
+def dentate_spikes_by_difference(signal: DataFrame, fs: float, hilus: int, molecular: int, high: float = 5.0, low: float = 0.75, shortest: float = 0.005, longest: float = 0.05, busy: DataFrame | None = None, band: tuple[float, float] = (5.0, 100.0)) -> DataFrame:
+    """(session, start, stop, peak, amplitude): runs of the channels' difference above ``low`` deviations that pass ``high`` ones, without those that meet a ``busy`` interval (session, start, stop)."""
+
+    def add(g: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {"filtered": dsp.zero_phase(dsp.cheby2_sos(4, 40, band, fs), g["value"].to_numpy(float))}
+
+    of = lambda c: F.max(F.when(F.col("channel") == c, F.col("filtered")))
+    x = _each(signal.where(F.col("channel").isin(hilus, molecular)), K, add, ["filtered"])
+    x = x.groupBy("session", "t").agg((of(hilus) - of(molecular)).alias("d"))
+    x = zscore(x, "d", ["session"])
+    r = iv.runs(x, F.col("z") > low, "t", ["session"]).select("session", F.col("first").alias("_lo"), F.col("last").alias("_hi"))
+    got = iv.range_join(x, r, "t", "_lo", "_hi", 1.0, ["session"]).groupBy("session", "_lo", "_hi").agg(F.max("z").alias("_top"), F.max_by("t", "d").alias("peak"), F.max("d").alias("amplitude"))
+    stop = F.col("_hi") + 1 / fs
+    got = got.where((F.col("_top") > high) & (stop - F.col("_lo")).between(shortest, longest)).select("session", F.col("_lo").alias("start"), stop.alias("stop"), "peak", "amplitude")
+    if busy is not None:
+        b = busy.select("session", F.col("start").alias("start2"), F.col("stop").alias("stop2"))
+        hit = iv.overlap_join(got.select("session", "start", "stop"), b, 1.0, ["session"]).distinct()
+        got = got.join(hit, ["session", "start", "stop"], "left_anti")
+    return got
+
+
 def laps(position: DataFrame, threshold: float = 15.0, edge: float = 0.15, keys: Sequence[str] = ("session",)) -> DataFrame:
     """(keys, start, stop, direction): passes between the two ends of a linear track, a session at a time.
 
@@ -343,23 +365,57 @@ def laps(position: DataFrame, threshold: float = 15.0, edge: float = 0.15, keys:
     return position.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["start double", "stop double", "direction string"]))
 
 
-def track_states(position: DataFrame, segments: Sequence[tuple[int, float, float, float, float]], per_segment: int = 20, spread: float = 5.0, stay: float = 2.0, keys: Sequence[str] = ("session",)) -> DataFrame:
+#: The spread of emissions by the deviation of coordinates, and the smoothness of steps by the length of the track, each below a limit.
+SPREADS = ((1.0, 3.0), (3.0, 5.0), (8.0, 8.0), (math.inf, 12.0))
+STAYS = ((10.0, 0.5), (30.0, 0.8), (80.0, 1.2), (math.inf, 1.5))
+
+
+def track_scale(segments: Sequence[tuple[int, float, float, float, float]], spread_of: float) -> dict:
+    """Parameters of :func:`track_states` for a track and the mean deviation of its coordinates: looser for what is tracked loosely, smoother on long tracks."""
+    length = sum(float(np.hypot(x1 - x0, y1 - y0)) for _, x0, y0, x1, y1 in segments)
+    below = lambda table, x: next(v for limit, v in table if x < limit)
+    return {"spread": below(SPREADS, spread_of), "stay": below(STAYS, length)}
+
+
+def track_distances(segments: Sequence[tuple[int, float, float, float, float]], states: Sequence[tuple[int, float]]) -> np.ndarray:
+    """Distances between places (segment's position in the list, distance from its start) along the track, by its shortest ways; segments meet where their ends do."""
+    ends, of = {}, []
+    for _, x0, y0, x1, y1 in segments:
+        of.append(tuple(ends.setdefault((round(x, 6), round(y, 6)), len(ends)) for x, y in ((x0, y0), (x1, y1))))
+    length = [float(np.hypot(x1 - x0, y1 - y0)) for _, x0, y0, x1, y1 in segments]
+    d = np.full((len(ends), len(ends)), np.inf)
+    np.fill_diagonal(d, 0.0)
+    for (a, b), n in zip(of, length, strict=True):
+        d[a, b] = d[b, a] = min(d[a, b], n)
+    for k in range(len(ends)):
+        d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1, :])
+    seg, at = np.array([s for s, _ in states]), np.array([p for _, p in states])
+    tail = np.array(length)[seg] - at
+    node = np.array(of)[seg]
+    ways = [x[:, None] + d[np.ix_(node[:, i], node[:, j])] + y[None, :] for i, x in enumerate((at, tail)) for j, y in enumerate((at, tail))]
+    way = np.minimum.reduce(ways)
+    same = seg[:, None] == seg[None, :]
+    return np.where(same, np.minimum(way, np.abs(at[:, None] - at[None, :])), way)
+
+
+def track_states(position: DataFrame, segments: Sequence[tuple[int, float, float, float, float]], per_segment: int = 20, spread: float = 5.0, stay: float = 2.0, keys: Sequence[str] = ("session",), smooth: int = 0) -> DataFrame:
     """Adds segment and lin by the most likely path over bins of the segments (Viterbi), a session at a time.
 
-    Steps cost by distance along the track; other segments are entered where
-    their ends meet. Samples without coordinates take the path's prediction.
+    Steps cost by distance along the track, so a path goes from one segment to
+    another where their ends meet. Samples without coordinates take the path's
+    prediction. ``smooth`` samples on either side vote for each state.
     """
-    states, before = [], 0.0
-    for seg, x0, y0, x1, y1 in segments:
+    states, places, before = [], [], 0.0
+    for nth, (seg, x0, y0, x1, y1) in enumerate(segments):
         length = float(np.hypot(x1 - x0, y1 - y0))
         for k in range(per_segment):
             s = (k + 0.5) / per_segment
             states.append((seg, before + s * length, x0 + s * (x1 - x0), y0 + s * (y1 - y0)))
+            places.append((nth, s * length))
         before += length
     place = np.array([s[2:] for s in states])
     seg_of, lin = np.array([s[0] for s in states]), np.array([s[1] for s in states])
-    d = np.hypot(place[:, None, 0] - place[None, :, 0], place[:, None, 1] - place[None, :, 1])
-    step = np.exp(-d / stay)
+    step = np.exp(-track_distances(segments, places) / stay)
     log_t = np.log(step / step.sum(axis=1, keepdims=True) + 1e-12)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -376,6 +432,9 @@ def track_states(position: DataFrame, segments: Sequence[tuple[int, float, float
         path[-1] = int(score.argmax())
         for i in range(len(xy) - 1, 0, -1):
             path[i - 1] = back[i, path[i]]
+        if smooth:  # the most frequent state around, the smallest of equals
+            around = np.lib.stride_tricks.sliding_window_view(np.pad(path, smooth, mode="edge"), 2 * smooth + 1)
+            path = np.array([np.bincount(v).argmax() for v in around])
         return g.assign(segment=seg_of[path].astype("int32"), lin=lin[path])
 
     ddl = ", ".join([f"`{n}` {t}" for n, t in position.dtypes] + ["segment int", "lin double"])

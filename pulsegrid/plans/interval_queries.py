@@ -142,10 +142,3 @@ SELECT event_id, unit, t, epoch_id AS interval, round((t - start) / (stop - star
 def relative_times(spark, sf):
     got = iv.relative_times(ev(spark, sf).select("event_id", "unit", "t"), epochs(spark, sf, "signup", HOURS6, "unit"), "t", HOURS6, ["unit"])
     return got.withColumn("rel", F.round("rel", 9))
-
-
-@query()
-def randomize_epochs(spark, sf):
-    return iv.randomize(epochs(spark, sf, "signup", HOURS6), (0.0, 30 * DAY), seed=3)
-
-

@@ -233,8 +233,3 @@ def circular_interp(spark, sf):
     e = ev(spark, sf)
     got = joins.interpolate_at(e.where("kind = 'purchase'").select("event_id", "unit", "t"), e.where("kind <> 'purchase'").select("unit", "t", (F.col("value") / 20.0).alias("value")), "t", "value", ["unit"], 6 * 3600.0, circular=True)
     return got.withColumn("value", F.round("value", 6))
-
-
-@query()
-def spiking_threshold(spark, sf):
-    return pe.spiking_threshold(spikes(spark, sf), refs(spark, sf, "error"), 600.0, 0.0, int(30 * DAY / 600), 1200.0)

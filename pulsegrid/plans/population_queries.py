@@ -67,8 +67,7 @@ def spatial_information(spark, sf):
     return got.select("unit", *[F.round(c, 9).alias(c) for c in ("information", "information_rate", "sparsity", "selectivity")])
 
 
-@query()
-def shuffle_spatial_information(spark, sf):
+def whole_shuffle_spatial_information(spark, sf):
     from pyspark.sql import Window
 
     # numbered in order of i: inside runs of 32,768 values, after what the runs before hold
@@ -107,12 +106,6 @@ def find_peaks(spark, sf):
     return tu.local_peaks(_map2(spark, sf)).select("unit", "bx", "by", F.round("rate", 9).alias("rate"))
 
 
-@query()
-def label_fields_2d(spark, sf):
-    cells = tu.label_fields(_map2(spark, sf), 0.5)
-    return tu.field_centres(tu.sort_by_rate(tu.remove_by_area(cells, 2)), "mass")
-
-
 _SQLC = f"cnt AS (SELECT unit, least(floor(t / {DAY}), 29)::INTEGER AS tbin, count(*) AS n FROM ev GROUP BY ALL)"
 _TUN = "tun AS (SELECT unit, floor((t % 86400) / 3600)::INTEGER AS bx, count(*) / 30.0::DOUBLE AS rate FROM ev GROUP BY ALL), oc AS (SELECT floor((t % 86400) / 3600)::INTEGER AS bx, count(*)::DOUBLE AS occ FROM ev GROUP BY ALL)"
 _POST = f"""{EV}, {_SQLC}, {_TUN}, full_t AS (SELECT u.unit, o.bx, coalesce(rate, 0) AS rate FROM (SELECT DISTINCT unit FROM tun) u CROSS JOIN oc o LEFT JOIN tun ON tun.unit = u.unit AND tun.bx = o.bx),
@@ -164,8 +157,7 @@ def jump_distance(spark, sf):
     return de.jump_distance(c).select("event", F.round("max_jump", 6).alias("max_jump"), F.round("mean_jump", 6).alias("mean_jump"))
 
 
-@query()
-def replay_scores(spark, sf):
+def whole_replay_scores(spark, sf):
     p = _posterior(spark, sf).withColumn("event", F.floor(F.col("tbin") / 6).cast("int"))
     return de.scored_replay(p, 40, 24)
 
@@ -179,8 +171,7 @@ def skew_bias(spark, sf):
     return de.skew_bias(e).withColumn("bias", F.round("bias", 9))
 
 
-@query()
-def bias_significance(spark, sf):
+def whole_bias_significance(spark, sf):
     e = spikes(spark, sf)
     return de.bias_significance(e.where(f"t < {10 * DAY}"), e.where(f"t >= {10 * DAY}").withColumn("epoch", F.floor(F.col("t") / (5 * DAY)).cast("int")), 30)
 
@@ -279,11 +270,6 @@ def reindex_weight(spark, sf):
     return st.repeat_rows(p, "w").groupBy("p_partkey", "p_size").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@query()
-def confidence_intervals(spark, sf):
-    return st.confidence_interval(ev(spark, sf), "value", ["unit"])
-
-
 @query(
     f"""WITH {EV}, k AS (SELECT unit, count(*) / 1000.0::DOUBLE AS p FROM ev GROUP BY unit), r AS (SELECT *, row_number() OVER (ORDER BY p, unit) AS r, count(*) OVER () AS n FROM k)
 SELECT unit, p, round(least(min(p * n / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING), 1.0), 9) AS adjusted FROM r"""
@@ -305,8 +291,7 @@ def cosine_pairs(spark, sf):
     return en.similarity_pairs(v, "embedding", "vec_id", "label").withColumn("cosine", F.round("cosine", 6))
 
 
-@query()
-def similarity_index(spark, sf):
+def whole_similarity_index(spark, sf):
     return en.similarity_index(table(spark, sf, "embeddings"), "embedding", "vec_id", 50)
 
 
@@ -347,7 +332,7 @@ def assembly_activity(spark, sf):
 
 
 @query()
-def assembly_patterns(spark, sf):
+def assembly_patterns_of_events(spark, sf):
     z = grid.zscore(_counts(spark, sf), "n", ["unit"])
     return en.members(en.assemblies(z, method="ica", bound=1.5))
 
@@ -429,7 +414,3 @@ def image_spread(spark, sf):
     return got.select(F.round("moment", 9).alias("moment"), F.round("spread", 9).alias("spread"))
 
 
-@query()
-def burst_index(spark, sf):
-    acg = co.correlogram(spikes(spark, sf).withColumn("t", F.col("t") / 1e6), 0.001, 120)
-    return pe.burst_index(acg)

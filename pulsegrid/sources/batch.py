@@ -61,3 +61,59 @@ def load_results(spark: SparkSession, path: str, file_name: bool = False) -> Dat
     if found is None:
         raise ValueError(f"no results in {path}")
     return found.select("*", F.col("_metadata.file_name").alias("save_file")) if file_name else found
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that driver and executors share; where no cluster names one, on this machine."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that executors share")
+        base = f"{tempfile.gettempdir()}/pulsegrid-{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def nested_rows(value, path: str = "") -> list[tuple[str, str, str]]:
+    """A nested result of dictionaries, lists, arrays and plain values as (path, kind, JSON) of its leaves; lists of unequal parts nest."""
+    import json
+
+    import numpy as np
+
+    if isinstance(value, dict):
+        return [("" + path, "dict", json.dumps(list(value)))] + [r for k, v in value.items() for r in nested_rows(v, f"{path}/{k}")]
+    if isinstance(value, np.ndarray) and value.dtype != object:
+        return [(path, f"array {value.dtype.str} {','.join(map(str, value.shape))}", json.dumps(value.ravel().tolist()))]
+    if isinstance(value, (list, tuple, np.ndarray)):
+        return [(path, "list", str(len(value)))] + [r for i, v in enumerate(value) for r in nested_rows(v, f"{path}/{i}")]
+    return [(path, "value", json.dumps(value.item() if hasattr(value, "item") else value))]
+
+
+def nested_value(rows: list[tuple[str, str, str]]):
+    """The result that :func:`nested_rows` took apart."""
+    import json
+
+    import numpy as np
+
+    at = {p: (k, v) for p, k, v in rows}
+
+    def build(path: str):
+        kind, text = at[path]
+        if kind == "dict":
+            return {k: build(f"{path}/{k}") for k in json.loads(text)}
+        if kind == "list":
+            return [build(f"{path}/{i}") for i in range(int(text))]
+        if kind.startswith("array"):
+            _, dtype, shape = kind.split(" ")
+            return np.array(json.loads(text), dtype).reshape([int(n) for n in shape.split(",") if n])
+        return json.loads(text)
+
+    return build("")
+
+
+def run_nested(sessions: DataFrame, func: Callable[..., object], path: str, **kwargs) -> DataFrame:
+    """Like :func:`run` for functions that return nested results: (session, error, path, kind, value), a row a leaf."""
+    rows = lambda s, **kw: pd.DataFrame(nested_rows(func(s, **kw)), columns=["path", "kind", "value"])
+    return run(sessions, rows, "path string, kind string, value string", path, **kwargs)

@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    """(session, n_channels, fs_lfp, fs_dat, groups) of each header file that the path names; groups are arrays of channels."""
+    """:func:`headers` of the files that the path names."""
+    return headers(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """(session, n_channels, fs_lfp, fs_dat, groups) of each header file (path, content); groups are arrays of channels."""
     import xml.etree.ElementTree as ET
 
     import pandas as pd
@@ -28,7 +33,6 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((p.rsplit("/", 2)[-2], whole(text("./acquisitionSystem/nChannels")), float(text("./fieldPotentials/lfpSamplingRate") or "nan"), float(text("./acquisitionSystem/samplingRate") or "nan"), groups))
             yield pd.DataFrame(rows, columns=["session", "n_channels", "fs_lfp", "fs_dat", "groups"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(parse, "session string, n_channels int, fs_lfp double, fs_dat double, groups array<array<int>>")
 
 
@@ -184,6 +188,11 @@ def _pack_matrix(name: str, v: Any) -> bytes:
 
 
 def read_mat_events(spark: SparkSession, path: str, variable: str) -> DataFrame:
+    """:func:`mat_events` of the files that the path names."""
+    return mat_events(spark.read.format("binaryFile").load(path).select("path", "content"), variable)
+
+
+def mat_events(files: DataFrame, variable: str) -> DataFrame:
     """(session, event_id, start, stop, peak, amplitude, duration, frequency) of event structures in MAT files."""
     import pandas as pd
 
@@ -198,7 +207,6 @@ def read_mat_events(spark: SparkSession, path: str, variable: str) -> DataFrame:
                 field = lambda k, s=s, n=n: (lambda v: np.full(n, v[0]) if len(v) == 1 else v if len(v) == n else np.full(n, np.nan))(np.asarray(s.get(k, np.zeros(0)), float).ravel())
                 yield pd.DataFrame({"session": p.rsplit("/", 2)[-2], "event_id": np.arange(n, dtype="int32"), "start": ts[:, 0], "stop": ts[:, 1], "peak": field("peaks"), "amplitude": field("amplitude"), "duration": field("duration"), "frequency": field("frequency")}, columns=columns)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     got = files.mapInPandas(rows, "session string, event_id int, start double, stop double, peak double, amplitude double, duration double, frequency double")
     return got.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) if c in columns[2:] else c for c in columns])
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from pulsegrid import catalog
+from pulsegrid.plans import population_queries as pq
 
 QUERIES = catalog.queries()
 UNITS, VECTORS = 52, 130
@@ -25,7 +26,7 @@ def sf(tmp_path_factory):
 
 
 def test_queries_without_sql_take_all_rows(spark, sf):
-    pairs = QUERIES["similarity_index"](spark, sf).select("vec_id", "key2").collect()
+    pairs = pq.whole_similarity_index(spark, sf).select("vec_id", "key2").collect()
     assert len(pairs) == VECTORS * (VECTORS - 1) // 2
     e = pd.read_parquet(f"{sf}/events.parquet")
     day = (e.ts - pd.Timestamp("2024-01-01")).dt.total_seconds() / 86400
@@ -35,12 +36,12 @@ def test_queries_without_sql_take_all_rows(spark, sf):
         return {(u, v): 2 * (t[u][:, None] <= t[v]).mean() - 1 for u in t for v in t if u != v and len(t[u]) and len(t[v])}
 
     ref = bias(day < 10)
-    for r in QUERIES["bias_significance"](spark, sf).collect():
+    for r in pq.whole_bias_significance(spark, sf).collect():
         b = bias((day >= 10) & (day // 5 == r.epoch))
         x, y = (np.array([m.get(k, 0.0) for k in sorted(ref.keys() | b.keys())]) for m in (ref, b))
         assert abs(r.cosine - x @ y / np.sqrt((x @ x) * (y @ y))) < 1e-9
-    assert {r.unit for r in QUERIES["assembly_patterns"](spark, sf).collect()} == set(range(UNITS))
-    assert QUERIES["replay_scores"](spark, sf).count() == 5
+    assert {r.unit for r in QUERIES["assembly_patterns_of_events"](spark, sf).collect()} == set(range(UNITS))
+    assert pq.whole_replay_scores(spark, sf).count() == 5
 
 
 def test_shuffled_information_of_all_sessions(spark, sf):
@@ -54,7 +55,7 @@ def test_shuffled_information_of_all_sessions(spark, sf):
         m = (p * rate).sum()
         return (p * rate / m * np.log2(np.where(rate > 0, rate, 1) / m) * (rate > 0)).sum()
 
-    got = {r.shuffle: r.information for r in QUERIES["shuffle_spatial_information"](spark, sf).collect()}
+    got = {r.shuffle: r.information for r in pq.whole_shuffle_spatial_information(spark, sf).collect()}
     assert len(got) == 51 and abs(got[0] - information(flag)) < 1e-9
     rolled = [information(np.roll(flag, s)) for s in range(1, len(flag))]
     assert all(min(abs(v - w) for w in rolled) < 1e-9 for k, v in got.items() if k)
