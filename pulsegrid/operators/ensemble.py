@@ -24,15 +24,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def similarity_pairs(vectors: DataFrame, vector: str, key: str, group: str | None = None) -> DataFrame:
-    """(key, key2, cosine) of all pairs key < key2, of vectors in different groups only if ``group`` is named."""
-    extra = [group] if group else []
-    a = vectors.select(key, *extra, F.col(vector).alias("_v"), F.sqrt(dot(F.col(vector), F.col(vector))).alias("_n"))
-    b = a.select(F.col(key).alias("key2"), *([F.col(group).alias("_g2")] if group else []), F.col("_v").alias("_v2"), F.col("_n").alias("_n2"))
-    cond = F.col(key) < F.col("key2")
-    if group:
-        cond &= F.col(group) != F.col("_g2")
-    return a.join(b, cond).select(key, "key2", F.try_divide(dot(F.col("_v"), F.col("_v2")), F.col("_n") * F.col("_n2")).alias("cosine"))
+def similarity_pairs(vectors: DataFrame, vector: str, key: str, group: str | None = None, blocks: int | None = None) -> DataFrame:
+    """(key, key2, cosine) of all pairs key < key2, of vectors in different groups only if ``group`` is named; null for a vector of zeros.
+
+    Vectors are equally long; they meet by blocks, a matrix product each.
+    """
+    import pyarrow as pa
+
+    from .correlate import _block_pairs, _rows_of
+
+    kind = dict(vectors.dtypes)[key]
+    extra = [F.col(group).alias("_g")] if group else []
+    rows = vectors.select(key, *extra, F.transform(vector, lambda x: x.cast("double")).alias("_z"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        u, w = a[key].to_numpy(), b[key].to_numpy()
+        x, y = _rows_of(a["_z"]), _rows_of(b["_z"])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+        keep = u[:, None] < w[None, :] if a["_i"][0] == b["_j"][0] else np.ones(c.shape, bool)
+        if group:
+            keep &= a["_g"].to_numpy()[:, None] != b["_g"].to_numpy()[None, :]
+        i, j = np.nonzero(keep)
+        up, of, c = u[i] < w[j], a.schema.field(key).type, c[i, j]
+        return pa.table({key: pa.array(np.where(up, u[i], w[j]), of), "key2": pa.array(np.where(up, w[j], u[i]), of), "cosine": pa.array(c, mask=~np.isfinite(c))})
+
+    return _block_pairs(rows, [], key, blocks, run, f"{key} {kind}, key2 {kind}, cosine double")
 
 
 def similarity_index(vectors: DataFrame, vector: str, key: str, n_shuffles: int, seed: int = 0, blocks: int | None = None) -> DataFrame:

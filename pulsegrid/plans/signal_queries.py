@@ -43,7 +43,7 @@ def ripples_without_noise(spark, sf):
     return got.select("session", _NTH(F.col("peak")))
 
 
-@query(f"WITH {SQL_EVENTS} SELECT session, nth FROM evs WHERE nth > 0")
+@query(f"WITH {SQL_EVENTS} SELECT session, nth FROM evs WHERE nth > 0 AND nth < n - 1")
 def ripples_off_the_edges(spark, sf):
     return rp.sharp_wave_ripples(_ripples(spark, sf), FS, 0, high=2.0, edge=1.2, local=0.2).select("session", _NTH(F.col("peak")))
 
