@@ -88,6 +88,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality
+    from . import quality, substring_dedup
 
-    return {"op7_quality_rules": quality.SQL}
+    return {"op2_substring_dedup": substring_dedup.SQL, "op7_quality_rules": quality.SQL}

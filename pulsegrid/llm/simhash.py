@@ -59,16 +59,20 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def _digest(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")), text.isNull())
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """doc_id, h (a digest that tells texts of one id apart) and fp (the 64 bits as a signed long)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], schema=schema)
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return keyed_text(docs).withColumn("h", _digest(F.col("text"))).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 class Code:
@@ -240,7 +244,7 @@ def links(nodes: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) of every row.
+    """doc_id, h (a digest of the text), fp, root (the component's number) and component_id (the smallest doc_id reachable) of every row.
 
     Null and empty texts have the fingerprint zero and link like any other;
     texts of fewer words than a shingle hash as a whole; repeated rows are in
@@ -248,23 +252,25 @@ def groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     fingerprint, null if no row of it has a doc_id. Other columns are ignored.
     """
     prints = staged(fingerprints(docs, shingle), "fingerprints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    roots = components(links(nodes, distance))
-    rooted = nodes.join(roots, "node", "left").select(F.col("fp").alias("fp2"), F.coalesce("root", "node").alias("component_id"))
-    return prints.join(staged(rooted, "rooted"), F.col("fp") == F.col("fp2"), "left").select("doc_id", "fp", "component_id")
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "nodes")
+    roots = components(links(nodes.select("node", "fp"), distance))
+    rooted = staged(nodes.join(roots, "node", "left").select(F.col("fp").alias("fp2"), F.coalesce("root", "node").alias("root"), "least"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = staged(rooted.drop("least").join(least, "root"), "components")
+    return prints.join(rooted, F.col("fp") == F.col("fp2"), "left").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of the table whose doc_id is the smallest of their component, one for each doc_id.
+    """One row of each component: that of the smallest doc_id, of several such the one with the smallest digest of its text.
 
-    Rows without a doc_id stay. All columns stay, whatever their names.
+    Rows without a doc_id go where a row of their component has one. Rows
+    that repeat a doc_id and its text give one; rows that share a doc_id but lie
+    in different components each stay. All columns stay, whatever their names.
     """
-    from pyspark.sql import Window
-
     grouped = groups(docs, distance, shingle)
-    gone = staged(grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"))
-    kept = whole.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("row.text")))
-    kept = kept.withColumn("_nth", nth).where("_nth = 1 or _id is null")
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one"))
+    stay = staged(first.select(F.col("one.doc_id").alias("_stay"), F.col("one.h").alias("_sh")).distinct(), "stay")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), _digest(F.col("text")).alias("_h"))
+    kept = whole.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_h") == F.col("_sh")), "left_semi")
+    # repeated rows are put together before they are shuffled
+    return kept.dropDuplicates(["_id", "_h"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

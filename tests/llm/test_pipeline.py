@@ -64,3 +64,29 @@ def test_stages_against_a_plain_version(spark):
     for d, t in clean.items():
         ids = lib.encode(t, add_special_tokens=False).ids
         assert out[d].ids == ids and out[d].decoded == lib.decode(ids, skip_special_tokens=False)
+
+
+def _folder(spark, path, rows, ddl="doc_id long, text string, lang string, source string, n_chars int, row string, h long, kept boolean"):
+    spark.createDataFrame(rows, ddl).repartition(3).write.parquet(str(path / "documents.parquet"))
+    bench = [(1, "the quick benchmark question asks how many brown foxes jump over seven lazy dogs before noon on the longest day of summer")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(path / "benchmark.parquet"))
+    return str(path)
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    prose = lambda k: " ".join(f"word{(i * k) % 97}x{k}" for i in range(60)) + "."
+    leak = prose(5) + " the quick benchmark question asks how many brown foxes jump over seven lazy dogs before noon on the longest day of summer " + prose(11)
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, prose(3)), (1, prose(3)), (2, prose(3)), (3, None), (4, ""), (5, leak), (6, prose(7) + " write to jane.doe@example.com"), (None, prose(13)), (None, None), (8, long), (9, "too short")]
+    sf = _folder(spark, tmp_path, [(d, t, "en", "a.example", len(t or ""), "clash", 1, True) for d, t in rows])
+    out = corpus_pipeline.run(spark, sf).collect()
+    got = {r.doc_id: r for r in out}
+    assert sorted(map(str, (r.doc_id for r in out))) == ["1", "6", "8", "None"]
+    assert "email</w> ]" in got[6].decoded and "jane" not in got[6].decoded
+    assert got[8].n_tokens == len(got[8].ids) > 150_000
+    lib = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    assert got[1].ids == lib.encode(prose(3), add_special_tokens=False).ids
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, _folder(spark, tmp_path, [])).count() == 0

@@ -68,10 +68,22 @@ def test_groups_equal_brute_force(spark):
     for i, t in enumerate(texts):
         assert got[i].fp % 2**64 == fps[i] and got[i].component_id == want[i]
     kept = [r.doc_id for r in simhash.one_of_each(docs).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted(set(want)) and None in kept
+    assert sorted(k for k in kept) == sorted(set(want))
     assert simhash.groups(docs.limit(0)).count() == 0
 
 
+def test_one_row_stays_of_groups_with_and_without_ids(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i * 7}" for i in range(80))
+    third = " ".join(f"u{i * 5}" for i in range(80))
+    rows = [(7, long, "a"), (3, long + "", "b"), (None, long, "c"), (None, other, "d"), (None, other, "e"), (9, third, "f"), (9, third, "g"), (9, other + " more words of another kind " + third, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+    want = brute_components([brute_print(t) for _, t, _ in rows])
+    got = sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(docs).collect())
+    assert len(got) == len(set(want))
+    assert (3, long) in got and (0, other) in got and (0, long) not in got and (9, third) in got
+
+
 def test_busy_anchors_are_split_without_loss(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SLICE", 3)
     rnd = random.Random(9)
