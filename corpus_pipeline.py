@@ -1,7 +1,8 @@
 """Cleaning pipeline over documents.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; all but the last return the columns of documents.
+kept; all but the last return the columns of documents, whatever else the table
+holds. A text's length is not limited; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,23 +15,23 @@ from pulsegrid.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules accept."""
+    """Documents that the rules accept; null and empty texts are rejected, repeated rows are judged alike."""
     kept = quality.verdicts(docs, "source").where("kept")
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id."""
+    """One document of each group of near copies, the one with the smallest doc_id; repeated rows give one, rows without a doc_id go where a copy has one."""
     return simhash.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; rows without a doc_id stay, and so do null texts."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; n_chars follows the new text."""
+    """Documents with personal data replaced by its kind; n_chars follows the new text. Null texts and repeated rows stay as they are."""
     clean = pii.redact(docs)
     if "n_chars" not in docs.columns:
         return clean
@@ -38,7 +39,7 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of tokens, token ids and the text that they decode to."""
+    """doc_id, number of tokens, token ids and the text that they decode to, of each row; a null text has no tokens."""
     return bpe.encode(docs, vocabulary("word_bpe_49k.json"))
 
 
