@@ -20,8 +20,18 @@ from .grid import zscore
 K = ("session", "channel")
 
 
-def _each(signal: DataFrame, keys: Sequence[str], add: Callable[[pd.DataFrame], dict[str, np.ndarray]], columns: Sequence[str]) -> DataFrame:
-    """New double columns from the rows of a key in order of time."""
+def _each(signal: DataFrame, keys: Sequence[str], add: Callable[[pd.DataFrame], dict[str, np.ndarray]], columns: Sequence[str], block: float | None = None, margin: float = 0.0) -> DataFrame:
+    """New double columns from the rows of a key in order of time.
+
+    With ``block`` (seconds) a key goes in blocks of time, each with ``margin``
+    seconds of its neighbours on either side, so that a task holds a block and
+    not a recording; what a filter remembers for longer than the margin is lost.
+    """
+    if block is not None:
+        at = lambda by: F.floor((F.col("t") + by) / block)
+        own = F.array_distinct(F.array(at(-margin), at(0.0), at(margin)))
+        got = _each(signal.withColumn("_block", F.explode(own)), [*keys, "_block"], add, columns)
+        return got.where(F.col("_block") == at(0.0)).drop("_block")
     ddl = ", ".join([f"`{n}` {t}" for n, t in signal.dtypes if n not in columns] + [f"`{c}` double" for c in columns])
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -31,8 +41,8 @@ def _each(signal: DataFrame, keys: Sequence[str], add: Callable[[pd.DataFrame],
     return signal.groupBy(*keys).applyInPandas(run, ddl)
 
 
-def band_pass(signal: DataFrame, fs: float, band: tuple[float, float], order: int = 3, kernel: int = 13, keys: Sequence[str] = K) -> DataFrame:
-    """Adds filtered, phase, amplitude, amplitude_filtered and frequency of a band."""
+def band_pass(signal: DataFrame, fs: float, band: tuple[float, float], order: int = 3, kernel: int = 13, keys: Sequence[str] = K, block: float | None = None, margin: float | None = None) -> DataFrame:
+    """Adds filtered, phase, amplitude, amplitude_filtered and frequency of a band; by blocks of time on request, with margins of 20 of its slowest cycles."""
     sos = dsp.butter_sos(order, band, fs)
 
     def add(g: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -41,12 +51,12 @@ def band_pass(signal: DataFrame, fs: float, band: tuple[float, float], order: in
         amp = np.abs(a)
         return {"filtered": y, "phase": np.angle(a), "amplitude": amp, "amplitude_filtered": dsp.zero_phase(sos, amp), "frequency": dsp.instantaneous_frequency(np.angle(a), g["t"].to_numpy(float), kernel)}
 
-    return _each(signal, keys, add, ["filtered", "phase", "amplitude", "amplitude_filtered", "frequency"])
+    return _each(signal, keys, add, ["filtered", "phase", "amplitude", "amplitude_filtered", "frequency"], block, 20 / band[0] if margin is None else margin)
 
 
-def filter_signal(signal: DataFrame, fs: float, kind: str, band, design: str = "fir", keys: Sequence[str] = K, **options) -> DataFrame:
-    """Adds ``filtered``; ends that an FIR filter cannot reach are null."""
-    out = _each(signal, keys, lambda g: {"filtered": dsp.filter_signal(g["value"].to_numpy(float), fs, kind, band, design, **options)}, ["filtered"])
+def filter_signal(signal: DataFrame, fs: float, kind: str, band, design: str = "fir", keys: Sequence[str] = K, block: float | None = None, margin: float = 10.0, **options) -> DataFrame:
+    """Adds ``filtered``; ends that an FIR filter cannot reach are null. By blocks of time on request: exact for FIR filters shorter than the margin."""
+    out = _each(signal, keys, lambda g: {"filtered": dsp.filter_signal(g["value"].to_numpy(float), fs, kind, band, design, **options)}, ["filtered"], block, margin)
     return out.withColumn("filtered", F.nanvl("filtered", F.lit(None).cast("double")))
 
 
@@ -161,8 +171,8 @@ def current_source_density(signal: DataFrame, spacing: float, sigma: float = 0.3
 # detectors
 
 
-def ripples(signal: DataFrame, fs: float, band: tuple[float, float] = (80.0, 250.0), low: float = 1.0, high: float = 3.0, merge_gap: float = 0.02, shortest: float = 0.02, longest: float = 0.3, apart: float = 0.0, sigma: float = 0.0125, keys: Sequence[str] = K, epochs: DataFrame | None = None) -> DataFrame:
-    """(keys, start, stop, peak, duration, amplitude, frequency, peak_normed_power) of bursts in a band.
+def ripples(signal: DataFrame, fs: float, band: tuple[float, float] = (80.0, 250.0), low: float = 1.0, high: float = 3.0, merge_gap: float = 0.02, shortest: float = 0.02, longest: float = 0.3, apart: float = 0.0, sigma: float = 0.0125, keys: Sequence[str] = K, epochs: DataFrame | None = None, block: float | None = None, margin: float = 2.0) -> DataFrame:
+    """(keys, start, stop, peak, duration, amplitude, frequency, peak_normed_power) of bursts in a band; filtered by blocks of time on request.
 
     A grouped function gives the envelope; its standard score, the runs above
     ``low``, their merging, and the gates on length and peak are windows.
@@ -172,7 +182,7 @@ def ripples(signal: DataFrame, fs: float, band: tuple[float, float] = (80.0, 250
         y, e, p = dsp.envelope(g["value"].to_numpy(float), fs, band, sigma)
         return {"envelope": e, "phase": p, "filtered": y}
 
-    x = zscore(_each(signal, keys, add, ["envelope", "phase", "filtered"]), "envelope", keys)
+    x = zscore(_each(signal, keys, add, ["envelope", "phase", "filtered"], block, margin), "envelope", keys)
     r = iv.runs(x, F.col("z") > low, "t", keys).select(*keys, F.col("first").alias("start"), F.col("last").alias("stop"))
     m = iv.merge(r, list(keys), merge_gap)
     m = m.where((F.col("stop") - F.col("start")).between(shortest, longest))

@@ -76,6 +76,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a folder of its own and read back: what several branches of a plan need is made once, and lost executors cost no more than a read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def nested_rows(value, path: str = "") -> list[tuple[str, str, str]]:
     """A nested result of dictionaries, lists, arrays and plain values as (path, kind, JSON) of its leaves; lists of unequal parts nest."""
     import json

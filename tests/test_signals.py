@@ -145,3 +145,17 @@ def test_laps_and_track(spark):
     xy = spark.createDataFrame([("s", float(i), float(i), 0.1) for i in range(50)], "session string, t double, x double, y double")
     s = sg.track_states(xy, [(0, 0, 0, 25, 0), (1, 25, 0, 50, 0)]).orderBy("t").collect()
     assert s[0].segment == 0 and s[-1].segment == 1 and abs(s[30].lin - 30) < 3
+
+
+def test_blocks_of_time_give_what_the_whole_channel_gives(spark):
+    signal, fs = session(spark)
+    signal = signal.cache()
+    key = lambda d, c: np.array([r[0] for r in d.orderBy("t").select(c).collect()], float)
+    whole, parts = sg.band_pass(signal, fs, (100.0, 200.0)), sg.band_pass(signal, fs, (100.0, 200.0), block=1.5, margin=0.5)
+    assert parts.count() == signal.count()
+    for c in ("filtered", "amplitude"):
+        assert np.abs(key(whole, c) - key(parts, c))[200:-200].max() < 1e-2
+    fir = [key(sg.filter_signal(signal, fs, "lowpass", 50.0, **o), "filtered") for o in ({}, {"block": 1.0, "margin": 0.3})]
+    assert np.isnan(fir[0]).sum() == np.isnan(fir[1]).sum() and np.nanmax(np.abs(fir[0] - fir[1])) < 1e-9
+    got = sg.ripples(signal, fs, apart=0.05, block=2.0, margin=0.5).orderBy("start").collect()
+    assert [round(r.peak, 1) for r in got] == [1.5, 3.0, 5.5]
