@@ -169,6 +169,14 @@ def cell_spike_times(spark, sf):
     return md.unit_spikes(_cell_files(spark, sf))
 
 
+@query("SELECT 'units' AS what, count(*) AS n FROM supplier UNION ALL SELECT 'spikes', 3 * count(*) FROM supplier UNION ALL SELECT 'epochs', sum(CASE WHEN n_regionkey = 3 THEN 0 ELSE 1 END)::BIGINT + 1 FROM nation UNION ALL SELECT 'recordings', count(DISTINCT n_regionkey) FROM nation")
+def load_basic_data(spark, sf):
+    s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_acctbal")
+    found = md.basic_data(_mats(_nations(spark, sf), "n_regionkey", _session).unionByName(_mats(s, "s_nationkey", _cells)))
+    counts = [d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("what"), "n") for k, d in found.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
 # unit metrics by epoch, phase locking
 
 

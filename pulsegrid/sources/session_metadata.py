@@ -245,6 +245,12 @@ def extracellular(sessions: DataFrame) -> DataFrame:
     return sessions.select("session", F.coalesce(_fields(_get("extracellular")), F.create_map().cast("map<string,string>")).alias("fields"))
 
 
+def basic_data(mats: DataFrame) -> dict[str, DataFrame]:
+    """The tables that most work starts from: units, spikes, epochs and recordings of the sessions that the files (path, content) hold."""
+    cells, sessions = structs(mats, "cell_metrics"), structs(mats, "session")
+    return {"units": units(cells), "spikes": unit_spikes(cells), "epochs": session_epochs(sessions), "recordings": extracellular(sessions)}
+
+
 def behaviour(mats: DataFrame) -> DataFrame:
     """(session, i, t, x, y, z, linearized, fields, speed, acceleration) of the tracking, a row a sample.
 
