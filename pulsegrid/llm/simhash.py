@@ -269,8 +269,10 @@ def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFra
     """
     grouped = groups(docs, distance, shingle)
     first = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("one"))
-    stay = staged(first.select(F.col("one.doc_id").alias("_stay"), F.col("one.h").alias("_sh")).distinct(), "stay")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), _digest(F.col("text")).alias("_h"))
-    kept = whole.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_h") == F.col("_sh")), "left_semi")
-    # repeated rows are put together before they are shuffled
-    return kept.dropDuplicates(["_id", "_h"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    # plain equalities, so that one partitioning serves the join and what follows
+    keyed = lambda c: [F.coalesce(c, F.lit(0)).alias("_k"), c.isNull().alias("_n")]
+    stay = staged(first.select(*keyed(F.col("one.doc_id")), F.col("one.h").alias("_h")).distinct(), "stay")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keyed(F.col("doc_id").cast("long")), _digest(F.col("text")).alias("_h"))
+    once = whole.dropDuplicates(["_k", "_n", "_h"])  # each task puts its repeated rows together before they are shuffled
+    kept = once.join(stay, ["_k", "_n", "_h"], "left_semi")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
