@@ -51,7 +51,7 @@ LCS, LCS_WITH_ANSWER, ANSWER = 0.7, 0.5, 0.9
 BLOCK_ITEMS = 5_000
 _CHUNK = 1 << 12
 #: Bytes of text that are cut into words at once.
-_SLICE = 1 << 21
+_SLICE = 1 << 19
 #: Cells of a table of exact cosines, passages of a text x passages of the block.
 _CELLS = 1 << 20
 

@@ -83,7 +83,9 @@ def with_features(docs: DataFrame, host: str | None = "source", carry: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([features_of(t) for t in b.column(2).to_pylist()], np.int64).reshape(-1, len(FEATURES))
+            # few texts at a time become Python strings
+            got = [features_of(t) for at in range(0, b.num_rows, 256) for t in b.column(2).slice(at, 256).to_pylist()]
+            got = np.array(got, np.int64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(got[:, i]) for i in range(len(FEATURES)))], names=["row", "host", *FEATURES])
 
     return given.mapInArrow(run, out)

@@ -273,6 +273,5 @@ def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFra
     keyed = lambda c: [F.coalesce(c, F.lit(0)).alias("_k"), c.isNull().alias("_n")]
     stay = staged(first.select(*keyed(F.col("one.doc_id")), F.col("one.h").alias("_h")).distinct(), "stay")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keyed(F.col("doc_id").cast("long")), _digest(F.col("text")).alias("_h"))
-    once = whole.dropDuplicates(["_k", "_n", "_h"])  # each task puts its repeated rows together before they are shuffled
-    kept = once.join(stay, ["_k", "_n", "_h"], "left_semi")
+    kept = whole.join(stay, ["_k", "_n", "_h"], "left_semi").dropDuplicates(["_k", "_n", "_h"])
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
