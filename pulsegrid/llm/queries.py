@@ -82,12 +82,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sort_means import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import quality, substring_dedup
+    from . import near_vectors, quality, sort_means, substring_dedup
 
-    return {"op2_substring_dedup": substring_dedup.SQL, "op7_quality_rules": quality.SQL}
+    return {"op2_substring_dedup": substring_dedup.SQL, "op7_quality_rules": quality.SQL, "op11_near_vectors": near_vectors.SQL, "op13_sort_means": sort_means.sql()}
