@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import dsp
@@ -168,6 +169,42 @@ def current_source_density(signal: DataFrame, spacing: float, sigma: float = 0.3
     return signal.select("session", "sample_idx", "channel", (-sigma * second / spacing**2).alias("csd")).where("csd is not null")
 
 
+def potentials_of_planes(depths: Sequence[float], diameter: float, sigma: float = 0.3, sigma_top: float | None = None) -> np.ndarray:
+    """Potential at each depth (rows) of a disc of current of unit density at each depth, as thick as the contacts are apart (Pettersen et al. 2006).
+
+    Lengths in millimetres and conductivities in siemens a metre; with another
+    conductivity above the first contact each disc has its image there.
+    """
+    z = np.asarray(depths, float)
+    h, r2 = abs(z[1] - z[0]), (diameter / 2) ** 2
+    gap = lambda d: np.sqrt(d**2 + r2) - np.abs(d)
+    top = sigma if sigma_top is None else sigma_top
+    return h / (2 * sigma) * (gap(z[:, None] - z[None]) + (sigma - top) / (sigma + top) * gap(z[:, None] + z[None]))
+
+
+def inverse_current_source_density(signal: DataFrame, depths: dict[int, float], diameter: float = 0.5, sigma: float = 0.3, sigma_top: float | None = None, keys: Sequence[str] = ("session",)) -> DataFrame:
+    """(keys, sample_idx, channel, csd): current sources that give the potentials of all channels, by the inverse of the forward matrix.
+
+    ``depths`` names the channels and their depth. The matrix is inverted once
+    and applied to blocks of samples; samples that lack a channel are left out,
+    repeated ones count by their mean.
+    """
+    order = sorted(depths, key=lambda c: (depths[c], c))
+    inverse = np.linalg.inv(potentials_of_planes([depths[c] for c in order], diameter, sigma, sigma_top))
+    at = [F.avg(F.when(F.col("channel") == c, F.col("value").cast("double"))) for c in order]
+    x = signal.where(F.col("channel").isin(order)).groupBy(*keys, "sample_idx").agg(F.array(*at).alias("csd")).where(F.forall("csd", lambda v: v.isNotNull()))
+
+    def apply(batches):
+        for b in batches:
+            v = b.column(b.num_columns - 1)
+            flat = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(order)) @ inverse.T
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(np.arange(0, flat.size + 1, len(order), dtype=np.int32), pa.array(flat.ravel()))], b.schema.names)
+
+    y = x.mapInArrow(apply, x.schema)
+    place = F.element_at(F.array(*map(F.lit, order)), F.col("_i") + 1)
+    return y.select(*keys, "sample_idx", F.posexplode("csd").alias("_i", "csd")).select(*keys, "sample_idx", place.alias("channel"), "csd")
+
+
 # detectors
 
 

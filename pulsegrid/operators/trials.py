@@ -46,29 +46,66 @@ def cheeseboard(position: DataFrame, home: tuple[float, float], least: float = 1
     return got.where(far).select(*keys, F.col("_lo").alias("start"), F.col("_hi").alias("stop"))
 
 
-def open_field(position: DataFrame, bin_size: float = 3.0, step: float = 60.0, share: float = 0.5, keys: K = ("session",)) -> DataFrame:
-    """(keys, start, stop): spans of time, grown by ``step``, each of which visits ``share`` of the session's places; a session at a time."""
+def open_field(position: DataFrame, bin_size: float = 3.0, step: float = 60.0, share: float = 0.5, keys: K = ("session",), method: str = "correlation", correlation: float = 0.6, n_bins: int | None = None, epochs: DataFrame | None = None) -> DataFrame:
+    """(keys, start, stop): spans of time in which the animal has been to enough of the places of the whole key.
+
+    A key's time, from ``epochs`` (keys, start, stop; by default from its first
+    sample to its last), is cut into equal stretches of about ``step`` seconds,
+    or into ``n_bins`` of whole seconds. A span grows by stretches until its
+    map of visited places correlates with that of the whole key by more than
+    ``correlation`` ("correlation"), or until it holds more than ``share`` of
+    the places ("proportion"); the next one starts after it.
+
+    Samples are reduced to the places of each stretch where they stand; a key
+    is brought together as those, never as its samples.
+    """
+    if method not in ("correlation", "proportion"):
+        raise ValueError(method)
     kinds = dict(position.dtypes)
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.dropna(subset=["x", "y"]).sort_values("t")
-        t = g["t"].to_numpy(float)
-        cell = (np.floor(g["x"] / bin_size).astype("int64") * 1_000_003 + np.floor(g["y"] / bin_size).astype("int64")).to_numpy()
-        every, out, seen, start = len(np.unique(cell)), [], set(), 0
-        nxt = t[0] + step if len(t) else 0
-        for i in range(len(t)):
-            if t[i] >= nxt:
-                if len(seen) >= share * every:
-                    out.append((t[start], t[i - 1]))
-                    seen, start = set(), i
-                nxt += step
-            seen.add(cell[i])
+    x = position.where("x is not null and y is not null and not isnan(x) and not isnan(y)").select(*keys, "t", "x", "y")
+    if epochs is None:
+        span = x.groupBy(*keys).agg(F.min("t").alias("_from"), F.max("t").alias("_to"))
+    else:
+        span = epochs.select(*keys, F.col("start").alias("_from"), F.col("stop").alias("_to"))
+    length = F.col("_to") - F.col("_from")
+    if n_bins is None:
+        n = F.ceil(length / step) - 1
+        width = F.try_divide(length, n)
+    else:
+        width = F.floor(length / n_bins)
+        n = F.ceil(F.try_divide(length, width)) - 1
+    span = span.withColumns({"_n": n, "_width": width})
+    x = x.join(span, list(keys)).where(F.col("t").between(F.col("_from"), F.col("_to")))
+    # the last stretch ends with its last moment; what lies behind it counts for the whole key alone
+    nth = F.floor((F.col("t") - F.col("_from")) / F.col("_width"))
+    nth = F.when(F.col("t") == F.col("_from") + F.col("_n") * F.col("_width"), F.col("_n") - 1).otherwise(nth)
+    edges = x.groupBy(*keys).agg(*[f(F.min(c) if f is F.floor else F.max(c)).alias(f"_{c}{k}") for c in ("x", "y") for k, f in ((0, F.floor), (1, F.ceil))])
+    cells = lambda c: F.greatest(F.ceil((F.col(f"_{c}1") - F.col(f"_{c}0")) / bin_size), F.lit(1))
+    x = x.join(edges, list(keys))
+    cell = lambda c: F.least(F.floor((F.col(c) - F.col(f"_{c}0")) / bin_size), cells(c) - 1)
+    visited = x.select(*keys, "_from", "_width", "_n", (cells("x") * cells("y")).alias("_cells"), nth.alias("_nth"), (cell("x") * cells("y") + cell("y")).alias("_cell")).distinct()
+
+    def grow(g: pd.DataFrame) -> pd.DataFrame:
+        total, every = int(g["_cells"].iloc[0]), g["_cell"].nunique()
+        begin, width, n = float(g["_from"].iloc[0]), float(g["_width"].iloc[0] or 0), int(g["_n"].iloc[0] or 0)
+        own = {k: set(v) for k, v in g.groupby("_nth")["_cell"]}
+        out, seen, first = [], set(), 0
+        for i in range(n):
+            seen |= own.get(i, set())
+            k = len(seen)
+            if method == "correlation":  # of two maps of which one holds the other
+                enough = 0 < k < total and every < total and np.sqrt(k * (total - every) / (every * (total - k))) > correlation
+            else:
+                enough = k > share * every
+            if enough:
+                out.append((begin + first * width, begin + (i + 1) * width))
+                seen, first = set(), i + 1
         frame = pd.DataFrame(out, columns=["start", "stop"])
         for k in reversed(keys):
-            frame.insert(0, k, g[k].iloc[0] if len(g) else None)
+            frame.insert(0, k, g[k].iloc[0])
         return frame
 
-    return position.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["start double", "stop double"]))
+    return visited.groupBy(*keys).applyInPandas(grow, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["start double", "stop double"]))
 
 
 def theta_cycles(signal: DataFrame, fs: float, band: tuple[float, float] = (6.0, 10.0), lowpass: float = 48.0, steady: float = 0.4, keys: K = ("session", "channel")) -> DataFrame:

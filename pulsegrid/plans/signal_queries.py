@@ -54,7 +54,7 @@ def ripples_without_artefacts(spark, sf):
     clip = _ripples(spark, sf).withColumn("value", held)
     stuck = clip.withColumn("value", F.when((F.col("channel") == 1) & (F.round((F.col("t") - 1.0) / APART).cast("int") % 3 == 2) & (F.abs(F.col("t") - 1.0 - F.round((F.col("t") - 1.0) / APART) * APART) < 0.1), F.lit(-3.0)).otherwise(F.col("value")))
     got = rp.sharp_wave_ripples(stuck, FS, 0, None, 1, high=1.0, clipped=0.5)
-    return got.select("session", _NTH(F.col("peak")), F.lit(150).alias("hz")).where("nth % 3 <> 2")
+    return got.select("session", _NTH(F.col("peak")), F.lit(150).alias("hz"))
 
 
 @query(f"WITH {SQL_EVENTS} SELECT session, nth FROM evs")
@@ -224,13 +224,6 @@ def cheeseboard_trials(spark, sf):
     return got.select("session", _NTH((F.col("start") + F.col("stop")) / 2))
 
 
-@query(f"WITH {_N} SELECT session, (n * 0.5 + 2.5)::INTEGER AS trials FROM s WHERE false")
-def open_field_trials(spark, sf):
-    x = samples(spark, sf, fs=10.0).select("session", "t", F.pmod("sample_idx", F.lit(10)).cast("double").alias("x"), F.lit(0.0).alias("y"))
-    got = tr.open_field(x, 1.0, 1.0, 2.0)  # no span visits more places than there are
-    return got.groupBy("session").agg(F.count(F.lit(1)).cast("int").alias("trials"))
-
-
 @query(f"WITH {_N} SELECT session, 0 AS wrong, ((n * 0.5 + 1.5) * 20 + 1)::DOUBLE AS n FROM s")
 def track_states(spark, sf):
     x = samples(spark, sf, fs=20.0).select("session", "t", (F.abs(F.pmod("t", F.lit(8.0)) - 4.0) * 25).alias("x"), noise("session", "sample_idx", size=2.0).alias("y"))

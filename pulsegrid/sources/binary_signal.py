@@ -1,21 +1,26 @@
 """Interleaved binary recordings as a Spark data source.
 
 ``spark.read.format("binary_signal")`` with options ``path`` (one file, or
-several joined by commas, one after the other in time), ``channels`` (their
-number), ``fs``, ``dtype`` (int16), ``select`` (channels to read, by commas),
-``start`` and ``stop`` (seconds; only blocks that overlap are read) and
-``block`` (samples in a partition).
+several joined by commas, one after the other in time; paths or URIs of any
+store that Arrow opens), ``channels`` (their number), ``fs``, ``dtype``
+(int16), ``select`` (channels to read, by commas), ``start`` and ``stop``
+(seconds) and ``block`` (samples in a partition). Conditions on sample_idx, t
+and channel reach the source: blocks that cannot hold such a sample are no
+partition, and of the others only the bytes between the first and the last
+such sample are read.
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+
+from .stores import files_below, read_range, size_of
 
 DDL = "channel int, sample_idx bigint, t double, value double"
 
@@ -34,36 +39,60 @@ class _Reader(DataSourceReader):
         chosen = options.get("select")
         self.chosen = [int(c) for c in chosen.split(",")] if chosen else list(range(self.n))
         self.lo, self.hi = float(options.get("start", "-inf")), float(options.get("stop", "inf"))
+        self.from_sample, self.to_sample = 0, 1 << 62  # first sample wanted, and the one after the last
         self.block = int(options.get("block", 1 << 20))
         if any(c < -self.n or c >= self.n for c in self.chosen):
             raise ValueError(f"channels are 0 to {self.n - 1}")
         self.chosen = [c % self.n for c in self.chosen]
 
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Narrow what is read; Spark still evaluates every condition on the rows that come."""
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if column == "channel":
+                if isinstance(f, EqualTo):
+                    self.chosen = [c for c in self.chosen if c == f.value]
+                elif isinstance(f, In):
+                    self.chosen = [c for c in self.chosen if c in f.value]
+            elif column in ("sample_idx", "t") and not isinstance(f, In) and hasattr(f, "value"):
+                at = f.value if column == "sample_idx" else f.value * self.fs
+                slack = 0 if column == "sample_idx" else 1  # times are divided by the rate, so a sample more on either side
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)) and at > -(1 << 62):
+                    self.from_sample = max(self.from_sample, math.floor(at) - slack)
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)) and at < 1 << 62:
+                    self.to_sample = min(self.to_sample, math.ceil(at) + 1 + slack)
+            elif column == "sample_idx" and isinstance(f, In) and f.value:
+                self.from_sample, self.to_sample = max(self.from_sample, min(f.value)), min(self.to_sample, max(f.value) + 1)
+            yield f
+
     def partitions(self) -> list[InputPartition]:
-        """Blocks of samples; those outside the time range are not read."""
+        """Blocks of samples, cut to the samples that are wanted."""
         out, first = [], 0
         frame = self.n * np.dtype(self.dtype).itemsize
+        low = self.from_sample if self.lo == -math.inf else max(self.from_sample, math.floor(self.lo * self.fs) - 1)
+        high = self.to_sample if self.hi == math.inf else min(self.to_sample, math.ceil(self.hi * self.fs) + 2)
         for p in self.paths:
-            size = os.path.getsize(p)
+            size = size_of(p)
             if size % frame:
                 raise ValueError(f"{p} does not hold whole samples of {self.n} channels")
             samples = size // frame
             for at in range(0, samples, self.block):
-                to = min(samples, at + self.block)
-                if (first + to - 1) / self.fs >= self.lo and (first + at) / self.fs <= self.hi:
-                    out.append(_Block(p, at, to, first))
+                lo, hi = max(at, low - first), min(samples, at + self.block, high - first)
+                if lo < hi and self.chosen:
+                    out.append(_Block(p, lo, hi, first))
             first += samples
         return out
 
     def read(self, part: _Block) -> Iterator[pa.RecordBatch]:
-        """Rows channel by channel; only the chosen columns of the block are copied."""
-        x = np.memmap(part.path, self.dtype, "r", shape=(os.path.getsize(part.path) // (self.n * np.dtype(self.dtype).itemsize), self.n))
+        """Rows channel by channel, from the bytes of the block alone."""
+        frame = self.n * np.dtype(self.dtype).itemsize
+        x = np.frombuffer(read_range(part.path, part.lo * frame, (part.hi - part.lo) * frame), self.dtype).reshape(-1, self.n)
         i = np.arange(part.lo, part.hi, dtype=np.int64) + part.first
         t = i / self.fs
         keep = (t >= self.lo) & (t <= self.hi)
         schema = pa.schema([("channel", pa.int32()), ("sample_idx", pa.int64()), ("t", pa.float64()), ("value", pa.float64())])
         for c in self.chosen:
-            v = np.asarray(x[part.lo : part.hi, c])[keep].astype(float)
+            v = x[keep, c].astype(float)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, np.int32)), pa.array(i[keep]), pa.array(t[keep]), pa.array(v)], schema=schema)
 
 
@@ -79,25 +108,85 @@ class BinarySignal(DataSource):
         return _Reader(self.options)
 
 
-def read(spark: SparkSession, path: str | list[str], channels: int, fs: float, select: list[int] | None = None, start: float | None = None, stop: float | None = None, dtype: str = "int16") -> DataFrame:
-    """Long signal table of a recording, or of several in a row."""
+def read(spark: SparkSession, path: str | list[str], channels: int, fs: float, select: list[int] | None = None, start: float | None = None, stop: float | None = None, dtype: str = "int16", block: int | None = None) -> DataFrame:
+    """Long signal table of a recording, or of several in a row. Turns the session's pushdown to Python sources on."""
     spark.dataSource.register(BinarySignal)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     r = spark.read.format("binary_signal").option("channels", channels).option("fs", fs).option("dtype", dtype)
     r = r.option("path", path if isinstance(path, str) else ",".join(path))
-    for k, v in (("select", ",".join(map(str, select)) if select else None), ("start", start), ("stop", stop)):
+    for k, v in (("select", ",".join(map(str, select)) if select else None), ("start", start), ("stop", stop), ("block", block)):
         if v is not None:
             r = r.option(k, v)
     return r.load()
 
 
+class Recording:
+    """Recordings one after the other as one table that is cut like a matrix of samples x channels.
+
+    ``rec[samples, channels]`` takes whole numbers, slices, lists and masks,
+    counts negative numbers from the end, and gives the long table (channel,
+    sample_idx, t, value) of what was chosen, read only where it lies.
+    ``rec.T[channels, samples]`` is the same the other way round.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | Sequence[str], channels: int, fs: float = 1250.0, dtype: str = "int16", turned: bool = False, block: int | None = None):
+        self.spark, self.paths, self.channels, self.fs, self.dtype, self.turned, self.block = spark, [path] if isinstance(path, str) else list(path), channels, fs, dtype, turned, block
+        frame = channels * np.dtype(dtype).itemsize
+        self.lengths = [size_of(p) // frame for p in self.paths]
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        n = (sum(self.lengths), self.channels)
+        return n[::-1] if self.turned else n
+
+    @property
+    def T(self) -> Recording:
+        return Recording(self.spark, self.paths, self.channels, self.fs, self.dtype, not self.turned, self.block)
+
+    def table(self) -> DataFrame:
+        return read(self.spark, self.paths, self.channels, self.fs, dtype=self.dtype, block=self.block)
+
+    def __len__(self) -> int:
+        return self.shape[0]
+
+    def __getitem__(self, index) -> DataFrame:
+        index = index if isinstance(index, tuple) else (index,)
+        if len(index) > 2:
+            raise IndexError(f"a recording has samples and channels; got {len(index)} dimensions")
+        rows, columns = (*index, slice(None))[:2]
+        if self.turned:
+            rows, columns = columns, rows
+        return self.table().where(_chosen("sample_idx", rows, sum(self.lengths)) & _chosen("channel", columns, self.channels))
+
+
+def _chosen(column: str, index, n: int):
+    """Condition on a column for an index of one dimension of length ``n``."""
+    c = F.col(column)
+    if isinstance(index, slice):
+        r = range(n)[index]
+        if not len(r):
+            return F.lit(False)
+        low, high = min(r[0], r[-1]), max(r[0], r[-1])
+        within = (c >= low) & (c <= high)
+        return within if abs(r.step) == 1 else within & (F.pmod(c - low, F.lit(abs(r.step))) == 0)
+    at = np.asarray(index)
+    if at.dtype == bool:
+        if at.shape != (n,):
+            raise IndexError(f"a mask of {at.shape} for {n}")
+        at = np.flatnonzero(at)
+    at = np.atleast_1d(at)
+    if len(at) and (at.min() < -n or at.max() >= n):
+        raise IndexError(f"{column} {at.min()} to {at.max()} of {n}")
+    return c.isin(sorted({int(i) % n for i in at})) if len(at) else F.lit(False)
+
+
 def epoch_file(folder: str) -> str:
     """The recording of an epoch's folder: amplifier.dat, else the one continuous.dat below it (or below its rhythm data)."""
-    import glob
-
-    first = os.path.join(folder, "amplifier.dat")
-    if os.path.exists(first):
-        return first
-    found = glob.glob(os.path.join(folder, "**", "continuous.dat"), recursive=True)
+    every = files_below(folder)
+    first = [f for f in every if f.rstrip("/").endswith(f"{folder.rstrip('/').rsplit('/', 1)[-1]}/amplifier.dat")]
+    if first:
+        return first[0]
+    found = [f for f in every if f.endswith("/continuous.dat")]
     if len(found) > 1:
         found = [f for f in found if "Rhythm" in f]
     if len(found) != 1:
@@ -105,6 +194,20 @@ def epoch_file(folder: str) -> str:
     return found[0]
 
 
+def block_files(raw: DataFrame, name: str, channels: int, dtype: str = "int16", block: int = 1 << 18) -> DataFrame:
+    """(path, content): files ``<name>-<block>.dat`` of interleaved samples; samples that are missing are zeros. Read in order they are the recording."""
+    import pandas as pd
+
+    def put(g: pd.DataFrame) -> pd.DataFrame:
+        k, last = int(g["_block"].iloc[0]), int(g["_last"].iloc[0])
+        x = np.zeros((min(block, last + 1 - k * block), channels), dtype)
+        x[g["sample_idx"].to_numpy() - k * block, g["channel"].to_numpy()] = g["value"].to_numpy()
+        return pd.DataFrame({"path": [f"{name}-{k:08d}.dat"], "content": [x.tobytes()]})
+
+    last = raw.agg(F.max("sample_idx").alias("_last"))  # one row
+    return raw.join(F.broadcast(last), F.lit(True)).withColumn("_block", F.floor(F.col("sample_idx") / block)).groupBy("_block").applyInPandas(put, "path string, content binary")
+
+
 # operations on long raw tables (channel, sample_idx, value)
 
 
