@@ -22,6 +22,7 @@ in. The driver gets a row for each shard, and for each B id its highest count
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -77,6 +78,11 @@ class Aligner:
         self.a_bytes = {i: t.encode() if t in added else bytes(map(alphabet.__getitem__, t)) for t, i in names.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = np.zeros(max(self.a_bytes) + 1, np.int64), np.array([len(x) for x in self.b_bytes])
+        for i, x in self.a_bytes.items():
+            self.a_sizes[i] = len(x)
+        named = lambda n, marks: np.array([[f"{i}{m}" for i in range(n)] for m in marks], object)
+        self.a_texts, self.b_texts = named(len(self.a_sizes), ",|"), named(len(self.b_sizes), ",;")
         self.shift = max(self.a_bytes).bit_length()
         self.bits = self.shift + (len(pieces) - 1).bit_length()
         self.cuts = self._cuts(json.loads(self.a.to_str()), pieces)
@@ -105,55 +111,72 @@ class Aligner:
     def cut(self, text: str) -> list[str]:
         return _CUT.split(text) if self.cuts else [text]
 
-    def _align(self, text: str, a: list[int], b: list[int]) -> tuple[bool, str, list[int]]:
-        """Whether both sides spell the text, its groups, and the keys of the links."""
-        whole = (" " + text).encode()
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return False, "", []
-        groups, keys = [], []
-        i = j = at = 0
-        end_a, end_b = len(a_parts[0]), len(b_parts[0])
-        first_a = first_b = 0
-        while True:
-            at = min(end_a, end_b)
-            if end_a == end_b:
-                keys.append(b[j] << self.shift | a[i])
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                first_a, first_b = i, j
-                if i == len(a):
-                    return True, ";".join(groups), keys
-                end_a, end_b = end_a + len(a_parts[i]), end_b + len(b_parts[j])
-            elif end_a == at:
-                i += 1
-                end_a += len(a_parts[i])
-            else:
-                j += 1
-                end_b += len(b_parts[j])
+    def _flat(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), sizes
+
+    def _spelled(self, whole: list[bytes], ids: list[list[int]], table, flat: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which pieces the tokens spell byte by byte; all at once if they all do."""
+        totals = np.diff(np.r_[0, np.cumsum(sizes[flat])][np.r_[0, np.cumsum(counts)]])
+        if (totals == np.fromiter(map(len, whole), np.int64, len(whole))).all() and b"".join(map(table.__getitem__, chain.from_iterable(ids))) == b"".join(whole):
+            return np.ones(len(whole), bool)
+        return np.array([b"".join(map(table.__getitem__, x)) == w for x, w in zip(ids, whole, strict=True)], bool)
+
+    def _align(self, pieces: list[str], a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Of all pieces at once: facts (usable, A tokens, B tokens, groups), groups as text, keys of the links, and links of each piece."""
+        whole = [(" " + p).encode() for p in pieces]
+        (ids_a, n_a), (ids_b, n_b) = self._flat(a), self._flat(b)
+        good = self._spelled(whole, a, self.a_bytes, ids_a, n_a, self.a_sizes) & self._spelled(whole, b, self.b_bytes, ids_b, n_b, self.b_sizes)
+        if not good.all():
+            (ids_a, n_a), (ids_b, n_b) = (self._flat([x if g else [] for x, g in zip(ids, good.tolist(), strict=True)]) for ids in (a, b))
+        # both sides have the same bytes, piece after piece, so offsets in the row of all pieces can be compared
+        ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+        at = np.searchsorted(ends_b, ends_a)
+        last_a = ends_b[at] == ends_a if len(at) else np.zeros(0, bool)
+        i, j = np.flatnonzero(last_a), at[last_a]
+        last_b = np.zeros(len(ids_b), bool)
+        last_b[j] = True
+        links = np.diff(np.r_[0, np.cumsum(last_a)][np.r_[0, np.cumsum(n_a)]])
+        # the text of the groups: A ids, then B ids, each with the mark behind it
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        parts = np.empty(len(ids_a) + len(ids_b), object)
+        before_b = np.r_[0, j + 1]  # B ids up to the end of each group
+        parts[np.arange(len(ids_a)) + before_b[group_a]] = self.a_texts[last_a.astype(np.int64), ids_a]
+        after_a = np.r_[i + 1, len(ids_a)]
+        parts[np.arange(len(ids_b)) + after_a[group_b]] = self.b_texts[last_b.astype(np.int64), ids_b]
+        parts, stops = parts.tolist(), np.cumsum(n_a + n_b).tolist()
+        texts, begin = [], 0
+        for end in stops:
+            texts.append("".join(parts[begin:end])[:-1])
+            begin = end
+        return np.c_[good, n_a, n_b, links].astype(np.int64), texts, ids_b[j] << self.shift | ids_a[i], links
 
     def learn(self, pieces: set[str]) -> None:
         """Encode and align pieces that have not been seen, once each."""
         if len(self.code) > REMEMBER:
             self._forget()
         new = [p for p in pieces if p not in self.code]
-        facts, keys, sizes = [], [], []
+        gc.disable()  # lists of ids by the hundred thousand, none in a circle
+        try:
+            self._learn(new)
+        finally:
+            gc.enable()
+
+    def _learn(self, new: list[str]) -> None:
+        facts, keys, sizes = [self.facts], [self.keys], []
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            ea = self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
-            eb = self.b.encode(some, num_threads=1)
-            for p, x, b in zip(some, ea, eb, strict=True):
-                a = x.ids
-                good, groups, k = self._align(p, a, b)
-                self.code[p] = len(self.code)
-                self.groups.append(groups)
-                facts.append((good, len(a), len(b), len(k)))
-                keys.extend(k)
-                sizes.append(len(k))
+            a = [x.ids for x in self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)]
+            f, groups, k, n = self._align(some, a, self.b.encode(some, num_threads=1))
+            self.code.update(zip(some, range(len(self.code), len(self.code) + len(some)), strict=True))
+            self.groups += groups
+            facts.append(f)
+            keys.append(k)
+            sizes.append(n)
         if new:
-            self.facts = np.concatenate([self.facts, np.array(facts, np.int64)])
-            self.keys = np.concatenate([self.keys, np.array(keys, np.int64)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.facts, self.keys = np.concatenate(facts), np.concatenate(keys)
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
 
     def documents(self, texts: list[str]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, n_links, groups_sha256, keys, times) of texts that are not empty."""
