@@ -269,16 +269,11 @@ def cross_structural_covariance(z: DataFrame, groups: DataFrame, unit: str = "un
 
 
 def null_eigenvalues(z: DataFrame, n_shuffles: int, n_bins: int, kind: str = "circular", seed: int = 0, unit: str = "unit", index: str = "bin", value: str = "z") -> list[float]:
-    """Largest eigenvalues with each unit's bins rolled or in a hashed order."""
-    out = []
-    for s in range(n_shuffles):
-        if kind == "circular":
-            moved = z.withColumn(index, F.pmod(F.col(index) + F.pmod(F.xxhash64(unit, F.lit(s), F.lit(seed)), F.lit(n_bins)), F.lit(n_bins)))
-        else:
-            own = Window.partitionBy(unit).orderBy(F.xxhash64(index, unit, F.lit(s), F.lit(seed)))
-            moved = z.withColumn(index, F.row_number().over(own))
-        out.append(float(np.linalg.eigvalsh(correlation_matrix(moved, unit, index, value)[1])[-1]))
-    return out
+    """Largest eigenvalues with each unit's bins rolled or in an order of its own, all shuffles in one job (:mod:`.nulls`)."""
+    from .nulls import largest_eigenvalues
+
+    got = largest_eigenvalues(z, n_shuffles, n_bins, kind, seed, unit, index, value).collect()  # a number for each shuffle
+    return [r["values"][0] for r in sorted(got, key=lambda r: r["shuffle"])]
 
 
 def scaled_by_group(z: DataFrame, groups: DataFrame, unit: str = "unit", value: str = "z") -> DataFrame:
@@ -298,22 +293,17 @@ def cross_group_patterns(patterns: DataFrame, groups: DataFrame, threshold: floa
 
 
 def cross_svd_significance(z: DataFrame, groups: DataFrame, n_shuffles: int, percentile: float = 95.0, mode: str = "per_rank", seed: int = 0, unit: str = "unit", index: str = "bin", value: str = "z") -> DataFrame:
-    """(component, singular, threshold, significant) of :func:`cross_svd` against bins in a hashed order, one order for all units of the second group.
+    """(component, singular, threshold, significant) of :func:`cross_svd` against bins in one order for all units of a group, all shuffles in one job.
 
-    Units of a group stay together, so only what ties the groups is undone.
     ``max_stat`` compares all components with the largest of each shuffle.
+    Bins are numbered from 0 on.
     """
+    from .nulls import cross_singular_values
+
     seen = [r["singular"] for r in cross_svd(z, groups, None, unit, index, value).select("component", "singular").distinct().orderBy("component").collect()]  # as many as units at most
-    names = sorted(r[0] for r in groups.select("grp").distinct().collect())
-    bins = z.select(index).distinct()
-    first, second = (z.join(groups.where(F.col("grp") == g).select(unit), unit, "left_semi") for g in names)
-    null = []
-    for s in range(n_shuffles):
-        w = Window.orderBy(F.xxhash64(index, F.lit(s), F.lit(seed)), index)
-        order = bins.withColumn("_k", F.row_number().over(w)).join(bins.withColumn("_k", F.row_number().over(Window.orderBy(index))).withColumnRenamed(index, "_to"), "_k").drop("_k")  # a row a bin
-        moved = second.join(order, index).drop(index).withColumnRenamed("_to", index)
-        null.append([r["singular"] for r in cross_svd(first.unionByName(moved.select(*first.columns)), groups, None, unit, index, value).select("component", "singular").distinct().orderBy("component").collect()])
-    null = np.array(null)
+    of = {r[unit]: r["grp"] for r in groups.select(unit, "grp").distinct().collect()}  # a row a unit, as the matrix has
+    n_bins = int(z.agg(F.max(index)).first()[0]) + 1
+    null = np.array([r["values"] for r in cross_singular_values(z, of, n_shuffles, n_bins, seed, unit, index, value).collect()])  # shuffles x components
     cut = np.full(len(seen), np.percentile(null.max(axis=1), percentile)) if mode == "max_stat" else np.percentile(null, percentile, axis=0)
     rows = [(k, float(s), float(c), bool(s > c)) for k, (s, c) in enumerate(zip(seen, cut, strict=True))]
     return z.sparkSession.createDataFrame(rows, "component int, singular double, threshold double, significant boolean")
@@ -336,15 +326,12 @@ def explained_variance_windows(template: DataFrame, control: DataFrame, matching
 
 
 def explained_variance_p(pairs: DataFrame, n_shuffles: int, pre: str = "pre", task: str = "task", post: str = "post", seed: int = 0, unit: str = "unit") -> DataFrame:
-    """(ev, p): explained variance against the template's correlations dealt to the pairs in hashed orders."""
-    x = pairs.select(unit, "unit2", pre, task, post).dropna()
+    """(ev, p): explained variance against the template's correlations dealt to other pairs, all shuffles in one job."""
+    from .nulls import dealt_pairs
+
+    x = pairs.select(pre, task, post).dropna()
     seen = explained_variance(x, pre, task, post).select("ev")
-    s = F.broadcast(x.sparkSession.range(n_shuffles).select(F.col("id").alias("_s")))  # n_shuffles rows
-    y = x.join(s, F.lit(True))
-    own = Window.partitionBy("_s")
-    y = y.withColumn("_i", F.row_number().over(own.orderBy(unit, "unit2"))).withColumn("_j", F.row_number().over(own.orderBy(F.xxhash64(unit, "unit2", "_s", F.lit(seed)), unit, "unit2")))
-    dealt = y.select("_s", "_i", pre, post).join(y.select("_s", F.col("_j").alias("_i"), task), ["_s", "_i"])
-    null = explained_variance(dealt, pre, task, post, ["_s"]).select(F.col("ev").alias("_n"))
+    null = explained_variance(dealt_pairs(x, n_shuffles, [pre, post], task, seed), pre, task, post, ["_s"]).select(F.col("ev").alias("_n"))
     got = null.join(F.broadcast(seen), F.lit(True)).groupBy("ev")  # one row
     return got.agg(((F.sum((F.col("_n") > F.col("ev")).cast("int")) + 1) / (F.count("_n") + 1)).alias("p"))
 
