@@ -40,7 +40,9 @@ from ._common import keyed_text, mix64, staged
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’‚–—…¿¡·|"
 #: Hashed TF-IDF features.
 FEATURES = 1 << 17
-PASSAGE, ITEM_STEP, STEP = 24, 12, 6
+PASSAGE = 24
+#: Passages are as long as suits an item: so many words for items of at least so many. Texts move on by a quarter of a passage, items by half of one.
+SPANS = ((20, PASSAGE), (10, 12), (0, 6))
 #: Rank of the latent space, at most, and the extra columns of the random projection.
 RANK, EXTRA, POWER = 192, 16, 2
 #: Least cosine of a candidate, latent or exact.
@@ -154,26 +156,31 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df, n
 
 
-def cut(n: int, step: int) -> list[int]:
+def span_of(n: int) -> int:
+    """Words in a passage for an item of n words: in a much longer one, other words would outweigh the item's."""
+    return next(span for least, span in SPANS if n >= least)
+
+
+def cut(n: int, step: int, span: int = PASSAGE) -> list[int]:
     """Starts of the passages of a text of n words; the last one ends with the text."""
-    if n <= PASSAGE:
+    if n <= span:
         return [0]
-    return [*range(0, n - PASSAGE, step), n - PASSAGE]
+    return [*range(0, n - span, step), n - span]
 
 
-def _rows(texts: list[str | None], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Normalised sparse passage vectors of some items."""
+def _rows(texts: list[str | None], idf: np.ndarray, span: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Normalised sparse passage vectors of the items among some that have passages of ``span`` words."""
     out = []
     for t in texts:
         c = codes_of(t)
-        for s in cut(len(c), ITEM_STEP) if len(c) else ():
-            f, n = np.unique(c[s : s + PASSAGE], return_counts=True)
+        for s in cut(len(c), span // 2, span) if len(c) and span_of(len(c)) == span else ():
+            f, n = np.unique(c[s : s + span], return_counts=True)
             w = n * idf[f]
             out.append((f, w / np.linalg.norm(w)))
     return out
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int = RANK) -> np.ndarray:
+def latent_space(items: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int = RANK, span: int = PASSAGE) -> np.ndarray:
     """Right singular vectors (vocabulary x rank) of the items' passage matrix, by randomised subspace iteration.
 
     Each pass multiplies the distributed rows by a small dense matrix and sums
@@ -193,7 +200,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, total = shared.value, np.zeros(shared.value.shape)
             for b in batches:
-                for f, w in _rows(b.column(0).to_pylist(), idf):
+                for f, w in _rows(b.column(0).to_pylist(), idf, span):
                     at = place[f]
                     total[at] += np.outer(w, w @ q[at])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
@@ -235,8 +242,9 @@ def answer_of(text: str | None) -> list[str]:
 
 @dataclass
 class Index:
-    """A block of benchmark items with their passages in the latent space."""
+    """A block of benchmark items with their passages, all of ``span`` words, in the latent space."""
 
+    span: int
     ids: list[int]
     #: rows of the benchmark that are equal to each item
     times: list[int]
@@ -284,12 +292,12 @@ class Index:
         if not len(codes) or not len(self.item):
             return []
         # passages of all texts, as places in codes; the last one of a text ends with it
-        n = np.diff(bounds)
-        count = np.where(n > PASSAGE, -(-(n - PASSAGE) // STEP) + 1, (n > 0).astype(np.int64))
+        n, span, step_by = np.diff(bounds), self.span, max(1, self.span // 4)
+        count = np.where(n > span, -(-(n - span) // step_by) + 1, (n > 0).astype(np.int64))
         row = np.repeat(np.arange(len(n)), count)
         step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        starts = bounds[row] + np.minimum(step * STEP, np.maximum(n[row] - PASSAGE, 0))
-        ends = np.minimum(starts + PASSAGE, bounds[row + 1])
+        starts = bounds[row] + np.minimum(step * step_by, np.maximum(n[row] - span, 0))
+        ends = np.minimum(starts + span, bounds[row + 1])
         # upper bounds of the cosines with any passage: occurrences that count alone only shorten the vector
         sums = lambda v: np.r_[0, np.cumsum(v, dtype=np.float64)]
         known, sparse, whole = sums(self.most[codes]), sums(self.most_exact[codes]), sums(self.idf2[codes])
@@ -332,10 +340,11 @@ class Index:
         begin = starts[k] - bounds[row[k]] - self.offset[j]
         return list(zip(row[k].tolist(), self.item[j].tolist(), begin.tolist(), cos[k, j].tolist(), strict=True))
 
-    def hits(self, texts: pa.Array) -> list[tuple[int, int, float, float, float]]:
-        """(text, item id, best cosine, LCS share, answer share) of the items that some texts hold."""
+    def hits(self, texts: pa.Array, codes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+        """(text, item id, best cosine, LCS share, answer share) of the items that some texts, coded as given, hold."""
         held: dict[int, dict[int, list[tuple[float, int]]]] = {}
-        for d, i, s, c in self.candidates_of(*coded(texts)):
+        near = 2 * max(1, self.span // 4)
+        for d, i, s, c in self.candidates_of(codes, bounds):
             held.setdefault(d, {}).setdefault(i, []).append((c, s))
         out = []
         for d, by_item in sorted(held.items()):
@@ -344,10 +353,10 @@ class Index:
                 item, best, size = self.words[i], (0.0, 0.0), len(self.words[i])
                 seen: set[int] = set()
                 for _, s in sorted(found, key=lambda v: (-v[0], v[1])):  # the best cosine speaks for its place
-                    if s // (2 * STEP) in seen:
+                    if s // near in seen:
                         continue
-                    seen.add(s // (2 * STEP))
-                    around = ws[max(0, s - PASSAGE) : max(0, s) + size + PASSAGE]
+                    seen.add(s // near)
+                    around = ws[max(0, s - self.span) : max(0, s) + size + self.span]
                     share = lcs(item, around) / size
                     if share > best[0] or not best[0]:
                         best = max(best, (share, lcs(self.answers[i], around) / max(1, len(self.answers[i]))))
@@ -356,20 +365,20 @@ class Index:
         return out
 
 
-def build(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Index | None:
-    """Index of a block of items (item_id, text); None if no item has a word."""
+def build(items: DataFrame, idf: np.ndarray, rank: int = RANK, span: int = PASSAGE) -> Index | None:
+    """Index of the items of a block (item_id, text) that have passages of ``span`` words; None if there is none."""
     rows = [(r["item_id"], r["text"], r["times"]) for r in _distinct(items).collect()]  # BLOCK_ITEMS, about
-    rows = sorted((r for r in rows if terms(r[1])), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    rows = sorted((r for r in rows if (ws := terms(r[1])) and span_of(len(ws)) == span), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     if not rows:
         return None
     item, offset, passages = [], [], []
     for k, (_, t, _) in enumerate(rows):
         n = len(terms(t))
-        for s in cut(n, ITEM_STEP):
+        for s in cut(n, span // 2, span):
             item.append(k), offset.append(s)
-        passages += _rows([t], idf)
+        passages += _rows([t], idf, span)
     vocabulary = np.unique(np.concatenate([codes_of(r[1]) for r in rows]))
-    space = latent_space(items.where("text is not null"), idf, vocabulary, rank)
+    space = latent_space(items.where("text is not null"), idf, vocabulary, rank, span)
     place = np.full(FEATURES, -1, np.int64)
     place[vocabulary] = np.arange(len(vocabulary))
     vectors = np.stack([w @ space[place[f]] for f, w in passages]).astype(np.float32)
@@ -379,7 +388,7 @@ def build(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> Index | None:
     passage = np.repeat(np.arange(len(passages)), [len(f) for f, _ in passages])[order]
     weight = np.concatenate([w for _, w in passages])[order]
     ptr = np.searchsorted(at[order], np.arange(len(vocabulary) + 1))
-    return Index([r[0] for r in rows], [r[2] for r in rows], [terms(r[1]) for r in rows], [answer_of(r[1]) for r in rows], idf.astype(np.float32), place, space, vectors, np.array(item), np.array(offset), ptr, passage, weight)
+    return Index(span, [r[0] for r in rows], [r[2] for r in rows], [terms(r[1]) for r in rows], [answer_of(r[1]) for r in rows], idf.astype(np.float32), place, space, vectors, np.array(item), np.array(offset), ptr, passage, weight)
 
 
 def _distinct(items: DataFrame) -> DataFrame:
@@ -397,43 +406,57 @@ def _blocks_of(items: DataFrame, limit: int) -> list[DataFrame]:
     return [items.where(at == k) for k in range(n)] if n > 1 else [items] * n
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id, cosine, lcs and answer for each document that holds a benchmark item.
+_KINDS = (("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()))
 
-    ``lcs`` is the share of the item's words found in order around the best
-    candidate, ``answer`` that of its answer. Null texts and texts without
-    words hold nothing, items without words are never found; rows that repeat
-    each give their rows; an empty table gives an empty result. Other columns
-    of both tables are ignored.
-    """
-    ddl = "doc_id long, item_id long, cosine double, lcs double, answer double"
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), *((c, pa.float64()) for c in ("cosine", "lcs", "answer"))])
-    spark = docs.sparkSession
+
+def _hits(keyed: DataFrame, benchmark: DataFrame, block_items: int) -> DataFrame:
+    """(key, item_id, cosine, lcs, answer) of texts (key, text) that hold items, one table of texts for each block of items."""
+    spark = keyed.sparkSession
+    ddl = f"key {dict(keyed.dtypes)['key']}, item_id long, cosine double, lcs double, answer double"
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    df, n = document_frequencies(docs)
+    df, n = document_frequencies(keyed.select(F.lit(None).alias("doc_id"), "text"))
     idf = np.log((1 + n) / (1 + df)) + 0.1
     out = None
     for block in _blocks_of(items, block_items):
-        if (index := build(block, idf)) is None:
+        indexes = [i for _, span in SPANS if (i := build(block, idf, span=span)) is not None]
+        if not indexes:
             continue
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for b in _slices(batches, 1):
-                found = index.hits(b.column(1))
+                codes, bounds = coded(b.column(1))
+                found = sorted((h for index in shared.value for h in index.hits(b.column(1), codes, bounds)), key=lambda h: h[0])
                 cols = list(zip(*found, strict=True)) or [()] * 5
                 ids = b.column(0).take(pa.array(cols[0], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(cols[1:], list(schema)[1:], strict=True))], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, kind) for c, (_, kind) in zip(cols[1:], _KINDS, strict=True))], ["key", *(name for name, _ in _KINDS)])
 
-        got = keyed_text(docs).mapInArrow(run, ddl)
+        got = keyed.mapInArrow(run, ddl)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else spark.createDataFrame([], ddl)
 
 
+def hits(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """doc_id, item_id, cosine, lcs and answer for each document that holds a benchmark item.
+
+    ``lcs`` is the share of the item's words found in order around the best
+    candidate, ``answer`` that of its answer. Null texts and texts without
+    words hold nothing, items without words are never found; rows that repeat
+    each give their rows; an empty table gives an empty result. Other columns
+    of both tables are ignored.
+    """
+    return _hits(keyed_text(docs).withColumnRenamed("doc_id", "key"), benchmark, block_items).withColumnRenamed("key", "doc_id")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of the table that hold no benchmark item; all columns stay, rows without a doc_id too."""
-    found = staged(hits(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct(), "held")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"))
+    """The rows of the table whose text holds no benchmark item, with all columns.
+
+    Each row goes by its own text, known by its digest: rows without a doc_id
+    are removed like others, and of rows that share one only those that hold
+    an item. Null texts stay.
+    """
+    digest = F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest.alias("_id"))
+    found = staged(_hits(docs.select(digest.alias("key"), F.col("text").cast("string").alias("text")), benchmark, BLOCK_ITEMS).select(F.col("key").alias("_held")).distinct(), "held")
     kept = whole.join(found, F.col("_id") == F.col("_held"), "left_anti")
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
