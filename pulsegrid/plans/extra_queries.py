@@ -12,7 +12,7 @@ from ..sources import batch, binary_signal as raw, metadata as meta, session_fil
 from ..streaming import windows as stream
 from .fixtures import DAY, EV, POS, ev, position, refs, spikes, table
 from .population_queries import _COUNTS, _DOT, _EMB, _MAP, _MAP2, _POST, _counts, _map, _map2, whole_bias_significance, whole_replay_scores, whole_shuffle_spatial_information, whole_similarity_index
-from .signals import bell, noise, samples
+from .signals import bell, samples
 
 _ANG = "ang AS (SELECT unit, kind, 2 * pi() * (t % 86400) / 86400 AS a, value FROM ev)"
 
@@ -220,27 +220,6 @@ def cross_group_patterns(spark, sf):
     return en.cross_group_patterns(p, u.withColumn("grp", F.col("unit") % 2), 0.5, "relative").select("assembly", "unit", "weight")
 
 
-def _coupled(spark):
-    """Counts of twelve units in two groups; one unit of each follows a common beat."""
-    u = spark.range(12).select(F.col("id").cast("int").alias("unit"))
-    x = u.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(199))))
-    beat = F.when(F.pmod(F.xxhash64("bin", F.lit(3)), F.lit(5)) == 0, 3.0).otherwise(0.0)
-    x = x.withColumn("n", noise("unit", "bin", size=2.0) + F.when(F.col("unit").isin(2, 8), beat).otherwise(0.0))
-    return grid.zscore(x, "n", ["unit"]), u.withColumn("grp", F.when(F.col("unit") < 6, "a").otherwise("b"))
-
-
-@query("SELECT 0 AS component, true AS significant")
-def cross_svd_significance(spark, sf):
-    z, g = _coupled(spark)
-    return en.cross_svd_significance(z, g, 8, 100.0, "max_stat").select("component", "significant").where("significant")
-
-
-@query("SELECT * FROM (VALUES (2, 'a'), (8, 'b')) t(unit, grp)")
-def cross_svd_members(spark, sf):
-    z, g = _coupled(spark)
-    return en.cross_svd(z, g, 1).where("abs(weight) > 0.7").select("unit", "grp")
-
-
 @query(
     f"""WITH {EV}, {_COUNTS}, t AS (SELECT a.unit, b.unit AS unit2, covar_pop(a.n, b.n) / nullif(stddev_pop(a.n) * stddev_pop(b.n), 0) AS task FROM cnt a JOIN cnt b ON a.bin = b.bin AND a.unit < b.unit WHERE a.bin BETWEEN 10 AND 19 GROUP BY ALL),
 w AS (SELECT a.bin // 5 AS w, a.unit, b.unit AS unit2, covar_pop(a.n, b.n) / nullif(stddev_pop(a.n) * stddev_pop(b.n), 0) AS r FROM cnt a JOIN cnt b ON a.bin = b.bin AND a.unit < b.unit WHERE a.bin < 10 OR a.bin >= 20 GROUP BY ALL),
@@ -256,16 +235,6 @@ def explained_variance_windows(spark, sf):
     return got.select("window", F.round("ev", 7).alias("ev"), F.round("rev", 7).alias("rev"), F.round("ev_std", 7).alias("ev_std"))
 
 
-@query("SELECT true AS related, false AS unrelated")
-def explained_variance_p(spark, sf):
-    u = spark.range(24).select(F.col("id").alias("unit"))
-    p = u.join(u.withColumnRenamed("unit", "unit2"), F.col("unit") < F.col("unit2"))
-    p = p.select("unit", "unit2", noise("unit", "unit2", F.lit(1), size=1.0).alias("pre"), noise("unit", "unit2", F.lit(2), size=1.0).alias("task"))
-    near = en.explained_variance_p(p.withColumn("post", F.col("task") + noise("unit", "unit2", F.lit(3), size=0.5)), 40).select((F.col("p") < 0.05).alias("related"))
-    far = en.explained_variance_p(p.withColumn("post", noise("unit", "unit2", F.lit(5), size=1.0)), 40).select((F.col("p") < 0.05).alias("unrelated"))
-    return near.join(F.broadcast(far), F.lit(True))
-
-
 @query(
     f"""WITH {EV}, x AS (SELECT least(floor(value / 50.0), 9)::INTEGER AS s0, least(floor((t % 86400) / 8640), 9)::INTEGER AS s1, floor(t / {6 * DAY})::INTEGER AS d, lead(value) OVER w - value AS x0, lead(t % 86400) OVER w - t % 86400 AS x1 FROM ev WINDOW w AS (PARTITION BY unit ORDER BY t)),
 m AS (SELECT d, s0, s1, count(*) AS n, avg(x0) AS m0, avg(x1) AS m1 FROM x WHERE x0 IS NOT NULL GROUP BY ALL)
@@ -441,21 +410,6 @@ def similarity_index(spark, sf):
     return whole_similarity_index(spark, sf).select("vec_id", "key2", F.round("similarity", 6).alias("similarity"), F.col("p").between(1 / 51, 1.0).alias("ranked"))
 
 
-@query("SELECT * FROM (VALUES ('012'), ('567')) t(members)")
-def assembly_patterns(spark, sf):
-    x = en.planted_assemblies(spark, [[0, 1, 2], [5, 6, 7]], 10, 800, share=0.1)
-    found = en.members(en.assemblies(grid.zscore(x, "n", ["unit"]), method="ica"))
-    return found.where("member").groupBy("assembly").agg(F.array_join(F.array_sort(F.collect_list(F.col("unit").cast("string"))), "").alias("members")).select("members")
-
-
-@query("SELECT true AS below")
-def null_eigenvalues(spark, sf):
-    x = grid.zscore(en.planted_assemblies(spark, [[0, 1, 2]], 8, 400, share=0.1), "n", ["unit"])
-    top = float(np.linalg.eigvalsh(en.correlation_matrix(x)[1])[-1])
-    null = en.null_eigenvalues(x, 3, 400) + en.null_eigenvalues(x, 3, 400, "bins")
-    return spark.createDataFrame([(max(null) < top,)], "below boolean")
-
-
 # files and batches
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import intervals as iv
-from .fixtures import DAY, EV, SQL_DAYS, days, epochs, ev, sql_epochs
+from .fixtures import DAY, EV, epochs, ev, sql_epochs
 
 HOURS6 = 21600.0
 _S = sql_epochs("signup", HOURS6, "a")
@@ -61,11 +61,6 @@ def split_equal_parts(spark, sf):
     return iv.split_equal_parts(epochs(spark, sf, "signup", HOURS6), 7)
 
 
-@query(f"WITH {SQL_DAYS} SELECT epoch_id, i::INTEGER AS win, start + i * 1800.0 AS start, start + i * 1800.0 + 7200.0 AS stop FROM days, range(44) r(i) WHERE i < ceil((stop - start - 7200.0) / 1800.0)")
-def sliding_windows(spark, sf):
-    return iv.sliding_windows(days(spark), 7200.0, 1800.0)
-
-
 @query(f"WITH {EV}, {_S}, {_P} SELECT a.unit, a.epoch_id, a.start, a.stop, arg_min(b.epoch_id, b.start) AS first_other FROM a JOIN b ON a.unit = b.unit AND a.start < b.stop AND b.start < a.stop GROUP BY ALL")
 def overlap_semi(spark, sf):
     other = epochs(spark, sf, "purchase", HOURS6, "unit").withColumnRenamed("epoch_id", "other_id")
