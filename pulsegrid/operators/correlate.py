@@ -105,9 +105,24 @@ def _rows_of(column):
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
+#: Units in a block at most, by the count of all.
+BLOCK = 2000
+
+
 def _block_pairs(rows: DataFrame, keys: Sequence[str], unit: str, blocks: int | None, run, ddl: str) -> DataFrame:
-    """``run(rows of a block, rows of another or the same)`` for each pair of blocks of units, inside the keys."""
-    blocks = blocks or max(1, int((2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5))
+    """``run(rows of a block, rows of another or the same)`` for each pair of blocks of units, inside the keys.
+
+    The rows are written once, since both sides of the pairs read them, and
+    counted: a block holds at most about ``BLOCK`` of them, fewer where there
+    are tasks to fill.
+    """
+    from ..sources.batch import staged
+
+    rows = staged(rows, "rows")
+    if blocks is None:
+        n = (rows.groupBy(*keys).count().agg({"count": "max"}) if keys else rows.groupBy().count()).first()[0] or 0
+        wanted = int((2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))) ** 0.5)
+        blocks = max(1, -(-n // BLOCK), min(wanted, n // 32))
     at = F.pmod(F.xxhash64(unit), F.lit(blocks)).cast("int")
     a = rows.withColumn("_i", at).withColumn("_j", F.explode(F.sequence("_i", F.lit(blocks - 1))))
     b = rows.select(*[F.col(c).alias(c) for c in rows.columns]).withColumn("_j", at).withColumn("_i", F.explode(F.sequence(F.lit(0), "_j")))

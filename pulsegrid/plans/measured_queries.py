@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..catalog import query
 from ..operators import correlate as co, ensemble as en, grid, intervals as iv, nulls, signals as sg
 from .fixtures import EV, ev, table
+from .track_queries import _RUNS
 
 # filters: quantities of a supplier's line items in order, a hundred samples a second
 
@@ -216,3 +217,43 @@ def recurrent_decoder(spark, sf):
     w = rc.windows(x.withColumn("y", F.col("v") * F.col("c")), ["v", "s", "c"], ["y"], 6, "event_id", ["unit"])
     net, _ = rc.fit(w, rc.Network(3, 1, hidden=4), epochs=2, batches=2, rate=0.05)
     return rc.predict(w, net).select("unit", "event_id", F.col("y")[0].alias("y"), F.col("told")[0].alias("told"))
+
+
+_TWO_PI = "(2 * pi())"
+
+
+def _behaviour_files(spark, sf, name: str) -> str:
+    """Behaviour files of all suppliers' runs in a new folder, written by one commit."""
+    import numpy as np
+    import pandas as pd
+
+    from ..sources import stores
+    from ..sources.batch import scratch
+    from ..sources.session_files import build_mat
+    from .track_queries import runs
+
+    def make(g: pd.DataFrame) -> pd.DataFrame:
+        g, s = g.sort_values("nth"), str(g["session"].iloc[0])
+        row = lambda c: np.asarray(g[c], float)[None]
+        tree = {"behavior": {"timestamps": row("t"), "position": {"x": row("x"), "y": row("y"), "units": "cm"}}}
+        return pd.DataFrame({"path": [f"{s}/{s}.animal.behavior.mat"], "content": [build_mat(tree)]})
+
+    root = scratch(spark, name)
+    stores.save_files(runs(spark, sf).groupBy("session").applyInPandas(make, "path string, content binary"), root)
+    return root
+
+
+@query(f"""WITH {_RUNS}, v AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) / nullif(t - lag(t) OVER w, 0) AS v FROM pos WINDOW w AS (PARTITION BY session ORDER BY t)),
+b AS (SELECT *, coalesce(v > 80 AND NOT coalesce(lag(v) OVER (PARTITION BY session ORDER BY t) > 80, false), false) AS bad FROM v),
+k AS MATERIALIZED (SELECT session, nth, CASE WHEN NOT bad THEN x END AS x, CASE WHEN NOT bad THEN y END AS y FROM b), c AS (SELECT session, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy FROM k GROUP BY 1),
+r AS (SELECT session, cx, cy, avg(sqrt(pow(x - cx, 2) + pow(y - cy, 2))) AS r FROM k JOIN c USING (session) GROUP BY ALL),
+a AS (SELECT session, nth, x, y, r, atan2(y - cy, x - cx) AS a FROM k JOIN r USING (session))
+SELECT session::VARCHAR AS session, nth::INTEGER AS i, x, y, round(r * CASE WHEN a < 0 THEN a + {_TWO_PI} ELSE a END, 6) AS linearized FROM a""")
+def behaviour_files(spark, sf):
+    """Tracking in files: jumps taken out, positions along a circle added, all read back from the files."""
+    from ..sources import behaviour_files as bf
+
+    root = _behaviour_files(spark, sf, "behaviour")
+    bf.filter_jumps(spark, root, 80.0)
+    bf.linearize_circle(spark, root)
+    return bf.samples(spark, root).select("session", F.col("i").cast("int").alias("i"), "x", "y", F.round("linearized", 6).alias("linearized"))

@@ -148,7 +148,7 @@ def test_one_variable_is_written_anew(spark, tmp_path):
         (tmp_path / s).mkdir()
         (tmp_path / s / f"{s}.animal.behavior.mat").write_bytes(data)
     values = spark.createDataFrame([("u", i, float(9 - i)) for i in (2, 0, 1)], "session string, i int, value double")
-    mat_sink.update_behavior(spark, str(tmp_path), values, ["behavior", "position", "linearized"])
+    mat_sink.update_behavior(spark, str(tmp_path), values, {"value": ["behavior", "position", "linearized"]})
     assert sf.parse_mat((tmp_path / "u" / "u.animal.behavior.mat").read_bytes())["behavior"]["position"]["linearized"].ravel().tolist() == [9.0, 8.0, 7.0]
     assert (tmp_path / "v" / "v.animal.behavior.mat").read_bytes() == data
 
@@ -161,3 +161,24 @@ def test_compressed_variables_are_replaced(spark):
     body = zlib.compress(inner)
     data = sf.build_mat({})[:128] + struct.pack("<II", 15, len(body)) + body
     assert sf.parse_mat(mat_sink.replace_variable(data, ["s", "y"], 2.0))["s"]["y"][0, 0] == 2.0
+
+
+def test_elements_of_cells_and_of_arrays_of_structures(spark):
+    import struct
+
+    from pulsegrid.sources.session_files import _pack, _pack_matrix
+
+    data = sf.build_mat({"b": {"epochs": [{"a": 1.0}, {"a": 2.0}]}})
+    new = sf.parse_mat(mat_sink.replace_variable(data, ["b", "epochs", 1, "circle", "radius"], 3.0))["b"]["epochs"]
+    assert new[1]["circle"]["radius"][0, 0] == 3.0 and new[1]["a"][0, 0] == 2.0 and "circle" not in new[0]
+    names = b"".join(n.ljust(32, b"\0") for n in (b"a", b"c"))
+    array = _pack(6, struct.pack("<II", 2, 0)) + _pack(5, np.array([1, 2], "<i4").tobytes()) + _pack(1, b"e") + struct.pack("<HHi", 5, 4, 32) + _pack(1, names)
+    array += b"".join(_pack(14, _pack_matrix("", v)) for v in (1.0, "x", 2.0, "y"))
+    data = sf.build_mat({"first": 7.0}) + _pack(14, array)
+    assert [e["c"] for e in sf.parse_mat(data)["e"]] == ["x", "y"]
+    got = sf.parse_mat(mat_sink.replace_variable(mat_sink.replace_variable(data, ["e", 1, "a"], 9.0), ["e", 0, "r"], 5.0))
+    assert got["e"][1]["a"][0, 0] == 9.0 and got["e"][0]["r"][0, 0] == 5.0 and got["e"][1]["r"].size == 0 and [e["c"] for e in got["e"]] == ["x", "y"] and got["first"][0, 0] == 7.0
+    with pytest.raises(ValueError, match="elements"):
+        mat_sink.replace_variable(data, ["e", 2, "a"], 1.0)
+    with pytest.raises(ValueError, match="no field"):
+        mat_sink.replace_variable(data, ["e", "a"], 1.0)
