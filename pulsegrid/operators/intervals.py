@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .joins import overlap_join, range_join
+from .joins import bucket, overlap_join, range_join
 
 
 
@@ -132,13 +132,16 @@ def hysteresis(rows: DataFrame, value: str, high: float, low: float, order: str,
 
 def membership(points: DataFrame, epochs: DataFrame, t: str, width: float, keys: Sequence[str] = (), by: str = "epoch_id") -> DataFrame:
     """Every point with ``interval``, the last (by start) of the closed epochs that hold it, null if none; equal points all stay."""
-    e = epochs.select(*keys, F.col("start").alias("_lo"), F.col("stop").alias("_hi"), F.col(by).alias("_id"))
-    got = range_join(points.select(*keys, t).distinct(), e, t, "_lo", "_hi", width, keys)
-    got = got.groupBy(*[F.col(c).alias(f"_m_{c}") for c in (*keys, t)]).agg(F.max_by("_id", F.struct("_lo", "_id")).alias("interval"))
-    same = F.col(t) == F.col(f"_m_{t}")
-    for k in keys:
-        same &= F.col(k) == F.col(f"_m_{k}")
-    return points.join(got, same, "left").select(*points.columns, "interval")
+    own = {k: f"_e_{k}" for k in keys}
+    e = epochs.where("start <= stop").select(*[F.col(k).alias(o) for k, o in own.items()], F.struct("start", F.col(by).alias("id")).alias("_epoch"), F.col("start").alias("_lo"), F.col("stop").alias("_hi"))
+    e = e.withColumn("_wb", F.explode(F.sequence(bucket("_lo", width), bucket("_hi", width))))
+    x = points.withColumn("_bucket", bucket(t, width)).withColumn("_row", F.monotonically_increasing_id())
+    same = (F.col("_bucket") == F.col("_wb")) & F.col(t).between(F.col("_lo"), F.col("_hi"))
+    for k, o in own.items():
+        same &= F.col(k) == F.col(o)
+    # a point's epochs come together where the join has put them, by the number of its row
+    got = x.join(e, same, "left").groupBy(*keys, "_bucket", "_row").agg(*[F.first(c).alias(c) for c in points.columns if c not in keys], F.max("_epoch").alias("_epoch"))
+    return got.select(*points.columns, F.col("_epoch.id").alias("interval"))
 
 
 def restrict(points: DataFrame, epochs: DataFrame, t: str, width: float, keys: Sequence[str] = (), ends: str = "closed") -> DataFrame:
