@@ -70,7 +70,7 @@ def codes(x: np.ndarray, p: int) -> np.ndarray:
 
 
 def distinct(vectors: DataFrame) -> DataFrame:
-    """Each different vector of a label once: k, label, dim, v (doubles as bytes), first (smallest vec_id) and n (rows)."""
+    """Each different vector of a label once: k, label, dim, v, first (smallest vec_id) and n (rows)."""
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     v = vectors.where(F.col("label").isNotNull() & (F.size("v") > 0) & usable)
     v = v.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -296,7 +296,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, n_passes: int |
     that is not null; a row without vec_id is kept if its group has none.
     Other columns are ignored; an empty table gives an empty result.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = dict(vectors.dtypes)["embedding"]
+    v = F.col("embedding") if kind in ("array<float>", "array<double>") else F.col("embedding").cast("array<double>")  # singles travel as such, and are doubles in the tasks
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v"))
     base, found = _found(rows, threshold, n_passes)
     every = _union(found)
     counts = every.where(F.col("kind") == COUNT).groupBy(F.col("a").alias("k")).agg(F.sum("b").alias("links"))
