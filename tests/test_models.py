@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import correlate as co, models, trials
@@ -39,7 +40,7 @@ def test_trials(spark):
     got = trials.cheeseboard(spark.createDataFrame(p, "session string, t double, x double, y double"), (0.0, 0.0)).collect()
     assert [(r.start, r.stop) for r in got] == [(20.0, 59.0)]
     walk = [("s", float(t), float(t % 10) * 3, float(t // 10 % 10) * 3) for t in range(400)]
-    spans = trials.open_field(spark.createDataFrame(walk, "session string, t double, x double, y double"), step=20.0).orderBy("start").collect()
+    spans = trials.open_field(spark.createDataFrame(walk, "session string, t double, x double, y double"), step=20.0, method="proportion").orderBy("start").collect()
     assert len(spans) >= 3 and spans[0].start == 0
 
 
@@ -74,3 +75,33 @@ def test_kernel_reduced_rank_learns_from_all_rows(spark):
     full = np.linalg.solve(x.T @ x + 2.0 * np.eye(3), x.T @ y)
     v = np.linalg.svd(x @ full, full_matrices=False)[2][:1]
     assert np.abs(got - full @ v.T @ v).max() < 1e-9
+
+
+def open_field_in_memory(t, x, y, size, step, least):
+    """Spans of one session by correlation of visited places, as plain loops over histograms."""
+    bins = np.linspace(t.min(), t.max(), int(np.ceil((t.max() - t.min()) / step)))
+    xe, ye = (np.arange(np.floor(v.min()), np.ceil(v.max()) + size, size) for v in (x, y))
+    seen = lambda keep: np.histogram2d(x[keep], y[keep], (xe, ye))[0].ravel() > 0
+    every, out, first = seen(np.ones(len(t), bool)), [], 0
+    for i in range(len(bins) - 1):
+        keep = (t >= bins[first]) & ((t < bins[i + 1]) if i < len(bins) - 2 else (t <= bins[i + 1]))
+        if np.corrcoef(every, seen(keep))[0, 1] > least:
+            out.append((bins[first], bins[i + 1]))
+            first = i + 1
+    return out
+
+
+def test_open_field_by_correlation(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for s in ("a", "b"):
+        xy = np.cumsum(rng.normal(0, 1.5, (900, 2)), axis=0)
+        t = np.sort(rng.uniform(0, 900, 900))
+        want[s] = open_field_in_memory(t, xy[:, 0], xy[:, 1], 3, 60.0, 0.6)
+        rows += [(s, float(a), float(b), float(c)) for a, (b, c) in zip(t, xy)]
+    rows += [("a", 5.0, None, 1.0), ("a", 6.0, float("nan"), 1.0)]
+    got = trials.open_field(spark.createDataFrame(rows, "session string, t double, x double, y double").repartition(5)).orderBy("start").collect()
+    for s in want:
+        assert [(r.start, r.stop) for r in got if r.session == s] == [tuple(map(pytest.approx, w)) for w in want[s]] and want[s]
+    with pytest.raises(ValueError, match="share"):
+        trials.open_field(spark.createDataFrame(rows, "session string, t double, x double, y double"), method="share")
