@@ -79,7 +79,7 @@ z AS MATERIALIZED (SELECT unit, bin, coalesce((n - avg(n) OVER w) / nullif(stdde
 
 def _z(spark, sf):
     e = ev(spark, sf).select(F.concat_ws("-", "kind", F.pmod("unit", F.lit(2)).cast("string")).alias("unit"), "t")
-    return grid.zscore(grid.bin_counts(e.where(f"t < {720 * 3600}"), "t", 3600.0, 0.0, 720), "n", ["unit"]).select("unit", "bin", "z")
+    return grid.zscore(grid.bin_counts(e, "t", 3600.0, 0.0, 720), "n", ["unit"]).select("unit", "bin", "z")
 
 
 def _first_vector(matrix: str, times: int = 40) -> str:
@@ -133,13 +133,15 @@ def cross_svd_significance(spark, sf):
     return got.select("component", F.round("singular", 8).alias("singular"), told.alias("compared"))
 
 
-@query(f"""WITH {_Z}, k AS (SELECT unnest(range(50)) AS shuffle), two AS (SELECT * FROM z WHERE unit IN ('error-0', 'view-1'))
-SELECT shuffle::INTEGER AS shuffle, round(1 + abs(avg(a.z * b.z)), 9) AS largest FROM k, two a JOIN two b ON a.unit = 'error-0' AND b.unit = 'view-1' AND a.bin = (b.bin + shuffle * 37 + 11) % 720 GROUP BY 1""")
+@query(f"""WITH {EV}, cnt AS (SELECT unit % 2 AS unit, floor(t / 3600)::BIGINT AS bin, count(*) AS n FROM ev GROUP BY 1, 2),
+full_ AS (SELECT u.unit, b.bin, coalesce(n, 0)::DOUBLE AS n FROM (VALUES (0), (1)) u(unit) CROSS JOIN (SELECT unnest(range(720)) AS bin) b LEFT JOIN cnt ON cnt.unit = u.unit AND cnt.bin = b.bin),
+z AS MATERIALIZED (SELECT unit, bin, (n - avg(n) OVER w) / stddev_pop(n) OVER w AS z FROM full_ WINDOW w AS (PARTITION BY unit)), k AS (SELECT unnest(range(50)) AS shuffle)
+SELECT shuffle::INTEGER AS shuffle, round(1 + abs(avg(a.z * b.z)), 9) AS largest FROM k, z a JOIN z b ON a.unit = 0 AND b.unit = 1 AND a.bin = (b.bin + shuffle * 37 + 11) % 720 GROUP BY 1""")
 def null_eigenvalues(spark, sf):
-    """Two series, one of them rolled: the larger eigenvalue of their correlations is one plus the correlation's size."""
-    z = _z(spark, sf).where(F.col("unit").isin("error-0", "view-1"))
-    roll = F.when(F.col("unit") == "view-1", F.col("_s") * 37 + 11).otherwise(F.lit(0))
-    got = nulls.largest_eigenvalues(z, 50, 720, shift=roll)
+    """All events of even and of odd users, the latter rolled: the larger eigenvalue of two series is one plus the size of their correlation."""
+    e = ev(spark, sf).select(F.pmod("unit", F.lit(2)).alias("unit"), "t")
+    z = grid.zscore(grid.bin_counts(e, "t", 3600.0, 0.0, 720), "n", ["unit"]).select("unit", "bin", "z")
+    got = nulls.largest_eigenvalues(z, 50, 720, shift=F.when(F.col("unit") == 1, F.col("_s") * 37 + 11).otherwise(F.lit(0)))
     return got.select("shuffle", F.round(F.col("values")[0], 9).alias("largest"))
 
 
