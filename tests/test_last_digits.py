@@ -17,3 +17,11 @@ def test_raw_values_round_in_single_precision(spark, tmp_path):
     want = [r[0] for r in duckdb.sql(f"SELECT round(x * 1000)::INTEGER FROM (SELECT unnest(embedding) AS x FROM '{tmp_path}/embeddings.parquet')").fetchall()]
     assert want == [-277, 193, -134, 250]
     assert [r.value for r in xq._raw(spark, str(tmp_path)).orderBy("channel").collect()] == want
+
+
+def test_labels_of_epochs_of_ones_own(spark):
+    pos = spark.createDataFrame([(1, 5.0), (2, 5.0), (2, 50.0)], "unit int, t double")
+    ep = spark.createDataFrame([(10, 1, 0.0, 9.0, "a"), (11, 2, 0.0, 9.0, "b")], "epoch_id int, unit int, start double, stop double, label string")
+    got = sorted((r.unit, r.t, r.label) for r in meta.label_behaviour(pos, ep, 4.0, "label", keys=["unit"]).collect())
+    assert got == [(1, 5.0, "a"), (2, 5.0, "b"), (2, 50.0, None)]
+    assert {r.label for r in meta.label_behaviour(pos.where("t < 9"), ep.drop("unit"), 4.0, "label").collect()} == {"b"}
