@@ -25,3 +25,19 @@ def test_labels_of_epochs_of_ones_own(spark):
     got = sorted((r.unit, r.t, r.label) for r in meta.label_behaviour(pos, ep, 4.0, "label", keys=["unit"]).collect())
     assert got == [(1, 5.0, "a"), (2, 5.0, "b"), (2, 50.0, None)]
     assert {r.label for r in meta.label_behaviour(pos.where("t < 9"), ep.drop("unit"), 4.0, "label").collect()} == {"b"}
+
+
+def test_rates_are_rounded_once(spark):
+    size = next(k for k in range(2, 99) if k * 0.001 != k / 1000)
+    p = spark.createDataFrame([(1, float(i)) for i in range(size)], "unit int, t double")
+    got = {r.rate for r in co.correlogram(p, 0.001, 120).where("n = 0").collect()} | {r.rate for r in co.correlogram(p, 0.001, 120, pairs=True).where("bin = 60").collect()}
+    assert got == {0.0}
+    pair = spark.createDataFrame([(1, float(i)) for i in range(size)] + [(2, 5.005)], "unit int, t double")
+    assert {r.rate for r in co.correlogram(pair, 0.001, 120, same=False).where("n = 1").collect()} == {1 / (size / 1000)}
+
+
+def test_base_is_added_up_in_order_of_lag(spark):
+    rnd = random.Random(2)
+    rates = [rnd.choice([1 / 0.037, 2 / 0.037, 0.1, 1e3]) for _ in range(11)]
+    rows = spark.createDataFrame([(1, (40 + i) * 0.001, r) for i, r in enumerate(rates)] + [(1, 0.005, 7.0)], "unit int, lag double, rate double").repartition(5, "lag")
+    assert pe.burst_index(rows).first().base == functools.reduce(lambda a, b: a + b, rates) / 11
