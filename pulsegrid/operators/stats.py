@@ -25,6 +25,13 @@ def significant(scores: DataFrame, shuffled: DataFrame, keys: Sequence[str], q:
     return got.select(*keys, "score", p.alias("p"), F.try_divide(F.col("score") - F.col("_m"), F.col("_s")).alias("z"), F.coalesce(F.col("_a") > F.col("_q"), F.lit(False)).alias("significant"))
 
 
+def ordered_mean(rows: DataFrame, value: str, order: str, keys: Sequence[str], out: str = "mean") -> DataFrame:
+    """(keys, out): the mean of values added up in one order, so that the last digit of it, and what ties with it, does not hang on how rows are dealt to tasks."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = rows.where(F.col(value).isNotNull()).select(*keys, order, F.sum(value).over(w).alias("_s"), F.count(F.lit(1)).over(w).alias("_n"))
+    return x.groupBy(*keys).agg(F.max(F.struct("_n", "_s")).alias("_l")).select(*keys, (F.col("_l._s") / F.col("_l._n")).alias(out))
+
+
 def student_quantile(p: float, n: float) -> float:
     """Quantile of Student's distribution, by bisection on the incomplete beta function."""
     from ..functions.special import student_cdf

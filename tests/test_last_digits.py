@@ -41,3 +41,13 @@ def test_base_is_added_up_in_order_of_lag(spark):
     rates = [rnd.choice([1 / 0.037, 2 / 0.037, 0.1, 1e3]) for _ in range(11)]
     rows = spark.createDataFrame([(1, (40 + i) * 0.001, r) for i, r in enumerate(rates)] + [(1, 0.005, 7.0)], "unit int, lag double, rate double").repartition(5, "lag")
     assert pe.burst_index(rows).first().base == functools.reduce(lambda a, b: a + b, rates) / 11
+
+
+def test_mean_in_order_whatever_the_tasks(spark):
+    rnd = random.Random(1)
+    rows = [(u, i, round(rnd.uniform(0, 200), 2)) for u in range(40) for i in range(15)]
+    want = {u: functools.reduce(lambda a, b: a + b, [v for k, _, v in rows if k == u]) / 15 for u in range(40)}
+    for n in (1, 3, 7):
+        d = spark.createDataFrame(rows, "unit int, i int, v double").orderBy(F.desc("i")).repartition(n)
+        assert {r.unit: r.m for r in st.ordered_mean(d, "v", "i", ["unit"], "m").collect()} == want
+    assert any(np.sum([v for k, _, v in rows[::-1] if k == u]) / 15 != want[u] for u in want), "the order matters here"
