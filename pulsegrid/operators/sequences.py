@@ -40,7 +40,8 @@ def multitask_pre_post(epochs: DataFrame, is_rest: Column, is_task: Column, keys
     w = _w(keys, order)
     rest = F.when(is_rest, F.col(order))
     x = epochs.withColumn("pre", F.last(rest, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    x = x.withColumn("post", F.first(rest, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    back = Window.partitionBy(*keys).orderBy(F.desc(order))
+    x = x.withColumn("post", F.last(rest, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     x = x.withColumn("_i", F.row_number().over(w)).withColumn("_first", F.min(rest).over(Window.partitionBy(*keys)))
     if common_pre:
         x = x.withColumn("pre", F.when(F.col("_first") < F.col(order), F.col("_first")))
@@ -151,7 +152,8 @@ def segment_path(rows: DataFrame, wells: Sequence[tuple[int, float, float]], rad
     x = rows.withColumn("_well", near)
     x = x.withColumn("_d", F.coalesce(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)), F.lit(0.0)))
     x = x.withColumn("_from", F.last("_well", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("_to", F.first("_well", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*keys).orderBy(F.desc(order))  # from the end: a frame up to the last row would be read anew for every row
+    x = x.withColumn("_to", F.last("_well", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     x = x.withColumn("_i", F.row_number().over(w)).where(F.col("_well").isNull())
     x = x.withColumn("_g", F.col("_i") - F.row_number().over(w))
     g = x.groupBy(*keys, "_g").agg(F.min(order).alias("start"), F.max(order).alias("stop"), F.sum("_d").alias("distance"), F.first("_from").alias("from_well"), F.first("_to").alias("to_well")).drop("_g")
