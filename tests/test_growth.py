@@ -28,3 +28,10 @@ def test_no_frame_is_read_anew_for_every_row(spark):
     near = joins.neighbours(x.select("session", "t"), x.where("x is not null").select("session", "t", "x"), "t", ["x"], ["session"], 2.0)
     for got in (filled, path, zeros, near):
         assert "unboundedfollowing" not in plan(got)
+
+
+def test_made_samples_are_planned_by_their_own_size(spark):
+    x = signals.samples(spark, SF, fs=100.0, channels=2)
+    assert x.inputFiles() and all("samples-" in f for f in x.inputFiles())
+    of = x.groupBy("session", "channel").agg(F.count(F.lit(1)).alias("n"), F.max("sample_idx").alias("m"), F.countDistinct("sample_idx").alias("k")).collect()
+    assert all(r.n == r.k == r.m + 1 for r in of) and len({r.session for r in of}) * 2 == len(of)
