@@ -35,3 +35,15 @@ def test_made_samples_are_planned_by_their_own_size(spark):
     assert x.inputFiles() and all("samples-" in f for f in x.inputFiles())
     of = x.groupBy("session", "channel").agg(F.count(F.lit(1)).alias("n"), F.max("sample_idx").alias("m"), F.countDistinct("sample_idx").alias("k")).collect()
     assert all(r.n == r.k == r.m + 1 for r in of) and len({r.session for r in of}) * 2 == len(of)
+
+
+def test_transforms_of_points_by_pieces_of_frequencies(monkeypatch):
+    rng = np.random.default_rng(3)
+    times = np.sort(rng.uniform(0, 40, 1500))
+    whole = dsp.spectrum_points(times, 200.0, (5.0, 90.0))
+    monkeypatch.setattr(dsp, "_PHASES", 1 << 14)
+    tracemalloc.start()
+    parts = dsp.spectrum_points(times, 200.0, (5.0, 90.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(whole[2], parts[2], atol=1e-9) and len(whole[0]) * len(times) * 16 > 60e6 > 2 * peak
