@@ -47,3 +47,11 @@ def test_transforms_of_points_by_pieces_of_frequencies(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert np.allclose(whole[2], parts[2], atol=1e-9) and len(whole[0]) * len(times) * 16 > 60e6 > 2 * peak
+
+
+def test_streams_leave_their_rows_in_files(spark):
+    twice = lambda e: stream.drop_repeats(e.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))), "event_id", "40 days")
+    got = xq._streamed(spark, SF, twice)
+    assert got.inputFiles() and got.count() == spark.read.parquet(f"{SF}/events.parquet").select("event_id").distinct().count()
+    counts = xq._streamed(spark, SF, lambda e: stream.binned_counts(e, "1 day", "1 hour"), None)
+    assert counts.inputFiles() and counts.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
