@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import dsp
-from pulsegrid.operators import grid, joins, sequences as sq
+from pulsegrid.operators import correlate as co, ensemble as en, grid, joins, sequences as sq
 from pulsegrid.plans import extra_queries as xq, signals
 from pulsegrid.streaming import windows as stream
 
@@ -55,3 +55,28 @@ def test_streams_leave_their_rows_in_files(spark):
     assert got.inputFiles() and got.count() == spark.read.parquet(f"{SF}/events.parquet").select("event_id").distinct().count()
     counts = xq._streamed(spark, SF, lambda e: stream.binned_counts(e, "1 day", "1 hour"), None)
     assert counts.inputFiles() and counts.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def pairs_by_rows(rows, lag=0):
+    return {(u, v): [(x, y) for (a, i), x in rows.items() for (b, j), y in rows.items() if a == u and b == v and j == i + lag] for u in {k[0] for k in rows} for v in {k[0] for k in rows} if u < v}
+
+
+def sparse(seed):
+    rng = np.random.default_rng(seed)
+    return {(u, i): (None if rng.random() < 0.1 else float(rng.integers(-3, 4))) for u in range(9) for i in range(-3, 8) if rng.random() < 0.6} | {(9, 50): 1.0}
+
+
+def test_lagged_correlations_by_blocks(spark):
+    rows = sparse(2)
+    z = spark.createDataFrame([(u, i, v) for (u, i), v in rows.items()], "unit int, bin int, z double")
+    got_df = co.cross_correlation(z, "bin", "z", 3, blocks=3)
+    got = {(r.unit, r.unit2, r.lag): r.r for r in got_df.collect()}
+    power = {u: sum(v * v for (a, _), v in rows.items() if a == u and v is not None) for u in range(10)}
+    want = {}
+    for lag in range(-3, 4):
+        for (u, v), met in pairs_by_rows(rows, lag).items():
+            p = [x * y for x, y in met if x is not None and y is not None]
+            if met:
+                want[u, v, lag] = sum(p) / (power[u] * power[v]) ** 0.5 if p and power[u] * power[v] else None
+    assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "flatmapcogroups" in plan(got_df)
