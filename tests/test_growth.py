@@ -80,3 +80,15 @@ def test_lagged_correlations_by_blocks(spark):
                 want[u, v, lag] = sum(p) / (power[u] * power[v]) ** 0.5 if p and power[u] * power[v] else None
     assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
     assert "flatmapcogroups" in plan(got_df)
+
+
+def test_proximity_by_blocks(spark):
+    rng = np.random.default_rng(4)
+    a, b = ({k: rng.standard_normal(5).tolist() for k in ks} for ks in (range(0, 30), range(10, 45)))
+    rows = lambda d: spark.createDataFrame(list(d.items()), "k long, v array<double>")
+    got_df = en.proximity(rows(a), rows(b), "v", "k", block=7)
+    got = {r.k: r.proximity for r in got_df.collect()}
+    d = lambda x, y: float(np.linalg.norm(np.subtract(x, y)))
+    want = {k: 1 - d(v, b[k]) / np.mean([d(v, w) for w in b.values()]) if k in b else None for k, v in a.items()}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "cartesianproduct" not in plan(got_df) and "nestedloop" not in plan(got_df)
