@@ -92,3 +92,18 @@ def test_proximity_by_blocks(spark):
     want = {k: 1 - d(v, b[k]) / np.mean([d(v, w) for w in b.values()]) if k in b else None for k, v in a.items()}
     assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-9 for k in want)
     assert "cartesianproduct" not in plan(got_df) and "nestedloop" not in plan(got_df)
+
+
+def test_covariance_of_groups_by_blocks(spark):
+    rows = sparse(1)
+    z = spark.createDataFrame([(u, i, v) for (u, i), v in rows.items()], "unit int, bin int, z double")
+    g = spark.createDataFrame([(u, "abc"[u % 3]) for u in range(10)], "unit int, grp string")
+    got_df = en.cross_structural_covariance(z, g, blocks=4)
+    got = {(r.unit, r.unit2): r.cov for r in got_df.collect()}
+    want = {}
+    for (u, v), met in pairs_by_rows(rows).items():
+        if met and u % 3 != v % 3:
+            p = [x * y for x, y in met if x is not None and y is not None]
+            want[u, v] = sum(p) / len(p) if p else None
+    assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "sortmergejoin" not in plan(got_df) and "flatmapcogroups" in plan(got_df)
