@@ -107,3 +107,23 @@ def test_covariance_of_groups_by_blocks(spark):
             want[u, v] = sum(p) / len(p) if p else None
     assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
     assert "sortmergejoin" not in plan(got_df) and "flatmapcogroups" in plan(got_df)
+
+
+def test_assemblies_from_fewer_bins_than_units(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 12)) + 3 * np.outer(np.arange(40) % 4 == 0, np.arange(12) % 3 == 0)
+    x = (x - x.mean(axis=1, keepdims=True)) / x.std(axis=1, keepdims=True)
+    z = spark.createDataFrame([(u, b, float(x[u, b])) for u in range(40) for b in range(12)], "unit int, bin int, z double")
+    get = lambda **k: {(r.assembly, r.unit): r.weight for r in en.assemblies(z, bound=4.0, **k).collect()}
+    ica = get(method="ica")
+    for v in (np.array([[ica[k, u] for u in range(40)] for k in range(len(ica) // 40)]),):
+        assert np.allclose(np.linalg.norm(v, axis=1), 1) and all(r[np.abs(r).argmax()] > 0 for r in v)
+    with monkeypatch.context() as m:
+        m.setattr(en, "correlation_matrix", None)  # no matrix of units x units is made
+        few = get()
+    monkeypatch.setattr(en, "_assemblies_of_bins", lambda *a: None)
+    many = get()
+    assert few.keys() == many.keys() and len(few) >= 40 and all(abs(few[k] - many[k]) < 1e-9 for k in few)
+    span = lambda w: np.linalg.qr(np.array([[w[k, u] for u in range(40)] for k in range(len(w) // 40)]).T)[0]
+    a, b = span(ica), span(many)
+    assert np.allclose(a @ a.T, b @ b.T, atol=1e-9)
