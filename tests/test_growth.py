@@ -127,3 +127,14 @@ def test_assemblies_from_fewer_bins_than_units(spark, monkeypatch):
     span = lambda w: np.linalg.qr(np.array([[w[k, u] for u in range(40)] for k in range(len(w) // 40)]).T)[0]
     a, b = span(ica), span(many)
     assert np.allclose(a @ a.T, b @ b.T, atol=1e-9)
+
+
+def test_explained_variance_of_windows_leaves_sums(spark):
+    rng = np.random.default_rng(7)
+    rows = [(w, u, b, float(rng.integers(0, 4) if u else 2)) for w in (-1, 0, 1, 4, 5) for u in range(14) for b in range(6)]
+    s = spark.createDataFrame(rows, "window long, unit int, bin int, n double")
+    by = co.pairwise_dense(s.where("window >= 0"), "bin", "n", keys=["window"])
+    want = en.explained_variance_windows(co.pairwise_dense(s.where("window < 0").drop("window"), "bin", "n"), by.where("window < 2"), by.where("window >= 4"))
+    got = en.explained_variance_windows_of(s, "bin", "n", "window", -1, [0, 1], [4, 5], blocks=3)
+    a, b = ({r.window: tuple(r)[1:] for r in d.collect()} for d in (want, got))
+    assert a.keys() == b.keys() == {4, 5} and all(np.allclose(a[k], b[k], atol=1e-10) for k in a)
