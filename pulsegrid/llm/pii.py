@@ -3,12 +3,13 @@
 Four strict patterns with validators give the base spans. Looser generators
 propose candidates that may overlap each other and the base spans. Gradient
 boosted trees, which see a candidate's format and its surroundings but no
-validator, are fitted on a bounded sample. Its labels are the base spans and,
+validator, are fitted on half of all candidates, equal ones as one row with their number
+as its weight. Their labels are the base spans and,
 for what overlaps none, rules of each kind's own (a word that announces it with
 a format that suits it, a written-out at sign, a known prefix). Only candidates
 that overlap no base span can be added, so the threshold of each generator is
-calibrated on those alone, in the part of the sample that the trees have not
-seen. Candidates above it are added to the base spans.
+calibrated on all of those in the half that the trees have not seen. Candidates
+above it are added to the base spans.
 
 All of it is Spark expressions and ``pyspark.ml``: no Python runs on executors.
 The texts are read once; what follows works on the few rows that hold a span
@@ -51,8 +52,6 @@ SAYS = {
     "secret": r"(?i)(password|token|secret|key)\s{0,3}[=:]\s{0,3}[\"']?$",
 }
 SECRET = r"(?i)^(AKIA|ghp_|sk-|password|token|secret|api.?key)"
-#: Candidates that the trees are fitted and calibrated on, at most in expectation.
-TRAIN_ROWS = 20_000
 #: Precision that a threshold must keep on the calibration half.
 PRECISION = 0.95
 _BINS = 50
@@ -222,23 +221,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _scored(cand: DataFrame) -> DataFrame | None:
-    """Candidates with the trees' score, or None if the sample cannot train them."""
+    """Candidates with the trees' score, or None if they cannot train any."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     names = [c for c in cand.columns if c.startswith("f_")]
-    cand = VectorAssembler(inputCols=names, outputCol="features").transform(cand)
-    total = cand.count()
-    keep = min(1.0, TRAIN_ROWS / total) if total else 0.0
-    at = F.pmod(F.xxhash64("doc_id", "h", "s", "gen"), F.lit(1_000_000)) / 1e6
-    sample = staged(cand.where(at < keep).select("gen", "hit", "label", "features", F.pmod(F.xxhash64("h", "e", "gen"), F.lit(2)).alias("half")), "pii-sample")
-    split = {(r["half"], r["label"]) for r in sample.select("half", "label").distinct().collect()}
+    vectors = VectorAssembler(inputCols=names, outputCol="features")
+    cand = cand.withColumn("half", F.pmod(F.xxhash64("h", "e", "gen"), F.lit(2)))
+    split = {(r["half"], r["label"]) for r in cand.select("half", "label").distinct().collect()}
     if len(split) < 4:
         return None
-    model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).fit(sample.where("half = 0").coalesce(1))
+    rows = staged(cand.where("half = 0").groupBy("label", *names).agg(F.count(F.lit(1)).cast("double").alias("weight")), "pii-rows")
+    model = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).fit(vectors.transform(rows))
     score = vector_to_array("probability")[1]
-    held = model.transform(sample.where("half = 1 and not hit")).select("gen", "label", F.floor(score * (_BINS - 1e-9)).cast("int").alias("bin"))
+    cand = vectors.transform(cand)
+    held = model.transform(cand.where("half = 1 and not hit")).select("gen", "label", F.floor(score * (_BINS - 1e-9)).cast("int").alias("bin"))
     bins = held.groupBy("gen", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("good"))
     cut: dict[str, float] = {}
     by_gen: dict[str, list] = {}

@@ -133,3 +133,20 @@ def test_places_of_very_many_matches(spark):
     text = "é a@b.cd 1.2.3.4, " * 3000
     r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.listed(pii.F.col("base")).alias("b")).first()
     assert r.b == brute(text) and r.b.count(",") == 5999
+
+
+def test_trees_and_thresholds_come_from_all_candidates(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    seen = {}
+    fit = GBTClassifier.fit
+
+    def fitted(self, rows, *a):
+        seen["fitted"] = rows.agg({"weight": "sum"}).first()[0]
+        return fit(self, rows, *a)
+
+    monkeypatch.setattr(GBTClassifier, "fit", fitted)
+    n = 60_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN concat('reach me at a', id, '@b.com') ELSE concat('order 12345', id % 1000, '67890 today') END AS text")
+    found = pii.find(docs)
+    assert found.count() == n and 0.45 * n < seen["fitted"] < 0.55 * n, "half of all candidates, beyond any sample of 20,000"
