@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import dsp
-from pulsegrid.operators import correlate as co, ensemble as en, grid, joins, sequences as sq
+from pulsegrid.operators import correlate as co, decode as de, ensemble as en, grid, joins, sequences as sq
 from pulsegrid.plans import extra_queries as xq, signals
 from pulsegrid.streaming import windows as stream
 
@@ -138,3 +138,17 @@ def test_explained_variance_of_windows_leaves_sums(spark):
     got = en.explained_variance_windows_of(s, "bin", "n", "window", -1, [0, 1], [4, 5], blocks=3)
     a, b = ({r.window: tuple(r)[1:] for r in d.collect()} for d in (want, got))
     assert a.keys() == b.keys() == {4, 5} and all(np.allclose(a[k], b[k], atol=1e-10) for k in a)
+
+
+def test_order_bias_of_shuffles_leaves_sums(spark):
+    rng = np.random.default_rng(8)
+    rows = [(e, int(rng.integers(0, 13)), float(rng.integers(0, 40))) for e in range(3) for _ in range(70)] + [(3, 5, 1.0)]
+    p = spark.createDataFrame(rows, "epoch int, unit int, t double")
+    task, post = p.where("epoch = 0").drop("epoch"), p.where("epoch > 0")
+    ref = de.skew_bias(task.withColumn("_one", F.lit(0)), ["_one"]).drop("_one")
+    want = {r.epoch: r.cosine for r in de.bias_similarity(ref, de.skew_bias(post)).collect()}
+    got_df = de.bias_significance(task, post, 5)
+    got = {r.epoch: r for r in got_df.collect()}
+    assert got.keys() == want.keys() == {1, 2} and all(abs(got[e].cosine - want[e]) < 1e-12 and 1 / 6 <= got[e].p <= 1 for e in want)
+    sums = de._bias_sums(task, post.withColumn("shuffle", F.lit(0)), ["epoch"], "shuffle", "unit")
+    assert "unit2" not in plan(got_df) and sums.where("_d is null").count() == 0
