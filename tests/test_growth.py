@@ -152,3 +152,22 @@ def test_order_bias_of_shuffles_leaves_sums(spark):
     assert got.keys() == want.keys() == {1, 2} and all(abs(got[e].cosine - want[e]) < 1e-12 and 1 / 6 <= got[e].p <= 1 for e in want)
     sums = de._bias_sums(task, post.withColumn("shuffle", F.lit(0)), ["epoch"], "shuffle", "unit")
     assert "unit2" not in plan(got_df) and sums.where("_d is null").count() == 0
+
+
+def test_cross_correlograms_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(f"u{int(rng.integers(0, 60))}", float(rng.integers(0, 400)) / 4) for _ in range(900)] + [("none", None)]
+    p = spark.createDataFrame(rows, "unit string, t double")
+    monkeypatch.setattr(co, "_MET", 1 << 8)
+    for same in (False, True):
+        got_df = co.correlogram(p, 0.5, 6, same=same, pairs=True)
+        got = {(r.unit, r.unit2, r.bin): r.n for r in got_df.collect()}
+        units = sorted({u for u, _ in rows})
+        want = {(u, v, k): 0 for u in units for v in units if (u <= v if same else u < v) for k in range(7)}
+        for u, r in rows:
+            for v, t in rows:
+                if None not in (r, t) and r - 1.75 <= t <= r + 1.75 and (k := int((t - (r - 1.75)) // 0.5)) < 7 and (u, v, k) in want and not (u == v and k == 3):
+                    want[u, v, k] += 1
+        assert got == want and "range" not in plan(got_df) and "flatmapcogroups" in plan(got_df)
+        some = co.correlogram(p, 0.5, 6, same=same, pairs=True, empty=False)
+        assert some.where("n = 0 and bin <> 3").count() == 0 and some.agg(F.sum("n")).first()[0] == sum(want.values())
