@@ -93,6 +93,20 @@ def _fields(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
+def _once(value: Column) -> Column:
+    """The value as a column that is made once a row: as a projection it would be merged into what reads it, and parsed for every row of a list."""
+    return F.explode(F.array(value))
+
+
+def _upto(n: Column) -> Column:
+    """0 .. n - 1, nothing for null."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _nth(lists: Column, i: Column) -> Column:
+    return F.transform_values(lists, lambda k, v: v[i])
+
+
 def session_epochs(sessions: DataFrame) -> DataFrame:
     """(session, basepath, epoch_id, name, start, stop, environment, ...) of the session structure; fields that are not there are null."""
     kind = "array<struct<" + ",".join(f"{k}:{'array<double>' if k.endswith('Time') else 'string'}" for k in EPOCH_FIELDS) + ">>"
@@ -136,12 +150,19 @@ def units(cells: DataFrame) -> DataFrame:
     x = cells.withColumn("_f", _fields(F.col("data"))).withColumn("_uid", _numbers(F.col("_f")["UID"]))
     list_ = lambda t: F.from_json(t, "array<string>")
     own = F.map_filter("_f", lambda k, t: t.startswith("[") & (F.size(list_(t)) == F.size("_uid")))
-    tags = F.transform(F.map_entries(F.coalesce(_fields(F.col("_f")["tags"]), F.create_map().cast("map<string,string>"))), lambda e: F.named_struct(F.lit("tag"), e["key"], F.lit("uids"), _numbers(e["value"])))
+    named = F.map_entries(F.coalesce(_fields(F.col("_f")["tags"]), F.create_map().cast("map<string,string>")))
+    tags = F.transform(named, lambda e: F.struct(e["key"].alias("tag"), F.filter(F.coalesce(_numbers(e["value"]), F.array().cast("array<double>")), lambda u: u.isNotNull()).alias("uids")))
     general = F.map_filter(_fields(F.col("_f")["general"]), lambda k, t: ~t.startswith("[") & ~t.startswith("{"))
-    x = x.select("session", "basepath", own.alias("_own"), tags.alias("_tags"), general.alias("general"), F.posexplode("_uid").alias("nth", "uid"))
-    mine = F.transform(F.filter("_tags", lambda t: F.array_contains(t["uids"], F.col("uid"))), lambda t: t["tag"])
-    fields = F.transform_values("_own", lambda k, t: list_(t)[F.col("nth")])
-    x = x.select("session", "basepath", F.col("uid").cast("int").alias("uid"), "nth", fields.alias("fields"), F.array_sort(mine).alias("tags"), "general")
+    parts = F.struct(F.col("_uid").alias("uid"), F.transform_values(own, lambda k, t: list_(t)).alias("own"), tags.alias("tags"))
+    x = x.select("session", "basepath", F.xxhash64("data").alias("_file"), general.alias("general"), _once(parts).alias("_p"))
+    # the units, and those that tags name, as rows of one table that meet by number
+    none = F.lit(None)
+    mine = F.transform("_p.uid", lambda u, i: F.struct(u.alias("uid"), i.alias("nth"), _nth(F.col("_p.own"), i).alias("fields"), none.cast("string").alias("_tag")))
+    theirs = F.transform("_p.tags", lambda t: F.transform(t["uids"], lambda u: F.struct(u.alias("uid"), none.cast("int").alias("nth"), none.cast("map<string,string>").alias("fields"), t["tag"].alias("_tag"))))
+    x = x.select("session", "basepath", "_file", "general", F.inline(F.concat(mine, F.flatten(theirs))))
+    w = Window.partitionBy("session", "basepath", "_file", "uid")
+    x = x.withColumn("tags", F.array_sort(F.collect_set("_tag").over(w))).where("nth is not null")
+    x = x.select("session", "basepath", F.col("uid").cast("int").alias("uid"), "nth", "fields", "tags", "general")
     return x.withColumn("bad", F.array_contains("tags", "Bad"))
 
 
@@ -158,8 +179,8 @@ def metrics_by_epoch(metrics: DataFrame, size: str = "particip") -> DataFrame:
     e = e.withColumn("_f", _fields(F.col("_e"))).withColumn("_n", F.size(F.from_json(F.col("_f")[size], "array<string>"))).where("_n > 0")
     list_ = lambda t: F.from_json(t, "array<string>")
     own = F.map_filter("_f", lambda k, t: t.startswith("[") & (F.size(list_(t)) == F.col("_n")))
-    e = e.select("session", "epoch", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("nth"))
-    return e.select("session", "epoch", "nth", F.transform_values("_own", lambda k, t: list_(t)[F.col("nth")]).alias("fields"))
+    e = e.select("session", "epoch", "_n", _once(F.transform_values(own, lambda k, t: list_(t))).alias("_own"))
+    return e.select("session", "epoch", F.inline(F.transform(_upto(F.col("_n")), lambda i: F.struct(i.alias("nth"), _nth(F.col("_own"), i).alias("fields")))))
 
 
 def phase_shifts(shifts: DataFrame) -> DataFrame:
@@ -180,8 +201,9 @@ def phase_distributions(shifts: DataFrame) -> DataFrame:
     out = None
     for state in ("rem", "wake"):
         m = F.from_json(_get(f"PhaseLockingData_{state}.phasedistros"), "array<array<double>>")
-        n = shifts.select("session", m.alias("_m"), F.explode(F.sequence(F.lit(0), F.size(m[0]) - 1)).alias("nth"))
-        x = n.select("session", F.lit(state).alias("state"), "nth", F.transform("_m", lambda r: r[F.col("nth")]).alias("distribution"))
+        n = shifts.select("session", _once(m).alias("_m"))
+        each = F.transform(_upto(F.size(F.col("_m")[0])), lambda i: F.struct(i.alias("nth"), F.transform("_m", lambda r: r[i]).alias("distribution")))
+        x = n.select("session", F.lit(state).alias("state"), F.inline(each))
         out = x if out is None else out.unionByName(x)
     return out
 
@@ -265,10 +287,11 @@ def behaviour(mats: DataFrame) -> DataFrame:
     own = F.map_filter(_fields(F.col("data")), lambda k, t: ~k.isin("position", "SpatialSeries", "timeSeries", "trials"))
     series = F.transform_keys(F.coalesce(_fields(_get("timeSeries")), F.create_map().cast("map<string,string>")), lambda k, t: F.concat(F.lit("timeSeries_"), k))
     x = x.withColumn("_f", F.map_concat(fits(_fields(_get("position"))), fits(own), fits(series)))
-    x = x.select("session", "_f", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"))
-    at = lambda k: list_(F.try_element_at("_f", F.lit(k)))[F.col("i")]
+    x = x.select("session", "_n", _once(F.transform_values("_f", lambda k, t: list_(t))).alias("_f"))
+    x = x.select("session", F.inline(F.transform(_upto(F.col("_n")), lambda i: F.struct(i.alias("i"), _nth(F.col("_f"), i).alias("_f")))))
+    at = lambda k: F.try_element_at("_f", F.lit(k))
     named = ("timestamps", "x", "y", "z", "linearized", "speed", "acceleration")
-    rest = F.transform_values(F.map_filter("_f", lambda k, t: ~k.isin(*named)), lambda k, t: list_(t)[F.col("i")])
+    rest = F.map_filter("_f", lambda k, v: ~k.isin(*named))
     x = x.select("session", "i", at("timestamps").alias("t"), *[at(k).alias(k) for k in named[1:5]], rest.alias("fields"), at("speed").alias("_speed"), at("acceleration").alias("_acc"))
     x = sq.speed(x, ["x", "y"], "t", ["session"]).withColumn("speed", F.coalesce("_speed", "speed"))
     w = Window.partitionBy("session").orderBy("i")

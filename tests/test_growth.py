@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import dsp
 from pulsegrid.operators import correlate as co, decode as de, ensemble as en, grid, joins, sequences as sq
 from pulsegrid.plans import extra_queries as xq, signals
+from pulsegrid.sources import session_metadata as md
 from pulsegrid.streaming import windows as stream
 
 SF = "/root/testdata/sf0.001"
@@ -171,3 +172,26 @@ def test_cross_correlograms_by_blocks(spark, monkeypatch):
         assert got == want and "range" not in plan(got_df) and "flatmapcogroups" in plan(got_df)
         some = co.correlogram(p, 0.5, 6, same=same, pairs=True, empty=False)
         assert some.where("n = 0 and bin <> 3").count() == 0 and some.agg(F.sum("n")).first()[0] == sum(want.values())
+
+
+def test_lists_of_sessions_are_parsed_once_a_file(spark):
+    import json
+
+    n = 300
+    one = list(range(1, n + 1))
+    cells = {"UID": one, "rate": [u / 2 for u in one], "short": [1, 2], "tags": {"Bad": [2, 2, 5], "Good": one}, "general": {"basename": "s"}}
+    phases = {f"PhaseLockingData_{s}": {"phasedistros": [one, [-u for u in one]]} for s in ("rem", "wake")}
+    table = lambda d: spark.createDataFrame([("s", "b", json.dumps(d))], "session string, basepath string, data string")
+    u = {r.nth: r for r in md.units(table(cells)).collect()}
+    assert len(u) == n and all(u[i].uid == i + 1 and u[i].fields == {"UID": str(i + 1), "rate": str((i + 1) / 2)} and u[i].general["basename"] == "s" for i in u)
+    assert {i for i in u if u[i].bad} == {1, 4} and u[1].tags == ["Bad", "Good"] and u[2].tags == ["Good"]
+    m = {(r.epoch, r.nth): r.fields for r in md.metrics_by_epoch(table({"pre": {"particip": one, "gain": one, "two": [1, 2]}, "post": []})).collect()}
+    assert m == {("pre", i): {"particip": str(i + 1), "gain": str(i + 1)} for i in range(n)}
+    d = {(r.state, r.nth): r.distribution for r in md.phase_distributions(table(phases)).collect()}
+    assert d == {(s, i): [i + 1.0, -i - 1.0] for s in ("rem", "wake") for i in range(n)}
+    b = {r.i: r for r in md.behaviour(table({"timestamps": one, "position": {"x": one, "y": one}, "more": one})).collect()}
+    assert len(b) == n and all(b[i].x == i + 1.0 and b[i].fields == {"more": i + 1.0} for i in b)
+    for df in (md.units(table(cells)), md.metrics_by_epoch(table(cells)), md.phase_distributions(table(phases)), md.behaviour(table(cells))):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        upper = lines[: next(i for i, x in enumerate(lines) if "Generate" in x) + 1]
+        assert not any("from_json" in x for x in upper)  # nothing is parsed where there is a row for each value already
