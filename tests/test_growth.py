@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import dsp
-from pulsegrid.operators import correlate as co, decode as de, ensemble as en, grid, joins, sequences as sq
+from pulsegrid.operators import correlate as co, decode as de, ensemble as en, grid, joins, perievent as pe, sequences as sq
 from pulsegrid.plans import extra_queries as xq, signals
 from pulsegrid.sources import session_metadata as md
 from pulsegrid.streaming import windows as stream
@@ -195,3 +195,21 @@ def test_lists_of_sessions_are_parsed_once_a_file(spark):
         lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
         upper = lines[: next(i for i, x in enumerate(lines) if "Generate" in x) + 1]
         assert not any("from_json" in x for x in upper)  # nothing is parsed where there is a row for each value already
+
+
+def test_lags_are_counted_without_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    monkeypatch.setattr(pe, "_AT_ONCE", 64)
+    width, half = 0.1, 7 / 2 * 0.1
+    rows = [(int(rng.integers(0, 3)), f"u{i % 5}", float(rng.integers(-300, 300)) / 20 + (1e6 if i % 7 == 0 else 0)) for i in range(600)] + [(0, "u0", None), (None, "u1", 0.0)]
+    marks = [(int(rng.integers(0, 3)), i, float(rng.integers(-300, 300)) / 20 + (1e6 if i % 5 == 0 else 0)) for i in range(150)] + [(1, 500, None), (None, 501, 0.0)]
+    p, r = spark.createDataFrame(rows, "session int, unit string, t double"), spark.createDataFrame(marks, "session int, ref_id int, r double")
+    hits = [(s, u, i, k) for s, u, t in rows for q, i, m in marks if None not in (s, t, m) and s == q and m - half <= t <= m + half and 0 <= (k := int(np.floor((t - (m - half)) / width))) < 7]
+    for by, pick in (((), lambda h: ()), (("unit",), lambda h: (h[1],)), (("ref_id",), lambda h: (h[2],)), (("session", "unit"), lambda h: (h[0], h[1])), (("unit", "ref_id"), lambda h: (h[1], h[2]))):
+        got_df = pe.lag_counts(p, r, width, 6, ["session"], by)
+        got = {tuple(x[c] for c in (*by, "bin")): x.n for x in got_df.collect()}
+        want = {}
+        for h in hits:
+            want[(*pick(h), h[3])] = want.get((*pick(h), h[3]), 0) + 1
+        assert got == want
+        assert ("flatmapcogroups" in plan(got_df)) == (len(by) < 2 or "ref_id" not in by)
