@@ -137,7 +137,7 @@ def signal_spectrum(signal: DataFrame, fs: float, band: tuple[float, float], nw:
         f, p = dsp.spectrum_continuous(x, fs, band, tap)
         return pd.DataFrame({**{k: g[k].iloc[0] for k in keys}, "freq": f, "power": p})
 
-    return signal.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["freq double", "power double"]))
+    return signal.select(*keys, "t", "value").groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["freq double", "power double"]))
 
 
 def coherence(a: DataFrame, b: DataFrame, fs: float, band: tuple[float, float], key: str = "session") -> DataFrame:

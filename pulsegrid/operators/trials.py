@@ -108,15 +108,22 @@ def open_field(position: DataFrame, bin_size: float = 3.0, step: float = 60.0, s
     return visited.groupBy(*keys).applyInPandas(grow, ", ".join([f"{k} {kinds[k]}" for k in keys] + ["start double", "stop double"]))
 
 
-def theta_cycles(signal: DataFrame, fs: float, band: tuple[float, float] = (6.0, 10.0), lowpass: float = 48.0, steady: float = 0.4, keys: K = ("session", "channel")) -> DataFrame:
+def theta_cycles(signal: DataFrame, fs: float, band: tuple[float, float] = (6.0, 10.0), lowpass: float = 48.0, steady: float = 0.4, keys: K = ("session", "channel"), block: float | None = None) -> DataFrame:
     """(keys, start, peak, stop, duration, amplitude, is_burst): trough to trough of the low-passed signal.
 
-    A cycle is part of a burst if its length lies in the band and its length
+    With ``block`` (seconds) a key goes in blocks of time with margins of 20 of
+    the slowest cycles, and a cycle counts in the block where it starts. A cycle is part of a burst if its length lies in the band and its length
     and amplitude differ from its neighbours' by less than the share ``steady``.
     """
     from ..functions import dsp
 
     kinds = dict(signal.dtypes)
+    by = keys
+    signal = signal.select(*keys, "t", "value")
+    if block is not None:
+        margin = 20 / band[0]
+        own = F.array_distinct(F.array(*[F.floor((F.col("t") + d) / block) for d in (-margin, 0.0, margin)]))
+        signal, by = signal.withColumn("_block", F.explode(own)), [*keys, "_block"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
@@ -131,11 +138,13 @@ def theta_cycles(signal: DataFrame, fs: float, band: tuple[float, float] = (6.0,
                 p = a + int(np.argmax(x[a:b]))
                 rows.append((t[a], t[p], t[b], t[b] - t[a], x[p] - (x[a] + x[b]) / 2))
         frame = pd.DataFrame(rows, columns=["start", "peak", "stop", "duration", "amplitude"])
+        if block is not None:
+            frame = frame[np.floor(frame["start"] / block) == g["_block"].iloc[0]]
         for k in reversed(keys):
             frame.insert(0, k, g[k].iloc[0])
         return frame
 
-    got = signal.groupBy(*keys).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{c} double" for c in ("start", "peak", "stop", "duration", "amplitude")]))
+    got = signal.groupBy(*by).applyInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"{c} double" for c in ("start", "peak", "stop", "duration", "amplitude")]))
     w = Window.partitionBy(*keys).orderBy("start")
     near = lambda c: F.greatest(*[F.coalesce(F.abs(F.try_divide(f(c).over(w) - F.col(c), F.greatest(f(c).over(w), F.col(c)))), F.lit(1.0)) for f in (F.lag, F.lead)]) < steady
     in_band = F.col("duration").between(1 / band[1], 1 / band[0])

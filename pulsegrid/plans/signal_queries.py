@@ -86,7 +86,7 @@ def _tone(spark, sf, hz, fs: float = 250.0, size: float = 0.02):
 @query(f"WITH {_N} SELECT session, 6.0::DOUBLE + session % 5 AS frequency, 1.0::DOUBLE AS amplitude FROM s")
 def band_pass(spark, sf):
     x = _tone(spark, sf, F.lit(6.0) + F.col("session") % 5)
-    got = sg.band_pass(x, 250.0, (4.0, 14.0))
+    got = sg.band_pass(x, 250.0, (4.0, 14.0), block=600.0)
     return got.where("t > 0.6 and t < 1.4").groupBy("session").agg(F.round(F.percentile("frequency", F.lit(0.5))).alias("frequency"), F.round(F.percentile("amplitude", F.lit(0.5)), 0).alias("amplitude"))
 
 
@@ -94,7 +94,7 @@ def band_pass(spark, sf):
 def filter_fir(spark, sf):
     x = samples(spark, sf, fs=250.0)
     x = x.select("session", "channel", "sample_idx", "t", tone(5.0).alias("_slow"), (tone(5.0) + 0.5 * tone(90.0)).alias("value"))
-    got = sg.filter_signal(x, 250.0, "lowpass", 20.0)
+    got = sg.filter_signal(x, 250.0, "lowpass", 20.0, block=600.0)
     return got.groupBy("session").agg(F.sum(F.col("filtered").isNull().cast("int")).cast("int").alias("lost"), (F.max(F.abs(F.col("filtered") - F.col("_slow"))) < 0.1).alias("kept"))
 
 
@@ -183,7 +183,7 @@ def bimodal_threshold(spark, sf):
 
 @query(f"WITH {_N} SELECT session, 0.125::DOUBLE AS duration, true AS steady FROM s")
 def theta_cycles(spark, sf):
-    got = tr.theta_cycles(_tone(spark, sf, 8.0), 250.0)
+    got = tr.theta_cycles(_tone(spark, sf, 8.0), 250.0, block=600.0)
     return got.groupBy("session").agg(F.round(F.percentile("duration", F.lit(0.5)) * 40) / 40, (F.avg(F.col("is_burst").cast("int")) > 0.4).alias("steady")).toDF("session", "duration", "steady")
 
 

@@ -5,8 +5,9 @@ import tracemalloc
 import numpy as np
 from pyspark.sql import functions as F
 
+from pulsegrid import catalog
 from pulsegrid.functions import dsp
-from pulsegrid.operators import correlate as co, decode as de, ensemble as en, grid, joins, perievent as pe, sequences as sq
+from pulsegrid.operators import correlate as co, decode as de, ensemble as en, grid, joins, perievent as pe, sequences as sq, trials as tr
 from pulsegrid.plans import extra_queries as xq, signals
 from pulsegrid.sources import session_metadata as md
 from pulsegrid.streaming import windows as stream
@@ -213,3 +214,19 @@ def test_lags_are_counted_without_pairs(spark, monkeypatch):
             want[(*pick(h), h[3])] = want.get((*pick(h), h[3]), 0) + 1
         assert got == want
         assert ("flatmapcogroups" in plan(got_df)) == (len(by) < 2 or "ref_id" not in by)
+
+
+def test_theta_cycles_by_blocks_of_time(spark):
+    rng = np.random.default_rng(11)
+    t = np.arange(0, 60, 0.004)
+    v = np.sin(2 * np.pi * 8 * t) + 0.05 * rng.standard_normal(len(t))
+    x = spark.createDataFrame([(s, 0, i, float(a), float(b)) for s in (1, 2) for i, (a, b) in enumerate(zip(t, v))], "session int, channel int, sample_idx long, t double, value double")
+    rows = lambda **k: {(r.session, r.start): (r.peak, r.stop, r.amplitude, r.is_burst) for r in tr.theta_cycles(x, 250.0, **k).collect()}
+    whole, parts = rows(), rows(block=7.0)
+    assert len(whole) > 900 and whole.keys() == parts.keys()
+    assert all(a[:2] == b[:2] and a[3] == b[3] and abs(a[2] - b[2]) < 1e-6 for a, b in ((whole[k], parts[k]) for k in whole))
+
+
+def test_queries_on_signals_take_blocks_of_time(spark):
+    for name in ("band_pass", "filter_fir", "theta_cycles"):
+        assert "_block" in plan(catalog.queries()[name](spark, SF))
