@@ -48,21 +48,32 @@ def _plain(v):
 
 def structs(mats: DataFrame, variable: str) -> DataFrame:
     """(session, basepath, data): a variable of each file as JSON text; files without it give no row."""
-    import pandas as pd
+    import pyarrow as pa
 
     from .session_files import parse_mat
 
-    def read(frames):
-        for f in frames:
-            rows = []
-            for p, c in zip(f["path"], f["content"], strict=True):
-                found = parse_mat(bytes(c))
+    def read(batches):
+        rows, size = [], 0
+        for b in batches:
+            for p, c in zip(b["path"], b["content"], strict=True):
+                found = parse_mat(c.as_py())
                 if variable in found:
-                    base = p.rsplit("/", 1)[0]
+                    base = p.as_py().rsplit("/", 1)[0]
                     rows.append((base.rsplit("/", 1)[-1], base, json.dumps(_plain(found[variable]))))
-            yield pd.DataFrame(rows, columns=["session", "basepath", "data"])
+                    size += len(rows[-1][2])
+                if size > _TEXT:
+                    yield batch(rows)
+                    rows, size = [], 0
+        yield batch(rows)
 
-    return mats.mapInPandas(read, "session string, basepath string, data string")
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["session", "basepath", "data"])
+
+    return mats.mapInArrow(read, "session string, basepath string, data string")
+
+
+#: Characters of text that a task holds before it passes them on.
+_TEXT = 1 << 22
 
 
 def _get(path: str, of: str = "data") -> Column:

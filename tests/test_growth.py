@@ -230,3 +230,16 @@ def test_theta_cycles_by_blocks_of_time(spark):
 def test_queries_on_signals_take_blocks_of_time(spark):
     for name in ("band_pass", "filter_fir", "theta_cycles"):
         assert "_block" in plan(catalog.queries()[name](spark, SF))
+
+
+def test_structures_leave_a_task_in_small_batches(spark, monkeypatch):
+    import json
+
+    from pulsegrid.sources.session_files import build_mat
+
+    monkeypatch.setattr(md, "_TEXT", 100)  # a batch for every few files
+    made = [(f"a/s{i}/s{i}.mat", bytearray(build_mat({"one" if i % 3 else "two": {"x": np.arange(i + 2.0)[None]}}))) for i in range(40)]
+    got_df = md.structs(spark.createDataFrame(made, "path string, content binary").coalesce(1), "one")
+    got = {r.session: (r.basepath, json.loads(r.data)) for r in got_df.collect()}
+    assert got == {f"s{i}": (f"a/s{i}", {"x": [float(k) for k in range(i + 2)]}) for i in range(40) if i % 3}
+    assert "mapinarrow" in plan(got_df)
