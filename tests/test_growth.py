@@ -243,3 +243,14 @@ def test_structures_leave_a_task_in_small_batches(spark, monkeypatch):
     got = {r.session: (r.basepath, json.loads(r.data)) for r in got_df.collect()}
     assert got == {f"s{i}": (f"a/s{i}", {"x": [float(k) for k in range(i + 2)]}) for i in range(40) if i % 3}
     assert "mapinarrow" in plan(got_df)
+
+
+def test_explained_variance_holds_few_correlations(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(u, p, b, float(rng.integers(0, 5) if u else 1)) for u in range(40) for p in range(3) for b in range(8)]
+    s = spark.createDataFrame(rows, "unit int, period int, bin int, n double")
+    pairs = [co.pairwise_dense(s.where(f"period = {p}"), "bin", "n").select("unit", "unit2", F.col("r").alias(c)) for p, c in enumerate(("pre", "task", "post"))]
+    want = en.explained_variance(pairs[0].join(pairs[1], ["unit", "unit2"]).join(pairs[2], ["unit", "unit2"])).first()
+    monkeypatch.setattr(en, "_SLICE", 7)
+    got = en.explained_variance_of(s, "bin", "n", "period", 0, 1, 2, blocks=2).first()
+    assert np.allclose(tuple(got), tuple(want), atol=1e-10)
