@@ -280,10 +280,12 @@ def dip(x: np.ndarray, n_boot: int = 100, seed: int = 0, null: int = 2000) -> tu
         n = len(v)
         f = np.arange(1, n + 1) / n
         best = np.inf
-        for m in np.unique(np.linspace(1, n - 2, min(50, max(n - 2, 1))).astype(int)):
-            left = _hull(v[: m + 1], f[: m + 1], -1)
-            right = _hull(v[m:], f[m:], 1)
-            best = min(best, max(np.abs(left - f[: m + 1]).max(), np.abs(right - f[m:]).max()))
+        modes = np.unique(np.linspace(1, n - 2, min(50, max(n - 2, 1))).astype(int))
+        left = _minorants(v, f, modes)
+        right = _minorants(-v[::-1], -f[::-1], n - 1 - modes)  # the concave majorant of the rest, seen from its end
+        for m in modes.tolist():
+            a, b = left[m], n - 1 - right[n - 1 - m][::-1]
+            best = min(best, max(np.abs(np.interp(v[i], v[k], f[k]) - f[i]).max() for i, k in ((slice(0, m + 1), a), (slice(m, n), b))))
         return float(best / 2)
 
     x = np.asarray(x, float)
@@ -295,19 +297,21 @@ def dip(x: np.ndarray, n_boot: int = 100, seed: int = 0, null: int = 2000) -> tu
     return d, float((np.sum(most >= d) + 1) / (n_boot + 1))
 
 
-def _hull(x: np.ndarray, y: np.ndarray, sign: int) -> np.ndarray:
-    """Greatest convex minorant (-1) or least concave majorant (1), at the points."""
+def _minorants(x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> dict[int, np.ndarray]:
+    """The corners of the greatest convex minorant of the points up to each of ``ends``, from one pass over all."""
     keep: list[int] = []
-    for i in range(len(x)):
+    found, wanted = {}, set(ends.tolist())
+    xs, ys = x.tolist(), y.tolist()
+    for i in range(int(max(ends, default=-1)) + 1):
         while len(keep) > 1:
             a, b = keep[-2], keep[-1]
-            cross = (x[b] - x[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (x[i] - x[a])
-            if cross * sign >= 0:
-                keep.pop()
-            else:
+            if (xs[b] - xs[a]) * (ys[i] - ys[a]) - (ys[b] - ys[a]) * (xs[i] - xs[a]) > 0:
                 break
+            keep.pop()
         keep.append(i)
-    return np.interp(x, x[keep], y[keep])
+        if i in wanted:
+            found[i] = np.array(keep)
+    return found
 
 
 def bimodal_threshold(x: np.ndarray, start_bins: int = 10, most_bins: int = 25, limit: float = np.inf, n_boot: int = 100, force: bool = False) -> float:

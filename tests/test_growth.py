@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid import catalog
 from pulsegrid.functions import dsp
-from pulsegrid.operators import correlate as co, decode as de, ensemble as en, grid, joins, perievent as pe, sequences as sq, trials as tr
+from pulsegrid.operators import correlate as co, decode as de, ensemble as en, grid, joins, perievent as pe, sequences as sq, signals as sg, trials as tr
 from pulsegrid.plans import extra_queries as xq, signals
 from pulsegrid.sources import session_metadata as md
 from pulsegrid.streaming import windows as stream
@@ -254,3 +254,22 @@ def test_explained_variance_holds_few_correlations(spark, monkeypatch):
     monkeypatch.setattr(en, "_SLICE", 7)
     got = en.explained_variance_of(s, "bin", "n", "period", 0, 1, 2, blocks=2).first()
     assert np.allclose(tuple(got), tuple(want), atol=1e-10)
+
+
+def test_the_dip_takes_one_pass_for_all_modes(monkeypatch):
+    def corners(x, y, sign):
+        keep = []
+        for i in range(len(x)):
+            while len(keep) > 1 and sign * ((x[keep[-1]] - x[keep[-2]]) * (y[i] - y[keep[-2]]) - (y[keep[-1]] - y[keep[-2]]) * (x[i] - x[keep[-2]])) <= 0:
+                keep.pop()
+            keep.append(i)
+        return np.abs(np.interp(x, x[keep], y[keep]) - y).max()
+
+    passes, one = [], sg._minorants
+    monkeypatch.setattr(sg, "_minorants", lambda x, y, ends: passes.append(len(ends)) or one(x, y, ends))
+    rng = np.random.default_rng(13)
+    for x in (rng.standard_normal(300), np.r_[rng.standard_normal(150), rng.standard_normal(150) + 8], rng.integers(0, 9, 300)):
+        v, f = np.sort(x.astype(float)), np.arange(1, 301) / 300
+        want = min(max(corners(v[: m + 1], f[: m + 1], 1), corners(v[m:], f[m:], -1)) for m in np.unique(np.linspace(1, 298, 50).astype(int)))
+        assert abs(sg.dip(x, 0)[0] - want / 2) < 1e-12
+    assert passes == [50] * 6
