@@ -273,3 +273,26 @@ def test_the_dip_takes_one_pass_for_all_modes(monkeypatch):
         want = min(max(corners(v[: m + 1], f[: m + 1], 1), corners(v[m:], f[m:], -1)) for m in np.unique(np.linspace(1, 298, 50).astype(int)))
         assert abs(sg.dip(x, 0)[0] - want / 2) < 1e-12
     assert passes == [50] * 6
+
+
+def test_matches_come_out_in_order_of_time(spark):
+    rng = np.random.default_rng(14)
+    times, marks = rng.integers(0, 60, 500) / 2.0, rng.integers(0, 60, 200) / 2.0
+    p = spark.createDataFrame([(i, float(t)) for i, t in enumerate(times)], "event_id int, t double").repartition(5)
+    r = spark.createDataFrame([(i, float(m)) for i, m in enumerate(marks)], "ref_id int, r double").repartition(5)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in ("-1", kept):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            for got_df, inside in ((pe.sync(p, r, -1.0, 4.0), lambda x: -1 <= x <= 4), (pe.raster(p, r, -1.0, 4.0), lambda x: -1 < x < 4)):
+                got = [(x.event_id, x.ref_id, x.t, x.r, x.lag) for x in got_df.collect()]
+                assert sorted(got) == sorted((i, j, t, m, t - m) for i, t in enumerate(times) for j, m in enumerate(marks) if inside(t - m))
+                if limit == "-1":  # points of a bucket by time, each with its references by time
+                    by, of = {}, {}
+                    for x in got:
+                        by.setdefault(x[2] // 5, []).append(x[2])
+                        of.setdefault((x[0], x[2] // 5), []).append(x[3])
+                    assert all(v == sorted(v) for v in (*by.values(), *of.values()))
+                    assert sum(a[0] != b[0] for a, b in zip(got, got[1:])) + 1 == len({x[0] for x in got})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
