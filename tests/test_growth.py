@@ -296,3 +296,18 @@ def test_matches_come_out_in_order_of_time(spark):
                     assert sum(a[0] != b[0] for a, b in zip(got, got[1:])) + 1 == len({x[0] for x in got})
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    from pulsegrid.sources import mat_sink, session_files as sf, stores
+
+    rows = [(f"s{i}", float(k), k + 0.5, k + 0.25, float(i)) for i in range(200) for k in range(1 + i % 3)]
+    mat_sink.save_ripples(spark.createDataFrame(rows, "session string, start double, stop double, peak double, amplitude double"), str(tmp_path))
+    (tmp_path / "_writing").mkdir()
+    (tmp_path / "_writing" / "s.ripples.events.mat").write_bytes(b"")
+    found = mat_sink.session_files(spark, str(tmp_path), "ripples.events.mat")
+    assert found.rdd.getNumPartitions() == 4  # as many as cores, not one for 32 files
+    assert {(r.session, r.path) for r in found.collect()} == {(f"s{i}", f"s{i}/s{i}.ripples.events.mat") for i in range(200)}
+    got = sf.mat_events(stores.read_files(spark, str(tmp_path), ".ripples.events.mat"), "ripples").collect()
+    assert sorted((r.session, r.start, r.stop, r.peak, r.amplitude) for r in got) == sorted(rows)
+    assert stores.read_files(spark, str(tmp_path), ".nothing").count() == 0
