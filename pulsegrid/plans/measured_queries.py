@@ -226,22 +226,18 @@ _TWO_PI = "(2 * pi())"
 
 def _behaviour_files(spark, sf, name: str) -> str:
     """Behaviour files of all suppliers' runs in a new folder, written by one commit."""
-    import numpy as np
-    import pandas as pd
-
-    from ..sources import stores
+    from ..sources import mat_sink, stores
     from ..sources.batch import scratch
-    from ..sources.session_files import build_mat
     from .track_queries import runs
 
-    def make(g: pd.DataFrame) -> pd.DataFrame:
-        g, s = g.sort_values("nth"), str(g["session"].iloc[0])
-        row = lambda c: np.asarray(g[c], float)[None]
+    def build(s, g) -> tuple[str, dict]:
+        order = g["nth"].to_numpy().argsort()
+        row = lambda c: g[c].to_numpy(float)[order][None]
         tree = {"behavior": {"timestamps": row("t"), "position": {"x": row("x"), "y": row("y"), "units": "cm"}}}
-        return pd.DataFrame({"path": [f"{s}/{s}.animal.behavior.mat"], "content": [build_mat(tree)]})
+        return f"{s}/{s}.animal.behavior.mat", tree
 
     root = scratch(spark, name)
-    stores.save_files(runs(spark, sf).groupBy("session").applyInPandas(make, "path string, content binary"), root)
+    stores.save_files(mat_sink.per_session(runs(spark, sf), build), root)
     return root
 
 

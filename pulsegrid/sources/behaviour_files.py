@@ -32,17 +32,28 @@ def samples(spark: SparkSession, root: str, extra: Sequence[str] = ()) -> DataFr
 
     def read(frames):
         for f in frames:
+            held, size = [], 0
             for s, c in zip(f["session"], f["content"], strict=True):
                 b = parse_mat(bytes(c)).get("behavior", {})
                 t = np.asarray(b.get("timestamps", ()), float).ravel()
                 place = b.get("position") if isinstance(b.get("position"), dict) else {}
-                out = pd.DataFrame({"session": s, "i": np.arange(len(t)), "t": t})
+                out = [np.full(len(t), s, object), np.arange(len(t)), t]
                 for n in names:
                     v = place.get(n, b.get(n))
                     v = np.asarray(v, float).ravel() if isinstance(v, np.ndarray) else np.zeros(0)
-                    out[n] = v if len(v) == len(t) else np.nan
-                for at in range(0, len(out), 100_000):
-                    yield out.iloc[at : at + 100_000]
+                    out.append(v if len(v) == len(t) else np.full(len(t), np.nan))
+                held.append(out)
+                size += len(t)
+                if size > 100_000:
+                    yield from frames_of(held)
+                    held, size = [], 0
+            if held:
+                yield from frames_of(held)
+
+    def frames_of(held):
+        out = pd.DataFrame(dict(zip(["session", "i", "t", *names], map(np.concatenate, zip(*held)))))
+        for at in range(0, len(out), 100_000):
+            yield out.iloc[at : at + 100_000]
 
     got = mat_sink.session_files(spark, root, NAME).select("session", "content").mapInPandas(read, ", ".join(["session string", "i long", "t double"] + [f"`{n}` double" for n in names]))
     return got.select("session", "i", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("t", *names)])
@@ -73,7 +84,7 @@ def filter_jumps(spark: SparkSession, root: str, limit: float = 150.0, spans: Da
 
     ``spans`` (session, start, stop) or an interval narrows it to some time.
     """
-    x = _inside(samples(spark, root), spans, interval)
+    x = staged(_inside(samples(spark, root), spans, interval), "tracking")
     new = sq.drop_jumps(x.where("_in"), limit)
     mat_sink.update_behavior(spark, root, _kept(x, new, ["x", "y"]), {"x": ["behavior", "position", "x"], "y": ["behavior", "position", "y"]})
 
@@ -81,7 +92,7 @@ def filter_jumps(spark: SparkSession, root: str, limit: float = 150.0, spans: Da
 def linearize_track(spark: SparkSession, root: str, segments: Sequence[li.Segment], spans: DataFrame | None = None, interval: tuple[float, float] | None = None, tuned: bool = False, **how) -> None:
     """Write position along the track, its segment and the place on it into all files, by the hidden Markov model of :func:`.linearize.track_path`."""
     at = ["linearized", "states", "projected_x", "projected_y"]
-    x = _inside(samples(spark, root, at), spans, interval)
+    x = staged(_inside(samples(spark, root, at), spans, interval), "tracking")
     some = x.where("_in").select("session", "i", "t", "x", "y")
     got = li.track_path(some, segments, tuned=li.tune(some, segments) if tuned else None, **how)
     new = got.select("session", "i", F.col("lin").alias("linearized"), F.col("segment").alias("states"), F.col("x_on").alias("projected_x"), F.col("y_on").alias("projected_y"))
@@ -102,7 +113,7 @@ def linearize_circle(spark: SparkSession, root: str, spans: DataFrame | None = N
     center_x, center_y, radius). The file keeps it as behavior.circle_params.
     """
     at = ["linearized", "theta", "x_centered", "y_centered"]
-    x = _inside(samples(spark, root, at), spans, interval)
+    x = staged(_inside(samples(spark, root, at), spans, interval), "tracking")
     some = x.where("_in").select("session", "i", "x", "y")
     c = circles(some) if given is None else given
     dx, dy = F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y")
@@ -110,7 +121,7 @@ def linearize_circle(spark: SparkSession, root: str, spans: DataFrame | None = N
     new = some.join(c, "session").select("session", "i", (theta * F.col("radius")).alias("linearized"), theta.alias("theta"), dx.alias("x_centered"), dy.alias("y_centered"))
     told = ["center_x", "center_y", "radius"]
     c = staged(c.select("session", *told), "circles")
-    mat_sink.update_behavior(spark, root, staged(_kept(x, new, at), "circle"), {k: ["behavior", "position", k] for k in at})
+    mat_sink.update_behavior(spark, root, _kept(x, new, at), {k: ["behavior", "position", k] for k in at})
     mat_sink.update_behavior(spark, root, c.withColumn("i", F.lit(0)), {k: ["behavior", "circle_params", k] for k in told})
     return c
 

@@ -70,3 +70,17 @@ def test_roles_of_channels(spark, tmp_path):
     assert sorted((r.session, r.ripple, r.sharp_wave, r.noise) for r in roles.collect()) == [("a", 3, None, 6), ("b", 2, None, None)]
     signal = spark.createDataFrame([(s, c, 0.5) for s in "ab" for c in range(8)], "session string, channel int, value double")
     assert sorted((r.session, r.role, r.channel) for r in bf.with_roles(signal, roles).collect()) == [("a", "noise", 6), ("a", "ripple", 3), ("b", "ripple", 2)]
+
+
+def test_files_are_read_once_a_step(spark, tmp_path, monkeypatch):
+    from pulsegrid.sources import stores
+
+    files = [(f"s{k}/s{k}.{bf.NAME}", bytearray(sf.build_mat({"behavior": {"timestamps": np.arange(5.0)[None], "position": {"x": np.array([[0.0, 1, 2, 90, 4]]) + k, "y": np.ones((1, 5))}}}))) for k in range(3)]
+    stores.save_files(spark.createDataFrame(files, "path string, content binary"), str(tmp_path))
+    kept, one = [], bf.staged
+    monkeypatch.setattr(bf, "staged", lambda df, name: kept.append(name) or one(df, name))
+    bf.filter_jumps(spark, str(tmp_path), 30.0)
+    bf.linearize_circle(spark, str(tmp_path))
+    assert kept.count("tracking") == 2  # what a step reads again is not the files
+    got = {(r.session, r.i): r.x for r in bf.samples(spark, str(tmp_path)).collect()}
+    assert len(got) == 15 and all(got[f"s{k}", 3] is None and got[f"s{k}", 2] == 2 + k for k in range(3))
