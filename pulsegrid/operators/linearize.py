@@ -39,6 +39,7 @@ class Model(NamedTuple):
     place: np.ndarray
     before: np.ndarray  # states that a state can be reached from, in rising order
     cost: np.ndarray
+    first: np.ndarray  # where the row of a state begins in both of them
     spread: float
 
 
@@ -81,7 +82,7 @@ def model(segments: tuple[Segment, ...], per_segment: int, spread: float, stay:
     for j in range(len(nth)):
         i = np.flatnonzero(np.isfinite(steps[:, j]))
         before[j, : len(i)], cost[j, : len(i)] = i, np.floor(steps[i, j] * UNIT + 0.5)
-    return Model(np.array([g[0] for g in segments])[nth], lin, place, before, np.maximum(cost, _NEVER), spread)
+    return Model(np.array([g[0] for g in segments])[nth], lin, place, before, np.maximum(cost, _NEVER), np.arange(len(nth)) * most, spread)
 
 
 def scores(m: Model, xy: np.ndarray) -> np.ndarray:
@@ -95,9 +96,11 @@ def advance(m: Model, v: np.ndarray | None, e: np.ndarray) -> tuple[np.ndarray,
     if v is None:
         back, v = np.zeros(len(e), np.int64), e
     else:
-        c = v[m.before] + m.cost
-        k = c.argmax(1)[:, None]
-        back, v = np.take_along_axis(m.before, k, 1)[:, 0], np.take_along_axis(c, k, 1)[:, 0] + e
+        c = v.take(m.before)
+        c += m.cost
+        at = c.argmax(1)
+        at += m.first
+        back, v = m.before.take(at), c.take(at) + e
     return np.maximum(v - v.max(), FLOOR), back
 
 
