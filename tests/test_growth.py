@@ -311,3 +311,34 @@ def test_many_small_files_take_few_tasks(spark, tmp_path):
     got = sf.mat_events(stores.read_files(spark, str(tmp_path), ".ripples.events.mat"), "ripples").collect()
     assert sorted((r.session, r.start, r.stop, r.peak, r.amplitude) for r in got) == sorted(rows)
     assert stores.read_files(spark, str(tmp_path), ".nothing").count() == 0
+
+
+def shuffled(spark, job) -> int:
+    """Bytes that the stages of a job write for others to read."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    before = written()
+    job()
+    return sum(n for k, n in written().items() if k not in before)
+
+
+def test_vectors_meet_without_copies(spark):
+    rng = np.random.default_rng(8)
+    x, group = rng.standard_normal((300, 24)).astype("float32"), rng.integers(0, 3, 300)
+    x[7] = 0
+    v = spark.createDataFrame([(i * 3, [float(e) for e in x[i]], int(group[i])) for i in range(300)], "vec_id long, embedding array<float>, label int")
+    y = x.astype(float)
+    with np.errstate(invalid="ignore"):
+        y = y / np.linalg.norm(y, axis=1, keepdims=True)
+    want = {(i * 3, j * 3): None if 7 in (i, j) else y[i] @ y[j] for i in range(300) for j in range(i + 1, 300) if group[i] != group[j]}
+    cost = []
+    for blocks in (1, 3, 24):
+        got = {}
+        cost.append(shuffled(spark, lambda: got.update({(r.vec_id, r.key2): r.cosine for r in en.similarity_pairs(v, "embedding", "vec_id", "label", blocks).collect()})))
+        assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert cost[2] < 2 * cost[1]  # however many blocks meet
