@@ -342,3 +342,16 @@ def test_vectors_meet_without_copies(spark):
         cost.append(shuffled(spark, lambda: got.update({(r.vec_id, r.key2): r.cosine for r in en.similarity_pairs(v, "embedding", "vec_id", "label", blocks).collect()})))
         assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
     assert cost[2] < 2 * cost[1]  # however many blocks meet
+
+
+def test_patterns_meet_without_copies(spark):
+    x = np.random.default_rng(9).standard_normal((300, 24))
+    v = spark.createDataFrame([(i, [float(e) for e in x[i]]) for i in range(300)], "vec_id long, embedding array<double>")
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cost, found = [], []
+    for blocks in (3, 24):
+        got = {}
+        cost.append(shuffled(spark, lambda: got.update({(r.vec_id, r.key2): (r.similarity, r.p) for r in en.similarity_index(v, "embedding", "vec_id", 5, blocks=blocks).collect()})))
+        assert len(got) == 300 * 299 // 2 and all(abs(s - abs(y[i] @ y[j])) < 1e-12 for (i, j), (s, _) in got.items())
+        found.append({k: p for k, (_, p) in got.items()})
+    assert found[0] == found[1] and cost[1] < 2 * cost[0]
