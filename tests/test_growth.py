@@ -355,3 +355,19 @@ def test_patterns_meet_without_copies(spark):
         assert len(got) == 300 * 299 // 2 and all(abs(s - abs(y[i] @ y[j])) < 1e-12 for (i, j), (s, _) in got.items())
         found.append({k: p for k, (_, p) in got.items()})
     assert found[0] == found[1] and cost[1] < 2 * cost[0]
+
+
+def test_series_meet_without_copies(spark):
+    x = np.random.default_rng(10).standard_normal((300, 20)).round(2)
+    x[4] = 1.0
+    s = spark.createDataFrame([(u, i, float(x[u, i])) for u in range(300) for i in range(20)], "unit long, bin int, n double")
+    for method in ("pearson",):
+        of = x if method == "pearson" else np.array([(np.searchsorted(np.sort(r), r, "left") + np.searchsorted(np.sort(r), r, "right")) / 2 for r in x])
+        with np.errstate(invalid="ignore"):
+            want = np.corrcoef(of)
+        cost = []
+        for blocks in (3, 24):
+            got = {}
+            cost.append(shuffled(spark, lambda: got.update({(r.unit, r.unit2): r.r for r in co.pairwise_dense(s, "bin", "n", method=method, blocks=blocks).collect()})))
+            assert len(got) == 300 * 299 // 2 and all(r is None if 4 in k else abs(r - want[k]) < 1e-12 for k, r in got.items())
+        assert cost[1] < 2 * cost[0]
