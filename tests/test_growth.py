@@ -361,7 +361,7 @@ def test_series_meet_without_copies(spark):
     x = np.random.default_rng(10).standard_normal((300, 20)).round(2)
     x[4] = 1.0
     s = spark.createDataFrame([(u, i, float(x[u, i])) for u in range(300) for i in range(20)], "unit long, bin int, n double")
-    for method in ("pearson",):
+    for method in ("pearson", "spearman"):
         of = x if method == "pearson" else np.array([(np.searchsorted(np.sort(r), r, "left") + np.searchsorted(np.sort(r), r, "right")) / 2 for r in x])
         with np.errstate(invalid="ignore"):
             want = np.corrcoef(of)
