@@ -75,7 +75,7 @@ def _inside(x: DataFrame, spans: DataFrame | None, interval: tuple[float, float]
 def _kept(x: DataFrame, new: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(session, i, columns): new values of the samples that were worked on, old ones of the others."""
     n = new.select("session", "i", *[F.col(c).cast("double").alias(f"_{c}") for c in columns], F.lit(True).alias("_new"))
-    both = x.join(n, ["session", "i"], "left")
+    both = x.hint("merge").join(n, ["session", "i"], "left")  # samples on both sides, however small their staged files are
     return both.select("session", "i", *[F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns])
 
 
@@ -102,7 +102,7 @@ def linearize_track(spark: SparkSession, root: str, segments: Sequence[li.Segmen
 def circles(rows: DataFrame, keys: Sequence[str] = ("session",)) -> DataFrame:
     """(keys, center_x, center_y, radius): the circle about the middle of the samples' range, as far away as they are on average."""
     c = rows.groupBy(*keys).agg(((F.min("x") + F.max("x")) / 2).alias("center_x"), ((F.min("y") + F.max("y")) / 2).alias("center_y"))
-    r = rows.join(c, list(keys)).groupBy(*keys, "center_x", "center_y").agg(F.avg(F.hypot(F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y"))).alias("radius"))
+    r = rows.hint("merge").join(c, list(keys)).groupBy(*keys, "center_x", "center_y").agg(F.avg(F.hypot(F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y"))).alias("radius"))
     return r.select(*keys, "center_x", "center_y", "radius")
 
 
@@ -114,11 +114,11 @@ def linearize_circle(spark: SparkSession, root: str, spans: DataFrame | None = N
     """
     at = ["linearized", "theta", "x_centered", "y_centered"]
     x = staged(_inside(samples(spark, root, at), spans, interval), "tracking")
-    some = x.where("_in").select("session", "i", "x", "y")
+    some = x.where("_in").select("session", "i", "x", "y")  # a plan takes them for small by the size of their files, hence the hints
     c = circles(some) if given is None else given
     dx, dy = F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y")
     theta = F.pmod(F.atan2(dy, dx), F.lit(6.283185307179586))
-    new = some.join(c, "session").select("session", "i", (theta * F.col("radius")).alias("linearized"), theta.alias("theta"), dx.alias("x_centered"), dy.alias("y_centered"))
+    new = some.hint("merge").join(c, "session").select("session", "i", (theta * F.col("radius")).alias("linearized"), theta.alias("theta"), dx.alias("x_centered"), dy.alias("y_centered"))
     told = ["center_x", "center_y", "radius"]
     c = staged(c.select("session", *told), "circles")
     mat_sink.update_behavior(spark, root, _kept(x, new, at), {k: ["behavior", "position", k] for k in at})

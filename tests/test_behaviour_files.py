@@ -84,3 +84,24 @@ def test_files_are_read_once_a_step(spark, tmp_path, monkeypatch):
     assert kept.count("tracking") == 2  # what a step reads again is not the files
     got = {(r.session, r.i): r.x for r in bf.samples(spark, str(tmp_path)).collect()}
     assert len(got) == 15 and all(got[f"s{k}", 3] is None and got[f"s{k}", 2] == 2 + k for k in range(3))
+
+
+def test_contents_of_files_stay_off_the_driver(spark):
+    from pulsegrid.sources import mat_sink
+
+    files = spark.createDataFrame([("a", "a/a.x", bytearray(sf.build_mat({"behavior": {"v": 1.0}})))], "session string, path string, content binary")
+    values = spark.createDataFrame([("a", 1, 5.0), ("a", 0, 4.0), ("b", 0, 1.0)], "session string, i long, v double")
+    got = mat_sink.rewritten(files, values, {"v": ["behavior", "v"]})
+    (one,) = got.collect()
+    assert one.path == "a/a.x" and sf.parse_mat(bytes(one.content))["behavior"]["v"].ravel().tolist() == [4.0, 5.0]
+    assert "broadcasthashjoin" not in got._jdf.queryExecution().toString().lower()
+
+
+def test_samples_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    a = np.linspace(0, 12 * np.pi, 200)
+    written(tmp_path, 50 + 30 * np.cos(a), 20 + 30 * np.sin(a))
+    plans, one = [], bf.mat_sink.update_behavior
+    monkeypatch.setattr(bf.mat_sink, "update_behavior", lambda s, r, values, paths: plans.append(values._jdf.queryExecution().toString().lower()) or one(s, r, values, paths))
+    bf.filter_jumps(spark, str(tmp_path))
+    bf.linearize_circle(spark, str(tmp_path))
+    assert len(plans) == 3 and not any("broadcasthashjoin" in p for p in plans)
